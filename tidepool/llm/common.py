@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,7 +82,7 @@ def arrow_map(df: DataFrame, over: Callable[[pa.RecordBatch], pa.RecordBatch | N
 def slices(batch: pa.RecordBatch, column: str, most: int = 8_000_000) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with at most `most` bytes of text each, one row at least."""
     start = total = 0
-    for i, n in enumerate(pa.compute.binary_length(batch.column(column)).to_pylist()):
+    for i, n in enumerate(pc.binary_length(batch.column(column)).to_pylist()):
         if total and total + (n or 0) > most:
             yield batch.slice(start, i - start)
             start, total = i, 0

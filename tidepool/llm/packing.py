@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, whole_text
-from .encoding import chunked
+from .encoding import pieces_of
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -40,7 +40,7 @@ def pack(df: DataFrame, tokenizer: str = "word_bpe_49k.json", longest: int = 409
     tail = end_id.to_bytes(4, "little")
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-        encoder = chunked(tokenizer)
+        encoder = pieces_of(tokenizer)
         docs, starts, lengths, sums, totals, ids = [], [], [], [], [], []
         for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
             packed = encoder.id_bytes(text.as_py()) + tail

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, new_table, whole_text
-from .encoding import chunked, version_digest
+from .encoding import pieces_of, version_digest
 
 CACHE_SCHEMA = "content string, version string, n_tokens long"
 
@@ -39,7 +39,7 @@ def cached_counts(df: DataFrame, cache: str, tokenizer: str, text: str = "text")
     misses = texts.groupBy("content").agg(F.first("text").alias("text"))
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
-        encoder = chunked(tokenizer)
+        encoder = pieces_of(tokenizer)
         counts = [encoder.count(t.as_py()) for t in batch.column("text")]
         return pa.RecordBatch.from_arrays([batch.column("content"), pa.array(counts, pa.int64())], ["content", "n_tokens"])
 
