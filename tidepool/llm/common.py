@@ -88,3 +88,29 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 8_000_000) -> Iterato
             start, total = i, 0
         total += n or 0
     yield batch.slice(start)
+
+
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that is evaluated once a row: projections above are not merged into this one."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
+def running_sums(numbers: Column, block: int = 128) -> Column:
+    """Inclusive running sums of an array of numbers, in blocks, so that long arrays stay cheap."""
+    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
+    places = lambda n: F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: i < n)
+
+    def of(a: Column) -> Column:
+        blocks = F.transform(places(F.ceil(F.size(a) / block).cast("int")), lambda b: F.slice(a, b * block + 1, block))
+
+        def joined(parts: Column) -> Column:
+            def with_sums(sums: Column) -> Column:
+                before = lambda i: total(F.slice(sums, F.lit(1), i))
+                inside = lambda p, o: F.transform(p, lambda _, i: o + total(F.slice(p, F.lit(1), i + 1)))
+                return F.flatten(F.transform(parts, lambda p, i: let(before(i), lambda o: inside(p, o))))
+
+            return let(F.transform(parts, total), with_sums)
+
+        return let(blocks, joined)
+
+    return let(numbers, of)

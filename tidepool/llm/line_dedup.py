@@ -21,21 +21,24 @@ def lines_of(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
+def _line_id(line: Column) -> Column:
+    return F.xxhash64(F.trim(line))
+
+
 def boilerplate(df: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """host, line, n_pages, n_host: the lines to drop.
+    """host, line_id (64-bit hash of the trimmed line), n_pages, n_host: the lines to drop.
 
     A line counts once a page, without the white space around it; blank lines never count. Hosts may
-    be null: those pages are one host. A host has few such lines: with b bytes of lines a page, at
-    most b / ratio bytes of them.
+    be null: those pages are one host. A host has few such lines: with n lines a page on average, at
+    most n / ratio of them. Only hashes are shuffled, one for each host, line, page and task.
     """
     pages = df.select(F.col(host).alias("host"), whole_text(text).alias("text")).withColumn("page", F.xxhash64("text"))
-    # one row for each host, page and task before the shuffle: copies of a page collapse at once
-    once = pages.groupBy("host", "page").agg(F.first("text").alias("text"))
-    totals = once.groupBy("host").agg(F.count(F.lit(1)).alias("n_host"))
-    lines = once.select("host", F.explode(F.array_distinct(F.transform(lines_of(F.col("text")), F.trim))).alias("line")).filter("line != ''")
-    counts = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_pages")).filter(F.col("n_pages") >= min_pages)
+    totals = pages.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("n_host"))
+    ids = F.array_distinct(F.transform(F.filter(lines_of(F.col("text")), lambda x: F.trim(x) != ""), _line_id))
+    lines = pages.select("host", "page", F.explode(ids).alias("line_id")).distinct()
+    counts = lines.groupBy("host", "line_id").agg(F.count(F.lit(1)).alias("n_pages")).filter(F.col("n_pages") >= min_pages)
     same = counts["host"].eqNullSafe(totals["host"])
-    return counts.join(totals, same).filter(F.col("n_pages") > F.lit(ratio) * F.col("n_host")).select(counts["host"], "line", "n_pages", "n_host")
+    return counts.join(totals, same).filter(F.col("n_pages") > F.lit(ratio) * F.col("n_host")).select(counts["host"], "line_id", "n_pages", "n_host")
 
 
 def drop_boilerplate(df: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
@@ -46,13 +49,13 @@ def drop_boilerplate(df: DataFrame, host: str = "source", text: str = "text", ra
     table of no rows gives no rows; a column n_dropped of df is replaced.
     """
     found = materialise(boilerplate(df, host, text, ratio, min_pages), "boilerplate")
-    by_host = found.groupBy("host").agg(F.collect_list("line").alias("lines")).select(F.col("host").alias("_host"), F.col("lines").alias("_lines"))
-    size = found.agg(F.coalesce(F.sum(F.octet_length("line") + 32), F.lit(0))).first()[0]
+    by_host = found.groupBy("host").agg(F.collect_list("line_id").alias("lines")).select(F.col("host").alias("_host"), F.col("lines").alias("_lines"))
+    size = 64 * found.count()
     if size <= BROADCAST_BYTES:
         by_host = F.broadcast(by_host)
     rest = df.drop("n_dropped")
     joined = rest.join(by_host, F.col(host).eqNullSafe(F.col("_host")), "left")
-    kept = F.filter(lines_of(F.col(text)), lambda x: ~F.array_contains(F.col("_lines"), F.trim(x)))
+    kept = F.filter(lines_of(F.col(text)), lambda x: ~F.array_contains(F.col("_lines"), _line_id(x)))
     hit = F.col("_lines").isNotNull() & F.col(text).isNotNull()
     out = joined.withColumn("_kept", F.when(hit, kept))
     n = F.when(hit, F.size(lines_of(F.col(text))) - F.size("_kept")).otherwise(0)
