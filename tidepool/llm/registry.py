@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fingerprints, language_id, line_dedup, minhash, packing, pii, quality, token_counts
+from . import decontaminate, fingerprints, language_id, line_dedup, minhash, packing, pii, quality, suffix_dedup, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(_table(spark, sf_dir, "documents"))
 
@@ -77,7 +81,7 @@ FROM documents d LEFT JOIN boilerplate b ON d.source IS NOT DISTINCT FROM b.sour
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
-        op1_token_counts, op2_decontamination, op4_language_id, op5_packing, op6_personal_data,
+        op1_token_counts, op2_decontamination, op3_suffix_dedup, op4_language_id, op5_packing, op6_personal_data,
         op7_near_duplicates, op8_quality, op9_fingerprints, op10_line_dedup,
     ]
     return {f.__name__: f for f in found}
