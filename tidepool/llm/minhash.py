@@ -6,7 +6,9 @@ linked only if the full sets are similar enough.
 
 Equal sets are one class from the start. In a bucket, classes are held against one hub at a time, and
 classes that are already connected never meet again; only what is still apart after the hub rounds is
-compared in pairs. So a bucket of n near copies costs about n comparisons, whatever n is.
+compared in pairs. So a bucket of n near copies costs about n comparisons, whatever n is. Before any
+text moves, a parity sketch bounds the difference of two sets from below, so that pairs that can't be
+similar enough are dropped where they meet and none that is gets lost.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, drop_table, materialise, whole_text
@@ -23,6 +25,8 @@ from .common import arrow_map, drop_table, materialise, whole_text
 BANDS, ROWS = 40, 6
 SEED = 20_240_607
 HUB_ROUNDS = 2
+#: 64-bit words of the parity sketch.
+SKETCH = 16
 #: Ids up to this size go to every executor; more are shuffled.
 BROADCAST_ROWS = 500_000
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -86,21 +90,34 @@ def band_hashes(shingles: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return h
 
 
+def parity_sketch(shingles: np.ndarray) -> np.ndarray:
+    """A bit for each value of some hash bits: whether an odd number of shingles has it.
+
+    Every shingle that only one of two sets has changes one bit, so two sketches differ in no more
+    bits than the sets in shingles.
+    """
+    odd = np.bincount((shingles >> np.uint64(20)).astype(np.int64) % (64 * SKETCH), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def signatures(df: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, node (digest of the set; null if it is empty), bands (array of hashes)."""
+    """doc_id, n_shingles, node (digest of the set; null if it is empty), bands and sketch (arrays of long)."""
 
     def sign(batch: pa.RecordBatch) -> pa.RecordBatch:
-        counts, nodes, found = [], [], []
+        counts, nodes, found, sketches = [], [], [], []
         for text in batch.column("text"):
             s = shingle_set(text.as_py(), size)
             counts.append(len(s))
             nodes.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
             found.append(band_hashes(s, bands, rows).view(np.int64) if len(s) else None)
-        lists = pa.array(found, pa.list_(pa.int64()))
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(nodes, pa.binary()), lists], ["doc_id", "n_shingles", "node", "bands"])
+            sketches.append(parity_sketch(s) if len(s) else None)
+        lists = [pa.array(x, pa.list_(pa.int64())) for x in (found, sketches)]
+        return pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(nodes, pa.binary()), *lists], ["doc_id", "n_shingles", "node", "bands", "sketch"]
+        )
 
     slim = df.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    return arrow_map(slim, sign, "doc_id long, n_shingles long, node binary, bands array<long>")
+    return arrow_map(slim, sign, "doc_id long, n_shingles long, node binary, bands array<long>, sketch array<long>")
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, df: DataFrame, size: int, percent: int) -> DataFrame:
@@ -185,26 +202,32 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, bands: int
     """
     signed = materialise(signatures(df, size, bands, rows), "near-signed")
     classes = materialise(
-        signed.filter("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")),
+        signed.filter("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")),
         "near-classes",
     )
     places = classes.select("node", "n", F.explode("bands").alias("bucket"))
     shared = places.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("bucket")
-    members = materialise(places.join(shared, "bucket"), "near-members")
+    members = materialise(places.join(shared, "bucket").join(classes.select("node", "sketch"), "node"), "near-members")
     nodes = classes.select("node", "rep")
-    similar = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent  # noqa: E731  sets so unequal can't reach it
+
+    def similar(n: Column, sketch: Column, n_b: Column, sketch_b: Column) -> Column:
+        """False only if the sets can't be similar enough, by their sizes or by what their sketches differ in."""
+        apart = sum((F.bit_count(F.get(sketch, F.lit(i)).bitwiseXOR(F.get(sketch_b, F.lit(i)))) for i in range(SKETCH)), F.lit(0))
+        return (F.least(n, n_b) * 100 >= F.greatest(n, n_b) * percent) & (apart * (100 + percent) <= (n + n_b) * (100 - percent))
 
     labels: DataFrame | None = None
     tested: DataFrame | None = None
     left = members.withColumn("comp", F.col("node"))
     for turn in range(HUB_ROUNDS + 1):
         if turn < HUB_ROUNDS:
-            hub = left.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), "node", "n", "comp")).alias("hub"))
-            met = left.join(hub, "bucket").filter((F.col("comp") != F.col("hub.comp")) & similar(F.col("n"), F.col("hub.n")))
+            hub = left.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), "node", "n", "comp", "sketch")).alias("hub"))
+            met = left.join(hub, "bucket").filter((F.col("comp") != F.col("hub.comp")) & similar(F.col("n"), F.col("sketch"), F.col("hub.n"), F.col("hub.sketch")))
             pairs = met.select(F.col("node").alias("a"), F.col("hub.node").alias("b"))
         else:
-            other = left.select("bucket", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b"))
-            met = left.join(other, "bucket").filter((F.col("node") < F.col("b")) & (F.col("comp") != F.col("comp_b")) & similar(F.col("n"), F.col("n_b")))
+            other = left.select("bucket", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b"), F.col("sketch").alias("sketch_b"))
+            met = left.join(other, "bucket").filter(
+                (F.col("node") < F.col("b")) & (F.col("comp") != F.col("comp_b")) & similar(F.col("n"), F.col("sketch"), F.col("n_b"), F.col("sketch_b"))
+            )
             pairs = met.select(F.col("node").alias("a"), "b")
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("b").alias("hub")).dropDuplicates(["a", "b"])
         pairs = pairs.select(F.when(F.col("hub") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("a"), F.col("hub").alias("b"))
