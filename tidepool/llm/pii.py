@@ -110,6 +110,8 @@ def disclosing_terms(df: DataFrame, support: int = SUPPORT, public: float = PUBL
     """
     pages = df.groupBy("page").agg(F.count(F.lit(1)).alias("rows"))
     n = pages.count()
+    copied = materialise(pages.filter("rows > 1").select("page", F.lit(True).alias("copied")), "pii-copied")
+    copied = F.broadcast(copied) if copied.count() <= BROADCAST_ROWS else copied
     holds = F.transform("base", lambda x: F.concat_ws(":", x["kind"], F.lower(x["value"])))
     private = df.filter(F.size("base") > 0).select("page", F.explode(F.array_distinct(holds)).alias("entity"), _masked(F.col("text"), F.col("base")).alias("text"))
     private = private.withColumn("entity", F.xxhash64("entity"))
@@ -124,9 +126,11 @@ def disclosing_terms(df: DataFrame, support: int = SUPPORT, public: float = PUBL
     count = wanted.count()
     if not count:
         return wanted.select("term", F.lit(False).alias("removed"))
-    words = df.select("page", F.explode(_terms(_masked(F.col("text"), F.col("base")))).alias("term"))
+    # a text that comes once is counted where it lies; only copies carry their text's digest along
+    words = df.join(copied, "page", "left").select(F.when(F.col("copied"), F.col("page")).alias("page"), F.explode(_terms(_masked(F.col("text"), F.col("base")))).alias("term"))
     words = words.join(F.broadcast(wanted) if count <= BROADCAST_ROWS else wanted, "term", "left_semi")
-    totals = words.distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    once_each = words.groupBy("term", "page").agg(F.count(F.lit(1)).alias("c"))
+    totals = once_each.groupBy("term").agg(F.sum(F.when(F.col("page").isNull(), F.col("c")).otherwise(1)).alias("n_t"))
     shared = F.log(F.lit(float(n)) * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
     content = F.log(F.lit(float(n)) / F.col("n_e"))
     strong = met.join(totals, "term").filter(shared >= F.lit(disclosure) * content)
