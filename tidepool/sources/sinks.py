@@ -20,7 +20,7 @@ def append_run(spark: SparkSession, journal: str, header: dict) -> None:
 
 
 def read_rows(spark: SparkSession, journal: str, run_id: str | None = None) -> DataFrame:
-    rows = spark.read.parquet(f"{journal}/rows")
+    rows = spark.read.option("mergeSchema", "true").parquet(f"{journal}/rows")
     return rows if run_id is None else rows.filter(F.col("run_id") == run_id)
 
 
