@@ -22,7 +22,7 @@ def test_vault_on_disk(spark, tmp_path):
         path.parent.mkdir(parents=True, exist_ok=True)
         path.write_text(body, newline="")
     (tmp_path / "odd.md").write_bytes("caf\xe9".encode("latin-1"))
-    (tmp_path / "locked.md").write_text("---\njanitor:\n  locked: true\n---\nmine")
+    (tmp_path / "locked.md").write_text("---\ntidepool:\n  locked: true\n---\nmine")
     (tmp_path / "other.txt").write_text("not a note")
     planned = notes.read_notes(spark, str(tmp_path))
     rows = {r.path: r for r in scan.scan(planned).collect()}
@@ -156,7 +156,7 @@ def test_settings(tmp_path):
 
 
 def test_splice():
-    block = "janitor:\n  bucket: junk"
+    block = "tidepool:\n  bucket: junk"
     assert sinks.spliced(None, block) == block
     assert sinks.spliced("title: a", block) == "title: a\n" + block
-    assert sinks.spliced("a: 1\njanitor:\n  old: x\n\n  more: y\n\nb: 2", block) == "a: 1\n" + block + "\n\nb: 2"
+    assert sinks.spliced("a: 1\ntidepool:\n  old: x\n\n  more: y\n\nb: 2", block) == "a: 1\n" + block + "\n\nb: 2"

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 PATHS = [
     "notes/a.md", "notes/deep notes/b.md", "family/c.md", "Private/d.md", "_Inbox/e.md", "Inbox_/f.md", "inboxes/g.md", ".secrets/h.md",
-    ".obsidian/i.md", "_janitor/quarantine/j.md", "notes/.hidden.md", "top.md", "private-equity/k.md", "a b/c.md", "a/b.md", "a-b.md",
+    ".obsidian/i.md", "_tidepool/quarantine/j.md", "notes/.hidden.md", "top.md", "private-equity/k.md", "a b/c.md", "a/b.md", "a-b.md",
     "My Private Notes/l.md", "personalised/m.md", "notes/private.md", "work/familyroom/n.md",
 ]
 
@@ -53,7 +53,7 @@ def bodies(spark: SparkSession) -> DataFrame:
 
 FILES = [
     ("ok.md", b"---\ntitle: A Title\naliases: [one, ' two ', '']\ncreated: 2025-03-04\n---\nbody\r\nmore"),
-    ("bom.md", "﻿---\nalias: solo\njanitor:\n  locked: true\n---\nbody".encode()),
+    ("bom.md", "﻿---\nalias: solo\ntidepool:\n  locked: true\n---\nbody".encode()),
     ("bad.md", b"---\nkey: [unclosed\n---\nbody stays"),
     ("scalar.md", b"---\njust words\n---\nbody"),
     ("none.md", b"# no header\n---\nnot one\n---\n"),

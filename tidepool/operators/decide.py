@@ -16,7 +16,7 @@ BUCKETS = ("durable_memory", "project_decision", "code_note", "reference", "log_
 NOULS = ("contains_secret", "looks_like_duplicate", "records_a_decision", "is_actionable", "safe_to_leave_in_git")
 REVIEW_FLOOR, SECRET_THRESHOLD, JUNK_PERSIST = 0.55, 0.7, 0.5
 STATE_VERSION = 1
-OWN_KEY = "janitor"
+OWN_KEY = "tidepool"
 #: The keyword judge: first rule that fits wins. Bucket, probability of a secret, words.
 KEYWORDS = (
     ("needs_review", 0.97, ("[key]", "secret", "sk-", "akia")),

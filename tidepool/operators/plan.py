@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidepool.functions import text as T
 
-WORKING_FOLDER = "_janitor"
+WORKING_FOLDER = "_tidepool"
 
 
 def with_order(df: DataFrame, rel: str = "rel") -> DataFrame:
@@ -37,7 +37,7 @@ def status(rel: Column, names: tuple[str, ...] = T.SENSITIVE_NAMES, include_sens
     out = lambda s, r: F.struct(F.lit(s).alias("status"), F.lit(r).alias("rule"), sensitive.alias("sensitive"))
     return (
         F.when(F.exists(parts, lambda p: F.startswith(p, F.lit("."))), out("skip", "hidden"))
-        .when(F.array_contains(folders, WORKING_FOLDER), out("skip", "janitor"))
+        .when(F.array_contains(folders, WORKING_FOLDER), out("skip", "tidepool"))
         .when(sensitive & F.lit(not include_sensitive), out("skip", "sensitive"))
         .otherwise(out("scan", None))
     )

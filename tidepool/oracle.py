@@ -147,9 +147,9 @@ SQL: dict[str, str] = {
     "s17_stamp_changes": "SELECT id, coalesce(abs(o - n) > 0.05, o IS DISTINCT FROM n) AS changed FROM "
     + values([(1, 0.5, 0.54), (2, 0.5, 0.56), (3, None, 0.1), (4, 0.1, None), (5, None, None), (6, 1.0, 1.0)], "id, o, n"),
     "f1_plan_status": f"WITH {NOTES} SELECT rel, status, rule, sensitive FROM planned",
-    "f2_plan_below_a_root": f"""SELECT rel, 'skip' AS status, CASE WHEN rel LIKE '.%' OR rel LIKE '%/.%' THEN 'hidden' WHEN rel LIKE '_janitor/%' THEN 'janitor' ELSE 'sensitive' END AS rule FROM {PATHS}""",
+    "f2_plan_below_a_root": f"""SELECT rel, 'skip' AS status, CASE WHEN rel LIKE '.%' OR rel LIKE '%/.%' THEN 'hidden' WHEN rel LIKE '_tidepool/%' THEN 'tidepool' ELSE 'sensitive' END AS rule FROM {PATHS}""",
     "f5_near_misses": f"""WITH p AS (SELECT rel, replace(rel, '/', chr(1)) AS ord, unnest(string_split(rel, '/')[:-2]) AS segment FROM {PATHS}
-        WHERE NOT (rel LIKE '.%' OR rel LIKE '%/.%' OR rel LIKE '_janitor/%') AND NOT {sensitive('rel')}),
+        WHERE NOT (rel LIKE '.%' OR rel LIKE '%/.%' OR rel LIKE '_tidepool/%') AND NOT {sensitive('rel')}),
       n AS (SELECT * FROM (VALUES (1, 'family'), (2, 'private'), (3, 'personal'), (4, 'secrets'), (5, 'inbox')) AS n(i, name)),
       m AS (SELECT p.*, n.i, n.name FROM p JOIN n ON contains(lower(segment), name) AND NOT contains(' ' || array_to_string(regexp_extract_all(lower(segment), '[a-z0-9]+'), ' ') || ' ', ' ' || name || ' '))
       SELECT segment, arg_min(name, (ord, i)) AS name, arg_min(rel, (ord, i)) AS rel FROM m GROUP BY segment""",
@@ -258,7 +258,7 @@ SQL: dict[str, str] = {
       SELECT path, round((-top[1].v + coalesce(top[2].v, 0))::DOUBLE, 3) AS margin, top[1].k AS first, CASE WHEN len(top) > 1 THEN top[2].k || ' at ' || format('{{:.2f}}', (-top[2].v)::DOUBLE) ELSE 'no contender' END AS runner_up FROM r""",
     "s18_quarantine_moves": f"""WITH h AS (SELECT path, plan_ord, reason FROM {REPORT} WHERE action = 'quarantine'), u AS (SELECT * FROM h UNION ALL SELECT upper(path), plan_ord || '~', reason FROM h),
       n AS (SELECT *, row_number() OVER (PARTITION BY lower(path) ORDER BY plan_ord) AS i FROM u)
-      SELECT path AS from, '_janitor/quarantine/' || CASE WHEN i = 1 THEN path ELSE regexp_replace(path, '(?i)\\.md$', '') || '-' || i || '.md' END AS to, reason FROM n""",
+      SELECT path AS from, '_tidepool/quarantine/' || CASE WHEN i = 1 THEN path ELSE regexp_replace(path, '(?i)\\.md$', '') || '-' || i || '.md' END AS to, reason FROM n""",
     "a12_diagnosis_counts": f"""WITH {JUDGED} SELECT (SELECT count(*) FROM judged) AS n_judged, count(*) FILTER (judge = 'local') AS n_local, count(*) FILTER (kind = 'skip') AS n_skipped, count(*) FILTER (kind = 'error') AS n_errors,
         (SELECT count(*) FROM judged WHERE in_pile) AS n_pile, count(*) FILTER (action = 'quarantine') AS n_quarantined, (SELECT round(count(*) FILTER (in_pile) / count(*) * 100, 6) FROM judged) AS pile_share FROM report""",
     "a13_medians": f"""WITH {JUDGED} SELECT round(median(bucket_margin::DOUBLE) FILTER (in_pile), 6) AS pile_margin, round(median(bucket_margin::DOUBLE) FILTER (NOT in_pile), 6) AS rest_margin,
