@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -68,8 +71,41 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
+#: What one Arrow batch may hold: texts of any length then need little memory outside the heap.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 500, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
+_memos: dict[str, Callable[[], None]] = {}
+
+
+def memo(name: str, clear: Callable[[], None]) -> None:
+    """Register what an operator keeps in a Python worker, and clear what the others do: a worker serves one at a time."""
+    others = [n for n in _memos if n != name]
+    for other in others:
+        _memos.pop(other)()
+    if others:
+        _give_back()
+    _memos[name] = clear
+
+
+def _give_back() -> None:
+    """Return freed memory to the system, where its allocator can be asked to."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
+    if trim:
+        trim(0)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's limits of Arrow batches to BATCH; lower ones stay."""
+    for key, most in BATCH.items():
+        now = spark.conf.get(key)
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
 def arrow_map(df: DataFrame, over: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """mapInArrow with a function from one batch to one batch."""
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

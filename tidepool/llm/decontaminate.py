@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, slices, whole_text
+from .common import arrow_map, memo, slices, whole_text
 
 Q, SEGMENT, STRIDE, EDIT_RATE = 12, 96, 48, 0.05
 #: Of the benchmark, so much text is held against the documents at a time.
@@ -244,13 +244,14 @@ def contaminated(
 
 def _searcher(sent, q: int, segment: int, stride: int, rate: float):
     def search(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        memo("decontaminate", _held.clear)
         name, items = sent.value
         if name not in _held:
             _held.clear()
             _held[name] = build(items, q, segment, stride, rate)
         index = _held[name]
         rows = []
-        for part in slices(batch, "text", 1_000_000):
+        for part in slices(batch, "text", 250_000):
             texts = part.column("text").to_pylist()
             # one pass over many texts: a gap of q odd characters keeps q-grams from crossing
             plain = [normalised(t) for t in texts]

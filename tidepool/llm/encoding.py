@@ -14,6 +14,8 @@ import sys
 import unicodedata
 from collections.abc import Callable
 
+from .common import memo
+
 #: The code points of the Unicode property White_Space.
 WHITE = "\t-\r \x85\xa0  -     　"
 #: One space may stand before a word; of a longer run the last space goes with the word.
@@ -28,7 +30,7 @@ _letters, _numbers = ("".join(re.escape(chr(i)) for i in range(SIMPLE) if unicod
 SIMPLE_WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_letters}]+|[{_numbers}]|[^\t-\r \x85\xa0{_letters}{_numbers}]+")
 NOT_SIMPLE = re.compile(f"[^\x00-{chr(SIMPLE - 1)}]|İ")
 
-MEMO_ENTRIES = 500_000
+MEMO_ENTRIES = 1_000_000
 LONGEST_PIECE = 256
 
 
@@ -116,7 +118,7 @@ class Pieces:
     def id_bytes(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
         special = any(s in text for s in self.special)
-        if self.words and not special and not NOT_SIMPLE.search(text):
+        if self.words and not special and (text.isascii() or not NOT_SIMPLE.search(text)):
             return b"".join(self.ids.values_of(SIMPLE_WORDS.findall(text.lower())))
         if self.split is None or (special and not self.words):
             return packed(self._encode([text])[0])
@@ -137,6 +139,7 @@ _made: dict[str, Pieces] = {}
 
 def pieces_of(file: str) -> Pieces:
     """One per Python worker and file."""
+    memo("encoding", _made.clear)
     if file not in _made:
         import os
 

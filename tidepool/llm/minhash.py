@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, drop_table, materialise, whole_text
+from .common import arrow_map, drop_table, materialise, memo, whole_text
 
 BANDS, ROWS = 40, 6
 SEED = 20_240_607
@@ -43,7 +43,7 @@ class _Words(dict):
     """64-bit hashes of words; emptied when full."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 50_000:
             self.clear()
         h = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
         if len(word) <= 256:
@@ -79,8 +79,8 @@ def band_hashes(shingles: np.ndarray, bands: int, rows: int) -> np.ndarray:
     perms = bands * rows // 2
     a = _multipliers(perms)[:, None]
     low, high = np.full(perms, ~np.uint64(0)), np.zeros(perms, np.uint64)
-    for i in range(0, len(shingles), 4096):
-        v = a * shingles[i : i + 4096]
+    for i in range(0, len(shingles), 1024):
+        v = a * shingles[i : i + 1024]
         np.minimum(low, v.min(axis=1), out=low)
         np.maximum(high, v.max(axis=1), out=high)
     signature = np.concatenate([low, high]).reshape(bands, rows)
@@ -104,6 +104,7 @@ def signatures(df: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
     """doc_id, n_shingles, node (digest of the set; null if it is empty), bands and sketch (arrays of long)."""
 
     def sign(batch: pa.RecordBatch) -> pa.RecordBatch:
+        memo("minhash", _words.clear)
         counts, nodes, found, sketches = [], [], [], []
         for text in batch.column("text"):
             s = shingle_set(text.as_py(), size)
@@ -138,6 +139,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, df: DataFrame, size: int, perc
         return s if hashlib.blake2b(s.tobytes(), digest_size=16).digest() == node else None
 
     def confirm(batch: pa.RecordBatch) -> pa.RecordBatch:
+        memo("minhash", _words.clear)
         keep = []
         columns = (batch.column(c).to_pylist() for c in ("a", "b"))
         for a, b, x, y in zip(*columns, batch.column("text_a"), batch.column("text_b"), strict=True):

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, held_out, whole_text
+from .common import arrow_map, held_out, memo, whole_text
 
 #: Labelled rows per class; both the sample that is fitted and what every executor holds are bounded by it.
 ROWS_PER_CLASS = 1500
@@ -41,7 +41,7 @@ class _Tokens(dict):
     """Word and shape places of tokens; emptied when full."""
 
     def __missing__(self, token: str) -> tuple[int, int]:
-        if len(self) > 300_000:
+        if len(self) > 50_000:
             self.clear()
         head = token[:256]
         word = crc32(re.sub(r"\W+", "", token.lower()).encode("utf-8", "surrogatepass")) % WORDS
@@ -146,9 +146,10 @@ def score(df: DataFrame, model: Model | None) -> DataFrame:
     sent = df.sparkSession.sparkContext.broadcast(model)
 
     def judge(batch: pa.RecordBatch) -> pa.RecordBatch:
+        memo("quality", _tokens.clear)
         found = []
-        for start in range(0, batch.num_rows, 256):
-            texts = batch.column("text").slice(start, 256)
+        for start in range(0, batch.num_rows, 64):
+            texts = batch.column("text").slice(start, 64)
             if sent.value is None:
                 found.append(np.zeros(len(texts)))
             else:
