@@ -85,3 +85,18 @@ def test_disclosing_terms(spark):
         assert spans == [s for s in hits if not any(a < s[1] and s[0] < b for _, a, b in base)]
     clean = {r.doc_id: r.text for r in sanitised(df).collect()}
     assert clean[600].startswith("[TERM]") and "[EMAIL]" in clean[600] and "@" not in clean[600]
+
+
+def marked(df, doc_id):
+    """The texts of the term spans of one row of the query."""
+    text = {r.doc_id: r.text for r in df.collect()}[doc_id]
+    spans = {r.doc_id: r.spans for r in personal_data(df).collect()}[doc_id]
+    return [text[int(a) : int(b)] for kind, a, b in (x.split(":") for x in spans.split(",") if x) if kind == "term"]
+
+
+def test_terms_of_an_entity_in_one_text(spark):
+    docs = [f"common words alpha{'abc'[i % 3]} number {i}" for i in range(400)] + ["common quaxword eve@x.org"] * 5 + ["common pairword one +1 (555) 010-9999", "common pairword two +1 (555) 010-9999"]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    assert marked(df, 400) == ["quaxword"] and marked(df, 404) == ["quaxword"]
+    assert marked(df, 405) == ["pairword", "one"] and marked(df, 0) == []
+    assert "[TERM] [EMAIL]" in {r.doc_id: r.text for r in sanitised(df).collect()}[400]

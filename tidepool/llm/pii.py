@@ -24,14 +24,18 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 TERM = r"\p{L}{3,}+"
-#: A term must be met with an entity in so many different texts.
+#: find() and disclosing_terms() want a term met with an entity in so many different texts.
 SUPPORT = 3
 #: Entities in more than this share of all texts are public.
 PUBLIC = 0.01
 #: Share of the entity's information that a term may give away.
 DISCLOSURE = 0.9
+#: What personal_data() and sanitised() score: every entity, from one text up.
+WHOLE = {"support": 1}
 #: Tables up to so many rows go to every executor; larger ones are shuffled.
 BROADCAST_ROWS = 200_000
+#: Keys of more rows than this are joined by broadcast even then.
+HEAVY = 10_000
 
 
 #: What a text must contain for a kind to be looked for.
@@ -101,39 +105,62 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
 
 
+def _with(df: DataFrame, table: DataFrame, key: str, weight: str) -> DataFrame:
+    """df joined with a materialised table of one row a key; keys of great weight are not shuffled."""
+    if table.count() <= BROADCAST_ROWS:
+        return df.join(F.broadcast(table), key)
+    heavy = F.broadcast(table.filter(F.col(weight) > HEAVY))
+    return df.join(heavy, key).unionByName(df.join(heavy.select(key), key, "left_anti").join(table, key))
+
+
+def _pages(key: Column, rows: Column) -> Column:
+    """Different texts among rows counted by key, which is null for texts that come once."""
+    return F.sum(F.when(key.isNull(), rows).otherwise(1))
+
+
 def disclosing_terms(df: DataFrame, support: int = SUPPORT, public: float = PUBLIC, disclosure: float = DISCLOSURE) -> DataFrame:
     """term, removed: the terms that disclose an entity, from rows of (page, text, base).
 
     page identifies a text, so that copies of one text count once; base holds its spans. removed is
     true if the term always comes with one of its entities. Entities that are public or that come in
-    less than `support` texts disclose nothing.
+    less than `support` texts disclose nothing. Entities of the same texts have the same terms and are
+    scored as one.
     """
     pages = df.groupBy("page").agg(F.count(F.lit(1)).alias("rows"))
     n = pages.count()
     copied = materialise(pages.filter("rows > 1").select("page", F.lit(True).alias("copied")), "pii-copied")
     copied = F.broadcast(copied) if copied.count() <= BROADCAST_ROWS else copied
-    holds = F.transform("base", lambda x: F.concat_ws(":", x["kind"], F.lower(x["value"])))
-    private = df.filter(F.size("base") > 0).select("page", F.explode(F.array_distinct(holds)).alias("entity"), _masked(F.col("text"), F.col("base")).alias("text"))
-    private = private.withColumn("entity", F.xxhash64("entity"))
-    held = private.select("page", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    held = materialise(held.filter((F.col("n_e") >= support) & (F.col("n_e") <= F.lit(public) * n)), "pii-entities")
-    few = held.count() <= BROADCAST_ROWS
-    pairs = private.join(F.broadcast(held) if few else held, "entity")
-    pairs = pairs.select("page", "entity", "n_e", F.explode(_terms(F.col("text"))).alias("term")).distinct()
-    met = pairs.groupBy("term", "entity", "n_e").agg(F.count(F.lit(1)).alias("n_te")).filter(F.col("n_te") >= support)
-    met = materialise(met, "pii-pairs")
-    wanted = materialise(met.select("term").distinct(), "pii-terms")
+    # a text that comes once is counted where it lies; only copies carry their text's digest along
+    df = df.join(copied, "page", "left").withColumn("key", F.when(F.col("copied"), F.col("page")))
+    holds = F.transform("base", lambda x: F.xxhash64(F.concat_ws(":", x["kind"], F.lower(x["value"]))))
+    private = df.filter(F.size("base") > 0).select("page", "key", F.array_distinct(holds).alias("entities"), "text", "base")
+    private = once(private, "terms", _terms(_masked(F.col("text"), F.col("base")))).drop("text", "base")
+    private = materialise(private, "pii-private")
+    held = private.select("page", F.explode("entities").alias("entity")).groupBy("entity", "page").agg(F.count(F.lit(1)).alias("rows"))
+    same = [F.bit_xor(F.xxhash64("page", F.lit(seed))).alias(f"same_{seed}") for seed in (1, 2)]
+    held = held.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"), F.sum("rows").alias("rows"), *same)
+    held = held.filter((F.col("n_e") >= support) & (F.col("n_e") <= F.lit(public) * n))
+    held = held.groupBy("n_e", "rows", "same_1", "same_2").agg(F.min("entity").alias("entity"))
+    held = materialise(held.select("entity", "n_e", "rows"), "pii-entities")
+    pairs = _with(private.select("key", F.explode("entities").alias("entity"), "terms"), held, "entity", "rows")
+    pairs = materialise(pairs.select("key", "entity", "n_e", "terms"), "pii-pairs")
+    pairs = pairs.select("key", "entity", "n_e", F.explode("terms").alias("term"))
+    wanted = materialise(pairs.select("term").distinct(), "pii-terms")
     count = wanted.count()
     if not count:
         return wanted.select("term", F.lit(False).alias("removed"))
-    # a text that comes once is counted where it lies; only copies carry their text's digest along
-    words = df.join(copied, "page", "left").select(F.when(F.col("copied"), F.col("page")).alias("page"), F.explode(_terms(_masked(F.col("text"), F.col("base")))).alias("term"))
-    words = words.join(F.broadcast(wanted) if count <= BROADCAST_ROWS else wanted, "term", "left_semi")
-    once_each = words.groupBy("term", "page").agg(F.count(F.lit(1)).alias("c"))
-    totals = once_each.groupBy("term").agg(F.sum(F.when(F.col("page").isNull(), F.col("c")).otherwise(1)).alias("n_t"))
+    words = df.select("key", F.explode(_terms(_masked(F.col("text"), F.col("base")))).alias("term"))
+    words = words.join(F.broadcast(wanted), "term", "left_semi") if count <= BROADCAST_ROWS else words
+    once_each = words.groupBy("term", "key").agg(F.count(F.lit(1)).alias("c"))
+    totals = materialise(once_each.groupBy("term").agg(_pages(F.col("key"), F.col("c")).alias("n_t")), "pii-totals")
+    # n_te is at most n_e, so that a term of more texts than this gives too little away
+    most = F.pow(F.col("n_e").cast("double"), F.lit(disclosure)) * float(n) ** (1 - disclosure) * (1 + 1e-9)
+    pairs = _with(pairs, totals, "term", "n_t").filter(F.col("n_t") <= most)
+    met = pairs.groupBy("term", "n_t", "entity", "n_e", "key").agg(F.count(F.lit(1)).alias("c"))
+    met = met.groupBy("term", "n_t", "entity", "n_e").agg(_pages(F.col("key"), F.col("c")).alias("n_te")).filter(F.col("n_te") >= support)
     shared = F.log(F.lit(float(n)) * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
     content = F.log(F.lit(float(n)) / F.col("n_e"))
-    strong = met.join(totals, "term").filter(shared >= F.lit(disclosure) * content)
+    strong = met.filter(shared >= F.lit(disclosure) * content)
     return strong.groupBy("term").agg(F.max(F.col("n_te") == F.col("n_t")).alias("removed"))
 
 
@@ -165,7 +192,7 @@ def find(df: DataFrame, support: int = SUPPORT, public: float = PUBLIC, disclosu
 
 def personal_data(df: DataFrame, **options) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans for every row of df."""
-    found = find(df, **options)
+    found = find(df, **{**WHOLE, **options})
     counts = [F.size(F.filter("base", _is(kind))).cast("long").alias(f"n_{kind}") for kind in KINDS]
     return found.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.concat("base", "terms")).alias("spans"))
 
@@ -179,7 +206,7 @@ def sanitised(df: DataFrame, **options) -> DataFrame:
 
     Of overlapping spans the one that starts first stands, the longer of two with one start.
     """
-    found = find(df, **options)
+    found = find(df, **{**WHOLE, **options})
     order = F.array_sort(
         F.concat("base", "terms"),
         lambda a, b: F.when(a["start"] != b["start"], (a["start"] - b["start"]).cast("int")).otherwise((b["end"] - a["end"]).cast("int")),
