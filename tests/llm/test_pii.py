@@ -100,3 +100,11 @@ def test_terms_of_an_entity_in_one_text(spark):
     assert marked(df, 400) == ["quaxword"] and marked(df, 404) == ["quaxword"]
     assert marked(df, 405) == ["pairword", "one"] and marked(df, 0) == []
     assert "[TERM] [EMAIL]" in {r.doc_id: r.text for r in sanitised(df).collect()}[400]
+
+
+def test_terms_of_a_frequent_entity(spark):
+    docs = [f"common words number {i}" for i in range(60)] + [f"common hotword {i} mail desk@home.org" for i in range(30)]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    assert marked(df, 60) == ["hotword", "mail"] and marked(df, 89) == ["hotword", "mail"] and marked(df, 0) == []
+    everywhere = spark.createDataFrame([(i, f"common {i} mail desk@home.org") for i in range(20)], "doc_id long, text string")
+    assert marked(everywhere, 0) == []

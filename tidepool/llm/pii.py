@@ -26,12 +26,12 @@ PATTERNS = {
 TERM = r"\p{L}{3,}+"
 #: find() and disclosing_terms() want a term met with an entity in so many different texts.
 SUPPORT = 3
-#: Entities in more than this share of all texts are public.
+#: To them, entities in more than this share of all texts are public.
 PUBLIC = 0.01
 #: Share of the entity's information that a term may give away.
 DISCLOSURE = 0.9
-#: What personal_data() and sanitised() score: every entity, from one text up.
-WHOLE = {"support": 1}
+#: What personal_data() and sanitised() score: every entity, however rare or frequent.
+WHOLE = {"support": 1, "public": 1.0}
 #: Tables up to so many rows go to every executor; larger ones are shuffled.
 BROADCAST_ROWS = 200_000
 #: Keys of more rows than this are joined by broadcast even then.
@@ -123,7 +123,8 @@ def disclosing_terms(df: DataFrame, support: int = SUPPORT, public: float = PUBL
 
     page identifies a text, so that copies of one text count once; base holds its spans. removed is
     true if the term always comes with one of its entities. Entities that are public or that come in
-    less than `support` texts disclose nothing. Entities of the same texts have the same terms and are
+    less than `support` texts disclose nothing, nor does one of all texts, which has no information
+    to give away. Entities of the same texts have the same terms and are
     scored as one.
     """
     pages = df.groupBy("page").agg(F.count(F.lit(1)).alias("rows"))
@@ -160,7 +161,7 @@ def disclosing_terms(df: DataFrame, support: int = SUPPORT, public: float = PUBL
     met = met.groupBy("term", "n_t", "entity", "n_e").agg(_pages(F.col("key"), F.col("c")).alias("n_te")).filter(F.col("n_te") >= support)
     shared = F.log(F.lit(float(n)) * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
     content = F.log(F.lit(float(n)) / F.col("n_e"))
-    strong = met.filter(shared >= F.lit(disclosure) * content)
+    strong = met.filter((shared >= F.lit(disclosure) * content) & (F.col("n_e") < n))
     return strong.groupBy("term").agg(F.max(F.col("n_te") == F.col("n_t")).alias("removed"))
 
 
