@@ -68,3 +68,10 @@ def test_few_rows(spark):
     assert row.near_next == 1.0 and row.edited_sha256 == hashlib.sha256(b"aba").hexdigest()
     same = edited_likeness(spark.createDataFrame([(3, "abcd"), (3, "abcd"), (3, None)], schema)).collect()
     assert len(same) == 3
+
+
+def test_short_texts_with_half_in_common_share_hashes(spark):
+    r = random.Random(5)
+    docs = ["".join(r.choice("abcdefghij klmnop") for _ in range(n)) for n in range(46, 158)]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    assert [x.doc_id for x in edited_likeness(df).collect() if x.near_edited == 0] == []

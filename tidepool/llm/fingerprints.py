@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from .common import let, whole_text
 
-K, W = 16, 64
+K, W = 8, 16
 #: Windows in a block; a gram's place in its block takes the low bits below its hash.
 BLOCK = 1 << 15
 BITS = 17
