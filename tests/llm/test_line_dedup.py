@@ -3,13 +3,16 @@
 import random
 from collections import Counter, defaultdict
 
+from tidepool.llm import line_dedup
 from tidepool.llm.line_dedup import drop_boilerplate
 
 
-def plain(rows, ratio, least):
-    pages, seen = defaultdict(set), Counter()
+def plain(rows, ratio, least, fold=False):
+    pages, seen = defaultdict(list), Counter()
     for _, host, text in rows:
-        pages[host].add(text or "")
+        pages[host].append(text or "")
+    if fold:
+        pages = {host: set(texts) for host, texts in pages.items()}
     for host, texts in pages.items():
         for t in texts:
             seen.update((host, x) for x in {x.strip(" ") for x in t.split("\n")} - {""})
@@ -24,7 +27,7 @@ def plain(rows, ratio, least):
     return out
 
 
-def test_lines(spark):
+def test_lines(spark, monkeypatch):
     r = random.Random(4)
     rows = []
     for d in range(300):
@@ -34,8 +37,10 @@ def test_lines(spark):
     rows += [(d, "copied", "the same page\nagain") for d in range(400, 430)] + [(d, "copied", "page %d" % d) for d in range(430, 470)]
     rows += [(None, "a", "menu\nx"), (900, "a", None), (901, "one", "menu"), (902, "a", "menu\nx" * 20_000)]
     df = spark.createDataFrame([(*x, 1, "y") for x in rows], "doc_id long, source string, text string, n_dropped int, host string")
-    for ratio, least in [(0.05, 5), (0.3, 2)]:
-        got = drop_boilerplate(df, ratio=ratio, min_pages=least)
+    for ratio, least, fold, most in [(0.05, 5, False, 32 << 20), (0.3, 2, True, 32 << 20), (0.05, 5, True, 0), (0.05, 5, False, 0)]:
+        monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", most)
+        monkeypatch.setattr(line_dedup, "MOST_HOT", 3)
+        got = drop_boilerplate(df, ratio=ratio, min_pages=least, fold_copies=fold)
         assert sorted(got.columns) == sorted(["doc_id", "source", "text", "host", "n_dropped"])
-        assert sorted(((x.doc_id, x.text, x.n_dropped) for x in got.collect()), key=repr) == sorted(plain(rows, ratio, least), key=repr)
+        assert sorted(((x.doc_id, x.text, x.n_dropped) for x in got.collect()), key=repr) == sorted(plain(rows, ratio, least, fold), key=repr)
     assert drop_boilerplate(df.limit(0)).collect() == []

@@ -2,7 +2,8 @@
 
 import random
 
-from tidepool.llm.minhash import near_duplicates
+from tidepool.llm import minhash
+from tidepool.llm.minhash import near_duplicates, without_duplicates
 
 
 def shingles(text, size):
@@ -69,3 +70,21 @@ def test_odd_rows(spark):
     kept = {(r.doc_id, r.kept) for r in near_duplicates(spark.createDataFrame([(None, "a"), (1, None), (2, "a"), (3, "A")], "doc_id long, text string")).collect()}
     assert kept == {(None, True), (1, True), (2, True), (3, False)}
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_rows_stay_one_of_each_group(spark):
+    docs = corpus(7)[:60] + [(None, "one two three four five six"), (None, "one two three four five six"), (4, corpus(7)[0][1])]
+    docs += [(docs[5][0], docs[5][1])] * 2 + [(900, " ".join(f"long{i % 1500}" for i in range(3000))), (901, " ".join(f"long{i % 1500}" for i in range(2900)))]
+    df = spark.createDataFrame([(d, t, i, "x") for i, (d, t) in enumerate(docs)], "doc_id long, text string, _row int, bucket string")
+    ranked = sorted(docs, key=lambda x: (x[0] is None, x[0] or 0))
+    want = [ranked[i] for i, _, c in plain([(i, x[1]) for i, x in enumerate(ranked)], 5, 80) if c == i]
+    got = without_duplicates(df.withColumnRenamed("_row", "n"))
+    assert got.columns == ["doc_id", "text", "n", "bucket"]
+    assert sorted([(r.doc_id, r.text) for r in got.collect()], key=repr) == sorted(want, key=repr)
+
+
+def test_small_places(spark, monkeypatch):
+    """Hubs and buckets dealt over many places give the same."""
+    monkeypatch.setattr(minhash, "PAIRS_IN_PLACE", 2)
+    monkeypatch.setattr(minhash, "HUB_ROUNDS", 1)
+    check(spark, corpus(8), 4, 80)

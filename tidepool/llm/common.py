@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import functools
 import gc
 import sys
 import tempfile
@@ -13,6 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 _own: list[str] = []
 
@@ -86,12 +88,23 @@ def memo(name: str, clear: Callable[[], None]) -> None:
     _memos[name] = clear
 
 
+def _libc(name: str):
+    return getattr(ctypes.CDLL(None), name, None) if sys.platform == "linux" else None
+
+
+@functools.cache
+def _steady_allocator() -> None:
+    """Large blocks go back to the system when they are freed: left alone, the allocator learns to keep them."""
+    if option := _libc("mallopt"):
+        for parameter, value in ((-3, 1 << 20), (-1, 2 << 20), (-8, 2)):  # M_MMAP_THRESHOLD, M_TRIM_THRESHOLD, M_ARENA_MAX
+            option(parameter, value)
+
+
 def _give_back() -> None:
     """Return freed memory to the system, where its allocator can be asked to."""
     gc.collect()
     pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
-    if trim:
+    if trim := _libc("malloc_trim"):
         trim(0)
 
 
@@ -103,14 +116,18 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
-def arrow_map(df: DataFrame, over: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
+def arrow_map(df: DataFrame, over: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType) -> DataFrame:
     """mapInArrow with a function from one batch to one batch."""
     small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows and (out := over(batch)) is not None and out.num_rows:
-                yield out
+        _steady_allocator()
+        try:
+            for batch in batches:
+                if batch.num_rows and (out := over(batch)) is not None and out.num_rows:
+                    yield out
+        finally:  # the worker idles beside the next stages, with what this one freed
+            _give_back()
 
     return df.mapInArrow(run, schema)
 

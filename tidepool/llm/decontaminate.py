@@ -11,7 +11,10 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -24,13 +27,24 @@ Q, SEGMENT, STRIDE, EDIT_RATE = 12, 96, 48, 0.05
 #: Of the benchmark, so much text is held against the documents at a time.
 BLOCK_BYTES = 4 << 20
 SCHEMA = "doc_id long, item_id long, start long, end long, edits long, n_segments long"
-_WORD = re.compile(r"\w+")
+#: Characters that a worker takes at a time, which bounds its arrays.
+PART = 1 << 16
+_WORD, _GAP = re.compile(r"\w+"), re.compile(r"\W")
 _TABLE_BITS = 22
 
 
 def normalised(text: str) -> str:
-    """Words in lower case with single spaces between them."""
-    return " ".join(_WORD.findall(text)).lower()
+    """Words in lower case with single spaces between them; long texts are taken in parts cut between words."""
+    if len(text) <= PART:
+        return " ".join(_WORD.findall(text)).lower()
+    parts, at = [], 0
+    while at < len(text):
+        gap = _GAP.search(text, min(at + PART, len(text)))
+        end = gap.start() if gap else len(text)
+        if words := _WORD.findall(text, at, end):
+            parts.append(" ".join(words))
+        at = end
+    return " ".join(parts).lower()
 
 
 def word_spans(text: str) -> list[tuple[int, int, int]]:
@@ -115,18 +129,28 @@ def build(items: list[tuple[int, str]], q: int, segment: int, stride: int, rate:
     return Index(q, seg_items, texts, edits, bounds, grams, np.append(first, len(flat)), seg, place, table)
 
 
+def marks(index: Index, codes: np.ndarray) -> np.ndarray:
+    """For each q-gram of a text whether the index may have it, by a table of hash bits; in parts."""
+    out = np.zeros(max(0, len(codes) - index.q + 1), bool)
+    for a in range(0, len(out), PART):
+        b = min(a + PART, len(out))
+        out[a:b] = index.table[gram_hashes(codes[a : b + index.q - 1], index.q) >> np.uint64(64 - _TABLE_BITS)]
+    return out
+
+
 def candidates(index: Index, codes: np.ndarray) -> list[tuple[int, int]]:
     """Segments and first diagonals of the bands that share enough q-grams with a text."""
     q = index.q
     if len(codes) < q or not len(index.grams):
         return []
-    h = gram_hashes(codes, q)
-    at = np.flatnonzero(index.table[h >> np.uint64(64 - _TABLE_BITS)])
+    at = np.flatnonzero(marks(index, codes))
     if not len(at):
         return []
-    k = np.searchsorted(index.grams, h[at])
+    # only the places that are marked are hashed again
+    h = gram_hashes(codes[at[:, None] + np.arange(q)].ravel(), q)[::q]
+    k = np.searchsorted(index.grams, h)
     k[k == len(index.grams)] = 0
-    hit = index.grams[k] == h[at]
+    hit = index.grams[k] == h
     at, k = at[hit], k[hit]
     if not len(at):
         return []
@@ -208,6 +232,16 @@ def verified(index: Index, text: str, codes: np.ndarray) -> list[tuple[int, int,
 _held: dict[str, Index] = {}
 
 
+def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
+    """The benchmark's items (id, text) in blocks of about block_bytes, dealt by a hash of both."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text")).filter("text IS NOT NULL")
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    blocks = max(1, -(-size // block_bytes))
+    for b in range(blocks):
+        part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
+        yield [(r["item_id"], r["text"]) for r in part]
+
+
 def contaminated(
     df: DataFrame,
     benchmark: DataFrame,
@@ -220,67 +254,105 @@ def contaminated(
     """doc_id, item_id, start, end, edits, n_segments: which documents hold which items, and where.
 
     A document holds an item if a region of it lies within rate * length edits of one of the item's
-    segments, in words of lower case with single spaces between. start and end are code points of the
+    segments, in words of lower case with single spaces between; a segment too short for the q-gram
+    bound to hold with so many edits (under 24 characters with the defaults) must be there verbatim.
+    start and end are code points of the
     text, from the first to the last segment found; edits are those of the best one. Null and empty
     texts and items hold nothing; items under q characters are too short to tell. A null id stays
     null; repeated rows give repeated results. Only doc_id, item_id and the two texts are read.
 
-    The benchmark meets all documents in blocks of at most block_bytes of text (or of one item), which
+    The benchmark meets all documents in blocks of about block_bytes of text (or of one item), which
     is what every executor holds at a time.
     """
-    spark = df.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text")).filter("text IS NOT NULL")
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-size // block_bytes))
     slim = df.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
     out = None
-    for b in range(blocks):
-        part = items.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).collect()
-        sent = spark.sparkContext.broadcast((uuid.uuid4().hex, [(r["item_id"], r["text"]) for r in part]))
-        found = arrow_map(slim, _searcher(sent, q, segment, stride, rate), SCHEMA)
+    for items in _blocks(benchmark, block_bytes):
+        found = arrow_map(slim, _searcher(_sent(df, items), q, segment, stride, rate), SCHEMA)
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def _searcher(sent, q: int, segment: int, stride: int, rate: float):
-    def search(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+def decontaminate(
+    df: DataFrame,
+    benchmark: DataFrame,
+    q: int = Q,
+    segment: int = SEGMENT,
+    stride: int = STRIDE,
+    rate: float = EDIT_RATE,
+    block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
+    """The rows of df that hold no item of the benchmark, with all columns, in one pass and without a join.
+
+    Each row is judged by its own text as contaminated() does, whatever its id: null and repeated ids
+    change nothing. Rows that a block of the benchmark rejects are not held against the next ones.
+    """
+    for items in _blocks(benchmark, block_bytes):
+        hits = _hits_of(_sent(df, items), q, segment, stride, rate)
+
+        def clean(batch: pa.RecordBatch, hits=hits) -> pa.RecordBatch:
+            bad = {i for i, _, _ in hits(batch.column("text"))}
+            return batch.filter(pa.array([i not in bad for i in range(batch.num_rows)], pa.bool_()))
+
+        df = arrow_map(df, clean, df.schema)
+    return df
+
+
+def _sent(df: DataFrame, items: list[tuple[int, str]]):
+    return df.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, items))
+
+
+def _parts(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """The first place and the texts of slices with about PART bytes, one text at least."""
+    batch = pa.RecordBatch.from_arrays([texts], ["text"])
+    at = 0
+    for part in slices(batch, "text", PART):
+        yield at, [t or "" for t in part.column("text").to_pylist()]
+        at += part.num_rows
+
+
+def _hits_of(sent, q: int, segment: int, stride: int, rate: float) -> Callable[[pa.Array], Iterator[tuple[int, str, tuple]]]:
+    """A function from texts to (place, normalised text, hit) of those that hold an item, a hit as verified() gives it."""
+
+    def search(texts: pa.Array) -> Iterator[tuple[int, str, tuple]]:
         memo("decontaminate", _held.clear)
         name, items = sent.value
         if name not in _held:
             _held.clear()
             _held[name] = build(items, q, segment, stride, rate)
         index = _held[name]
-        rows = []
-        for part in slices(batch, "text", 250_000):
-            texts = part.column("text").to_pylist()
+        least = min(index.bounds, default=1)
+        for first, part in _parts(texts):
             # one pass over many texts: a gap of q odd characters keeps q-grams from crossing
-            plain = [normalised(t) for t in texts]
-            gap = "\x00" * q
-            joined = _codes(gap.join(plain))
-            h = gram_hashes(joined, q)
-            marks = np.concatenate([[0], np.cumsum(index.table[h >> np.uint64(64 - _TABLE_BITS)])])
-            at, least = 0, min(index.bounds, default=1)
-            for doc, text, p in zip(part.column("doc_id").to_pylist(), texts, plain, strict=True):
+            plain = [normalised(t) for t in part]
+            joined = _codes(("\x00" * q).join(plain))
+            marked = np.flatnonzero(marks(index, joined))
+            at = 0
+            for i, p in enumerate(plain, first):
                 end = at + len(p)
-                if marks[min(end, len(h))] - marks[min(at, len(h))] >= least:
-                    hits = verified(index, p, joined[at:end])
-                    if hits:
-                        spans = word_spans(text)
-                        places = np.array([s[0] for s in spans])
-                        for item, start, stop, edits, n in hits:
-                            i = max(0, int(np.searchsorted(places, start, "right")) - 1)
-                            j = max(i, int(np.searchsorted(places, stop, "left")) - 1)
-                            rows.append((doc, item, spans[i][1], spans[j][2], edits, n))
+                a, b = np.searchsorted(marked, (at, end))
+                if b - a >= least:
+                    for hit in verified(index, p, joined[at:end]):
+                        yield i, p, hit
                 at = end + q
+
+    return search
+
+
+def _searcher(sent, q: int, segment: int, stride: int, rate: float) -> Callable[[pa.RecordBatch], pa.RecordBatch | None]:
+    hits = _hits_of(sent, q, segment, stride, rate)
+
+    def search(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        docs, texts, rows = batch.column("doc_id"), batch.column("text"), []
+        for i, group in groupby(hits(texts), key=itemgetter(0)):
+            spans = word_spans(texts[i].as_py())
+            places = np.array([s[0] for s in spans])
+            for _, _, (item, start, stop, edits, n) in group:
+                a = max(0, int(np.searchsorted(places, start, "right")) - 1)
+                b = max(a, int(np.searchsorted(places, stop, "left")) - 1)
+                rows.append((docs[i].as_py(), item, spans[a][1], spans[b][2], edits, n))
         if not rows:
             return None
         names = ["doc_id", "item_id", "start", "end", "edits", "n_segments"]
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names)
 
     return search
-
-
-def decontaminate(df: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """Rows of df that hold no item of the benchmark; rows with a null doc_id are judged by their own text."""
-    ids = contaminated(df, benchmark, **options).select("doc_id").distinct()
-    return df.join(ids, df["doc_id"].eqNullSafe(ids["doc_id"]), "left_anti")

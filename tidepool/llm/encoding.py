@@ -30,7 +30,8 @@ _letters, _numbers = ("".join(re.escape(chr(i)) for i in range(SIMPLE) if unicod
 SIMPLE_WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_letters}]+|[{_numbers}]|[^\t-\r \x85\xa0{_letters}{_numbers}]+")
 NOT_SIMPLE = re.compile(f"[^\x00-{chr(SIMPLE - 1)}]|İ")
 
-MEMO_ENTRIES = 1_000_000
+#: About 200 bytes each.
+MEMO_ENTRIES = 400_000
 LONGEST_PIECE = 256
 
 

@@ -27,8 +27,12 @@ SEED = 20_240_607
 HUB_ROUNDS = 2
 #: 64-bit words of the parity sketch.
 SKETCH = 16
+#: Pairs of one hub, and classes of one bucket, that are compared in one place.
+PAIRS_IN_PLACE = 1000
 #: Ids up to this size go to every executor; more are shuffled.
 BROADCAST_ROWS = 500_000
+#: A class of more than one in so many rows is joined by broadcast; there are no more such classes than that.
+MOST_HOT = 500
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -101,7 +105,7 @@ def parity_sketch(shingles: np.ndarray) -> np.ndarray:
 
 
 def signatures(df: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, node (digest of the set; null if it is empty), bands and sketch (arrays of long)."""
+    """key, n_shingles, node (digest of the set; null if it is empty), bands and sketch (arrays of long) of df (key, text)."""
 
     def sign(batch: pa.RecordBatch) -> pa.RecordBatch:
         memo("minhash", _words.clear)
@@ -114,24 +118,34 @@ def signatures(df: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
             sketches.append(parity_sketch(s) if len(s) else None)
         lists = [pa.array(x, pa.list_(pa.int64())) for x in (found, sketches)]
         return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(nodes, pa.binary()), *lists], ["doc_id", "n_shingles", "node", "bands", "sketch"]
+            [batch.column("key"), pa.array(counts, pa.int64()), pa.array(nodes, pa.binary()), *lists], ["key", "n_shingles", "node", "bands", "sketch"]
         )
 
-    slim = df.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    return arrow_map(slim, sign, "doc_id long, n_shingles long, node binary, bands array<long>, sketch array<long>")
+    key = df.schema["key"].dataType.simpleString()
+    return arrow_map(df, sign, f"key {key}, n_shingles long, node binary, bands array<long>, sketch array<long>")
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, df: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those of pairs (a, b) whose full sets reach the similarity. nodes: node, rep (a doc_id that has it)."""
+def _verified(pairs: DataFrame, nodes: DataFrame, df: DataFrame, size: int, percent: int, made: list[DataFrame]) -> DataFrame:
+    """Those of pairs (a, b) whose full sets reach the similarity. nodes: node, rep (a key that has it); df: key, text.
+
+    A hub's text goes to as many places as its pairs need, so that no hub fills a task.
+    """
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("node", "rep")
     wanted = materialise(wanted, "near-wanted")
     few = wanted.count() <= BROADCAST_ROWS
-    slim = df.select(F.col("doc_id").cast("long").alias("rep"), whole_text().alias("text"))
-    texts = slim.join(F.broadcast(wanted) if few else wanted, "rep").select("node", "text")
-    # an id may stand for several texts: the others fail the comparison of digests below
+    texts = df.withColumnRenamed("key", "rep").join(F.broadcast(wanted) if few else wanted, "rep").select("node", "text")
+    # a key may stand for several texts: the others fail the comparison of digests below
     one = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-    two = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.select("a", "b").join(one, "a").join(two, "b")
+    shares = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / PAIRS_IN_PLACE).cast("int").alias("shares")).filter("shares > 1")
+    shares = materialise(shares, "near-shares")
+    made += [wanted, shares]
+    # every share is more than PAIRS_IN_PLACE pairs, and so many rows are broadcast at most
+    shares = F.broadcast(shares) if shares.count() <= BROADCAST_ROWS else shares
+    share = F.pmod(F.xxhash64("a"), F.coalesce("shares", F.lit(1)))
+    dealt = pairs.select("a", "b").join(shares, "b", "left").select("a", "b", share.alias("share"))
+    two = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")).join(shares, "b", "left")
+    two = two.select("b", "text_b", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("shares", F.lit(1)).cast("long") - 1)).alias("share"))
+    both = dealt.join(one, "a").join(two, ["b", "share"]).select("a", "b", "text_a", "text_b")
     last: dict[bytes, np.ndarray | None] = {}
 
     def set_of(node: bytes, text: str) -> np.ndarray | None:
@@ -162,6 +176,8 @@ def _verified(pairs: DataFrame, nodes: DataFrame, df: DataFrame, size: int, perc
 def contract(labels: DataFrame | None, edges: DataFrame) -> DataFrame | None:
     """Labels (node, comp) after joining what edges (a, b) connect; nodes without a label are their own.
 
+    The labels given are deleted.
+
     Every end takes the least of itself and its neighbours, and the edges move to the new labels,
     until none is left; labels are digests, so that takes about the logarithm of a component's size.
     """
@@ -172,7 +188,8 @@ def contract(labels: DataFrame | None, edges: DataFrame) -> DataFrame | None:
     else:
         ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         fresh = ends.join(labels, "node", "left_anti").select("node", F.col("node").alias("comp"))
-        labels = materialise(labels.unionByName(fresh), "near-labels")
+        given, labels = labels, materialise(labels.unionByName(fresh), "near-labels")
+        drop_table(given)
         x, y = (labels.select(F.col("node").alias(n), F.col("comp").alias(f"{n}_comp")) for n in ("a", "b"))
         moved = edges.join(x, "a").join(y, "b").select(F.col("a_comp").alias("a"), F.col("b_comp").alias("b"))
     current = materialise(moved.filter(F.col("a") != F.col("b")).distinct(), "near-edges")
@@ -191,78 +208,126 @@ def contract(labels: DataFrame | None, edges: DataFrame) -> DataFrame | None:
     return labels
 
 
-def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of df.
+def _similar(n: Column, sketch: Column, n_b: Column, sketch_b: Column, percent: int) -> Column:
+    """False only if the sets can't be similar enough, by their sizes or by what their sketches differ in."""
+    apart = sum((F.bit_count(F.get(sketch, F.lit(i)).bitwiseXOR(F.get(sketch_b, F.lit(i)))) for i in range(SKETCH)), F.lit(0))
+    return (F.least(n, n_b) * 100 >= F.greatest(n, n_b) * percent) & (apart * (100 + percent) <= (n + n_b) * (100 - percent))
 
-    Two documents are linked if 100 * shared >= percent * united for their sets of shingles of `size`
-    words. component_id is the smallest doc_id reachable by links. Null, empty and blank texts have
-    no shingles and are linked with nothing; nor is a row with a null doc_id, which has a null
-    component_id and is kept. Rows that share a doc_id are one document. Only doc_id and text are
-    read; a table of no rows gives no rows.
 
-    Chance of missing a pair right at 80 %: (1 - 0.8 ** rows) ** bands, 5e-6 with the defaults.
+def _with_hub(left: DataFrame, turn: int, percent: int) -> DataFrame:
+    """a, b, hub: the classes of every bucket with one of them, another one each turn."""
+    hub = left.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), "node", "n", "comp", "sketch")).alias("hub"))
+    fits = _similar(F.col("n"), F.col("sketch"), F.col("hub.n"), F.col("hub.sketch"), percent)
+    return left.join(hub, "bucket").filter((F.col("comp") != F.col("hub.comp")) & fits).select(F.col("node").alias("a"), F.col("hub.node").alias("b"))
+
+
+def _still_apart(left: DataFrame, percent: int) -> DataFrame:
+    """a, b: what is still apart within a bucket and may be similar, by blocks of a bucket against blocks.
+
+    The join gives only pairs that may be similar; blocks spread a large bucket over many tasks.
     """
+    sizes = left.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / PAIRS_IN_PLACE).cast("int").alias("blocks"))
+    dealt = left.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    every = dealt.select("bucket", "node", "n", "sketch", "comp", F.col("block").alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    other = dealt.select("bucket", "block", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b"), F.col("sketch").alias("sketch_b"))
+    fits = _similar(F.col("n"), F.col("sketch"), F.col("n_b"), F.col("sketch_b"), percent)
+    same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("bucket", "block")]
+    met = every.alias("x").join(other.alias("y"), same[0] & same[1] & (F.col("node") < F.col("b")) & (F.col("comp") != F.col("comp_b")) & fits)
+    return met.select(F.col("node").alias("a"), "b")
+
+
+def _components(df: DataFrame, size: int, percent: int, bands: int, rows: int) -> DataFrame:
+    """key, n_shingles, component (the least key reachable; null if the key is) for every row of df (key, text)."""
+    made: list[DataFrame] = []
+
+    def table(rows_of: DataFrame, name: str) -> DataFrame:
+        made.append(materialise(rows_of, name))
+        return made[-1]
+
     signed = materialise(signatures(df, size, bands, rows), "near-signed")
-    classes = materialise(
-        signed.filter("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")),
-        "near-classes",
-    )
+    usable = signed.filter("node IS NOT NULL AND key IS NOT NULL")
+    first = [F.first(c).alias(c) for c in ("bands", "sketch")]
+    classes = table(usable.groupBy("node").agg(F.min("key").alias("rep"), F.first("n_shingles").alias("n"), F.count(F.lit(1)).alias("copies"), *first), "near-classes")
     places = classes.select("node", "n", F.explode("bands").alias("bucket"))
     shared = places.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("bucket")
-    members = materialise(places.join(shared, "bucket").join(classes.select("node", "sketch"), "node"), "near-members")
+    members = table(places.join(shared, "bucket").join(classes.select("node", "sketch"), "node"), "near-members")
     nodes = classes.select("node", "rep")
 
-    def similar(n: Column, sketch: Column, n_b: Column, sketch_b: Column) -> Column:
-        """False only if the sets can't be similar enough, by their sizes or by what their sketches differ in."""
-        apart = sum((F.bit_count(F.get(sketch, F.lit(i)).bitwiseXOR(F.get(sketch_b, F.lit(i)))) for i in range(SKETCH)), F.lit(0))
-        return (F.least(n, n_b) * 100 >= F.greatest(n, n_b) * percent) & (apart * (100 + percent) <= (n + n_b) * (100 - percent))
-
     labels: DataFrame | None = None
     tested: DataFrame | None = None
     left = members.withColumn("comp", F.col("node"))
     for turn in range(HUB_ROUNDS + 1):
-        if turn < HUB_ROUNDS:
-            hub = left.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), "node", "n", "comp", "sketch")).alias("hub"))
-            met = left.join(hub, "bucket").filter((F.col("comp") != F.col("hub.comp")) & similar(F.col("n"), F.col("sketch"), F.col("hub.n"), F.col("hub.sketch")))
-            pairs = met.select(F.col("node").alias("a"), F.col("hub.node").alias("b"))
-        else:
-            other = left.select("bucket", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b"), F.col("sketch").alias("sketch_b"))
-            met = left.join(other, "bucket").filter(
-                (F.col("node") < F.col("b")) & (F.col("comp") != F.col("comp_b")) & similar(F.col("n"), F.col("sketch"), F.col("n_b"), F.col("sketch_b"))
-            )
-            pairs = met.select(F.col("node").alias("a"), "b")
+        pairs = _with_hub(left, turn, percent) if turn < HUB_ROUNDS else _still_apart(left, percent)
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("b").alias("hub")).dropDuplicates(["a", "b"])
         pairs = pairs.select(F.when(F.col("hub") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("a"), F.col("hub").alias("b"))
         if tested is not None:
             either = tested.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
             pairs = pairs.join(either, ["a", "b"], "left_anti")
-        pairs = materialise(pairs, "near-pairs")
+        pairs = table(pairs, "near-pairs")
         if pairs.isEmpty():
             if turn < HUB_ROUNDS:
                 continue
             break
-        edges = materialise(_verified(pairs, nodes, df, size, percent), "near-links")
+        edges = table(_verified(pairs, nodes, df, size, percent, made), "near-links")
         tested = pairs if tested is None else tested.unionByName(pairs)
         labels = contract(labels, edges)
         now = members.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         apart = now.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x != y").select("bucket")
-        left = materialise(now.join(apart, "bucket"), "near-left")
+        left = table(now.join(apart, "bucket"), "near-left")
         if left.isEmpty():
             break
 
-    # rows of one id with several texts connect their classes
-    by_id = signed.filter("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b"))
-    crossing = signed.filter("node IS NOT NULL AND doc_id IS NOT NULL").join(by_id.filter("a != b"), "doc_id").filter("node != a").select("a", F.col("node").alias("b")).distinct()
-    crossing = materialise(crossing, "near-crossing")
+    # rows of one key with several texts connect their classes
+    by_key = usable.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a != b")
+    crossing = table(usable.join(by_key, "key").filter("node != a").select("a", F.col("node").alias("b")).distinct(), "near-crossing")
     if not crossing.isEmpty():
         labels = contract(labels, crossing)
     if labels is None:
-        named = nodes.withColumnRenamed("rep", "component_id")
+        named = classes.select("node", F.col("rep").alias("component"), "copies")
     else:
         joined = nodes.join(labels, "node")
-        least = joined.groupBy("comp").agg(F.min("rep").alias("component_id"))
-        linked = joined.join(least, "comp").select("node", "component_id")
-        named = nodes.join(linked, "node", "left").select("node", F.coalesce("component_id", "rep").alias("component_id"))
-    out = signed.select("doc_id", "n_shingles", "node").join(named, "node", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+        linked = joined.join(joined.groupBy("comp").agg(F.min("rep").alias("component")), "comp").select("node", "component")
+        named = classes.join(linked, "node", "left").select("node", F.coalesce("component", "rep").alias("component"), "copies")
+    # only rows whose class has copies or links can belong to another key
+    named = materialise(named.join(classes.select("node", "rep"), "node").filter("copies > 1 OR component != rep").select("node", "component", "copies"), "near-named")
+    hot = F.broadcast(named.filter(F.col("copies") * MOST_HOT > usable.count()).drop("copies"))  # at most MOST_HOT classes
+    slim = signed.select("key", "n_shingles", "node")
+    often = slim.join(hot, "node")
+    rest = slim.join(hot.select("node"), "node", "left_anti").join(named.drop("copies"), "node", "left")
+    out = often.unionByName(rest.select(often.columns))
+    component = F.when(F.col("key").isNotNull(), F.coalesce("component", "key")).alias("component")
+    out = materialise(out.select("key", "n_shingles", component), "near-components")
+    for old in [*made, signed, named, *([labels] if labels is not None else [])]:
+        drop_table(old)
+    return out
+
+
+def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of df.
+
+    Two documents are linked if 100 * shared >= percent * united for their sets of shingles of `size`
+    words. component_id is the smallest doc_id reachable by links. Null, empty and blank texts have
+    no shingles and are linked with nothing; nor is a row with a null doc_id, which has a null
+    component_id and is kept. Rows that share a doc_id are one document. Only doc_id and text are
+    read; a table of no rows gives no rows.
+
+    Chance of missing a pair right at 80 %: (1 - 0.8 ** rows) ** bands, 5e-6 with the defaults.
+    """
+    slim = df.select(F.col("doc_id").cast("long").alias("key"), whole_text().alias("text"))
+    found = _components(slim, size, percent, bands, rows)
+    return found.select(F.col("key").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), F.col("component").eqNullSafe(F.col("key")).alias("kept"))
+
+
+def without_duplicates(df: DataFrame, size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """The rows of df less all but one of each group of near duplicates, with all columns.
+
+    Every row is a document of its own, rows without an id and rows that repeat an id too: of a group
+    the row with the smallest doc_id stays, null ids last, and of equal ids any one. Rows without
+    shingles are in no group and stay.
+    """
+    number = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.monotonically_increasing_id().alias("row"))
+    keyed = materialise(df.withColumn("_key", number), "near-keyed")  # a row keeps its number from here on
+    found = _components(keyed.select(F.col("_key").alias("key"), whole_text().alias("text")), size, percent, bands, rows)
+    gone = materialise(found.filter("component != key").select(F.col("key.row").alias("_row")), "near-gone")
+    few = gone.count() <= BROADCAST_ROWS
+    return keyed.withColumn("_row", F.col("_key.row")).join(F.broadcast(gone) if few else gone, "_row", "left_anti").select(df.columns)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass
 from operator import eq
 from zlib import crc32
@@ -43,9 +44,8 @@ class _Tokens(dict):
     def __missing__(self, token: str) -> tuple[int, int]:
         if len(self) > 50_000:
             self.clear()
-        head = token[:256]
         word = crc32(re.sub(r"\W+", "", token.lower()).encode("utf-8", "surrogatepass")) % WORDS
-        shape = WORDS + crc32(shape_of(head).encode("utf-8", "surrogatepass")) % SHAPES
+        shape = WORDS + crc32(shape_of(token).encode("utf-8", "surrogatepass")) % SHAPES
         if len(token) <= 64:
             self[token] = word, shape
         return word, shape
@@ -111,7 +111,9 @@ def fit(df: DataFrame, labels: DataFrame, label: str = "quality", rows: int = RO
         ids.setdefault(r["doc_id"], []).append(r["label"])
     if not ids:
         return None
-    small = df.sparkSession.createDataFrame([(i, c) for i, found in ids.items() for c in found], "doc_id long, label int")
+    pairs = [(i, c) for i, found in ids.items() for c in found]
+    columns = [pa.array(x, kind) for x, kind in zip(zip(*pairs, strict=True), (pa.int64(), pa.int32()), strict=True)]
+    small = df.sparkSession.createDataFrame(pa.table(columns, ["doc_id", "label"]))  # by Arrow: no Python worker reads it back
     slim = df.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).join(F.broadcast(small), "doc_id")
 
     def extract(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -143,22 +145,38 @@ def score(df: DataFrame, model: Model | None) -> DataFrame:
     Only doc_id and text are read. Repeated rows are scored alike; a null id stays null.
     """
     slim = df.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    sent = df.sparkSession.sparkContext.broadcast(model)
+    of = _scorer(df, model)
 
     def judge(batch: pa.RecordBatch) -> pa.RecordBatch:
-        memo("quality", _tokens.clear)
-        found = []
-        for start in range(0, batch.num_rows, 64):
-            texts = batch.column("text").slice(start, 64)
-            if sent.value is None:
-                found.append(np.zeros(len(texts)))
-            else:
-                found.append(sent.value.scores(np.stack([features(t.as_py()) for t in texts])))
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.concatenate(found), pa.float64())], ["doc_id", "score"])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(of(batch.column("text")), pa.float64())], ["doc_id", "score"])
 
     return arrow_map(slim, judge, "doc_id long, score double")
 
 
+def _scorer(df: DataFrame, model: Model | None) -> Callable[[pa.Array], np.ndarray]:
+    """A function from texts to their scores, for the executors."""
+    sent = df.sparkSession.sparkContext.broadcast(model)
+
+    def of(texts: pa.Array) -> np.ndarray:
+        memo("quality", _tokens.clear)
+        if sent.value is None:
+            return np.zeros(len(texts))
+        blocks = (texts.slice(start, 64) for start in range(0, len(texts), 64))
+        return np.concatenate([sent.value.scores(np.stack([features(t.as_py() or "") for t in block])) for block in blocks])
+
+    return of
+
+
+def good(df: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of df that score at least the threshold, with all columns, in one pass and without a join.
+
+    Each row is judged by its own text, whatever its id: null and repeated ids change nothing. A null
+    text counts as empty and scores 0.
+    """
+    of = _scorer(df, fit(df, labels))
+    return arrow_map(df, lambda batch: batch.filter(pa.array(of(batch.column("text")) >= threshold)), df.schema)
+
+
 def quality(df: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted: learned from labelled rows that are not held out."""
     out = score(df, fit(df, labels))

@@ -55,11 +55,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LINE_DEDUP_SQL = f"""
 WITH pages AS (
-  SELECT DISTINCT source, coalesce(text, '') AS text FROM documents
+  SELECT row_number() OVER () AS page, source, coalesce(text, '') AS text FROM documents
 ), totals AS (
   SELECT source, count(*) AS n_host FROM pages GROUP BY source
 ), lines AS (
-  SELECT DISTINCT source, text, trim(unnest(string_split(text, chr(10))), ' ') AS line FROM pages
+  SELECT DISTINCT source, page, trim(unnest(string_split(text, chr(10))), ' ') AS line FROM pages
 ), counts AS (
   SELECT source, line, count(*) AS n_pages FROM lines WHERE line <> '' GROUP BY source, line
 ), boilerplate AS (
