@@ -15,44 +15,35 @@ from tidepool.llm import decontaminate, line_dedup, minhash, packing, quality
 from tidepool.llm.common import materialise
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Ids up to this number go to every executor; more are shuffled.
-BROADCAST_ROWS = 1_000_000
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs less those whose id is in ids (doc_id); rows without an id stay."""
-    ids = materialise(ids.filter("doc_id IS NOT NULL").select("doc_id").distinct(), "pipeline-ids")
-    small = ids.count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_anti").select(COLUMNS)
-
-
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score reaches the threshold; labels of held-out ids teach nothing."""
-    judged = quality.quality(docs, _table(spark, sf_dir, "labels"))
-    return _without(docs, judged.filter("predicted = 0"))
+    """Documents whose own text reaches the threshold; labels of held-out ids teach nothing."""
+    return quality.good(docs.select(COLUMNS), _table(spark, sf_dir, "labels"))
 
 
 def boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the boilerplate lines of their source; n_chars follows the text."""
-    cleaned = line_dedup.drop_boilerplate(docs, host="source")
+    """Texts without the boilerplate lines of their source; n_chars follows the text.
+
+    Copies of a page count as one here: they are the next stage's, which keeps one of them whole.
+    """
+    cleaned = line_dedup.drop_boilerplate(docs, host="source", fold_copies=True)
     n = F.when(F.col("n_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
     return cleaned.withColumn("n_chars", n).select(COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id."""
-    found = minhash.near_duplicates(docs)
-    return _without(docs, found.filter("NOT kept"))
+    """Of each group of near duplicates one document, that with the smallest id."""
+    return minhash.without_duplicates(docs.select(COLUMNS))
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no passage of the benchmark."""
-    found = decontaminate.contaminated(docs, _table(spark, sf_dir, "benchmark"))
-    return _without(docs, found)
+    """Documents whose own text holds no passage of the benchmark."""
+    return decontaminate.decontaminate(docs.select(COLUMNS), _table(spark, sf_dir, "benchmark"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
