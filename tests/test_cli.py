@@ -24,6 +24,7 @@ def test_notes(spark, tmp_path, capsys):
     assert {r["path"] for r in rows} == {r for r, _ in X.VAULT}
     top = {r.folder: r for r in spark.read.json(f"{tmp_path}/map").collect()}
     assert top["./"].notes == len(X.VAULT) and top["notes/"].notes == 11
+    assert top["./"].judged == len(X.VAULT) - 2 and top["keys/"].local == 1 and top["./"].skipped == 2
     assert "keys/k.md" in "".join(r.value for r in spark.read.text(f"{tmp_path}/pile").collect())
 
 
@@ -32,7 +33,11 @@ def test_journal_resume_and_refusal(spark, tmp_path):
     rows, end = scan_vault(spark, root, journal=journal)
     assert end["reason"] == "done" and rows.count() == len(X.VAULT)
     again, _ = scan_vault(spark, root, journal=journal, resume=end["run_id"])
-    assert {r[0] for r in again.filter("kind = 'vote'").select("judge").distinct().collect()} == {"local"}
+    rows, again = ({r.path: r for r in df.collect()} for df in (rows, again))
+    assert set(again) == set(rows) and {r.cached for r in again.values() if r.judge == "judged"} == {True}
+    for path, was in rows.items():
+        now = again[path]
+        assert (now.kind, now.judge, now.bucket, now.action, now.exact_duplicate_of, now.redacted) == (was.kind, was.judge, was.bucket, was.action, was.exact_duplicate_of, was.redacted)
     assert main(["notes", "/srv/private/vault"]) == 1
 
 

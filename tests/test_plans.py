@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from tidepool import fixtures as X
 from tidepool.functions import text as T
+from tidepool.operators import bill as B
+from tidepool.operators import exclude as EX
 from tidepool.operators import index as I
 from tidepool.operators import journal as J
 from tidepool.operators import plan as P
 from tidepool.plans import records as RP
 from tidepool.plans import runner, scan
-from tidepool.sources import notes, records, settings, sinks
+from tidepool.sources import lines, notes, records, settings, sinks
 from tidepool.streaming import incremental
 
 
@@ -38,6 +40,7 @@ def test_headers(spark):
     got = {r.rel: r for r in notes.parsed(X.files(spark)).collect()}
     assert got["ok.md"].header_title == "A Title" and got["ok.md"].body == "body\nmore"
     assert got["bom.md"].locked and got["bom.md"].aliases == ["solo"]
+    assert notes.header_fields("aliases: [2024, ' x ', true]")[1] == ["2024", " x ", "True"]
     assert got["bad.md"].header_error.startswith("YAML: ") and "unclosed" not in got["bad.md"].header_error and got["bad.md"].body == "body stays"
     assert got["scalar.md"].header_error == "frontmatter is a str, not a mapping"
     assert got["none.md"].body.startswith("# no header") and got["latin.md"].undecodable and got["end.md"].body == ""
@@ -123,6 +126,65 @@ def test_bad_records_are_refused(spark, line):
         records.checked(df)
 
 
+def test_line_numbers_in_pieces(spark, tmp_path):
+    path = tmp_path / "many.jsonl"
+    path.write_text("".join('{"id": "%d", "sent": {"a": "%s"}}\n' % (i, "x" * (i % 90)) for i in range(1, 4001)) + "nonsense\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+    try:
+        with pytest.raises(records.BadRecords, match="line 4001:"):
+            records.read_records(spark, f"file://{path}")
+        got = lines.numbered(spark, f"file://{tmp_path}").filter("line < 4001")
+        assert got.rdd.getNumPartitions() > 1 and got.filter("value NOT LIKE concat('%\"', line, '\"%')").count() == 0
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    same = records.in_memory(spark, [{"id": "a", "sent": {"t": "x"}}])
+    assert [r.id for r in same.collect()] == ["a"]
+
+
+def test_records_of_a_judge(spark):
+    """A judge sees each state once and no held record; a failed twin fails with its first."""
+    seen = []
+
+    def judge(df):
+        seen.extend(r.id for r in df.collect())
+        return df.withColumn("vote", F.lit(None).cast(RP.VOTE))
+
+    rows = {r.id: r for r in RP.judged(X.record_votes(spark), {}, "lane", judge).collect()}
+    assert sorted(seen) == ["a", "b", "c", "e", "f"] and rows["g"].kind == rows["h"].kind == "error" and rows["d"].action == "quarantine"
+
+
+def test_diff_in_words(spark):
+    changes = J.diff(*X.snapshots(spark))
+    said = sinks.diff_text(changes, 2)
+    assert "bucket changed: 1\n  moved  (reference -> junk)" in said and "new notes: 5\n" in said and "... and 3 more" in said
+    assert {json.loads(r.value)["category"] for r in sinks.diff_json(changes).collect()} == {r.category for r in changes.collect()}
+
+
+def test_bill_in_words(spark):
+    prepared = scan.prepare(P.plan(X.vault_notes(spark)))
+    bill = B.bill(prepared, 1000, 0.0001)
+    said = B.text_of(bill.first().asDict(), 2, [tuple(r) for r in B.largest_folders(prepared).collect()], 0.0001)
+    assert "2 skipped" in said and "ceiling $0.0001: OVER" in said and "notes/" in said
+    assert "Nothing was sent" in B.refusal(bill.first().asDict(), 0.0001)
+
+
+def test_vault_root(spark, tmp_path):
+    (tmp_path / "v" / ".obsidian").mkdir(parents=True)
+    (tmp_path / "v" / "a" / "b").mkdir(parents=True)
+    assert P.vault_root(spark, f"file://{tmp_path}/v/a/b") == f"{tmp_path}/v"
+    assert P.vault_root(spark, f"file://{tmp_path}/v") == f"{tmp_path}/v" and P.vault_root(spark, f"file://{tmp_path}") is None
+
+
+def test_exclusions_together(spark):
+    folders = spark.createDataFrame([(f,) for f in ("logs", "logs/sub", "a/logs", "b/my logs", "family/logs", "c")], "folder string")
+    both = spark.createDataFrame([("logs",), ("a/logs",)], "folder string")
+    alone = {r.folder: r.others for r in EX.collateral(folders, both).collect()}
+    assert alone == {"logs": ["a/logs", "b/my logs"], "a/logs": ["b/my logs", "logs", "logs/sub"]}
+    assert {r.folder: r.others for r in EX.collateral(folders, both, together=True).collect()} == {"logs": ["b/my logs"], "a/logs": ["b/my logs"]}
+    assert EX.flag(("family",), ["logs", "family"]) == "--sensitive-paths family,logs"
+
+
 def test_torn_journal(spark, tmp_path):
     path = tmp_path / "j.jsonl"
     path.write_text('{"run": 1}\n{"path": "a"}\n{"path": "b"}\n{"pa')

@@ -12,6 +12,7 @@ from tidepool.functions import text as T
 from tidepool.operators import bill as B
 from tidepool.operators import decide as D
 from tidepool.operators import journal as J
+from tidepool.operators import plan as P
 from tidepool.plans import records as RP
 from tidepool.plans import runner, scan
 from tidepool.sources import notes, records, settings, sinks
@@ -47,24 +48,28 @@ def scan_vault(
     """
     asked = settings.question_set(questions, need_vault_questions=True) if questions else settings.DEFAULT_QUESTIONS
     planned = notes.read_notes(spark, vault, sensitive_parts, include_sensitive)
-    cached = None
+    cached, known = None, None
+    if not include_sensitive:
+        P.refuse_root(vault, vault, sensitive_parts)
     if journal and resume:
         runs = spark.read.json(f"{journal}/runs")
         chain = J.chain(runs, resume) if "resumed_from" in runs.columns else [resume]
         at = spark.createDataFrame(list(enumerate(chain)), "chain_pos int, run_id string")
         held = sinks.read_rows(spark, journal).join(F.broadcast(at), "run_id")
-        cached = J.cache(held.withColumn("line", F.monotonically_increasing_id()))
+        # rows have no line: within a run every path has one, so the path settles which vote of a key is served
+        cached = J.cache(held.withColumn("line", F.col("path")))
+        known = {r[0] for r in cached.select("model").distinct().limit(100).collect() if r[0]}
     digest = settings.fingerprint(questions) if questions else ""
     prepared = scan.prepare(planned, today, denylist, excerpt_chars, cached, local_triage, vault.endswith(".md"), digest, model)
     if judge and not over_budget:
         estimate = B.bill(prepared, D.question_chars(settings.payloads(asked)), max_usd).first()
         if estimate["over_budget"]:
-            raise OverBudget(f"up to {estimate['usd_high']:.4f} dollars, the limit is {max_usd:.2f}")
-    decide = lambda df: scan.decided(df, judge, git_unsafe_below)
+            raise OverBudget(B.refusal(estimate.asDict(), max_usd))
+    decide = lambda df: scan.decided(df, judge, git_unsafe_below, D.question_chars(settings.payloads(asked)), digest)
     if not journal:
         return decide(prepared).unionByName(scan.skipped(planned, prepared), allowMissingColumns=True), {"reason": "done"}
     run_id = uuid.uuid4().hex[:12]
-    end = runner.run(prepared, decide, journal, run_id, workers * 1000, max_usd if judge and not over_budget else None)
+    end = runner.run(prepared, decide, journal, run_id, workers * 1000, max_usd if judge and not over_budget else None, known)
     sinks.append_rows(scan.skipped(planned, prepared).withColumn("wave", F.lit(-1)), journal, run_id)
     header = {"taxonomy": digest, "state_version": D.STATE_VERSION, "model_requested": model, "excerpt_cap": T.effective_cap(excerpt_chars), "include_sensitive": include_sensitive}
     sinks.append_run(spark, journal, end | header | {"started": today, "resumed_from": resume or ""})

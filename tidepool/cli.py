@@ -80,7 +80,10 @@ def main(args: list[str] | None = None) -> int:
         journal = a.journal or profile.get("journal")
         if a.diff:
             before, after = (J.latest(_for_diff(sinks.read_rows(spark, journal, x)), order="line") for x in a.diff)
-            J.diff(before, after).orderBy("category", "path").show(1000, truncate=False)
+            changes = J.diff(before, after)
+            if a.out:
+                sinks.diff_json(changes).write.mode("overwrite").text(a.out)
+            print(sinks.diff_text(changes))
             return 0
         P.refuse_root(a.path, a.path, parts, sensitive)
         planned = notes.read_notes(spark, a.path, parts, sensitive)
@@ -88,8 +91,8 @@ def main(args: list[str] | None = None) -> int:
             P.counts(planned).orderBy("folder", "status").show(1000, truncate=False)
             P.near_misses(planned, parts).show(truncate=False)
             prepared = scan.prepare(planned, names=names, cap=cap)
-            B.bill(prepared, 1000).show(vertical=True)
-            B.largest_folders(prepared).show(truncate=False)
+            withheld = B.skipped(planned).groupBy().sum("notes").first()[0] or 0
+            print(B.text_of(B.bill(prepared, 1000).first().asDict(), withheld, [tuple(r) for r in B.largest_folders(prepared).collect()], 2.0))
             if a.survey:
                 V.sample(prepared.filter("disposition = 'fresh'").select("rel", "words", "age_days"), a.survey).show(a.survey, truncate=False)
             return 0
@@ -99,8 +102,8 @@ def main(args: list[str] | None = None) -> int:
         rows = rows.persist()
         _show(rows, a.json, a.out, "path")
         if a.map:
-            kept = rows.select(F.col("path").alias("rel"), "judge", "bucket", "suggested_bucket", "action", "findings", F.coalesce(F.col("skipped") == "locked", F.lit(False)).alias("locked"), "graph")
-            facts = {"words": "graph.words", "is_orphan": "graph.is_orphan", "is_moc": "graph.is_moc", "out_links": "graph.out_links"}
+            kept = rows.select(F.col("path").alias("rel"), "judge", "bucket", "suggested_bucket", "action", "findings", "skipped", "age_source", "graph")
+            facts = {c: f"graph.{c}" for c in ("words", "is_orphan", "is_moc", "in_links", "out_links", "unresolved_links")}
             sinks.write_json(U.folder_rollup(planned.select("rel", "status").join(kept, "rel", "left").withColumns({k: F.col(v) for k, v in facts.items()})), a.map)
         if a.review_pile:
             sinks.pile_markdown(rows).coalesce(1).write.mode("overwrite").text(a.review_pile)
@@ -114,7 +117,7 @@ def main(args: list[str] | None = None) -> int:
 def _for_diff(rows):
     wanted = {"path": "string", "kind": "string", "judge": "string", "bucket": "string", "confidence": "double", "action": "string", "exact_duplicate_of": "string", "suggested_bucket": "string", "truncated": "boolean", "findings": "array<string>", "skipped": "string"}
     have = set(rows.columns)
-    return rows.select(*[F.col(c) if c in have else F.lit(None).cast(t).alias(c) for c, t in wanted.items()], F.monotonically_increasing_id().alias("line"))
+    return rows.select(*[F.col(c) if c in have else F.lit(None).cast(t).alias(c) for c, t in wanted.items()], (F.coalesce("kind", F.lit("")) != "error").cast("int").alias("line"))
 
 
 if __name__ == "__main__":

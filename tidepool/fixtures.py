@@ -83,9 +83,14 @@ def field_names(spark: SparkSession) -> DataFrame:
     return _frame(spark, [(n,) for n in ("ok", "_x1", "1x", "a-b", "a b", "", "x" * 64, "x" * 65, "é")], "name string")
 
 
+MESSAGES = [
+    "HTTP 402", "status=402, stop", "1402 items", "4021", "Payment Required", "out of credits", "timeout", "error 500", "402", "402 (payment needed)", "There are no available API credits",
+    "error: it took far more than twenty-four characters, 402", "error 1402", "no available worker",
+]
+
+
 def messages(spark: SparkSession) -> DataFrame:
-    said = ["HTTP 402", "status=402, stop", "1402 items", "4021", "Payment Required", "out of credits", "timeout", "error 500"]
-    return _frame(spark, list(enumerate(said)), "id int, message string")
+    return _frame(spark, list(enumerate(MESSAGES)), "id int, message string")
 
 
 SECRETS = [
@@ -128,7 +133,8 @@ def votes(spark: SparkSession) -> DataFrame:
 RUNS = [
     ("r1", "2025-01-01", None, True, "aaa", 1, "m1", 16000, None, False), ("r2", "2025-01-02", None, False, "aaa", 1, "m1", 16000, "d1", False),
     ("r3", "2025-01-03", "r2", False, "bbb", 1, "m2", 16000, None, False), ("r4", "2025-01-04", "r3", True, "bbb", 2, "m2", 4000, None, True),
-    ("r5", "2025-01-05", None, False, "bbb", 2, "m2", 4000, None, True), ("r6", "2025-01-06", None, True, "bbb", 2, "m2", 4000, None, True),
+    ("c1", "2024-01-01", "c2", True, "aaa", 1, "m1", 16000, None, False), ("c2", "2024-01-02", "c1", True, "aaa", 1, "m1", 16000, None, False),
+    ("c3", "2024-01-03", "lost", True, "aaa", 1, "m1", 16000, None, False), ("r5", "2025-01-05", None, False, "bbb", 2, "m2", 4000, None, True), ("r6", "2025-01-06", None, True, "bbb", 2, "m2", 4000, None, True),
 ]
 
 
@@ -184,10 +190,24 @@ def record_lines(spark: SparkSession) -> DataFrame:
     return _frame(spark, list(enumerate(RECORDS, 1)), "line long, value string")
 
 
+#: id, what redaction hit, and the answer: pick, its confidence, the secret's probability; no answer for e.
+RECORD_VOTES = [
+    ("a", [], "keep", 0.9, 0.1), ("b", [], "drop", 0.54, 0.1), ("c", [], "drop", 0.2, 0.7), ("d", ["EMAIL", "KEY"], "keep", 0.9, 0.1), ("e", [], None, None, None), ("f", ["EMAIL"], "keep", 0.55, 0.69),
+]
+
+
+def record_votes(spark: SparkSession) -> DataFrame:
+    rows = [(i, "fresh" if "KEY" not in hits else "held", hits, i, 10, *rest) for i, hits, *rest in RECORD_VOTES]
+    rows += [("g", "fresh", [], "b", 10, None, None, None), ("h", "fresh", [], "e", 10, None, None, None)]
+    df = _frame(spark, rows, "id string, disposition string, hits array<string>, key string, payload_chars int, pick string, sure double, secret double")
+    return df.withColumn("same_as", F.when(F.col("id").isin("g", "h"), F.col("key")))
+
+
 REPORT = (
     "kind string, judge string, path string, plan_ord string, bucket string, suggested_bucket string, confidence double, bucket_probabilities map<string,double>, bucket_margin double,"
     " action string, reason string, redacted array<string>, redacted_own array<string>, quarantine_triggers array<string>, truncated boolean, age_source string,"
-    " graph struct<words int, age_days int, out_links int>, payload_chars int, input_tokens long, skipped string, error string"
+    " graph struct<words int, age_days int, out_links int>, payload_chars int, input_tokens long, skipped string, error string,"
+    " excerpt_chars int, cached boolean, question_chars int, taxonomy string, exact_duplicate_of string"
 )
 
 
@@ -202,6 +222,7 @@ def report_data() -> list:
             kind="vote", judge="judged", path=path, plan_ord=path, bucket=bucket, suggested_bucket=bucket if suggested else None, confidence=round(top[0] - 0.01, 3),
             bucket_probabilities=probabilities, bucket_margin=margin, action="frontmatter", reason="normal vote", redacted=[], redacted_own=[], quarantine_triggers=[],
             truncated=cut, age_source="frontmatter" if words % 2 else "mtime", graph=(words, 0 if words % 3 else 30, words % 4), payload_chars=1000 + words, input_tokens=300 + words, skipped=None, error=None,
+            excerpt_chars=16_000 if cut else 900, cached=False, question_chars=2000, taxonomy="aaa", exact_duplicate_of=None,
         )
         rows.append(row | more)
 
@@ -219,6 +240,13 @@ def report_data() -> list:
         vote(f"odd/r{i}.md", "junk", {"junk": 0.5, "needs_review": 0.45, "ephemeral": 0.05}, suggested=True, words=300 + i)
     for i in range(22):
         vote(f"hot/h{i:02}.md", "reference", {"reference": 0.5, "durable_memory": 0.4, "junk": 0.1}, suggested=i < 14, words=5000 + i, cut=i < 14, redacted=["EMAIL"])
+    # what tells the pile from what a policy sends to review: sure of needs_review, and unsure but held
+    vote("odd/sure.md", "needs_review", {"needs_review": 0.91, "junk": 0.09}, suggested=True, words=21)
+    vote("odd/held.md", "junk", {"junk": 0.31, "reference": 0.3, "ephemeral": 0.2}, words=40, action="quarantine", reason="contains_secret above threshold", quarantine_triggers=None)
+    for i in range(3):
+        vote(f"odd/p{i}.md", "needs_review", {"needs_review": 0.5, "junk": 0.4, "ephemeral": 0.1}, suggested=True, words=70 + i)
+    for i in range(2):
+        vote(f"ref1/cached{i}.md", "reference", {"reference": 0.8, "junk": 0.2}, cached=True, question_chars=None, input_tokens=900, exact_duplicate_of="ref0/n000.md" if i else None)
     vote("held/v.md", "reference", {"reference": 0.9, "junk": 0.1}, action="quarantine", reason="contains_secret above threshold", quarantine_triggers=["contains_secret"])
     for i, (reason, triggers) in enumerate([("local redaction hit: KEY", ["local:KEY"]), ("empty body or headings only: decided locally", []), ("exact duplicate of ref0/n000.md: decided locally", [])]):
         vote(f"loc/l{i}.md", "junk", {"junk": 1.0}, judge="local", reason=reason, quarantine_triggers=triggers, action="quarantine" if triggers else "frontmatter", redacted=["KEY"] if triggers else [], redacted_own=["KEY"] if triggers else [], input_tokens=0)

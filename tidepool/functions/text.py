@@ -18,6 +18,7 @@ PERSIST_LEVELS = ("drop", "park", "promote")
 USD_PER_MILLION = 0.042
 CHARS_PER_TOKEN = (2.8, 3.8)
 
+# Line breaks, headings and links.
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 HEADING = r"(?Um)^#{1,6}\s+\S"
 WIKILINK = r"(?U)(!?)\[\[([^\]|#]+)(?:#[^\]|]*)?(?:\|[^\]]*)?\]\]"
@@ -37,9 +38,13 @@ def unix_lines(text: Column | str) -> Column:
     return F.regexp_replace(_c(text), "\r\n", "\n")
 
 
+#: The code points that count as white space.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(text: Column | str) -> Column:
     """Without white space on either side."""
-    return F.regexp_replace(_c(text), r"(?U)^\s+|\s+$(?!\n)", "")
+    return F.trim(_c(text), F.lit(WHITE))
 
 
 # --- paths ---------------------------------------------------------------------------------
@@ -146,18 +151,6 @@ def parsed_links(body: Column | str) -> Column:
     return let(F.concat(groups(WIKILINK), groups(MARKDOWN_LINK)), of)
 
 
-def note_title(rel: Column | str, header_title: Column | str, body: Column | str, stem_is_redacted: Column | None = None) -> Column:
-    """The header's title, or the first line that starts with `# `, or the file's name.
-
-    A name that holds something to redact is left as it is, so that it is still recognised later.
-    """
-    stem = F.regexp_replace(F.element_at(path_parts(rel), -1), r"\.md$", "")
-    plain = F.translate(stem, "-_", "  ")
-    named = plain if stem_is_redacted is None else F.when(stem_is_redacted, stem).otherwise(plain)
-    heading = F.trim(F.regexp_extract(_c(body), r"(?m)^# (.*)$", 1))
-    return F.coalesce(F.nullif(strip(header_title), F.lit("")), F.nullif(heading, F.lit("")), named)
-
-
 def title_tokens(title: Column | str) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(_c(title)), F.lit("[a-z0-9]+"), F.lit(0)))
 
@@ -228,8 +221,9 @@ def age_source(created: Column | str, stamped: Column | str) -> Column:
 
 
 def age_days(created: Column | str, stamped: Column | str, modified: Column | str, today: str) -> Column:
+    """Unknown if there is no date at all; a date ahead of today is age 0."""
     day = F.coalesce(_c(created), _c(stamped), _c(modified).cast("date"))
-    return F.greatest(F.lit(0), F.datediff(F.lit(today).cast("date"), day))
+    return F.when(day.isNotNull(), F.greatest(F.lit(0), F.datediff(F.lit(today).cast("date"), day)))
 
 
 def tokens_for(chars: Column | str, chars_per_token: float) -> Column:
@@ -246,6 +240,11 @@ def usd(value: Column | str) -> Column:
     return F.concat(F.lit("$"), F.when(v >= 0.10, F.format_number(v, 2)).otherwise(F.format_number(v, 4)))
 
 
+def usd_text(value: float) -> str:
+    """The same for one amount on the driver."""
+    return f"${value:,.2f}" if value >= 0.10 else f"${value:,.4f}"
+
+
 def usd_apart(a: float, b: float) -> tuple[str, str]:
     """Two amounts with as many decimals, up to ten, as it takes to tell them apart."""
     for places in range(2 if min(a, b) >= 0.10 else 4, 11):

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidepool.functions import text as T
 
@@ -11,15 +12,16 @@ from tidepool.functions import text as T
 def bill(prepared: DataFrame, question_chars: int, max_usd: float = 2.0) -> DataFrame:
     """One row: notes by disposition, characters, tokens and dollars as a range, and whether that is over the limit.
 
-    prepared: disposition, payload_chars, header_error, age_source. Everything is summed in one pass.
+    prepared: disposition, payload_chars, header_error, age_source. Headers that cannot be read and
+    where ages come from are counted over all notes. Everything is summed in one pass.
     """
     fresh = F.col("disposition") == "fresh"
     kinds = ("fresh", "cached", "local", "locked", "skip", "undecodable")
     out = prepared.agg(
         *[F.count_if(F.col("disposition") == k).alias(f"n_{k}") for k in kinds],
         F.coalesce(F.sum(F.when(fresh, F.col("payload_chars"))), F.lit(0)).alias("note_chars"),
-        F.count_if(fresh & F.col("header_error").isNotNull()).alias("n_unreadable"),
-        F.count_if(fresh & (F.col("age_source") == "mtime")).alias("n_age_from_mtime"),
+        F.count("header_error").alias("n_unreadable"),
+        *[F.count_if(F.col("age_source") == source).alias(name) for source, name in (("mtime", "n_age_from_mtime"), ("frontmatter", "n_dated"), ("stamp", "n_stamp_dated"))],
     )
     out = out.withColumn("chars", F.col("note_chars") + question_chars * F.col("n_fresh"))
     low, high = T.tokens_for("chars", T.CHARS_PER_TOKEN[1]), T.tokens_for("chars", T.CHARS_PER_TOKEN[0])
@@ -29,8 +31,8 @@ def bill(prepared: DataFrame, question_chars: int, max_usd: float = 2.0) -> Data
 
 
 def largest_folders(prepared: DataFrame, n: int = 5) -> DataFrame:
-    """folder, chars: the folders that send most."""
-    sums = prepared.filter("disposition = 'fresh'").groupBy("folder").agg(F.sum("payload_chars").alias("chars"))
+    """folder, chars, notes: the folders that send most."""
+    sums = prepared.filter("disposition = 'fresh'").groupBy("folder").agg(F.sum("payload_chars").alias("chars"), F.count(F.lit(1)).alias("notes"))
     return sums.orderBy(F.desc("chars"), "folder").limit(n)
 
 
@@ -40,30 +42,60 @@ def records_bill(prepared: DataFrame) -> DataFrame:
     return first.agg(F.count(F.lit(1)).alias("to_send"), F.coalesce(F.sum("f.payload_chars"), F.lit(0)).alias("chars"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("reused"))
 
 
-def measured(rows: DataFrame, question_chars: int) -> DataFrame:
-    """chars, tokens, ratio and verdict over rows that were sent: did the estimate hold?"""
-    sent = rows.filter("kind = 'vote' AND judge = 'judged' AND input_tokens > 0")
-    out = sent.agg(F.coalesce(F.sum(F.col("payload_chars") + question_chars), F.lit(0)).alias("chars"), F.coalesce(F.sum("input_tokens"), F.lit(0)).alias("tokens"))
-    ratio = F.when(F.col("tokens") > 0, F.col("chars") / F.col("tokens"))
-    low, high = T.CHARS_PER_TOKEN
-    verdict = F.when(ratio.isNull(), "nothing sent").when(ratio < low, "more tokens than estimated").when(ratio > high, "fewer tokens than estimated").otherwise("within the estimate")
-    return out.withColumns({"ratio": ratio, "verdict": verdict})
+def running_totals(rows: DataFrame, order: str, columns: dict[str, str], buckets: int = 64) -> DataFrame:
+    """rows with the sums of columns up to and with each row, under new names.
 
-
-def running_spend(rows: DataFrame, limit_usd: float, order: str = "done_ord", buckets: int = 64) -> DataFrame:
-    """rows with spent (dollars up to and with this row) and after_stop.
-
-    The meter stops after the row that crosses the limit. Sums run within ranges of the order, and
-    the ranges' totals, as many as buckets, are added from a broadcast table, so no task sees all rows.
+    Sums run within ranges of the order, and the ranges' totals, as many as buckets, are added from a
+    broadcast table, so no task sees all rows.
     """
-    cuts = rows.approxQuantile(order, [i / buckets for i in range(1, buckets)], 0.001)
-    from pyspark.sql.window import Window
-
-    bucket = F.size(F.filter(F.array(*[F.lit(float(c)) for c in sorted(set(cuts))]), lambda c: c < F.col(order))) if cuts else F.lit(0)
+    cuts = sorted(set(rows.approxQuantile(order, [i / buckets for i in range(1, buckets)], 0.001)))
+    bucket = F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c < F.col(order))) if cuts else F.lit(0)
     df = rows.withColumn("_b", bucket)
-    totals = df.groupBy("_b").agg(F.sum("input_tokens").alias("_t"))
-    before = totals.alias("x").join(totals.alias("y"), F.expr("y._b < x._b"), "left").groupBy("x._b").agg(F.coalesce(F.sum("y._t"), F.lit(0)).alias("_before"))
+    totals = df.groupBy("_b").agg(*[F.sum(c).alias(f"_{n}") for c, n in columns.items()])
+    earlier = totals.alias("x").join(totals.alias("y"), F.expr("y._b < x._b"), "left").groupBy("x._b").agg(*[F.coalesce(F.sum(f"y._{n}"), F.lit(0)).alias(f"_{n}") for n in columns.values()])
     w = Window.partitionBy("_b").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    df = df.join(F.broadcast(before), "_b").withColumn("_upto", F.col("_before") + F.sum("input_tokens").over(w))
+    df = df.join(F.broadcast(earlier), "_b")
+    return df.withColumns({n: F.col(f"_{n}") + F.sum(c).over(w) for c, n in columns.items()}).drop("_b", *[f"_{n}" for n in columns.values()])
+
+
+def running_spend(rows: DataFrame, limit_usd: float, order: str = "done_ord", buckets: int = 64) -> DataFrame:
+    """rows with spent (dollars up to and with this row) and after_stop: the meter stops after the row that crosses the limit."""
+    df = running_totals(rows, order, {"input_tokens": "_upto"}, buckets)
     spent, earlier = T.usd_for("_upto"), T.usd_for(F.col("_upto") - F.col("input_tokens"))
-    return df.withColumns({"spent": spent, "after_stop": earlier >= limit_usd}).drop("_b", "_before", "_upto")
+    return df.withColumns({"spent": spent, "after_stop": earlier >= limit_usd}).drop("_upto")
+
+
+def skipped(planned: DataFrame) -> DataFrame:
+    """rule, notes: what the plan withholds."""
+    return planned.filter("status <> 'scan'").groupBy("rule").agg(F.count(F.lit(1)).alias("notes"))
+
+
+def text_of(billed: dict, withheld: int, folders: list[tuple[str, int, int]], max_usd: float | None, live: bool = False) -> str:
+    """The bill in words: what a run sends, as a range, what it finds, and the ceiling."""
+    b, lines = billed, []
+    lines.append(
+        f"  bill (estimate): {b['n_fresh']:,} notes {'to send' if live else 'a live run would send'}, {b['n_cached']:,} served from the journal, {b['n_local']:,} decided locally,"
+        f" {b['n_locked']:,} locked, {withheld:,} skipped, {b['n_undecodable']:,} undecodable"
+    )
+    lines.append(
+        f"    payload {b['note_chars']:,} chars + questions -> ~{b['tokens_low']:,} to {b['tokens_high']:,} input tokens"
+        f" ({T.CHARS_PER_TOKEN[1]} down to {T.CHARS_PER_TOKEN[0]} chars/token), ~{T.usd_text(b['usd_low'])} to {T.usd_text(b['usd_high'])} at ${T.USD_PER_MILLION} per million"
+    )
+    if b["n_unreadable"] or b["n_undecodable"]:
+        lines.append(f"    findings so far: {b['n_unreadable']:,} with a header that cannot be read, {b['n_undecodable']:,} not valid UTF-8 (never sent)")
+    if b["n_age_from_mtime"]:
+        aged = b["n_age_from_mtime"] + b["n_dated"] + b["n_stamp_dated"]
+        lines.append(f"    age: {b['n_age_from_mtime']:,} of {aged:,} readable notes ({100 * b['n_age_from_mtime'] / aged:.0f}%) take their age from the file system")
+    if max_usd is not None:
+        lines.append(f"    ceiling {T.usd_text(max_usd)}: {'OVER' if b['over_budget'] else 'under'} at the pessimistic end")
+    if folders:
+        lines.append("    largest folders by payload:")
+        lines += [f"      {folder:<40} {chars:>12,} chars {notes:>6,} notes" for folder, chars, notes in folders]
+    return "\n".join(lines)
+
+
+def refusal(billed: dict, max_usd: float) -> str:
+    return (
+        f"REFUSED: the pessimistic estimate of {T.usd_text(billed['usd_high'])} (~{billed['tokens_high']:,} input tokens; the optimistic end is {T.usd_text(billed['usd_low'])})"
+        f" is over the ceiling of {T.usd_text(max_usd)}. Nothing was sent."
+    )

@@ -55,7 +55,7 @@ def states(indexed: DataFrame, titles: DataFrame, names: list[str] | None = None
         graph_state().alias("graph"),
         F.col("other_note_titles"),
         F.array_join(parts(F.col("_path_redacted")), "/").alias("path"),
-        F.left(F.col("_title_redacted"), F.lit(10_000)).alias("title"),
+        F.col("_title_redacted").alias("title"),
     )
     drop = [c for c in df.columns if c.startswith("_")]
     df = df.withColumns({"own_hits": own, "hits": F.array_sort(F.array_union(own, lent)), "truncated": T.truncated(F.col("_body_redacted"), cap)})
@@ -164,8 +164,17 @@ def disposition(cached: Column, rule: Column) -> Column:
     )
 
 
-def rows(prepared: DataFrame, vote: Column, acted: Column, judge: Column) -> DataFrame:
-    """A result row per judged or locally decided note; figures to three places."""
+def stored_vote(row: Column) -> Column:
+    """The vote that a row of an earlier run stands for; null where the row has none."""
+    kept = [row[n].alias(n) for n in ("bucket", "bucket_probabilities")]
+    return F.when(row.isNotNull(), F.struct(*kept, row["confidence"].alias("bucket_confidence"), row["persist"].alias("persist"), *[row[n].alias(n) for n in NOULS], row["model"].alias("model"), row["input_tokens"].alias("input_tokens")))
+
+
+def rows(prepared: DataFrame, vote: Column, acted: Column, judge: Column, cached: bool = False, question_size: int = 0, taxonomy: str = "") -> DataFrame:
+    """A result row per judged, cached or locally decided note; figures to three places.
+
+    What identifies a note (path, hits, truncation, findings) is always its own, a cached vote's too.
+    """
     r3 = lambda c: F.round(c, 3)
     p = vote["bucket_probabilities"]
     return prepared.select(
@@ -177,7 +186,7 @@ def rows(prepared: DataFrame, vote: Column, acted: Column, judge: Column) -> Dat
         F.when(acted["review"], vote["bucket"]).alias("suggested_bucket"),
         F.when(F.col("header_error").isNotNull(), F.array(F.lit("unreadable_frontmatter"))).otherwise(F.array().cast("array<string>")).alias("findings"),
         "age_source", "state.graph", "truncated", F.char_length("state.excerpt").alias("excerpt_chars"), vote["model"].alias("model"),
-        vote["input_tokens"].alias("input_tokens"), "payload_chars", "key",
+        vote["input_tokens"].alias("input_tokens"), "payload_chars", "key", F.lit(cached).alias("cached"), F.lit(question_size).alias("question_chars"), F.lit(taxonomy).alias("taxonomy"),
     )
 
 

@@ -56,7 +56,7 @@ def index(planned: DataFrame, today: str, names: list[str] | None = None) -> Dat
             "aliases": fact(T.clean_aliases("aliases")),
             "locked": fact(F.coalesce("locked", F.lit(False))),
             "title_credential": fact(R.acts_alone(F.col("_title_hits"))),
-            "age_source": fact(T.age_source("created", "stamped")),
+            "age_source": fact(F.when(F.coalesce(F.col("created"), F.col("stamped"), F.col("modified").cast("date")).isNotNull(), T.age_source("created", "stamped"))),
             "age_days": fact(T.age_days("created", "stamped", "modified", today)),
         }
     )
@@ -80,7 +80,7 @@ def resolved_links(indexed: DataFrame) -> DataFrame:
     plain = F.regexp_replace("rel", r"(?i)\.md$", "")
     notes = indexed.select(F.col("rel").alias("to"), F.col("plan_ord").alias("to_ord"), F.lower(plain).alias("to_path"), name(plain).alias("name"))
     links = indexed.filter("status = 'scan'").select("rel", F.posexplode("links").alias("place", "target"))
-    links = links.withColumns({"name": name(F.col("target")), "want": F.lower(F.regexp_replace("target", "^/+", ""))})
+    links = links.withColumn("want", F.lower(F.trim(F.col("target"), F.lit("/")))).withColumn("name", name(F.col("want")))
     bare = ~F.contains("want", F.lit("/"))
     # targets repeat: each is resolved once, and many notes of one name meet only its distinct targets
     targets = links.select("want", "name").distinct()
@@ -92,11 +92,11 @@ def resolved_links(indexed: DataFrame) -> DataFrame:
 def link_facts(indexed: DataFrame, single_file: bool = False) -> DataFrame:
     """indexed with out_links, in_links, unresolved_links, is_moc, is_orphan.
 
-    Links to oneself don't count as incoming. in_links and is_orphan are unknown for a single file;
+    out_links counts all links, those that lead nowhere too. Links to oneself don't count as incoming. in_links and is_orphan are unknown for a single file;
     is_orphan is unknown too if under one in twenty notes link at all.
     """
     links = resolved_links(indexed)
-    outgoing = links.groupBy("rel").agg(F.count("resolved").cast("int").alias("_out"), F.count_if(F.col("resolved").isNull()).cast("int").alias("_un"))
+    outgoing = links.groupBy("rel").agg(F.count(F.lit(1)).cast("int").alias("_out"), F.count_if(F.col("resolved").isNull()).cast("int").alias("_un"))
     pairs = links.filter("resolved IS NOT NULL AND resolved != rel").select(F.col("resolved").alias("_to"))
     incoming = pairs.groupBy("_to").agg(F.count(F.lit(1)).cast("int").alias("_in"))
     scanned = F.col("status") == "scan"
@@ -115,7 +115,7 @@ def link_facts(indexed: DataFrame, single_file: bool = False) -> DataFrame:
 
 def linking_share(facts: DataFrame) -> DataFrame:
     """share: scanned notes that link to anything, resolved or not, among all scanned ones."""
-    links = (F.col("out_links") + F.col("unresolved_links") > 0).cast("double")
+    links = (F.col("out_links") > 0).cast("double")
     return facts.filter("status = 'scan'").agg(F.coalesce(F.avg(links), F.lit(0.0)).alias("share"))
 
 
@@ -130,21 +130,25 @@ def siblings(indexed: DataFrame, keep: int = SIBLINGS) -> DataFrame:
     """rel, other_note_titles: titles of the most alike notes in a note's folder, at most `keep`.
 
     Alike is the share of title words in common; equal ones go by plan order. Sensitive notes and
-    titles with credentials are never listed. Notes meet others through a word in common; where those
-    are fewer than `keep`, the folder's first notes in plan order fill up, so no folder is paired
-    with itself.
+    titles with credentials are never listed. Notes meet others through a word in common; of notes
+    with the same words only the first `keep` and one can be listed. Where that gives fewer than
+    `keep`, the folder's first notes in plan order fill up, from one list a folder.
     """
     pool = indexed.filter("status = 'scan' AND NOT sensitive AND NOT title_credential")
-    base = pool.select("folder", "rel", "plan_ord", "title_redacted", T.title_tokens("title").alias("tokens"))
-    mine = indexed.filter("status = 'scan'").select("folder", "rel", "plan_ord", T.title_tokens("title").alias("tokens"))
+    base = pool.select("folder", "rel", "plan_ord", F.left("title_redacted", F.lit(T.TITLE_CUT)).alias("t"), F.array_sort(T.title_tokens("title")).alias("tokens"))
+    mine = indexed.filter("status = 'scan'").select("folder", "rel", F.array_sort(T.title_tokens("title")).alias("tokens"))
+    heads = base.withColumn("rn", F.row_number().over(Window.partitionBy("folder", "tokens").orderBy("plan_ord"))).filter(F.col("rn") <= keep + 1)
+    right = heads.select("folder", F.col("rel").alias("o"), F.col("plan_ord").alias("oo"), F.col("tokens").alias("ot"), "t", F.explode("tokens").alias("token"))
     left = mine.select("folder", "rel", "tokens", F.explode("tokens").alias("token"))
-    right = base.select("folder", F.col("rel").alias("o"), F.explode("tokens").alias("token"))
-    shared = left.join(right, ["folder", "token"]).filter("rel != o").select("folder", "rel", "o").distinct()
-    near = shared.join(mine.select("rel", "tokens"), "rel").join(base.select(F.col("rel").alias("o"), F.col("tokens").alias("ot"), F.col("plan_ord").alias("oo"), "title_redacted"), "o")
-    near = near.select("rel", (-T.jaccard(F.col("tokens"), F.col("ot"))).alias("far"), "oo", "title_redacted")
+    # a pair meets once, at the first of its common words
+    met = left.join(right, ["folder", "token"]).filter((F.col("rel") != F.col("o")) & (F.col("token") == F.array_min(F.array_intersect("tokens", "ot"))))
+    near = met.select("rel", (-T.jaccard(F.col("tokens"), F.col("ot"))).alias("far"), "oo", "t")
+    near = near.withColumn("rn", F.row_number().over(Window.partitionBy("rel").orderBy("far", "oo"))).filter(F.col("rn") <= keep)
+    near = near.groupBy("rel").agg(F.sort_array(F.collect_list(F.struct("rn", "t"))).alias("near"))
     first = base.withColumn("rn", F.row_number().over(Window.partitionBy("folder").orderBy("plan_ord"))).filter(F.col("rn") <= 2 * keep + 1)
-    fill = mine.join(first.select("folder", F.col("rel").alias("o"), F.col("plan_ord").alias("oo"), F.col("tokens").alias("ot"), "title_redacted"), "folder")
-    fill = fill.filter("rel != o").filter(F.size(F.array_intersect("tokens", "ot")) == 0).select("rel", F.lit(0.0).alias("far"), "oo", "title_redacted")
-    ranked = near.unionByName(fill).withColumn("rn", F.row_number().over(Window.partitionBy("rel").orderBy("far", "oo"))).filter(F.col("rn") <= keep)
-    titles = ranked.groupBy("rel").agg(F.sort_array(F.collect_list(F.struct("rn", F.left("title_redacted", F.lit(T.TITLE_CUT)).alias("t")))).alias("l"))
-    return titles.select("rel", F.transform("l", lambda x: x["t"]).alias("other_note_titles"))
+    first = first.groupBy("folder").agg(F.sort_array(F.collect_list(F.struct("rn", "rel", "tokens", "t"))).alias("first"))  # a bounded list a folder
+    every = mine.join(near, "rel", "left").join(first, "folder", "left")
+    strange = lambda x: (x["rel"] != F.col("rel")) & ~F.arrays_overlap(x["tokens"], F.col("tokens"))
+    titles = lambda c: F.coalesce(F.transform(c, lambda x: x["t"]), F.array().cast("array<string>"))
+    listed = F.slice(F.concat(titles(F.col("near")), titles(F.filter("first", strange))), 1, keep)
+    return every.select("rel", listed.alias("other_note_titles")).filter(F.size("other_note_titles") > 0)

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .bill import running_totals
+
 FINISHED = ("meter", "402", "error-rate", "interrupted")
-OUT_OF_CREDITS = r"(?i)(?<![0-9])402(?![0-9])|out of credits|insufficient credits|payment required"
+# A 402 counts next to a status word or to what is to be paid.
+OUT_OF_CREDITS = r"(?i)\b(?:http|status|error)\b[^\n]{0,24}?(?<![0-9])402(?![0-9])|(?<![0-9])402(?![0-9])[^\n]{0,24}?\b(?:payment|credits)"
 ERROR_WINDOW, ERROR_SHARE = 50, 0.2
 
 
@@ -30,17 +33,20 @@ def chain(runs: DataFrame, name: str, most: int = 100) -> list[str]:
 
 
 def chain_positions(runs: DataFrame) -> DataFrame:
-    """run_id, at, ancestor for every run, by a recursive query."""
-    runs.select("run_id", "resumed_from").createOrReplaceTempView("_tidepool_runs")
+    """run_id, at, ancestor for every run, by a recursive query: itself and the runs it resumed, newest first.
+
+    Only runs that there are count; a chain ends at a run it has seen before, and after a hundred.
+    """
     return runs.sparkSession.sql(
         """
-        WITH RECURSIVE c(run_id, at, ancestor) AS (
-          SELECT run_id, 0, run_id FROM _tidepool_runs
+        WITH RECURSIVE c(run_id, at, ancestor, next, seen) AS (
+          SELECT run_id, 0, run_id, resumed_from, array(run_id) FROM {runs}
           UNION ALL
-          SELECT c.run_id, c.at + 1, r.resumed_from FROM c JOIN _tidepool_runs r ON r.run_id = c.ancestor
-          WHERE r.resumed_from IS NOT NULL AND c.at < 99
+          SELECT c.run_id, c.at + 1, r.run_id, r.resumed_from, array_append(c.seen, r.run_id) FROM c JOIN {runs} r ON r.run_id = c.next
+          WHERE NOT array_contains(c.seen, r.run_id) AND c.at < 99
         ) SELECT run_id, at, ancestor FROM c
-        """
+        """,
+        runs=runs.select("run_id", "resumed_from"),
     )
 
 
@@ -60,8 +66,8 @@ def cache(rows: DataFrame) -> DataFrame:
 
 def served(prepared: DataFrame, cached: DataFrame) -> DataFrame:
     """prepared with what the cache holds of its key; path and other facts stay the note's own."""
-    kept = cached.select("key", F.col("bucket").alias("cached_bucket"), F.col("model").alias("cached_model"))
-    return prepared.join(kept, "key", "left").withColumn("is_cached", F.col("cached_bucket").isNotNull())
+    kept = cached.select("key", F.struct(*[c for c in cached.columns if c != "key"]).alias("cached_row"))
+    return prepared.join(kept, "key", "left").withColumn("is_cached", F.col("cached_row").isNotNull())
 
 
 def to_retry(rows: DataFrame) -> DataFrame:
@@ -70,19 +76,15 @@ def to_retry(rows: DataFrame) -> DataFrame:
 
 
 def out_of_credits(message: Column) -> Column:
-    return F.regexp_like(message, F.lit(OUT_OF_CREDITS))
+    """Whether a message says that the account has no credits left."""
+    told = F.lower(message)
+    return F.regexp_like(message, F.lit(OUT_OF_CREDITS)) | (F.contains(told, F.lit("no available")) & F.contains(told, F.lit("credits")))
 
 
 def error_stop(rows: DataFrame, order: str = "done_ord") -> DataFrame:
-    """at: the first place where over a fifth of fifty or more sent notes had failed; null if none.
-
-    rows are those of one wave or run on its way; the running counts are for analysis.
-    """
-    from pyspark.sql.window import Window
-
-    w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sent = rows.filter("kind IN ('vote', 'error')")
-    running = sent.select(order, F.count(F.lit(1)).over(w).alias("n"), F.count_if(F.col("kind") == "error").over(w).alias("e"))
+    """at: the first place where over a fifth of fifty or more sent notes had failed; null if none."""
+    sent = rows.filter("kind IN ('vote', 'error')").select(order, F.lit(1).alias("one"), (F.col("kind") == "error").cast("int").alias("bad"))
+    running = running_totals(sent, order, {"one": "n", "bad": "e"})
     return running.filter((F.col("n") >= ERROR_WINDOW) & (F.col("e") > ERROR_SHARE * F.col("n"))).agg(F.min(order).alias("at"))
 
 

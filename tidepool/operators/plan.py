@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pathlib import PurePosixPath
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepool.functions import text as T
@@ -62,6 +62,17 @@ def near_misses(planned: DataFrame, names: tuple[str, ...] = T.SENSITIVE_NAMES)
     return found.groupBy("segment").agg(F.min(F.struct("plan_ord", "name", "rel")).alias("m")).select("segment", "m.name", "m.rel")
 
 
+def vault_root(spark: SparkSession, target: str, marker: str = ".obsidian") -> str | None:
+    """The nearest folder at or above a target that holds the marker; None if there is none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(target)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    while path is not None:
+        if files.exists(spark._jvm.org.apache.hadoop.fs.Path(path, marker)):
+            return path.toUri().getPath()
+        path = path.getParent()
+    return None
+
+
 def refuse_root(target: str, vault: str, names: tuple[str, ...] = T.SENSITIVE_NAMES, include_sensitive: bool = False) -> None:
     """Raises if a folder above the vault has a sensitive name: its notes would count as public."""
     if include_sensitive:

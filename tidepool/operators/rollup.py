@@ -18,24 +18,21 @@ def counted(df: DataFrame, by: str, value: str) -> DataFrame:
 def folder_rollup(notes: DataFrame) -> DataFrame:
     """One row per folder, for all notes in it and below: a note counts once in every folder above it.
 
-    notes: rel, status, words, is_orphan, is_moc, out_links and, from rows, bucket, judge, action,
-    locked, findings. Partial sums are made before the shuffle, so the root is no hot key.
+    notes: rel, status, the facts words, in_links, out_links, unresolved_links, is_orphan, is_moc, and
+    from rows bucket, judge, action, suggested_bucket, skipped (why there is no vote), findings and
+    age_source. Judged is every note with a vote, the local judge's too. Facts count for scanned notes
+    only. Partial sums are made before the shuffle, so the root is no hot key.
     """
     one = notes.withColumn("folder", F.explode(T.folder_chain("rel")))
-    has = lambda c: F.count_if(c)
+    vote, scanned = F.col("judge").isNotNull(), F.col("status") == "scan"
+    n = {
+        "judged": vote, "local": vote & (F.col("judge") == "local"), "review": vote & F.col("suggested_bucket").isNotNull(), "quarantined": vote & (F.col("action") == "quarantine"),
+        "locked": F.col("skipped") == "locked", "skipped": ~scanned, "orphans": scanned & F.col("is_orphan"), "mocs": scanned & F.col("is_moc"), "age_from_mtime": vote & (F.col("age_source") == "mtime"),
+    }
+    sums = {c: F.coalesce(F.sum(F.when(scanned, F.col(c))), F.lit(0)).cast("long") for c in ("words", "in_links", "out_links", "unresolved_links")}
+    found = F.coalesce(F.sum(F.when(F.size("findings") > 0, F.size("findings"))), F.lit(0)).cast("long")
     return one.groupBy("folder").agg(
-        F.count(F.lit(1)).alias("notes"),
-        has(F.col("judge") == "judged").alias("judged"),
-        has(F.col("judge") == "local").alias("local"),
-        has(F.col("suggested_bucket").isNotNull()).alias("review"),
-        has(F.col("action") == "quarantine").alias("quarantined"),
-        has(F.col("locked")).alias("locked"),
-        has(F.col("status") == "skip").alias("skipped"),
-        has(F.size("findings") > 0).alias("findings"),
-        has(F.col("is_orphan")).alias("orphans"),
-        has(F.col("is_moc")).alias("mocs"),
-        F.coalesce(F.sum("words"), F.lit(0)).cast("long").alias("words"),
-        F.coalesce(F.sum("out_links"), F.lit(0)).cast("long").alias("links"),
+        F.count(F.lit(1)).alias("notes"), *[F.count_if(c).alias(k) for k, c in n.items()], found.alias("findings"), *[c.alias(k) for k, c in sums.items()]
     )
 
 
@@ -45,20 +42,28 @@ def folder_buckets(notes: DataFrame) -> DataFrame:
 
 
 def folder_ages(notes: DataFrame) -> DataFrame:
-    return counted(notes.filter("age_days IS NOT NULL").select(F.explode(T.folder_chain("rel")).alias("folder"), T.banded_age("age_days").alias("age")), "folder", "age")
+    """folder, age (its band, null if unknown), n over scanned notes."""
+    return counted(notes.filter("status = 'scan'").select(F.explode(T.folder_chain("rel")).alias("folder"), T.banded_age("age_days").alias("age")), "folder", "age")
 
 
 def totals(notes: DataFrame) -> DataFrame:
-    flags = {"judged": F.col("judge") == "judged", "local": F.col("judge") == "local", "skipped": F.col("status") == "skip", "locked": F.col("locked"), "quarantined": F.col("action") == "quarantine"}
-    return notes.agg(F.count(F.lit(1)).alias("notes"), *[F.count_if(c).alias(n) for n, c in flags.items()])
-
-
-def graph_totals(facts: DataFrame, links: DataFrame) -> DataFrame:
-    nodes = facts.filter("status = 'scan'").agg(
-        F.count(F.lit(1)).alias("nodes"), F.coalesce(F.sum("out_links"), F.lit(0)).alias("edges"), F.coalesce(F.sum("unresolved_links"), F.lit(0)).alias("unresolved"),
+    vote = F.col("judge").isNotNull()
+    source = F.col("age_source")
+    n = {
+        "judged": vote, "local": vote & (F.col("judge") == "local"), "cached": vote & F.coalesce("cached", F.lit(False)), "review": vote & F.col("suggested_bucket").isNotNull(),
+        "quarantined": vote & (F.col("action") == "quarantine"), "locked": F.col("skipped") == "locked", "skipped": F.col("status") != "scan",
+        "age_from_mtime": vote & (source == "mtime"), "dated": vote & (source == "frontmatter"), "stamp_dated": vote & (source == "stamp"),
+    }
+    return notes.agg(F.count(F.lit(1)).alias("notes"), *[F.count_if(c).alias(k) for k, c in n.items()])
+
+
+def graph_totals(facts: DataFrame) -> DataFrame:
+    """nodes, edges (links that lead to a note), unresolved, orphans, mocs over scanned notes."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return facts.filter("status = 'scan'").agg(
+        F.count(F.lit(1)).alias("nodes"), total(F.col("out_links") - F.col("unresolved_links")).alias("edges"), total(F.col("unresolved_links")).alias("unresolved"),
         F.count_if("is_orphan").alias("orphans"), F.count_if("is_moc").alias("mocs"),
     )
-    return nodes
 
 
 def degree_histogram(facts: DataFrame, column: str) -> DataFrame:
@@ -67,15 +72,10 @@ def degree_histogram(facts: DataFrame, column: str) -> DataFrame:
 
 
 def hubs(facts: DataFrame, n: int = HUBS) -> DataFrame:
-    """rel, in_links of the notes most linked to; equal ones in plan order."""
-    return facts.filter("in_links > 0").orderBy(F.desc("in_links"), "plan_ord").limit(n).select("rel", "in_links")
+    """rel, in_links of the scanned notes most linked to; equal ones in plan order. Withheld paths are never listed."""
+    return facts.filter("status = 'scan' AND in_links > 0").orderBy(F.desc("in_links"), "plan_ord").limit(n).select("rel", "in_links")
 
 
 def duplicate_groups(rows: DataFrame) -> DataFrame:
     """canonical, copies: from result rows, so notes that were skipped or locked are in none."""
     return rows.filter("exact_duplicate_of IS NOT NULL").groupBy(F.col("exact_duplicate_of").alias("canonical")).agg(F.array_sort(F.collect_list("path")).alias("copies"))
-
-
-def as_map(column: Column, n: Column) -> Column:
-    """A counter as a map, from grouped rows."""
-    return F.map_from_entries(F.sort_array(F.collect_list(F.struct(column, n))))

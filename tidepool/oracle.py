@@ -86,31 +86,50 @@ PERSIST = "CASE bucket WHEN 'junk' THEN 0.1::DOUBLE WHEN 'ephemeral' THEN 0.6 WH
 SECRET = "CASE bucket WHEN 'needs_review' THEN 0.97::DOUBLE WHEN 'ephemeral' THEN 0.02 WHEN 'junk' THEN 0.01 WHEN 'log_entry' THEN 0.03 WHEN 'project_decision' THEN 0.03 WHEN 'code_note' THEN 0.02 WHEN 'reference' THEN 0.02 ELSE 0.04 END"
 
 REPORT = values(
-    [(*r[:7], r[7], *r[8:16], r[16][0] if r[16] else None, r[16][1] if r[16] else None, r[16][2] if r[16] else None, *r[17:]) for r in X.report_data()],
-    "kind, judge, path, plan_ord, bucket, suggested_bucket, confidence, p, bucket_margin, action, reason, redacted, redacted_own, quarantine_triggers, truncated, age_source, words, age_days, out_links, payload_chars, input_tokens, skipped, error",
+    [(*r[:16], *(r[16] or (None, None, None)), *r[17:], r[16] is not None) for r in X.report_data()],
+    "kind, judge, path, plan_ord, bucket, suggested_bucket, confidence, p, bucket_margin, action, reason, redacted, redacted_own, quarantine_triggers, truncated, age_source, words, age_days, out_links,"
+    " payload_chars, input_tokens, skipped, error, excerpt_chars, cached, question_chars, taxonomy, dup, has_graph",
 )
+#: Written from the rules of the report: the pile is judged rows with a confidence below 0.55.
 JUDGED = f"""report AS (SELECT * FROM {REPORT}), judged AS (
-  SELECT *, suggested_bucket IS NOT NULL AS in_pile, CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '.' END AS dir,
+  SELECT *, coalesce(confidence, 0) < 0.55 AS in_pile, CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '.' END AS dir,
     list_sort([struct_pack(v := -e.value, i := i, k := e.key) FOR e, i IN map_entries(p)]) AS top
-  FROM report WHERE kind = 'vote' AND judge = 'judged'
-), pairs AS (
-  SELECT path, dir, plan_ord, p, least(top[1].k, top[2].k) AS x, greatest(top[1].k, top[2].k) AS y FROM judged
-  WHERE in_pile AND len(top) > 1 AND top[1].k <> 'needs_review' AND top[2].k <> 'needs_review'
+  FROM report WHERE kind = 'vote' AND judge <> 'local'
+), pile AS (
+  SELECT *, bucket = 'needs_review' OR coalesce(top[2].k = 'needs_review', false) AS pulled, row_number() OVER (ORDER BY confidence, plan_ord) AS place,
+    CASE WHEN len(top) > 1 AND top[1].k <> 'needs_review' AND top[2].k <> 'needs_review' THEN least(top[1].k, top[2].k) END AS x,
+    CASE WHEN len(top) > 1 AND top[1].k <> 'needs_review' AND top[2].k <> 'needs_review' THEN greatest(top[1].k, top[2].k) END AS y
+  FROM judged WHERE in_pile
 ), ties AS (
-  SELECT x, y, count(*) AS n FROM pairs GROUP BY x, y ORDER BY n DESC, min(plan_ord) LIMIT 3
+  SELECT x, y, count(*) AS n, min(place) AS first FROM pile WHERE x IS NOT NULL GROUP BY x, y ORDER BY n DESC, first LIMIT 3
+), merged AS (
+  SELECT path, t.x, t.y, t.n, t.first, CASE WHEN map_contains(p, t.x) AND map_contains(p, t.y)
+    THEN greatest(p[t.x] + p[t.y], coalesce(list_max([e.value FOR e IN map_entries(p) IF e.key <> t.x AND e.key <> t.y]), 0)) ELSE list_max(map_values(p)) END >= 0.55 AS clears
+  FROM pile, ties t
+), gains AS (
+  SELECT x, y, any_value(n) AS tied, count(*) FILTER (clears) AS cleared, any_value(first) AS first FROM merged GROUP BY x, y
 ), hot AS (
-  SELECT dir, count(*) AS notes, count(*) FILTER (in_pile) AS pile, sum(input_tokens)::BIGINT AS tokens FROM judged GROUP BY dir
+  SELECT dir, count(*) AS notes, count(*) FILTER (in_pile) AS pile, avg(in_pile::INT) AS share, sum(input_tokens)::BIGINT AS tokens FROM judged GROUP BY dir
   HAVING count(*) >= 20 AND avg(in_pile::INT) >= 1.5 * (SELECT avg(in_pile::INT) FROM judged)
 ), skew AS (
-  SELECT 'truncated' AS cause, count(*) FILTER (truncated) AS notes, count(*) FILTER (truncated AND in_pile) AS pile, avg(in_pile::INT) AS whole FROM judged
-  UNION ALL SELECT 'short', count(*) FILTER (words < 50), count(*) FILTER (words < 50 AND in_pile), avg(in_pile::INT) FROM judged
-), skews AS (SELECT cause, notes, pile, notes >= 10 AND pile > 0 AND pile >= 1.5 * whole * notes AS fires FROM skew
-), causes AS (
-  SELECT j.path, list_filter([CASE WHEN j.bucket = 'needs_review' THEN 'needs_review' END, CASE WHEN t.n IS NOT NULL THEN 'tie' END, CASE WHEN h.dir IS NOT NULL THEN 'hot_folder' END,
+  SELECT 'truncated' AS cause, count(*) FILTER (truncated) AS notes, count(*) FILTER (truncated AND in_pile) AS pile, count(*) AS n, count(*) FILTER (in_pile) AS np FROM judged
+  UNION ALL SELECT 'short', count(*) FILTER (words < 50), count(*) FILTER (words < 50 AND in_pile), count(*), count(*) FILTER (in_pile) FROM judged
+), skews AS (
+  SELECT cause, notes, pile, notes / n * 100 AS share, pile / np * 100 AS pile_share, pile >= 10 AND notes > 0 AND pile / np >= 1.5 * notes / n AS fires FROM skew
+), named AS (
+  SELECT j.path, j.pulled, h.dir IS NOT NULL AS hot, list_filter([CASE WHEN t.n IS NOT NULL THEN 'tie ' || j.x || '–' || j.y END, CASE WHEN j.pulled THEN 'needs_review pull' END, CASE WHEN h.dir IS NOT NULL THEN 'hot folder' END,
       CASE WHEN j.truncated AND (SELECT fires FROM skews WHERE cause = 'truncated') THEN 'truncated' END,
       CASE WHEN j.words < 50 AND (SELECT fires FROM skews WHERE cause = 'short') THEN 'short' END], lambda c: c IS NOT NULL) AS c
-  FROM judged j LEFT JOIN pairs q ON q.path = j.path LEFT JOIN ties t ON t.x = q.x AND t.y = q.y LEFT JOIN hot h ON h.dir = j.dir WHERE j.in_pile
-), named AS (SELECT path, CASE WHEN len(c) = 0 THEN ['unexplained'] ELSE c END AS c FROM causes)"""
+  FROM pile j LEFT JOIN ties t ON t.x = j.x AND t.y = j.y LEFT JOIN hot h ON h.dir = j.dir
+), top_bucket AS (
+  SELECT bucket, count(*) AS notes, count(*) / (SELECT count(*) FROM judged) AS share FROM judged GROUP BY bucket HAVING count(*) > 0.5 * (SELECT count(*) FROM judged)
+), cover AS (
+  SELECT dir, notes FROM (SELECT *, sum(notes) OVER (ORDER BY notes DESC, first) - notes AS earlier, sum(notes) OVER () AS n FROM (
+    SELECT dir, count(*) AS notes, min(plan_ord) AS first FROM judged WHERE bucket IN (SELECT bucket FROM top_bucket) GROUP BY dir)) WHERE earlier < 0.8 * n
+), sent AS (SELECT *, CASE WHEN question_chars > 0 THEN question_chars END AS q FROM judged WHERE NOT coalesce(cached, false)
+), asked AS (SELECT count(*) AS sent, count(*) > 0 AND count(q) = count(*) AS known, CASE WHEN count(*) > 0 AND count(q) = count(*) THEN sum(q)::BIGINT END AS total FROM sent)"""
+USD = "({}) / 1e6 * 0.042::DOUBLE"
+LOW, HIGH = "ceil(({}) / 3.8::DOUBLE)", "ceil(({}) / 2.8::DOUBLE)"
 
 RUNS = values([(*r, "family,private") for r in X.RUNS], "run_id, started, resumed_from, finished, taxonomy, state_version, model_requested, excerpt_cap, denylist, include_sensitive, sensitive_parts")
 _before, _after = X.snapshot_rows()
@@ -136,6 +155,36 @@ ELIGIBLE = (
 )"""
 )
 
+#: The literal vault: plan, links as written and where they lead, by the rules of the link graph.
+GRAPH = f"""v AS (
+  SELECT rel, body, replace(rel, '/', chr(1)) AS ord, CASE WHEN rel LIKE '.hidden/%' OR rel LIKE 'family/%' THEN 'skip' ELSE 'scan' END AS status,
+    CASE WHEN contains(rel, '/') THEN regexp_replace(rel, '[^/]*$', '') ELSE './' END AS folder,
+    list_concat(regexp_extract_all(body, '!?\\[\\[([^\\]|#]+)(?:#[^\\]|]*)?(?:\\|[^\\]]*)?\\]\\]', 1), regexp_extract_all(body, '!?\\[[^\\]]*\\]\\(([^)\\s]+?\\.md)(?:#[^)]*)?\\)', 1)) AS written,
+    list_concat(regexp_extract_all(body, '(!?)\\[\\[[^\\]|#]+(?:#[^\\]|]*)?(?:\\|[^\\]]*)?\\]\\]', 1), regexp_extract_all(body, '(!?)\\[[^\\]]*\\]\\([^)\\s]+?\\.md(?:#[^)]*)?\\)', 1)) AS bangs
+  FROM {values(X.VAULT, 'rel, body')}
+), t AS (
+  SELECT *, list_filter([regexp_replace(replace(trim(w), chr(92), '/'), '(?i)\\.md$', '') FOR w IN written IF lower(trim(w)) LIKE '%.md' OR NOT contains(string_split(trim(w), '/')[-1], '.')], lambda x: x <> '') AS targets,
+    len(list_filter(bangs, lambda b: b = '!')) AS embeds FROM v
+), links AS (
+  SELECT rel, unnest(targets) AS target, unnest(range(len(targets))) AS place FROM t WHERE status = 'scan'
+), wanted AS (
+  SELECT *, lower(trim(target, '/')) AS want FROM links
+), resolved AS (
+  SELECT w.rel, w.target, w.place, (SELECT arg_min(n.rel, n.ord) FROM v n WHERE lower(string_split(regexp_replace(n.rel, '(?i)\\.md$', ''), '/')[-1]) = string_split(w.want, '/')[-1]
+    AND (NOT contains(w.want, '/') OR lower(regexp_replace(n.rel, '(?i)\\.md$', '')) = w.want OR ends_with(lower(regexp_replace(n.rel, '(?i)\\.md$', '')), '/' || w.want))) AS resolved FROM wanted w
+), facts AS (
+  SELECT rel, ord, status, (SELECT count(*) FROM resolved r WHERE r.rel = t.rel) AS o, (SELECT count(*) FROM resolved r WHERE r.rel = t.rel AND r.resolved IS NULL) AS u,
+    (SELECT count(*) FROM resolved r WHERE r.resolved = t.rel AND r.rel <> t.rel) AS i, len(regexp_extract_all(body, '\\S+')) AS words FROM t
+), graph AS (
+  SELECT *, CASE WHEN status = 'scan' THEN o >= 8 AND words <= 20 * o END AS is_moc, CASE WHEN status = 'scan' AND (SELECT avg((o > 0)::INT) FROM facts WHERE status = 'scan') >= 0.05 THEN i = 0 END AS is_orphan FROM facts
+)"""
+#: Facts and rows of the documents as the map query makes them from doc_id.
+MAPPED = NOTES + f""", m AS (
+  SELECT *, {WORDS.replace('text', 'body')} AS words, status = 'scan' AND doc_id % 4 <> 0 AS voted FROM planned WHERE body IS NOT NULL
+), f AS (
+  SELECT *, CASE WHEN voted THEN CASE WHEN doc_id % 4 = 1 THEN 'local' ELSE 'judged' END END AS judge, status = 'scan' AS scan, unnest(list_concat(['./'], [array_to_string(string_split(rel, '/')[:i], '/') || '/' FOR i IN range(1, len(string_split(rel, '/')))])) AS f FROM m
+)"""
+
 SQL: dict[str, str] = {
     "m0_triage_summary": f"""WITH {DUPLICATES}, v AS (
         SELECT exact_duplicate_of IS NOT NULL AS local, {keyword_bucket("lower(body)", "body")} AS b FROM dup WHERE status = 'scan')
@@ -183,8 +232,10 @@ SQL: dict[str, str] = {
     "r19_listed_names": "SELECT doc_id, regexp_matches(text, '(?i)(^|[^A-Za-z0-9])(the[\\s_\\-./–—]+and|ing)($|[^A-Za-z0-9])') AS named FROM documents",
     "j3_exact_duplicate_pointer": f"WITH {DUPLICATES} SELECT rel, exact_duplicate_of FROM dup",
     "a9_duplicate_groups": f"WITH {DUPLICATES} SELECT exact_duplicate_of AS canonical, array_to_string(list_sort(list(rel)), '|') AS copies FROM dup WHERE exact_duplicate_of IS NOT NULL GROUP BY 1",
-    "a7_folder_rollup": f"""WITH d AS (SELECT 'all/' || source || '/' AS f, {WORDS} AS w FROM documents), e AS (SELECT unnest(['./', 'all/', f]) AS folder, w FROM d)
-      SELECT folder, count(*) AS notes, 0::BIGINT AS skipped, sum(w)::BIGINT AS words FROM e GROUP BY folder""",
+    "a7_folder_rollup": f"""WITH {MAPPED} SELECT f AS folder, count(*) AS notes, count(*) FILTER (voted) AS judged, count(*) FILTER (judge = 'local') AS local, count(*) FILTER (voted AND doc_id % 5 = 0) AS review, count(*) FILTER (voted AND doc_id % 6 = 0) AS quarantined,
+        count(*) FILTER (scan AND doc_id % 8 = 0) AS locked, count(*) FILTER (NOT scan) AS skipped, count(*) FILTER (scan AND doc_id % 7 = 0) AS orphans, count(*) FILTER (scan AND doc_id % 9 = 0) AS mocs,
+        count(*) FILTER (voted AND doc_id % 3 = 0) AS age_from_mtime, 2 * count(*) FILTER (doc_id % 10 = 0) AS findings, coalesce(sum(words) FILTER (scan), 0)::BIGINT AS words, coalesce(sum(doc_id % 3) FILTER (scan), 0)::BIGINT AS in_links,
+        coalesce(sum(doc_id % 4) FILTER (scan), 0)::BIGINT AS out_links, coalesce(sum(doc_id % 2) FILTER (scan), 0)::BIGINT AS unresolved_links FROM f GROUP BY f""",
     "u2_keyword_votes": f"""WITH d AS (SELECT doc_id, {keyword_bucket("'note ' || lower(text)", "text")} AS bucket FROM documents)
       SELECT doc_id, bucket, {PERSIST} AS persist, {SECRET} AS contains_secret, CASE WHEN bucket = 'project_decision' THEN 0.7 ELSE 0.3 END::DOUBLE AS is_actionable FROM d""",
     "u2_keyword_votes_literal": f"""WITH d AS (SELECT *, {keyword_bucket("lower(title) || ' ' || lower(excerpt)", "excerpt")} AS bucket FROM {values(X.EXCERPTS, 'id, title, excerpt')})
@@ -197,16 +248,17 @@ SQL: dict[str, str] = {
           WHEN 4 THEN 'low confidence or explicit needs_review' WHEN 5 THEN 'junk, low persist: marked only, never deleted' ELSE 'normal vote' END AS reason, way = 4 AS review,
         CASE way WHEN 1 THEN array_to_string(list_transform(local, lambda h: 'local:' || h), '|') WHEN 2 THEN 'contains_secret' WHEN 3 THEN 'safe_to_leave_in_git' ELSE '' END AS triggers FROM w""",
     "a1_preflight": f"WITH {NOTES} SELECT folder, status, rule, count(*) AS notes FROM planned GROUP BY ALL",
-    "a2_bill": f"""WITH {DUPLICATES} SELECT count(*) FILTER (exact_duplicate_of IS NULL) AS n_fresh, count(*) FILTER (exact_duplicate_of IS NOT NULL) AS n_local, 0::BIGINT AS n_locked,
-        count(*) FILTER (exact_duplicate_of IS NULL) AS n_age_from_mtime, false AS over_budget FROM dup WHERE status = 'scan'""",
+    "a2_bill": f"""WITH {DUPLICATES} SELECT count(*) FILTER (exact_duplicate_of IS NULL) AS n_fresh, count(*) FILTER (exact_duplicate_of IS NOT NULL) AS n_local, 0::BIGINT AS n_locked, 0::BIGINT AS n_cached, 0::BIGINT AS n_unreadable,
+        count(*) AS n_age_from_mtime, 0::BIGINT AS n_dated, 0::BIGINT AS n_stamp_dated, false AS over_budget FROM dup WHERE status = 'scan'""",
     "a3_bill_of_documents": """WITH d AS (SELECT count(*) AS n_fresh, (sum(length(text)) + 1000 * count(*))::BIGINT AS chars FROM documents), e AS (SELECT *, ceil(chars / 3.8::DOUBLE)::BIGINT AS tokens_low, ceil(chars / 2.8::DOUBLE)::BIGINT AS tokens_high FROM d)
       SELECT n_fresh, chars, tokens_low, tokens_high, round(tokens_low / 1e6 * 0.042::DOUBLE, 6) AS usd_low, round(tokens_high / 1e6 * 0.042::DOUBLE, 6) AS usd_high, tokens_high / 1e6 * 0.042::DOUBLE > 0.01 AS over_budget FROM e""",
-    "o4_largest_folders": f"WITH {NOTES} SELECT folder, sum(length(body))::BIGINT AS chars FROM planned GROUP BY folder ORDER BY chars DESC, folder LIMIT 5",
+    "o4_largest_folders": f"WITH {NOTES} SELECT folder, sum(length(body))::BIGINT AS chars, count(*) AS notes FROM planned GROUP BY folder ORDER BY chars DESC, folder LIMIT 5",
     "j7_same_records": """WITH c AS (SELECT conv_id || ':' || turn AS id, role, text FROM conversations), f AS (SELECT role, text, min(id) AS first FROM c GROUP BY ALL)
       SELECT id, 'fresh' AS disposition, CASE WHEN first <> id THEN first END AS same_as FROM c JOIN f USING (role, text)""",
     "a4_records_bill": """WITH c AS (SELECT conv_id || ':' || turn AS id, role, text FROM conversations), f AS (SELECT role, text, arg_min(length(text), id) AS chars, count(*) AS n FROM c GROUP BY ALL)
       SELECT count(*) AS to_send, sum(chars)::BIGINT AS chars, sum(n - 1)::BIGINT AS reused FROM f""",
-    "d4_record_rows": "SELECT conv_id || ':' || turn AS id, 'vote' AS kind, 'keep' AS pick, 'normal' AS action, 1.0::DOUBLE AS worth FROM conversations",
+    "d4_record_rows": """WITH c AS (SELECT conv_id || ':' || turn AS id, role, text FROM conversations), f AS (SELECT role, text, min(id) AS first FROM c GROUP BY ALL)
+      SELECT id, 'vote' AS kind, 'judged' AS judge, 'keep' AS pick, 0.8::DOUBLE AS confidence, 'label' AS action, 'normal vote' AS reason, false AS review, 1.0::DOUBLE AS worth, CASE WHEN first <> id THEN first END AS same_as FROM c JOIN f USING (role, text)""",
     "w2_latest_row_per_key": "SELECT user_id AS path, max(event_id) AS line, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id",
     "j6_cache_probe": "SELECT doc_id, md5(text) IN (SELECT md5(text) FROM documents WHERE doc_id % 3 = 0) AS is_cached FROM documents",
     "j8_errors_to_retry": "SELECT user_id AS path FROM events GROUP BY user_id HAVING max(event_id) % 7 = 0",
@@ -240,7 +292,8 @@ SQL: dict[str, str] = {
     "j10_diff_of_documents": """WITH l AS (SELECT doc_id, quality, toxic FROM documents JOIN labels USING (doc_id)), j AS (SELECT *, doc_id % 5 <> 0 AS a, doc_id % 7 <> 0 AS b FROM l WHERE doc_id % 5 <> 0 OR doc_id % 7 <> 0)
       SELECT category, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN a AND NOT b THEN 'gone' END, CASE WHEN b AND NOT a THEN 'new' END, CASE WHEN a AND b AND quality <> 1 THEN 'bucket_changed' END,
         CASE WHEN b AND toxic = 1 THEN 'quarantined' END, CASE WHEN a AND b AND quality = 1 AND toxic <> 1 THEN 'unchanged' END], lambda c: c IS NOT NULL)) AS category FROM j) GROUP BY category""",
-    "j13_resume_chain": f"""WITH RECURSIVE r AS (SELECT * FROM {RUNS}), c AS (SELECT run_id, 0 AS "at", run_id AS ancestor FROM r UNION ALL SELECT c.run_id, c."at" + 1, r.resumed_from FROM c JOIN r ON r.run_id = c.ancestor WHERE r.resumed_from IS NOT NULL)
+    "j13_resume_chain": f"""WITH RECURSIVE r AS (SELECT * FROM {RUNS}), c AS (SELECT run_id, 0 AS "at", run_id AS ancestor, resumed_from AS next, [run_id] AS seen FROM r
+        UNION ALL SELECT c.run_id, c."at" + 1, r.run_id, r.resumed_from, list_append(c.seen, r.run_id) FROM c JOIN r ON r.run_id = c.next WHERE NOT list_contains(c.seen, r.run_id))
       SELECT run_id, "at", ancestor FROM c""",
     "x4_run_to_resume": f"WITH r AS (SELECT * FROM {RUNS}) SELECT run_id FROM r WHERE NOT finished AND run_id NOT IN (SELECT resumed_from FROM r WHERE resumed_from IS NOT NULL) ORDER BY started DESC LIMIT 1",
     "g13_header_changes": f"""WITH r AS (SELECT * FROM {RUNS}), p AS (SELECT a.*, b.taxonomy AS t2, b.model_requested AS m2, b.state_version AS s2, b.excerpt_cap AS e2, b.denylist AS d2 FROM r a, r b WHERE a.run_id = 'r1' AND b.run_id = 'r3')
@@ -249,8 +302,8 @@ SQL: dict[str, str] = {
     "g14_findings_counters": f"""WITH f AS (SELECT unnest(findings) AS finding, 0 AS side FROM {BEFORE} UNION ALL SELECT unnest(findings), 1 FROM {AFTER})
       SELECT finding, count(*) FILTER (side = 0) AS before, count(*) FILTER (side = 1) AS after FROM f GROUP BY finding""",
     "a33_row_kinds": f"SELECT kind, count(*) AS n FROM {REPORT} GROUP BY kind",
-    "f11_out_of_credits": "SELECT id::INT AS id, regexp_matches(message, '(?i)(^|[^0-9])402($|[^0-9])|out of credits|insufficient credits|payment required') AS out FROM "
-    + values(list(enumerate(["HTTP 402", "status=402, stop", "1402 items", "4021", "Payment Required", "out of credits", "timeout", "error 500"])), "id, message"),
+    "f11_out_of_credits": f"""SELECT id::INT AS id, regexp_matches(message, '(?i)\\b(?:http|status|error)\\b([^\\n]{{0,23}}[^0-9\\n])402($|[^0-9])') OR regexp_matches(message, '(?i)(^|[^0-9])402([^0-9\\n][^\\n]{{0,23}})\\b(?:payment|credits)')
+        OR (contains(lower(message), 'no available') AND contains(lower(message), 'credits')) AS out FROM {values(list(enumerate(X.MESSAGES)), 'id, message')}""",
     "o7_stratified_sample": f"WITH {ELIGIBLE} SELECT rel, stratum FROM sampled",
     "a31_strata": f"WITH {ELIGIBLE} SELECT s.stratum, s.n AS population, coalesce(t.n, 0) AS sampled FROM (SELECT stratum, count(*) AS n FROM strata GROUP BY 1) s LEFT JOIN (SELECT stratum, count(*) AS n FROM sampled GROUP BY 1) t ON s.stratum = t.stratum",
     "o8_spot_check": f"WITH {DUPLICATES} SELECT rel AS path FROM dup WHERE status = 'scan' AND exact_duplicate_of IS NULL ORDER BY sha256('3|' || rel) LIMIT 20",
@@ -259,31 +312,109 @@ SQL: dict[str, str] = {
     "s18_quarantine_moves": f"""WITH h AS (SELECT path, plan_ord, reason FROM {REPORT} WHERE action = 'quarantine'), u AS (SELECT * FROM h UNION ALL SELECT upper(path), plan_ord || '~', reason FROM h),
       n AS (SELECT *, row_number() OVER (PARTITION BY lower(path) ORDER BY plan_ord) AS i FROM u)
       SELECT path AS from, '_tidepool/quarantine/' || CASE WHEN i = 1 THEN path ELSE regexp_replace(path, '(?i)\\.md$', '') || '-' || i || '.md' END AS to, reason FROM n""",
-    "a12_diagnosis_counts": f"""WITH {JUDGED} SELECT (SELECT count(*) FROM judged) AS n_judged, count(*) FILTER (judge = 'local') AS n_local, count(*) FILTER (kind = 'skip') AS n_skipped, count(*) FILTER (kind = 'error') AS n_errors,
-        (SELECT count(*) FROM judged WHERE in_pile) AS n_pile, count(*) FILTER (action = 'quarantine') AS n_quarantined, (SELECT round(count(*) FILTER (in_pile) / count(*) * 100, 6) FROM judged) AS pile_share FROM report""",
-    "a13_medians": f"""WITH {JUDGED} SELECT round(median(bucket_margin::DOUBLE) FILTER (in_pile), 6) AS pile_margin, round(median(bucket_margin::DOUBLE) FILTER (NOT in_pile), 6) AS rest_margin,
+    "a12_diagnosis_counts": f"""WITH {JUDGED} SELECT count(*) AS n_rows, count(*) FILTER (kind = 'vote') AS n_votes, (SELECT count(*) FROM judged) AS n_judged, count(*) FILTER (kind = 'vote' AND judge = 'local') AS n_local,
+        count(*) FILTER (kind = 'skip') AS n_withheld, count(*) FILTER (kind = 'error') AS n_errors, (SELECT count(*) FROM pile) AS n_pile, count(*) FILTER (kind = 'vote' AND action = 'quarantine') AS n_quarantined,
+        count(*) FILTER (kind = 'vote' AND len(redacted) > 0) AS n_redacted, count(*) FILTER (kind = 'vote' AND dup IS NOT NULL) AS n_duplicates,
+        round((SELECT count(*) FROM pile) / (SELECT count(*) FROM judged) * 100, 6) AS pile_share FROM report""",
+    "a13_medians": f"""WITH {JUDGED} SELECT round(median(coalesce(bucket_margin, 0)::DOUBLE) FILTER (in_pile), 6) AS pile_margin, round(median(coalesce(bucket_margin, 0)::DOUBLE) FILTER (NOT in_pile), 6) AS rest_margin,
         round(median(abs(confidence::DOUBLE + top[1].v::DOUBLE)), 6) AS confidence_gap FROM judged""",
     "a14_tie_pairs": f"WITH {JUDGED} SELECT x, y, n FROM ties",
-    "a15_merge_gain": f"""WITH {JUDGED}, g AS (SELECT t.x, t.y, list_max(list_concat([coalesce(p[t.x], 0) + coalesce(p[t.y], 0)], [e.value FOR e IN map_entries(p) IF e.key <> t.x AND e.key <> t.y])) AS best FROM judged, ties t WHERE in_pile)
-      SELECT x, y, count(*) FILTER (best >= 0.55) AS cleared FROM g GROUP BY x, y""",
-    "a16_review_pull": f"WITH {JUDGED} SELECT count(*) FILTER (bucket = 'needs_review') AS explicit, count(*) FILTER (bucket <> 'needs_review' AND top[2].k = 'needs_review') AS runner_up FROM judged WHERE in_pile",
-    "a17_hot_folders": f"WITH {JUDGED} SELECT dir, notes, pile, tokens, round(tokens / 1e6 * 0.042::DOUBLE, 9) AS usd FROM hot",
-    "a18_hot_folder_pairs": f"WITH {JUDGED}, c AS (SELECT dir, x, y, count(*) AS n, min(plan_ord) AS o FROM pairs WHERE dir IN (SELECT dir FROM hot) GROUP BY dir, x, y) SELECT dir, x, y, n FROM c QUALIFY row_number() OVER (PARTITION BY dir ORDER BY n DESC, o) = 1",
-    "a19_biggest_folder": f"""WITH {JUDGED}, d AS (SELECT dir, count(*) AS notes, count(*) FILTER (in_pile) AS pile FROM judged GROUP BY dir)
-      SELECT dir, notes, pile, ((SELECT sum(notes) FROM d) - notes)::BIGINT AS rest_notes, ((SELECT sum(pile) FROM d) - pile)::BIGINT AS rest_pile FROM d ORDER BY notes DESC, dir LIMIT 1""",
-    "a20_skew_causes": f"WITH {JUDGED} SELECT * FROM skews",
-    "a21_causes": f"WITH {JUDGED} SELECT path, array_to_string(c, '|') AS causes FROM named",
-    "a24_bucket_counts": f"""WITH {JUDGED}, b AS (SELECT unnest(['durable_memory', 'project_decision', 'code_note', 'reference', 'log_entry', 'ephemeral', 'junk', 'needs_review']) AS bucket)
-      SELECT bucket, (SELECT count(*) FROM judged j WHERE j.bucket = b.bucket) AS notes, (SELECT count(*) FROM judged j WHERE j.top[2].k = b.bucket) AS as_runner_up FROM b""",
-    "a25_dominant_cover": f"""WITH {JUDGED}, t AS (SELECT bucket FROM judged GROUP BY bucket HAVING count(*) > 0.5 * (SELECT count(*) FROM judged)), d AS (SELECT dir, count(*) AS notes FROM judged WHERE bucket IN (SELECT bucket FROM t) GROUP BY dir),
-      r AS (SELECT *, sum(notes) OVER (ORDER BY notes DESC, dir) - notes AS earlier, sum(notes) OVER () AS n FROM d) SELECT dir, notes FROM r WHERE earlier < 0.8 * n""",
+    "a14_tie_summary": f"WITH {JUDGED}, t AS (SELECT (SELECT sum(n) FROM ties)::BIGINT AS tied, (SELECT count(*) FROM pile) AS n) SELECT tied, round(tied / n * 100, 6) AS share, tied / n >= 0.5 AS overlap FROM t",
+    "a15_merge_gain": f"WITH {JUDGED} SELECT x, y, tied, cleared FROM gains",
+    "a16_review_pull": f"""WITH {JUDGED}, e AS (SELECT count(*) FILTER (bucket = 'needs_review') AS explicit, count(*) FILTER (bucket <> 'needs_review' AND top[2].k = 'needs_review') AS runner_up, count(*) AS n FROM pile)
+      SELECT explicit, runner_up, explicit + runner_up AS pull, round((explicit + runner_up) / n * 100, 6) AS pull_share FROM e""",
+    "a17_hot_folders": f"WITH {JUDGED} SELECT row_number() OVER (ORDER BY share DESC, pile DESC)::INT AS place, dir, notes, pile, round(share, 6) AS share, tokens, round({USD.format('tokens')}, 9) AS usd FROM hot",
+    "a18_hot_folder_pairs": f"""WITH {JUDGED}, h AS (SELECT dir, count(*) FILTER (pulled) AS pulled FROM pile WHERE dir IN (SELECT dir FROM hot) GROUP BY dir),
+      c AS (SELECT dir, x, y, count(*) AS n, min(place) AS o FROM pile WHERE x IS NOT NULL GROUP BY dir, x, y QUALIFY row_number() OVER (PARTITION BY dir ORDER BY count(*) DESC, min(place)) = 1)
+      SELECT h.dir, CASE WHEN c.n >= pulled THEN 'tie' WHEN pulled > 0 THEN 'needs_review' END AS competes, CASE WHEN c.n >= pulled THEN x END AS x, CASE WHEN c.n >= pulled THEN y END AS y,
+        CASE WHEN c.n >= pulled THEN c.n WHEN pulled > 0 THEN pulled END AS n FROM h LEFT JOIN c ON c.dir = h.dir""",
+    "a19_biggest_folder": f"""WITH {JUDGED}, d AS (SELECT dir, count(*) AS notes, count(*) FILTER (in_pile) AS pile, min(plan_ord) AS first FROM judged GROUP BY dir), w AS (SELECT count(*) AS n, count(*) FILTER (in_pile) AS p FROM judged)
+      SELECT dir, notes, pile, round(pile / notes, 6) AS share, round((p - pile) / (n - notes), 6) AS rest_share FROM d, w ORDER BY notes DESC, first LIMIT 1""",
+    "a20_skew_causes": f"WITH {JUDGED} SELECT cause, notes, pile, round(share, 6) AS share, round(pile_share, 6) AS pile_share, fires FROM skews",
+    "a20_doubled_cap": f"""WITH {JUDGED}, c AS (SELECT max(excerpt_chars) AS cap, count(*) AS notes FROM judged WHERE truncated)
+      SELECT cap, 2 * cap AS new_cap, notes, round({USD.format(LOW.format('notes * cap'))}, 9) AS usd_low, round({USD.format(HIGH.format('notes * cap'))}, 9) AS usd_high FROM c""",
+    "a21_causes": f"WITH {JUDGED} SELECT path, CASE WHEN len(c) = 0 THEN 'unexplained' ELSE array_to_string(c, '|') END AS causes FROM named",
+    "a22_question_chars": f"WITH {JUDGED} SELECT sent, known, total, round(total / sent)::BIGINT AS per_call, 'recorded on each row' AS source FROM asked",
+    "a23_rerun_costs": f"""WITH {JUDGED}, c AS (SELECT sum(payload_chars) + 2000 * count(*) AS chars, sum(input_tokens) AS tokens, (SELECT sum(input_tokens) FROM judged) AS every FROM pile)
+      SELECT round({USD.format(LOW.format('chars'))}, 9) AS pile_low, round({USD.format(HIGH.format('chars'))}, 9) AS pile_high, round({USD.format('tokens')}, 9) AS pile_measured, round({USD.format('every')}, 9) AS "full" FROM c""",
+    "a24_bucket_counts": f"""WITH {JUDGED}, b AS (SELECT unnest(['durable_memory', 'project_decision', 'code_note', 'reference', 'log_entry', 'ephemeral', 'junk', 'needs_review']) AS bucket),
+      c AS (SELECT bucket, (SELECT count(*) FROM judged j WHERE j.bucket = b.bucket) AS notes, (SELECT count(*) FROM pile j WHERE j.top[2].k = b.bucket) AS second FROM b)
+      SELECT bucket, notes, CASE WHEN notes = 0 THEN second END AS as_runner_up FROM c""",
+    "a25_dominant_cover": f"WITH {JUDGED} SELECT dir, notes FROM cover",
+    "a25_dominant_cost": f"""WITH {JUDGED} SELECT (SELECT bucket FROM top_bucket) AS bucket, count(DISTINCT dir) AS folders, count(*) AS notes, sum(input_tokens)::BIGINT AS tokens, sum(payload_chars)::BIGINT AS chars, round({USD.format('sum(input_tokens)')}, 9) AS usd
+      FROM judged WHERE dir IN (SELECT dir FROM cover)""",
     "a26_membrane": f"""WITH {JUDGED}, v AS (SELECT * FROM report WHERE kind = 'vote'), u AS (SELECT 'withheld' AS counter, skipped AS value FROM report WHERE kind = 'skip' UNION ALL SELECT 'hits', unnest(redacted) FROM v UNION ALL SELECT 'own_hits', unnest(redacted_own) FROM v
-        UNION ALL SELECT 'triggers', unnest(quarantine_triggers) FROM v UNION ALL SELECT 'local', CASE WHEN reason LIKE 'exact duplicate of %' THEN 'exact duplicate: decided locally' ELSE reason END FROM v WHERE judge = 'local')
+        UNION ALL SELECT 'triggers', unnest(CASE WHEN len(quarantine_triggers) > 0 THEN quarantine_triggers ELSE ['(unstated)'] END) FROM v WHERE action = 'quarantine'
+        UNION ALL SELECT 'local', CASE WHEN reason LIKE 'exact duplicate of %' THEN 'exact duplicate' ELSE string_split(reason, ':')[1] END FROM v WHERE judge = 'local')
       SELECT counter, value, count(*) AS n FROM u GROUP BY ALL""",
     "a27_errors": f"SELECT error, count(*) AS n FROM {REPORT} WHERE kind = 'error' GROUP BY error",
-    "a28_cost": f"""WITH {JUDGED}, s AS (SELECT sum(input_tokens)::BIGINT AS tokens, count(*) AS sent, sum(payload_chars)::BIGINT AS payload FROM judged)
-      SELECT *, round(tokens / 1e6 * 0.042::DOUBLE, 9) AS usd, (ceil(tokens / 1e6 * 0.042::DOUBLE / 0.5) * 0.5)::DOUBLE AS ceiling FROM s""",
-    "a29_age_and_graph": f"WITH {JUDGED} SELECT count(*) FILTER (age_source = 'mtime') AS from_mtime, count(*) FILTER (age_source = 'frontmatter') AS from_header, avg((age_days = 0)::INT) >= 0.95 AS just_cloned, round(avg((out_links > 0)::INT), 6) AS linking_share FROM judged",
-    "a30_actions": f"""WITH {JUDGED}, e AS (SELECT path, unnest(c) AS cause FROM named), s AS (SELECT cause, count(*) AS notes FROM e GROUP BY cause), r AS (SELECT *, row_number() OVER (ORDER BY notes DESC, cause) AS rank FROM s),
-      b AS (SELECT path, min(rank) AS rank FROM e JOIN r USING (cause) GROUP BY path) SELECT cause, notes, (SELECT count(*) FROM b WHERE b.rank = r.rank) AS fresh FROM r""",
+    "a28_cost": f"""WITH {JUDGED}, s AS (SELECT sum(input_tokens)::BIGINT AS tokens, count(*) AS sent, sum(payload_chars)::BIGINT AS payload, (SELECT total FROM asked) AS total FROM sent),
+      e AS (SELECT *, {USD.format('tokens')} AS usd, (payload + total) / tokens AS ratio, {USD.format(LOW.format('payload + total'))} AS lo, {USD.format(HIGH.format('payload + total'))} AS hi FROM s)
+      SELECT tokens, sent, payload, round(usd, 9) AS usd, round(ratio, 6) AS ratio, CASE WHEN ratio < 2.8 THEN 'below' WHEN ratio > 3.8 THEN 'above' ELSE 'inside' END AS verdict, round(lo, 9) AS estimate_low, round(hi, 9) AS estimate_high,
+        (ceil(greatest(hi, usd) / 0.5) * 0.5)::DOUBLE AS ceiling FROM e""",
+    "a29_age_and_graph": f"""WITH {JUDGED}, g AS (SELECT count(*) AS n, count(*) FILTER (age_source = 'mtime') AS from_mtime, count(*) FILTER (age_source = 'frontmatter') AS from_frontmatter, count(*) FILTER (age_source = 'stamp') AS from_stamp,
+        count(*) FILTER (age_source IS NULL) AS from_unknown, avg((age_days = 0)::INT) FILTER (age_days IS NOT NULL) AS zero, avg((out_links > 0)::INT) FILTER (has_graph) AS links FROM judged)
+      SELECT from_mtime, from_frontmatter, from_stamp, from_unknown, round(from_mtime / n, 6) AS mtime_share, round(zero, 6) AS zero_share, round(links, 6) AS linking_share, links < 0.05 AS links_unknown, from_mtime / n >= 0.95 AND zero >= 0.95 AS just_cloned FROM g""",
+    "a30_actions": f"""WITH {JUDGED}, best AS (SELECT x, y, cleared FROM gains ORDER BY cleared DESC, tied DESC, first LIMIT 1),
+      covers AS (SELECT 'merge' AS action, path FROM merged m WHERE clears AND EXISTS (SELECT 1 FROM best b WHERE b.x = m.x AND b.y = m.y)
+        UNION ALL SELECT 'needs_review', path FROM named WHERE pulled UNION ALL SELECT 'hot folders', path FROM named WHERE hot
+        UNION ALL SELECT 'truncation', path FROM named WHERE list_contains(c, 'truncated') UNION ALL SELECT 'short', path FROM named WHERE list_contains(c, 'short') UNION ALL SELECT 'unexplained', path FROM named WHERE len(c) = 0),
+      n AS (SELECT action, count(*) AS notes FROM covers GROUP BY action),
+      listed AS (SELECT action, CASE action WHEN 'merge' THEN 0 WHEN 'needs_review' THEN 1 WHEN 'hot folders' THEN 3 WHEN 'truncation' THEN 4 WHEN 'short' THEN 5 ELSE 9 END AS pos, CASE WHEN action = 'unexplained' THEN 0 ELSE notes END::DOUBLE AS impact FROM n
+        UNION ALL SELECT 'dominant', 2, 100 * {USD.format('sum(input_tokens)')} FROM judged WHERE dir IN (SELECT dir FROM cover) HAVING count(*) > 0
+        UNION ALL SELECT 'errors', 6, count(*) FROM report WHERE kind = 'error' HAVING count(*) > 0
+        UNION ALL SELECT 'links', 7, 0 FROM judged HAVING avg((out_links > 0)::INT) FILTER (has_graph) < 0.05
+        UNION ALL SELECT 'dates', 8, 0 FROM judged HAVING count(*) FILTER (age_source = 'mtime') / count(*) > 0.5),
+      r AS (SELECT *, row_number() OVER (ORDER BY impact DESC, pos) AS rank FROM listed), f AS (SELECT path, min(rank) AS first FROM covers JOIN r USING (action) GROUP BY path),
+      s AS (SELECT r.rank, count(*) AS notes, count(*) FILTER (f.first < r.rank) AS shared FROM covers JOIN r USING (action) JOIN f USING (path) GROUP BY r.rank)
+      SELECT r.rank::INT AS rank, action, round(impact, 9) AS impact, coalesce(notes, 0) AS notes, coalesce(shared, 0) AS shared, coalesce(notes > 0 AND shared >= 0.5 * notes, false) AS overlaps FROM r LEFT JOIN s ON s.rank = r.rank""",
+    "a34_mtime_finding": f"SELECT count(*) FILTER (age_source = 'mtime') AS from_mtime, count(age_source) AS notes FROM {REPORT} WHERE kind = 'vote'",
+    "a6_totals": f"""WITH {MAPPED} SELECT count(*) AS notes, count(*) FILTER (voted) AS judged, count(*) FILTER (judge = 'local') AS local, count(*) FILTER (voted AND doc_id % 8 = 2) AS cached, count(*) FILTER (voted AND doc_id % 5 = 0) AS review,
+        count(*) FILTER (voted AND doc_id % 6 = 0) AS quarantined, count(*) FILTER (scan AND doc_id % 8 = 0) AS locked, count(*) FILTER (NOT scan) AS skipped, count(*) FILTER (voted AND doc_id % 3 = 0) AS age_from_mtime,
+        count(*) FILTER (voted AND doc_id % 3 = 1) AS dated, count(*) FILTER (voted AND doc_id % 3 = 2) AS stamp_dated FROM f WHERE f = './'""",
+    "a7_folder_buckets": f"WITH {MAPPED} SELECT f AS folder, CASE WHEN doc_id % 3 = 0 THEN 'junk' ELSE 'reference' END AS bucket, count(*) AS n FROM f WHERE voted GROUP BY ALL",
+    "a7_folder_ages": f"""WITH {MAPPED}, a AS (SELECT f, (doc_id % 400)::INT AS d FROM f WHERE scan)
+      SELECT f AS folder, CASE WHEN d >= 365 THEN 365 WHEN d >= 90 THEN 90 WHEN d >= 30 THEN 30 WHEN d >= 7 THEN 7 WHEN d >= 1 THEN 1 ELSE 0 END::INT AS age, count(*) AS n FROM a GROUP BY ALL""",
+    "d4_record_policy": f"""WITH a AS (SELECT * FROM {values(X.RECORD_VOTES, 'id, hits, pick, sure, secret')}),
+      r AS (SELECT id, NULL AS same_as, hits, pick, sure, secret FROM a UNION ALL SELECT 'g', 'b', [], pick, sure, secret FROM a WHERE id = 'b' UNION ALL SELECT 'h', 'e', [], pick, sure, secret FROM a WHERE id = 'e'),
+      w AS (SELECT *, CASE WHEN list_contains(hits, 'KEY') THEN 'held' WHEN pick IS NULL THEN 'failed' WHEN secret >= 0.7 THEN 'secret' WHEN sure < 0.55 THEN 'unsure' ELSE 'plain' END AS way FROM r)
+      SELECT id, CASE WHEN way = 'failed' THEN 'error' ELSE 'vote' END AS kind, CASE WHEN way = 'held' THEN 'local' ELSE 'judged' END AS judge, CASE WHEN way <> 'held' THEN pick END AS pick, CASE WHEN way <> 'held' THEN sure END::DOUBLE AS confidence,
+        CASE way WHEN 'held' THEN 'quarantine' WHEN 'secret' THEN 'quarantine' WHEN 'failed' THEN 'error' ELSE 'label' END AS action,
+        CASE way WHEN 'held' THEN 'local redaction hit: KEY' WHEN 'failed' THEN 'no answer' WHEN 'secret' THEN 'contains_secret above threshold' WHEN 'unsure' THEN 'low confidence: routed to a person' ELSE 'normal vote' END AS reason,
+        way = 'unsure' AS review, CASE WHEN way = 'unsure' THEN pick END AS suggested, CASE way WHEN 'held' THEN 'local:KEY' WHEN 'secret' THEN 'contains_secret' ELSE '' END AS triggers,
+        CASE WHEN way = 'held' OR same_as IS NOT NULL THEN 0 WHEN way = 'failed' THEN NULL ELSE 100 END::BIGINT AS input_tokens, same_as FROM w""",
+    "p10_links": f"WITH {GRAPH} SELECT rel, array_to_string(targets, '|') AS targets, embeds::INT AS embeds FROM t",
+    "j1_resolved_links": f"WITH {GRAPH} SELECT rel, target, place::INT AS place, resolved FROM resolved",
+    "j2_link_degrees": f"WITH {GRAPH} SELECT rel, CASE WHEN status = 'scan' THEN o END::INT AS out_links, i::INT AS in_links, CASE WHEN status = 'scan' THEN u END::INT AS unresolved_links, is_moc, is_orphan FROM graph",
+    "a10_linking_share": f"WITH {GRAPH} SELECT round(avg((o > 0)::INT), 9) AS share FROM graph WHERE status = 'scan'",
+    "a8_degree_histogram": f"WITH {GRAPH} SELECT least(i, 20)::INT AS degree, count(*) AS notes FROM graph WHERE status = 'scan' GROUP BY 1",
+    "a8_out_degrees": f"WITH {GRAPH} SELECT least(o, 20)::INT AS degree, count(*) AS notes FROM graph WHERE status = 'scan' GROUP BY 1",
+    "a8_graph_totals": f"WITH {GRAPH} SELECT count(*) AS nodes, sum(o - u)::BIGINT AS edges, sum(u)::BIGINT AS unresolved, count(*) FILTER (is_orphan) AS orphans, count(*) FILTER (is_moc) AS mocs FROM graph WHERE status = 'scan'",
+    "o3_hubs": f"WITH {GRAPH} SELECT rel, i::INT AS in_links FROM graph WHERE status = 'scan' AND i > 0 ORDER BY i DESC, ord LIMIT 2",
+    "d1_local_triage": f"""WITH {GRAPH}, d AS (SELECT rel, ord, body, {DIGEST.replace('text', 'body')} AS digest FROM v WHERE status = 'scan'), g AS (SELECT digest, arg_min(rel, ord) AS first FROM d GROUP BY digest),
+      r AS (SELECT rel, CASE WHEN regexp_matches(body, 'gh[pousr]_[A-Za-z0-9]{{20,}}') THEN 'secret' WHEN len(list_filter(string_split(body, chr(10)), lambda l: trim(l) <> '' AND NOT starts_with(ltrim(l), '#'))) = 0 THEN 'empty'
+        WHEN first <> rel THEN 'duplicate' END AS rule FROM d JOIN g USING (digest))
+      SELECT rel, rule, CASE WHEN rule IS NULL THEN 'fresh' ELSE 'local' END AS disposition FROM r""",
+    "j4_siblings": f"""WITH {NOTES}, n AS (SELECT rel, folder, replace(rel, '/', chr(1)) AS ord, 'Note ' || doc_id % 11 || ' x' || doc_id % 7 || ' y' || doc_id % 5 AS title, ['note', (doc_id % 11)::VARCHAR, 'x' || doc_id % 7, 'y' || doc_id % 5] AS w FROM planned WHERE status = 'scan'),
+      p AS (SELECT a.rel, b.title, row_number() OVER (PARTITION BY a.rel ORDER BY len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) DESC, b.ord) AS rn FROM n a JOIN n b ON a.folder = b.folder AND a.rel <> b.rel)
+      SELECT rel, string_agg(title, '|' ORDER BY rn) AS titles FROM p WHERE rn <= 80 GROUP BY rel""",
+    "d7_decisions": f"""WITH {DUPLICATES}, b AS (SELECT rel, exact_duplicate_of, {keyword_bucket("lower(body)", "body")} AS bucket FROM dup WHERE status = 'scan')
+      SELECT rel AS path, CASE WHEN exact_duplicate_of IS NULL THEN 'judged' ELSE 'local' END AS judge, CASE WHEN exact_duplicate_of IS NULL THEN bucket ELSE 'junk' END AS bucket, CASE WHEN exact_duplicate_of IS NULL THEN {PERSIST} ELSE 0 END::DOUBLE AS persist,
+        CASE WHEN exact_duplicate_of IS NULL THEN 0.8 ELSE 1 END::DOUBLE AS confidence, CASE WHEN exact_duplicate_of IS NULL THEN 0.86 ELSE 1 END::DOUBLE AS bucket_margin, CASE WHEN exact_duplicate_of IS NULL THEN {SECRET} ELSE 0 END::DOUBLE AS contains_secret,
+        CASE WHEN exact_duplicate_of IS NULL AND {SECRET} >= 0.7 THEN 'quarantine' ELSE 'frontmatter' END AS action, exact_duplicate_of, false AS cached,
+        CASE WHEN exact_duplicate_of IS NOT NULL THEN 'exact duplicate of ' || exact_duplicate_of || ': decided locally' WHEN {SECRET} >= 0.7 THEN 'contains_secret above threshold' WHEN bucket = 'needs_review' THEN 'low confidence or explicit needs_review'
+          WHEN bucket = 'junk' THEN 'junk, low persist: marked only, never deleted' ELSE 'normal vote' END AS reason FROM b""",
+    "d8_cached_rows": f"""WITH {DUPLICATES}, v AS (SELECT exact_duplicate_of IS NOT NULL AS local, {keyword_bucket("lower(body)", "body")} AS b FROM dup WHERE status = 'scan')
+      SELECT CASE WHEN local THEN 'local' ELSE 'judged' END AS judge, NOT local AS cached, CASE WHEN local THEN 'junk' ELSE b END AS bucket, 'frontmatter' AS action, count(*) AS notes, count(*) AS paths FROM v GROUP BY ALL""",
+    "w5_error_stop": """WITH e AS (SELECT event_id, (event_id > 300 AND event_id % 3 <> 0)::INT AS bad FROM events), r AS (SELECT event_id, count(*) OVER w AS n, sum(bad) OVER w AS e FROM e WINDOW w AS (ORDER BY event_id))
+      SELECT min(event_id) AS "at" FROM r WHERE n >= 50 AND e > 0.2 * n""",
+    "p13_dates_and_age": """WITH d AS (SELECT * FROM (VALUES (1, DATE '2025-05-06', NULL::DATE, DATE '2025-12-01'), (2, DATE '2025-07-08', NULL, DATE '2025-12-01'), (3, DATE '2025-01-02', DATE '2024-01-01', DATE '2025-12-01'),
+        (4, NULL, DATE '2025-02-03', DATE '2025-12-01'), (5, NULL, NULL, DATE '2025-12-31'), (6, NULL, NULL, DATE '2026-02-01')) AS t(id, made, stamped, modified))
+      SELECT id, made, CASE WHEN made IS NOT NULL THEN 'frontmatter' WHEN stamped IS NOT NULL THEN 'stamp' ELSE 'mtime' END AS source, greatest(0, DATE '2026-01-01' - coalesce(made, stamped, modified))::INT AS days FROM d""",
+    "f12_withheld": f"""WITH f AS (SELECT DISTINCT CASE WHEN contains(rel, '/') THEN regexp_replace(rel, '/[^/]*$', '') ELSE '.' END AS folder FROM {PATHS}) SELECT folder, {sensitive("(folder || '/x')")} AS withheld FROM f""",
+    "j12_exclusion": f"""WITH f AS (SELECT DISTINCT CASE WHEN contains(rel, '/') THEN regexp_replace(rel, '/[^/]*$', '') ELSE '.' END AS folder FROM {PATHS}), w AS (SELECT folder, {sensitive("(folder || '/x')")} AS held FROM f),
+      t AS (SELECT folder, string_split(folder, '/')[-1] AS name FROM f WHERE folder IN ('a b', 'a-b', 'a', 'notes', 'notes/deep notes', 'work/familyroom'))
+      SELECT t.folder, t.name, coalesce(string_agg(w.folder, '|' ORDER BY w.folder), '') AS others FROM t LEFT JOIN w ON NOT w.held AND w.folder <> t.folder AND NOT starts_with(w.folder, t.folder || '/')
+        AND len(list_filter(string_split(w.folder, '/'), lambda g: contains(' ' || array_to_string(regexp_extract_all(lower(g), '[a-z0-9]+'), ' ') || ' ', ' ' || array_to_string(regexp_extract_all(lower(t.name), '[a-z0-9]+'), ' ') || ' '))) > 0
+      GROUP BY t.folder, t.name""",
 }

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,17 +30,58 @@ def fixture_answers(questions: dict) -> dict:
     return {"choices": picks, "scores": levels, "nouls": {n: 0.05 for n, q in questions.items() if q["type"] == "noul"}}
 
 
-def judged(prepared: DataFrame, questions: dict, review: str | None = None, confidence: float = 0.8) -> DataFrame:
-    """A row per record. Equal states are judged once and the others say whose answer they have."""
+#: What a judge of records gives for each: options picked, scores, flags, the model and what was spent.
+VOTE = (
+    "struct<choices: map<string, struct<pick: string, confidence: double>>, scores: map<string, struct<value: double, confidence: double>>,"
+    " nouls: map<string, double>, model: string, input_tokens: bigint>"
+)
+
+
+def fixture_judge(questions: dict, confidence: float = 0.8) -> Callable[[DataFrame], DataFrame]:
+    """The offline judge: adds the same vote to every record."""
     answer = fixture_answers(questions)
-    pick = answer["choices"].get(review) if review else None
-    secret = answer["nouls"].get("contains_secret", 0.0)
-    fresh = F.col("disposition") == "fresh"
-    action = F.when(~fresh | F.lit(secret >= SECRET_THRESHOLD), "hold").when(F.lit(confidence < REVIEW_FLOOR), "review").otherwise("normal")
-    as_map = lambda d, kind: F.create_map(*[x for k, v in d.items() for x in (F.lit(k), F.lit(v))]) if d else F.create_map().cast(f"map<string,{kind}>")
-    return prepared.select(
-        F.when(fresh, "vote").otherwise("skip").alias("kind"), "id", F.lit(review).alias("review_choice"), F.when(fresh, F.lit(pick)).alias("pick"),
-        F.when(fresh, F.lit(confidence)).alias("confidence"), F.when(fresh, as_map(answer["choices"], "string")).alias("choices"),
-        F.when(fresh, as_map(answer["scores"], "double")).alias("scores"), F.when(fresh, as_map(answer["nouls"], "double")).alias("nouls"),
-        action.alias("action"), F.col("hits").alias("redacted"), "payload_chars", "key", "same_as",
+    vote = {
+        "choices": {n: {"pick": p, "confidence": confidence} for n, p in answer["choices"].items()}, "scores": {n: {"value": v, "confidence": confidence} for n, v in answer["scores"].items()},
+        "nouls": answer["nouls"], "model": "fixture", "input_tokens": 0,
+    }
+    return lambda df: df.withColumn("vote", F.from_json(F.lit(json.dumps(vote)), VOTE))
+
+
+def judged(prepared: DataFrame, questions: dict, review: str | None = None, judge: Callable[[DataFrame], DataFrame] | None = None, fingerprint: str = "") -> DataFrame:
+    """A row per record. Equal states are judged once and the others have that answer and say whose it is.
+
+    judge: takes fresh records (id, state, key, ...) and adds `vote` (VOTE) or null where it failed;
+    without one the offline judge answers. Held records are rows of the local judge and are never
+    judged. A record whose twin failed gets an error row as its twin does, to be tried again.
+    """
+    fresh = prepared.filter("disposition = 'fresh'")
+    asked = (judge or fixture_judge(questions))(fresh.filter("same_as IS NULL"))
+    twins = fresh.filter("same_as IS NOT NULL").join(asked.select(F.col("id").alias("same_as"), "vote"), "same_as")
+    columns = [c for c in fresh.columns]
+    answered = asked.select(*columns, "vote").unionByName(twins.select(*columns, "vote"))
+    held = prepared.filter("disposition = 'held'").select(*columns, F.lit(None).cast(VOTE).alias("vote"))
+    every = answered.unionByName(held)
+    v, local = F.col("vote"), F.col("disposition") == "held"
+    lead = F.element_at(v["choices"], F.lit(review)) if review else F.lit(None).cast("struct<pick: string, confidence: double>")
+    labels = F.array_intersect("hits", F.array(*map(F.lit, HIGH_PRECISION)))
+    secret = F.coalesce(F.element_at(v["nouls"], F.lit("contains_secret")) >= SECRET_THRESHOLD, F.lit(False))
+    unsure = F.coalesce(lead["confidence"] < REVIEW_FLOOR, F.lit(False))
+    none = F.array().cast("array<string>")
+    out = lambda action, reason, sent, suggested, triggers: F.struct(
+        F.lit(action).alias("action"), reason.alias("reason"), F.lit(sent).alias("review"), suggested.alias("suggested"), triggers.alias("quarantine_triggers")
+    )
+    no_pick = F.lit(None).cast("string")
+    acted = (
+        F.when(local, out("quarantine", F.concat(F.lit("local redaction hit: "), F.array_join(labels, ", ")), False, no_pick, F.transform(labels, lambda h: F.concat(F.lit("local:"), h))))
+        .when(v.isNull(), out("error", F.lit("no answer"), False, no_pick, none))
+        .when(secret, out("quarantine", F.lit("contains_secret above threshold"), False, no_pick, F.array(F.lit("contains_secret"))))
+        .when(unsure, out("label", F.lit("low confidence: routed to a person"), True, lead["pick"], none))
+        .otherwise(out("label", F.lit("normal vote"), False, no_pick, none))
+    )
+    shared = F.col("same_as").isNotNull()
+    return every.withColumn("_a", acted).select(
+        F.when(~local & v.isNull(), "error").otherwise("vote").alias("kind"), F.when(local, "local").otherwise("judged").alias("judge"), "id", F.lit(review).alias("review_choice"),
+        lead["pick"].alias("pick"), lead["confidence"].alias("confidence"), v["choices"].alias("choices"), v["scores"].alias("scores"), v["nouls"].alias("nouls"), "_a.*",
+        F.col("hits").alias("redacted"), F.when(local, "local").otherwise(v["model"]).alias("model"), F.when(local | shared, F.lit(0)).otherwise(v["input_tokens"]).cast("long").alias("input_tokens"),
+        "payload_chars", F.lit(fingerprint).alias("taxonomy"), "key", F.lit(False).alias("cached"), "same_as",
     )

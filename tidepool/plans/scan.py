@@ -30,11 +30,12 @@ def prepare(planned: DataFrame, today: str = TODAY, names: list[str] | None = No
     if cached is not None:
         out = J.served(out, cached)
     hit = F.col("is_cached") if cached is not None else F.lit(False)
-    return out.withColumn("disposition", D.disposition(hit, F.col("rule")))
+    # what follows filters this by disposition several times: redaction and siblings are worked out once
+    return materialised(out.withColumn("disposition", D.disposition(hit, F.col("rule"))), "prepared")
 
 
-def decided(prepared: DataFrame, judge: Callable[[DataFrame], DataFrame] | None = None, git_unsafe: float | None = None) -> DataFrame:
-    """Rows of local and fresh notes.
+def decided(prepared: DataFrame, judge: Callable[[DataFrame], DataFrame] | None = None, git_unsafe: float | None = None, question_size: int = 0, taxonomy: str = "") -> DataFrame:
+    """Rows of local, cached and fresh notes.
 
     judge: takes fresh notes (rel, state, ...) and adds `vote`; without one the keyword judge votes,
     a column expression. Local and fresh notes are separate plans, so that no judge ever sees a note
@@ -46,8 +47,12 @@ def decided(prepared: DataFrame, judge: Callable[[DataFrame], DataFrame] | None
     fresh = prepared.filter("disposition = 'fresh'")
     fresh = judge(fresh) if judge else fresh.withColumn("vote", D.keyword_vote(F.col("state.title"), F.col("state.excerpt")))
     vote = F.col("vote")
-    theirs = D.rows(fresh, vote, D.action(vote, F.col("own_hits"), git_unsafe), F.lit("judged"))
-    return mine.unionByName(theirs)
+    theirs = D.rows(fresh, vote, D.action(vote, F.col("own_hits"), git_unsafe), F.lit("judged"), False, question_size, taxonomy)
+    out = mine.unionByName(theirs)
+    if "cached_row" not in prepared.columns:
+        return out
+    held = prepared.filter("disposition = 'cached'").withColumn("vote", D.stored_vote(F.col("cached_row")))
+    return out.unionByName(D.rows(held, vote, D.action(vote, F.col("own_hits"), git_unsafe), F.lit("judged"), True, question_size, taxonomy))
 
 
 def skipped(planned: DataFrame, prepared: DataFrame) -> DataFrame:

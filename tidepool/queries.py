@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidepool import fixtures as X
 from tidepool.functions import redaction as R
@@ -13,6 +14,7 @@ from tidepool.functions import text as T
 from tidepool.operators import bill as B
 from tidepool.operators import decide as D
 from tidepool.operators import diagnose as G
+from tidepool.operators import exclude as EX
 from tidepool.operators import index as I
 from tidepool.operators import journal as J
 from tidepool.operators import plan as P
@@ -41,7 +43,7 @@ def vault(spark: SparkSession, sf: str) -> DataFrame:
     """documents as planned notes; src1 and src2 stand for a private and a hidden folder."""
     notes = N.from_documents(table(spark, sf, "documents"))
     rel = F.regexp_replace(F.regexp_replace("rel", "^src1/", "My Private notes/"), "^src2/", ".hidden/")
-    return P.plan(notes.withColumn("rel", rel))
+    return P.plan(notes.withColumn("rel", rel).withColumn("modified", F.to_timestamp(F.lit("2025-12-01"))))
 
 
 def prepared(spark: SparkSession, sf: str) -> DataFrame:
@@ -124,8 +126,6 @@ def f5_near_misses(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def o1_component_order(spark: SparkSession, sf: str) -> DataFrame:
-    from pyspark.sql.window import Window
-
     p = P.with_order(X.paths(spark))
     return p.select("rel", F.row_number().over(Window.orderBy("plan_ord")).alias("place"))
 
@@ -252,7 +252,7 @@ def r16_ssn(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def r19_listed_names(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents").select("doc_id", "text")
-    return R.redacted(d.limit(0).unionByName(d), "text", ["the and", "ing"]).select("doc_id", F.array_contains("hits", "NAME").alias("named"))
+    return R.redacted(d, "text", ["the and", "ing"]).select("doc_id", F.array_contains("hits", "NAME").alias("named"))
 
 
 # --- index and graph ------------------------------------------------------------------------------------
@@ -276,8 +276,8 @@ def j3_exact_duplicate_pointer(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def j4_siblings(spark: SparkSession, sf: str) -> DataFrame:
-    titled = vault(spark, sf).withColumns({"header_title": F.substring("body", 1, 60)})
-    found = I.siblings(I.index(titled, S.TODAY), keep=5)
+    title = F.concat_ws(" ", F.lit("Note"), (F.col("doc_id") % 11).cast("string"), F.concat(F.lit("x"), (F.col("doc_id") % 7).cast("string")), F.concat(F.lit("y"), (F.col("doc_id") % 5).cast("string")))
+    found = I.siblings(I.index(vault(spark, sf).withColumn("header_title", title), S.TODAY))
     return found.select("rel", F.array_join("other_note_titles", "|").alias("titles"))
 
 
@@ -286,12 +286,41 @@ def a10_linking_share(spark: SparkSession, sf: str) -> DataFrame:
     return I.linking_share(I.link_facts(I.index(P.plan(X.vault_notes(spark)), S.TODAY))).select(F.round("share", 9).alias("share"))
 
 
+def _mapped(spark: SparkSession, sf: str) -> DataFrame:
+    """The vault with facts and rows that follow from doc_id, so that every counter has something to count."""
+    by = lambda n, value: F.when(F.col("doc_id") % n == 0, value)
+    d = vault(spark, sf).filter("body IS NOT NULL")
+    voted = (F.col("status") == "scan") & (F.col("doc_id") % 4 != 0)
+    return d.withColumns(
+        {
+            "words": T.word_count("body"), "in_links": F.col("doc_id") % 3, "out_links": F.col("doc_id") % 4, "unresolved_links": F.col("doc_id") % 2, "is_orphan": F.col("doc_id") % 7 == 0,
+            "is_moc": F.col("doc_id") % 9 == 0, "judge": F.when(voted, F.when(F.col("doc_id") % 4 == 1, "local").otherwise("judged")), "cached": F.when(voted, F.col("doc_id") % 8 == 2),
+            "suggested_bucket": F.when(voted, by(5, F.lit("junk"))), "action": F.when(voted, F.coalesce(by(6, F.lit("quarantine")), F.lit("frontmatter"))),
+            "bucket": F.when(voted, F.when(F.col("doc_id") % 3 == 0, "junk").otherwise("reference")),
+            "skipped": F.when((F.col("status") == "scan") & ~voted, by(8, F.lit("locked"))), "findings": F.when(F.col("doc_id") % 10 == 0, F.array(F.lit("a"), F.lit("b"))),
+            "age_source": F.when(voted, F.element_at(F.array(F.lit("mtime"), F.lit("frontmatter"), F.lit("stamp")), (F.col("doc_id") % 3 + 1).cast("int"))), "age_days": (F.col("doc_id") % 400).cast("int"),
+        }
+    )
+
+
+@query
+def a6_totals(spark: SparkSession, sf: str) -> DataFrame:
+    return U.totals(_mapped(spark, sf))
+
+
 @query
 def a7_folder_rollup(spark: SparkSession, sf: str) -> DataFrame:
-    notes = P.plan(N.from_documents(table(spark, sf, "documents")).withColumn("rel", F.concat(F.lit("all/"), F.col("rel"))))
-    none = {"suggested_bucket": "string", "action": "string", "locked": "boolean", "findings": "array<string>", "is_orphan": "boolean", "is_moc": "boolean", "out_links": "int", "judge": "string"}
-    notes = notes.withColumns({c: F.lit(None).cast(t) for c, t in none.items()}).withColumn("words", T.word_count("body"))
-    return U.folder_rollup(notes).select("folder", "notes", "skipped", "words")
+    return U.folder_rollup(_mapped(spark, sf))
+
+
+@query
+def a7_folder_buckets(spark: SparkSession, sf: str) -> DataFrame:
+    return U.folder_buckets(_mapped(spark, sf))
+
+
+@query
+def a7_folder_ages(spark: SparkSession, sf: str) -> DataFrame:
+    return U.folder_ages(_mapped(spark, sf))
 
 
 @query
@@ -299,10 +328,14 @@ def a8_degree_histogram(spark: SparkSession, sf: str) -> DataFrame:
     return U.degree_histogram(I.link_facts(I.index(P.plan(X.vault_notes(spark)), S.TODAY)), "in_links")
 
 
+@query
+def a8_out_degrees(spark: SparkSession, sf: str) -> DataFrame:
+    return U.degree_histogram(I.link_facts(I.index(P.plan(X.vault_notes(spark)), S.TODAY)), "out_links")
+
+
 @query
 def a8_graph_totals(spark: SparkSession, sf: str) -> DataFrame:
-    facts = I.link_facts(I.index(P.plan(X.vault_notes(spark)), S.TODAY))
-    return U.graph_totals(facts, facts)
+    return U.graph_totals(I.link_facts(I.index(P.plan(X.vault_notes(spark)), S.TODAY)))
 
 
 @query
@@ -347,6 +380,19 @@ def d7_rows(spark: SparkSession, sf: str) -> DataFrame:
     return rows(spark, sf).select("path", "judge", "bucket", "persist", "confidence", "bucket_margin", "action", "reason", "exact_duplicate_of", "excerpt_chars", "truncated")
 
 
+@query
+def d7_decisions(spark: SparkSession, sf: str) -> DataFrame:
+    return rows(spark, sf).select("path", "judge", "bucket", "persist", "confidence", "bucket_margin", "contains_secret", "action", "reason", "exact_duplicate_of", "cached")
+
+
+@query
+def d8_cached_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """A second run that is served by the first: as many votes, each under its own path."""
+    first = rows(spark, sf).withColumns({"chain_pos": F.lit(0), "line": F.col("path")})
+    again = S.prepare(vault(spark, sf), cached=J.cache(first))
+    return S.decided(again).groupBy("judge", "cached", "bucket", "action").agg(F.count(F.lit(1)).alias("notes"), F.count_distinct("path").alias("paths"))
+
+
 @query
 def a1_preflight(spark: SparkSession, sf: str) -> DataFrame:
     return P.counts(vault(spark, sf))
@@ -355,7 +401,7 @@ def a1_preflight(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def a2_bill(spark: SparkSession, sf: str) -> DataFrame:
     b = B.bill(prepared(spark, sf), 1000)
-    return b.select("n_fresh", "n_local", "n_locked", "n_age_from_mtime", "over_budget")
+    return b.select("n_fresh", "n_local", "n_locked", "n_cached", "n_unreadable", "n_age_from_mtime", "n_dated", "n_stamp_dated", "over_budget")
 
 
 @query
@@ -399,11 +445,22 @@ def a4_records_bill(spark: SparkSession, sf: str) -> DataFrame:
     return B.records_bill(p)
 
 
+@query
+def d4_record_policy(spark: SparkSession, sf: str) -> DataFrame:
+    """Every way a record can go: kept, unsure, a secret by vote, held, unanswered, and twins of two of them."""
+    answer = F.struct(
+        F.create_map(F.lit("lane"), F.struct(F.col("pick"), F.col("sure").alias("confidence"))).alias("choices"), F.create_map().cast("map<string,struct<value:double,confidence:double>>").alias("scores"),
+        F.create_map(F.lit("contains_secret"), F.col("secret")).alias("nouls"), F.lit("m").alias("model"), F.lit(100).cast("bigint").alias("input_tokens"),
+    )
+    out = RP.judged(X.record_votes(spark), {}, "lane", lambda df: df.withColumn("vote", F.when(F.col("pick").isNotNull(), answer)))
+    return out.select("id", "kind", "judge", "pick", "confidence", "action", "reason", "review", "suggested", F.array_join("quarantine_triggers", "|").alias("triggers"), "input_tokens", "same_as")
+
+
 @query
 def d4_record_rows(spark: SparkSession, sf: str) -> DataFrame:
     q = {"lane": {"type": "choice", "options": {"keep": "", "drop": ""}}, "worth": {"type": "score", "levels": ["a", "b", "c"]}, "contains_secret": {"type": "noul"}}
     out = RP.judged(RP.prepare(_records(spark, sf)), q, "lane")
-    return out.select("id", "kind", "pick", "action", F.element_at("scores", "worth").alias("worth"))
+    return out.select("id", "kind", "judge", "pick", "confidence", "action", "reason", "review", F.element_at("scores", "worth")["value"].alias("worth"), "same_as")
 
 
 # --- journal, diff ------------------------------------------------------------------------------------------
@@ -488,6 +545,24 @@ def a33_row_kinds(spark: SparkSession, sf: str) -> DataFrame:
     return J.kinds(X.report_rows(spark))
 
 
+@query
+def w5_error_stop(spark: SparkSession, sf: str) -> DataFrame:
+    e = _events(spark, sf).select(F.col("event_id").alias("done_ord"), F.when((F.col("event_id") > 300) & (F.col("event_id") % 3 != 0), "error").otherwise("vote").alias("kind"))
+    return J.error_stop(e)
+
+
+@query
+def j12_exclusion(spark: SparkSession, sf: str) -> DataFrame:
+    folders = X.paths(spark).select(T.report_folder("rel").alias("folder"))
+    targets = folders.filter(F.col("folder").isin("a b", "a-b", "a", "notes", "notes/deep notes", "work/familyroom"))
+    return EX.collateral(folders, targets).select("folder", "name", F.array_join("others", "|").alias("others"))
+
+
+@query
+def f12_withheld(spark: SparkSession, sf: str) -> DataFrame:
+    return EX.withheld(X.paths(spark).select(T.report_folder("rel").alias("folder")).distinct())
+
+
 @query
 def f11_out_of_credits(spark: SparkSession, sf: str) -> DataFrame:
     return X.messages(spark).select("id", J.out_of_credits(F.col("message")).alias("out"))
@@ -523,22 +598,37 @@ def _report(f: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf: f(X.report_rows(spark))
 
 
+def _rounded(df: DataFrame, places: int = 6) -> DataFrame:
+    return df.withColumns({c: F.round(c, 9 if "usd" in c or c in ("impact", "full") or c.startswith(("estimate", "pile_")) and c != "pile_share" else places) for c, t in df.dtypes if t == "double"})
+
+
+def _placed(df: DataFrame, name: str) -> DataFrame:
+    """An ordered result of a few rows with its order as a column."""
+    return df.withColumn(name, F.row_number().over(Window.orderBy(F.monotonically_increasing_id())))
+
+
 ALL |= {
-    "a12_diagnosis_counts": _report(lambda r: G.counts(r).withColumn("pile_share", F.round("pile_share", 6))),
+    "a12_diagnosis_counts": _report(lambda r: _rounded(G.counts(r))),
     "a13_medians": _report(lambda r: G.medians(r).select(*[F.round(c, 6).alias(c) for c in ("pile_margin", "rest_margin", "confidence_gap")])),
-    "a14_tie_pairs": _report(G.tie_pairs),
+    "a14_tie_pairs": _report(lambda r: G.tie_pairs(r).select("x", "y", "n")),
+    "a14_tie_summary": _report(lambda r: _rounded(G.tie_summary(r))),
     "a15_merge_gain": _report(G.merge_gain),
-    "a16_review_pull": _report(G.review_pull),
-    "a17_hot_folders": _report(lambda r: G.hot_folders(r).withColumn("usd", F.round("usd", 9))),
+    "a16_review_pull": _report(lambda r: _rounded(G.review_pull(r))),
+    "a17_hot_folders": _report(lambda r: _placed(_rounded(G.hot_folders(r)), "place")),
     "a18_hot_folder_pairs": _report(G.hot_folder_pairs),
-    "a19_biggest_folder": _report(G.biggest_folder),
-    "a20_skew_causes": _report(G.skew_causes),
+    "a19_biggest_folder": _report(lambda r: _rounded(G.biggest_folder(r))),
+    "a20_skew_causes": _report(lambda r: _rounded(G.skew_causes(r)).withColumn("pile_share", F.round("pile_share", 6))),
+    "a20_doubled_cap": _report(lambda r: _rounded(G.doubled_cap(r))),
     "a21_causes": _report(lambda r: G.causes(r).select("path", F.array_join("causes", "|").alias("causes"))),
+    "a22_question_chars": _report(G.question_chars),
+    "a23_rerun_costs": _report(lambda r: _rounded(G.rerun_costs(r))),
     "a24_bucket_counts": _report(lambda r: G.bucket_counts(r, D.BUCKETS)),
     "a25_dominant_cover": _report(G.dominant_cover),
+    "a25_dominant_cost": _report(lambda r: _rounded(G.dominant_cost(r))),
     "a26_membrane": _report(G.membrane),
     "a27_errors": _report(G.errors),
-    "a28_cost": _report(lambda r: G.cost(r).withColumn("usd", F.round("usd", 9))),
-    "a29_age_and_graph": _report(lambda r: G.age_and_graph(r).withColumn("linking_share", F.round("linking_share", 6))),
-    "a30_actions": _report(G.actions),
+    "a28_cost": _report(lambda r: _rounded(G.cost(r))),
+    "a29_age_and_graph": _report(lambda r: _rounded(G.age_and_graph(r))),
+    "a30_actions": _report(lambda r: _placed(_rounded(G.actions(r)), "rank")),
+    "a34_mtime_finding": _report(G.mtime_finding),
 }

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepool.functions.redaction import redacted
 
+from .lines import numbered
+
 NAME = r"^[A-Za-z_][A-Za-z0-9_]{0,63}$"
 
 
@@ -52,9 +56,12 @@ def checked(df: DataFrame, names: list[str] | None = None) -> DataFrame:
 
 
 def read_records(spark: SparkSession, path: str, names: list[str] | None = None) -> DataFrame:
-    lines = spark.read.text(path)
-    # a line's number is its place in its file; files are read in pieces, so it follows the read order
-    return checked(lines.select("value", F.monotonically_increasing_id().alias("line")), names)
+    return checked(numbered(spark, path).select("value", "line"), names)
+
+
+def in_memory(spark: SparkSession, rows: list[dict], names: list[str] | None = None) -> DataFrame:
+    """The same for rows that the caller holds (dicts with id and sent); a row's line is its place in the list."""
+    return checked(spark.createDataFrame([(i, json.dumps(r, ensure_ascii=False)) for i, r in enumerate(rows, 1)], "line long, value string"), names)
 
 
 def states(records: DataFrame, names: list[str] | None = None, cap: int = 16_000) -> DataFrame:

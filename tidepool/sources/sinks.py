@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .lines import numbered
+
 
 def append_rows(rows: DataFrame, journal: str, run_id: str) -> None:
     """Rows of a run, appended to its partition; each wave is one commit."""
@@ -29,7 +31,7 @@ def read_lines(spark: SparkSession, path: str) -> tuple[dict, DataFrame, bool]:
 
     A last line that is no JSON is dropped; one elsewhere is an error.
     """
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("line"), "value").filter("value != ''")
+    lines = numbered(spark, path).select("line", "value").filter("value != ''")
     rows = lines.select("line", "value", F.try_parse_json("value").alias("row"))
     last = rows.agg(F.max("line")).first()[0]
     bad = rows.filter("row IS NULL").agg(F.min("line"), F.max("line")).first()
@@ -89,3 +91,35 @@ def pile_markdown(rows: DataFrame) -> DataFrame:
     """value: a line for each note to review, least confident first, for a text sink."""
     line = F.concat(F.lit("- [ ] "), "path", F.lit(" — "), "suggested_bucket", F.lit(" at "), F.format_number("confidence", 2))
     return rows.filter("suggested_bucket IS NOT NULL OR action = 'quarantine'").orderBy("confidence", "plan_ord").select(F.coalesce(line, F.concat(F.lit("- [ ] "), "path", F.lit(" — held"))).alias("value"))
+
+
+#: Categories of a diff in the order in which they are shown, with their headings.
+SHOWN = {
+    "bucket_changed": "bucket changed", "into_review": "into the review pile", "out_of_review": "out of the review pile", "quarantined": "newly quarantined", "released": "released from quarantine",
+    "new_duplicates": "new exact duplicates", "crossed_cap": "crossed the excerpt cap", "findings_fixed": "findings fixed", "findings_new": "new findings", "locked_since": "locked since",
+    "unlocked_since": "unlocked since", "new": "new notes", "gone": "gone", "errors_after": "errors in the later run",
+}
+
+
+def diff_json(changes: DataFrame) -> DataFrame:
+    """value: one JSON object for each category, with its count and its entries in order, for a text sink."""
+    entry = F.struct("path", "detail")
+    each = changes.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(entry)).alias("entries"))
+    return each.select(F.to_json(F.struct("category", "n", "entries")).alias("value"))
+
+
+def diff_text(changes: DataFrame, most: int = 20) -> str:
+    """The changes in words: every category with its count and its first entries."""
+    counts = {r["category"]: r["n"] for r in changes.groupBy("category").agg(F.count(F.lit(1)).alias("n")).collect()}
+    place = F.row_number().over(Window.partitionBy("category").orderBy("path", "detail"))
+    first: dict[str, list[str]] = {}
+    for r in changes.withColumn("rn", place).filter(F.col("rn") <= most).orderBy("category", "rn").collect():
+        first.setdefault(r["category"], []).append(r["path"] + (f"  ({r['detail']})" if r["detail"] else ""))
+    lines = [f"{counts.get('unchanged', 0):,} unchanged"]
+    for category, heading in SHOWN.items():
+        if n := counts.get(category):
+            lines.append(f"{heading}: {n:,}")
+            lines += [f"  {x}" for x in first[category]]
+            if n > most:
+                lines.append(f"  ... and {n - most:,} more")
+    return "\n".join(lines)
