@@ -31,55 +31,35 @@ def _place(packed: Column) -> Column:
     return _long(LOW) - packed.bitwiseAND(_long(LOW))
 
 
-def _minima(values: Column, n: Column, w: int) -> Column:
-    """Those of `values` that are the least of some window of w among n grams.
+def _minima(values: Column, w: int) -> Column:
+    """The least of each window of w values, each once, in order; of fewer than w values the least of all.
 
-    A value is one if the nearest smaller ones before and after it lie at least w + 1 places apart.
-    Those at w or more places count as none: either side alone then makes room for a window. No more
-    than w - 1 values lie nearer on one side, so a chain of that length finds each of them.
+    Minima of spans are doubled until they are w wide, so a value is compared about log2(w) times.
     """
 
-    def of(all_values: Column) -> Column:
-        def nearest(x: Column, i: Column, sign: int, otherwise: Column) -> Column:
-            chain = F
-            for step in range(1, max(2, w)):
-                other = F.get(all_values, i + sign * step)
-                chain = chain.when(other < x, _place(other))
-                if step % 8 == 0:  # most chains can end here: beyond w places nothing matters
-                    chain = chain.when(F.coalesce(F.abs(_place(other) - _place(x)) >= w, F.lit(True)), otherwise)
-            return chain.otherwise(otherwise)
-
-        return F.filter(
-            all_values,
-            lambda x, i: nearest(x, i, 1, n) - nearest(x, i, -1, _long(-1)) > F.least(n, F.lit(w)),
-        )
+    def wider(by: int):
+        # past the end there is null, which least() passes over
+        return lambda a: F.zip_with(a, F.slice(a, F.lit(by + 1), F.size(a)), lambda x, y: F.least(x, y))
 
-    return let(values, of)
+    spans, reach = values, 1
+    while reach < w:
+        by = min(reach, w - reach)
+        spans = let(spans, wider(by))
+        reach += by
+    return let(spans, lambda a: F.array_distinct(F.slice(a, F.lit(1), F.greatest(F.size(a) - (w - 1), F.lit(1)))))
 
 
 def _of_block(block: Column, base: Column, k: int, w: int) -> Column:
     """Selections of one block as array<struct<p, h>>: place in the text and hash, by place.
 
-    A block shorter than k is a single gram; one with less than w grams is a single window. Only the
-    least quarter of the hashes is looked at, unless a window has none of them.
+    A block shorter than k is a single gram; one with less than w grams is a single window.
     """
     grams = F.when(F.char_length(block) < k, F.filter(F.array(block), lambda b: b != "")).otherwise(
         F.regexp_extract_all(block, F.lit(f"(?s)(?=(.{{{k}}}))."), F.lit(1))
     )
     # the hash above, the falling place below: the least number is the least hash, rightmost of equals
     packed = F.transform(grams, lambda g, i: F.shiftleft(F.shiftright(F.xxhash64(g), BITS), BITS) + (_long(LOW) - i))
-
-    def kept(values: Column) -> Column:
-        n = F.size(values).cast("long")
-
-        def dense(low: Column) -> Column:
-            gaps = F.filter(low, lambda x, i: (i > 0) & (_place(x) - _place(F.get(low, i - 1)) > w))
-            ends = (_place(F.get(low, F.lit(0))) < w) & (n - _place(F.element_at(low, -1)) <= w)
-            return F.when((F.size(low) > 0) & ends & (F.size(gaps) == 0), low).otherwise(values)
-
-        return _minima(let(F.filter(values, lambda x: x < -(1 << 62)), dense), n, w)
-
-    return F.transform(let(packed, kept), lambda v: F.struct((base + _place(v)).alias("p"), F.shiftright(v, BITS).alias("h")))
+    return F.transform(_minima(packed, w), lambda v: F.struct((base + _place(v)).alias("p"), F.shiftright(v, BITS).alias("h")))
 
 
 def selections(text: Column, k: int = K, w: int = W, block: int = BLOCK) -> Column:
@@ -154,7 +134,7 @@ def _bucketed(df: DataFrame, buckets: int) -> DataFrame:
     if not cuts:
         return df.withColumn("bucket", F.lit(0))
     stride = max(1, int(len(cuts) ** 0.5))
-    fine, coarse = F.array(*map(F.lit, cuts)), F.array(*map(F.lit, cuts[stride - 1 :: stride]))
+    fine, coarse = (F.split(F.lit(",".join(map(str, c))), ",").cast("array<long>") for c in (cuts, cuts[stride - 1 :: stride]))  # constants
     whole = F.size(F.filter(coarse, lambda c: c > F.col("doc_id"))) * stride
     rest = F.size(F.filter(F.slice(fine, whole + 1, stride), lambda c: c > F.col("doc_id")))
     return df.withColumn("bucket", F.when(F.col("doc_id").isNull(), F.lit(len(cuts))).otherwise(whole + rest))
@@ -168,11 +148,12 @@ def edited_likeness(df: DataFrame, k: int = K, w: int = W, buckets: int | None =
     points replaced by as many first ones of the next document, or all it has. Null text counts as
     empty; a table of one row follows itself; columns besides doc_id and text are left out.
 
-    Neighbours meet in ranges of doc_id, as many as there are shuffle partitions. The cuts, and the
-    greatest id of each range, are all that reaches the driver or every executor.
+    Neighbours meet in ranges of doc_id, four for each shuffle partition, so that the ranges that fall
+    into one partition add up to about as much everywhere. The cuts, and the greatest id of each
+    range, are all that reaches the driver or every executor.
     """
     spark = df.sparkSession
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = _bucketed(df.select("doc_id", whole_text().alias("text")), buckets)
     tops = docs.groupBy("bucket").agg(F.max("doc_id").alias("top")).orderBy("bucket").collect()
     if not tops:
