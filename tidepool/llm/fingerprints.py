@@ -167,8 +167,10 @@ def edited_likeness(df: DataFrame, k: int = K, w: int = W, buckets: int | None =
             .select("doc_id", "text", F.col("goes_to").alias("bucket"), F.lit(True).alias("last"))
         )
     rows = docs.withColumn("last", F.lit(False)).unionByName(heads)
-    rows = rows.withColumn("kept", selections(F.col("text"), k, w))
-    order = Window.partitionBy("bucket").orderBy("last", F.desc_nulls_last("doc_id"), "text")
+    # selections take more room than the texts: they are made where neighbours have already met
+    by = ["last", F.desc_nulls_last("doc_id"), "text"]
+    rows = rows.repartition("bucket").sortWithinPartitions("bucket", *by).withColumn("kept", selections(F.col("text"), k, w))
+    order = Window.partitionBy("bucket").orderBy(*by)
     rows = rows.withColumns({"next_text": F.lead("text").over(order), "next_kept": F.lead("kept").over(order)}).filter(~F.col("last"))
     n = F.char_length("text")
     half = F.floor(n / 2)
