@@ -58,7 +58,7 @@ def _of_block(block: Column, base: Column, k: int, w: int) -> Column:
         F.regexp_extract_all(block, F.lit(f"(?s)(?=(.{{{k}}}))."), F.lit(1))
     )
     # the hash above, the falling place below: the least number is the least hash, rightmost of equals
-    packed = F.transform(grams, lambda g, i: F.shiftleft(F.shiftright(F.xxhash64(g), BITS), BITS) + (_long(LOW) - i))
+    packed = F.transform(grams, lambda g, i: F.xxhash64(g).bitwiseAND(_long(~LOW)) + (_long(LOW) - i))
     return F.transform(_minima(packed, w), lambda v: F.struct((base + _place(v)).alias("p"), F.shiftright(v, BITS).alias("h")))
 
 
@@ -67,11 +67,10 @@ def selections(text: Column, k: int = K, w: int = W, block: int = BLOCK) -> Colu
     reach = k + w - 1
     windows = F.greatest(F.char_length(text) - (reach - 1), F.lit(1))
     starts = F.sequence(F.lit(0), (windows - 1).cast("int"), F.lit(block))
-    found = F.flatten(
-        F.transform(starts, lambda s: _of_block(F.substring(text, s + 1, F.lit(block + reach - 1)), s.cast("long"), k, w))
-    )
+    found = F.transform(starts, lambda s: _of_block(F.substring(text, s + 1, F.lit(block + reach - 1)), s.cast("long"), k, w))
     # the first window of a block may select what the last one before it did
-    return let(found, lambda a: F.filter(a, lambda x, i: (i == 0) | (F.get(a, i - 1)["p"] != x["p"])))
+    joined = lambda parts: let(F.flatten(parts), lambda a: F.filter(a, lambda x, i: (i == 0) | (F.get(a, i - 1)["p"] != x["p"])))
+    return let(found, lambda parts: F.when(F.size(parts) == 1, F.get(parts, F.lit(0))).otherwise(joined(parts)))
 
 
 def rendered(kept: Column) -> Column:
@@ -79,12 +78,21 @@ def rendered(kept: Column) -> Column:
     return F.array_join(F.transform(kept, lambda x: F.concat(F.lower(F.hex(x["h"])), F.lit("@"), x["p"].cast("string"))), " ")
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Shared part of two fingerprints' hashes (Jaccard); 1 for two empty ones."""
-    one, two = (F.array_distinct(F.transform(x, lambda s: s["h"])) for x in (a, b))
+def hashes(kept: Column) -> Column:
+    return F.transform(kept, lambda x: x["h"])
+
+
+def different(kept: Column) -> Column:
+    """How many different hashes a fingerprint has."""
+    return F.size(F.array_distinct(hashes(kept)))
+
+
+def likeness(a: Column, b: Column, n_a: Column | None = None, n_b: Column | None = None) -> Column:
+    """Shared part of two fingerprints' hashes (Jaccard); 1 for two empty ones. n_a, n_b: different() of them, if known."""
+    one, two = (different(x) if n is None else n for x, n in ((a, n_a), (b, n_b)))
     return let(
-        F.struct(F.size(F.array_intersect(one, two)).alias("i"), F.size(F.array_union(one, two)).alias("u")),
-        lambda n: F.when(n["u"] == 0, F.lit(1.0)).otherwise(n["i"] / n["u"]),
+        F.struct(F.size(F.array_intersect(hashes(a), hashes(b))).alias("i"), (one + two).alias("n")),
+        lambda n: F.when(n["n"] == 0, F.lit(1.0)).otherwise(n["i"] / (n["n"] - n["i"])),
     )
 
 
@@ -107,7 +115,8 @@ def _within(kept: Column, chars: Column, k: int, w: int) -> Column:
         before = F.get(a, i - 1)
         return F.when(i == 0, _long(0)).when(x["h"] <= before["h"], x["p"] - (w - 1)).otherwise(before["p"] + 1)
 
-    inside = F.filter(kept, lambda x, i: first(kept, x, i) + reach <= chars)
+    # most lie so far from the end that their window must, or so far that it can't, be inside
+    inside = F.filter(kept, lambda x, i: F.when(x["p"] + reach <= chars, F.lit(True)).when(x["p"] >= chars, F.lit(False)).otherwise(first(kept, x, i) + reach <= chars))
     return F.when(chars >= reach, inside).otherwise(F.slice(kept, 1, 0))
 
 
@@ -170,22 +179,23 @@ def edited_likeness(df: DataFrame, k: int = K, w: int = W, buckets: int | None =
     # selections take more room than the texts: they are made where neighbours have already met
     by = ["last", F.desc_nulls_last("doc_id"), "text"]
     rows = rows.repartition("bucket").sortWithinPartitions("bucket", *by).withColumn("kept", selections(F.col("text"), k, w))
+    rows = rows.withColumn("n_kept", different(F.col("kept")))
     order = Window.partitionBy("bucket").orderBy(*by)
-    rows = rows.withColumns({"next_text": F.lead("text").over(order), "next_kept": F.lead("kept").over(order)}).filter(~F.col("last"))
+    rows = rows.withColumns({"next_text": F.lead("text").over(order), "next_kept": F.lead("kept").over(order), "next_n": F.lead("n_kept").over(order)}).filter(~F.col("last"))
     n = F.char_length("text")
     half = F.floor(n / 2)
     taken = F.least(half, F.char_length("next_text"))
     rows = rows.select(
-        "doc_id", "text", "kept", "next_text", "next_kept",
+        "doc_id", "text", "kept", "n_kept", "next_text", "next_kept", "next_n",
         n.cast("long").alias("n_chars"), (n - half).cast("long").alias("stay"), taken.cast("long").alias("taken"),
     )
     spliced = _spliced(F.col("text"), F.col("kept"), F.col("stay"), F.col("next_text"), F.col("next_kept"), F.col("taken"), k, w)
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.col("stay").cast("int")), F.substring(F.col("next_text"), F.lit(1), F.col("taken").cast("int")))
     made = let(
         spliced,
-        lambda e: F.struct(rendered(e).alias("edited_fingerprint"), likeness(F.col("kept"), e).alias("near_edited")),
+        lambda e: F.struct(rendered(e).alias("edited_fingerprint"), likeness(F.col("kept"), e, F.col("n_kept")).alias("near_edited")),
     )
     return rows.select(
         "doc_id", "n_chars", F.sha2(edited, 256).alias("edited_sha256"), rendered(F.col("kept")).alias("fingerprint"),
-        made.alias("made"), likeness(F.col("kept"), F.col("next_kept")).alias("near_next"),
+        made.alias("made"), likeness(F.col("kept"), F.col("next_kept"), F.col("n_kept"), F.col("next_n")).alias("near_next"),
     ).select("doc_id", "n_chars", "edited_sha256", "fingerprint", "made.edited_fingerprint", "made.near_edited", "near_next")
