@@ -75,7 +75,7 @@ def selections(text: Column, k: int = K, w: int = W, block: int = BLOCK) -> Colu
 
 def rendered(kept: Column) -> Column:
     """The fingerprint as text: hash in hex, @, place; separated by blanks."""
-    return F.array_join(F.transform(kept, lambda x: F.concat(F.lower(F.hex(x["h"])), F.lit("@"), x["p"].cast("string"))), " ")
+    return F.lower(F.array_join(F.transform(kept, lambda x: F.concat(F.hex(x["h"]), F.lit("@"), x["p"].cast("string"))), " "))
 
 
 def hashes(kept: Column) -> Column:
@@ -131,8 +131,15 @@ def _spliced(a: Column, a_kept: Column, a_chars: Column, b: Column, b_kept: Colu
     crosses = (x + y >= reach) | (a_chars + b_chars < reach)
     moved = lambda kept, by: F.transform(kept, lambda s: F.struct((s["p"] + by).alias("p"), s["h"].alias("h")))
     middle = F.when(crosses, moved(_of_block(seam, _long(0), k, w), a_chars - x)).otherwise(F.slice(a_kept, 1, 0))
-    found = F.concat(_within(a_kept, a_chars, k, w), middle, moved(_within(b_kept, b_chars, k, w), a_chars))
-    return let(found, lambda f: F.filter(f, lambda s, i: (i == 0) | (F.get(f, i - 1)["p"] != s["p"])))
+    left, right = _within(a_kept, a_chars, k, w), moved(_within(b_kept, b_chars, k, w), a_chars)
+
+    # a window across the seam may select what a's last or b's first window did; nothing else comes twice
+    def joined(parts: Column) -> Column:
+        last, first = F.try_element_at(parts["left"], F.lit(-1))["p"], F.get(parts["right"], F.lit(0))["p"]
+        fresh = let(F.struct(last.alias("last"), first.alias("first")), lambda e: F.filter(middle, lambda s: ~s["p"].eqNullSafe(e["last"]) & ~s["p"].eqNullSafe(e["first"])))
+        return F.concat(parts["left"], fresh, parts["right"])
+
+    return let(F.struct(left.alias("left"), right.alias("right")), joined)
 
 
 def _bucketed(df: DataFrame, buckets: int) -> DataFrame:
