@@ -41,6 +41,21 @@ def test_language(spark):
     assert {r.lang_pred for r in identify(df, {}).collect()} == {"und"}
 
 
+def test_copies_teach_once(spark):
+    docs = [(t, lang) for _, t, lang in corpus(3, 60)]
+    schema = "text string, lang string"
+    copied = docs + [docs[0]] * 400 + [("kwa kwi", "ww")] * 500 + [("kwa kwi", None)]
+    want = {}
+    for lang in sorted({lang for _, lang in copied if lang}):
+        plain = Counter()
+        for text, _ in {d for d in copied if d[1] == lang}:
+            for w, n in words_of(text).items():
+                for g in grams_of(w):
+                    plain[g] += n
+        want[lang] = sorted(plain, key=lambda g: (-plain[g], g.encode()))[:50]
+    assert profiles(spark.createDataFrame(copied, schema), profile=50) == want
+
+
 def test_distance_against_a_plain_one(spark):
     docs = corpus(2, 60)
     found = profiles(spark.createDataFrame(docs, "doc_id long, text string, lang string"), profile=50)

@@ -45,14 +45,16 @@ def _order(gram: str) -> int:
 def profiles(df: DataFrame, profile: int = PROFILE, rows: int = ROWS_PER_LANGUAGE, longest: int = LONGEST_GRAM) -> dict[str, list[str]]:
     """The most frequent n-grams of each language in df (text, lang), by falling count.
 
-    Rows without lang or text teach nothing. Only `profile` n-grams a language reach the driver.
+    Rows without lang or text teach nothing. About `rows` different texts of each language are learned
+    from, drawn by their hash, or all if it has no more; copies count once, so that no text outweighs
+    others and a language of few texts keeps them all. Only `profile` n-grams a language reach the driver.
     """
-    known = df.filter("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text")
-    totals = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    known = df.filter("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text").withColumn("h", F.xxhash64("text"))
+    totals = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}
     if not totals:
         return {}
     share = F.create_map(*[x for lang, n in totals.items() for x in (F.lit(lang), F.lit(min(1.0, rows / n)))])
-    sample = known.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < share[F.col("lang")] * 1_000_003)
+    sample = known.filter(F.pmod("h", F.lit(1_000_003)) < share[F.col("lang")] * 1_000_003).dropDuplicates(["lang", "h"])
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         found: dict[tuple[str, str], int] = {}
