@@ -84,7 +84,8 @@ def test_disclosing_terms(spark):
         hits = [(m.start(), m.end()) for m in re.finditer(r"[^\W\d_]{3,}", row.text) if m[0].lower() in want]
         assert spans == [s for s in hits if not any(a < s[1] and s[0] < b for _, a, b in base)]
     clean = {r.doc_id: r.text for r in sanitised(df).collect()}
-    assert clean[600].startswith("[TERM]") and "[EMAIL]" in clean[600] and "@" not in clean[600]
+    # zanzibar also comes without the entity, gala never does
+    assert clean[600].startswith("[TERM]  ") and "[EMAIL]" in clean[600] and "@" not in clean[600]
 
 
 def marked(df, doc_id):
@@ -99,7 +100,8 @@ def test_terms_of_an_entity_in_one_text(spark):
     df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
     assert marked(df, 400) == ["quaxword"] and marked(df, 404) == ["quaxword"]
     assert marked(df, 405) == ["pairword", "one"] and marked(df, 0) == []
-    assert "[TERM] [EMAIL]" in {r.doc_id: r.text for r in sanitised(df).collect()}[400]
+    clean = {r.doc_id: r.text for r in sanitised(df).collect()}
+    assert clean[400] == "common  [EMAIL]" and clean[0] == docs[0]
 
 
 def test_terms_of_a_frequent_entity(spark):

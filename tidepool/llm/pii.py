@@ -166,7 +166,7 @@ def disclosing_terms(df: DataFrame, support: int = SUPPORT, public: float = PUBL
 
 
 def find(df: DataFrame, support: int = SUPPORT, public: float = PUBLIC, disclosure: float = DISCLOSURE) -> DataFrame:
-    """doc_id, text, base, terms for every row of df: spans of entities, and spans of disclosing terms.
+    """doc_id, text, base, terms, gone for every row of df: spans of entities, spans of disclosing terms, and those of its terms that are to be removed.
 
     Null and empty texts have no spans. A term's span has kind `term` and is left out where it
     overlaps a span of an entity; every occurrence of a disclosing term is marked, in any case. Only
@@ -176,11 +176,12 @@ def find(df: DataFrame, support: int = SUPPORT, public: float = PUBLIC, disclosu
     rows = once(rows, "base", base_spans(F.col("text")))
     terms = materialise(disclosing_terms(rows, support, public, disclosure), "pii-disclosing")
     count = terms.count()
+    none = F.array().cast("array<string>")
     if not count:
-        return rows.select("doc_id", "text", "base", _no_spans().alias("terms"))
+        return rows.select("doc_id", "text", "base", _no_spans().alias("terms"), none.alias("gone"))
     words = rows.select("page", F.explode(_terms(F.col("text"))).alias("term"))
     found = words.join(F.broadcast(terms) if count <= BROADCAST_ROWS else terms, "term")
-    hits = materialise(found.groupBy("page").agg(F.collect_set("term").alias("found")), "pii-hits")
+    hits = materialise(found.groupBy("page").agg(F.collect_set("term").alias("found"), F.collect_set(F.when(F.col("removed"), F.col("term"))).alias("gone")), "pii-hits")
     hits = F.broadcast(hits) if hits.count() <= BROADCAST_ROWS // 10 else hits
     marked = rows.join(hits, "page", "left")
     spans = F.filter(
@@ -188,7 +189,7 @@ def find(df: DataFrame, support: int = SUPPORT, public: float = PUBLIC, disclosu
         lambda x: F.array_contains(F.col("found"), F.lower(x["value"]))
         & ~F.exists(F.col("base"), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])),
     )
-    return once(marked, "terms", F.when(F.col("found").isNotNull(), spans).otherwise(_no_spans())).select("doc_id", "text", "base", "terms")
+    return once(marked, "terms", F.when(F.col("found").isNotNull(), spans).otherwise(_no_spans())).select("doc_id", "text", "base", "terms", F.coalesce("gone", none).alias("gone"))
 
 
 def personal_data(df: DataFrame, **options) -> DataFrame:
@@ -203,7 +204,7 @@ def _is(kind: str):
 
 
 def sanitised(df: DataFrame, **options) -> DataFrame:
-    """doc_id, text with entities as [KIND] and disclosing terms as [TERM].
+    """doc_id, text with entities as [KIND]; of disclosing terms those that always come with their entity are removed, the others stand as [TERM].
 
     Of overlapping spans the one that starts first stands, the longer of two with one start.
     """
@@ -214,9 +215,13 @@ def sanitised(df: DataFrame, **options) -> DataFrame:
     )
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
+    def shown(x: Column) -> Column:
+        gone = (x["kind"] == "term") & F.array_contains(F.col("gone"), F.lower(x["value"]))
+        return F.when(gone, "").otherwise(F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]")))
+
     def step(state: Column, x: Column) -> Column:
         before = F.substring(F.col("text"), (state["at"] + 1).cast("int"), (x["start"] - state["at"]).cast("int"))
-        moved = F.struct(x["end"].alias("at"), F.concat(state["out"], before, F.lit("["), F.upper(x["kind"]), F.lit("]")).alias("out"))
+        moved = F.struct(x["end"].alias("at"), F.concat(state["out"], before, shown(x)).alias("out"))
         return F.when(x["start"] >= state["at"], moved).otherwise(state)
 
     rest = lambda s: F.concat(s["out"], F.substring(F.col("text"), (s["at"] + 1).cast("int"), F.char_length("text")))
