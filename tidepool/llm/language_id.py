@@ -132,11 +132,11 @@ class Ranker:
         weights = np.repeat(np.fromiter(counts.values(), np.int64, len(counts)), [len(x) for x in lists])
         n = np.bincount(flat, weights, minlength=1).astype(np.int64)
         present = np.flatnonzero(n)
-        keys = (np.minimum(n[present], (1 << 22) - 1) << 40) - self.order[present]
-        if len(present) > self.profile:
-            top = np.argpartition(-keys, self.profile)[: self.profile]
-            present, keys = present[top], keys[top]
-        ranked = present[np.argsort(-keys, kind="stable")]
+        counts_of = n[present]
+        if len(present) > self.profile:  # all that may be among the most frequent, ties with the last of them too
+            least = np.partition(counts_of, len(present) - self.profile)[len(present) - self.profile]
+            present, counts_of = present[counts_of >= least], counts_of[counts_of >= least]
+        ranked = present[np.lexsort((self.order[present], -counts_of))][: self.profile]
         places = self.places[:, ranked]
         apart = np.where(places < 0, self.profile, np.abs(places - np.arange(len(ranked))))
         return apart.sum(axis=1) / (self.profile * len(ranked))
