@@ -58,6 +58,21 @@ def drop_table(df: DataFrame) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: A key is hot if more than one in so many of all rows have it; there are fewer hot keys than this.
+MOST_HOT = 1000
+
+
+def join_spread(df: DataFrame, table: DataFrame, keys: list[str], weight: str, total: int, how: str = "inner") -> DataFrame:
+    """df joined with a table of one row a key, whose column weight says how many of df's `total` rows have the key.
+
+    Rows of hot keys stay where they are: the table's rows for them, fewer than MOST_HOT, go to every
+    executor. The rest is shuffled. how: inner or left_semi. Both sides are read twice.
+    """
+    hot = F.broadcast(table.filter(F.col(weight) * MOST_HOT > total))
+    rest = df.join(hot.select(*keys), keys, "left_anti").join(table, keys, how)
+    return df.join(hot, keys, how).unionByName(rest)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate value once and use it many times in body, inside one expression."""
     return F.transform(F.array(value), body)[0]

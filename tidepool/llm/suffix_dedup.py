@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, drop_table, materialise, whole_text
+from .common import arrow_map, drop_table, join_spread, materialise, whole_text
 
 LENGTH, K = 200, 64
 #: Windows are hashed in blocks of so many, whatever the text's length.
@@ -299,13 +299,15 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, k: int = K, group: in
     docs: key (digest of the text), text. Texts without any such byte are left out.
     """
     pieces = materialise(_fragments(docs, length, k), "suffix-fragments")
-    again = pieces.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("anchor")
-    shared = materialise(pieces.join(again, "anchor", "left_semi"), "suffix-shared")
-    drop_table(pieces)
+    again = materialise(pieces.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "suffix-again")
+    shared = materialise(join_spread(pieces, again, ["anchor"], "c", pieces.count(), "left_semi"), "suffix-shared")
+    for old in (pieces, again):
+        drop_table(old)
     kinds = shared.groupBy("anchor", "digest").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("key", "first", "n", "place")).alias("one"))
     kinds = materialise(kinds, "suffix-kinds")
     several = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("d"), F.min("c").alias("least")).filter("d > 1 AND least = 1").select("anchor", "d")
-    wanted = kinds.join(several, "anchor").select("anchor", "digest", "one.key", "one.first", "one.n", "one.place", (F.col("c") > 1).alias("known"), (F.col("d") > group).alias("many"))
+    several = materialise(several, "suffix-several")
+    wanted = join_spread(kinds, several, ["anchor"], "d", kinds.count()).select("anchor", "digest", "one.key", "one.first", "one.n", "one.place", (F.col("c") > 1).alias("known"), (F.col("d") > group).alias("many"))
     wanted = materialise(wanted, "suffix-wanted")
     groups = materialise(_with_bytes(docs, wanted, length), "suffix-groups")
     runs = _sorted_out(groups.filter("NOT many"), length)
@@ -313,7 +315,8 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, k: int = K, group: in
         runs = runs.unionByName(_counted_out(groups.filter("many"), length))
     single = wanted.filter("NOT known").select("anchor", "digest", "key", F.col("first").alias("base"))
     found = runs.join(single, ["anchor", "digest"]).select("key", (F.col("base") + F.col("first")).alias("first"), "n")
-    equal = shared.join(kinds.filter("c > 1").select("anchor", "digest"), ["anchor", "digest"], "left_semi").select("key", "first", "n")
+    copied = kinds.filter("c > 1").select("anchor", "digest", "c")
+    equal = join_spread(shared, copied, ["anchor", "digest"], "c", shared.count(), "left_semi").select("key", "first", "n")
     every = equal.unionByName(found).distinct()
     ranges = every.groupBy("key").agg(F.sort_array(F.collect_list(F.struct(F.col("first").alias("start"), (F.col("first") + F.col("n") + (length - 1)).alias("end")))).alias("ranges"))
 
@@ -330,7 +333,7 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, k: int = K, group: in
         return pa.RecordBatch.from_arrays([batch.column("key"), pa.array(out, batch.schema.field("ranges").type)], ["key", "ranges"])
 
     merged = materialise(arrow_map(ranges, merge, "key binary, ranges array<struct<start int, end int>>"), "suffix-ranges")
-    for old in (shared, groups):
+    for old in (shared, kinds, several, wanted, groups):
         drop_table(old)
     return merged
 
