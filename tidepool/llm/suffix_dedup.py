@@ -37,6 +37,8 @@ GROUP = 20_000
 #: Symbols laid side by side for one array.
 SYMBOLS = 40_000
 BROADCAST_BYTES = 48 << 20
+#: A cut as a row of its own: eight fields, two digests, the array around it, the hash table's entry.
+CUT_BYTES = 256
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _PLACE = 22
 
@@ -238,7 +240,7 @@ def _fragments(docs: DataFrame, length: int, k: int) -> DataFrame:
 def _with_bytes(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """wanted (anchor, digest, key, first, n, place, known, many) with the fragments' bytes as data, once each."""
     by_key = wanted.groupBy("key").agg(F.collect_list(F.struct("anchor", "digest", "first", "n", "place", "known", "many")).alias("cuts"))
-    small = wanted.count() * 64 <= BROADCAST_BYTES
+    small = wanted.count() * CUT_BYTES <= BROADCAST_BYTES
     joined = docs.join(F.broadcast(by_key) if small else by_key, "key")
     # places are bytes of the UTF-8 text
     one = joined.select(F.encode("text", "utf-8").alias("raw"), F.explode("cuts").alias("c"))
@@ -350,7 +352,7 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, k: int = K, group: int =
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
     docs = docs.withColumn("key", _key(F.col("text")))
     ranges = repeated_ranges(docs.select("key", "text"), length, k, group)
-    size = ranges.agg(F.coalesce(F.sum(F.size("ranges") * 8 + 64), F.lit(0))).first()[0]
+    size = ranges.agg(F.coalesce(F.sum(F.size("ranges") * 32 + 128), F.lit(0))).first()[0]
     joined = docs.join(F.broadcast(ranges) if size <= BROADCAST_BYTES else ranges, "key", "left").select("doc_id", "text", "ranges")
 
     def remove(batch: pa.RecordBatch) -> pa.RecordBatch:
