@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, new_table, whole_text
+from .common import MOST_HOT, arrow_map, materialise, new_table, whole_text
 from .encoding import pieces_of, version_digest
 
 CACHE_SCHEMA = "content string, version string, n_tokens long"
@@ -52,7 +52,13 @@ def cached_counts(df: DataFrame, cache: str, tokenizer: str, text: str = "text")
         .groupBy("content")
         .agg(F.max("n_tokens").alias("n_tokens"))
     )
-    return keyed.join(counts, "content")
+    rows = keyed.count()
+    copies = keyed.groupBy("content").agg(F.count(F.lit(1)).alias("_copies")).filter(F.col("_copies") * MOST_HOT > rows)
+    copies = materialise(copies, "token-hot")
+    # texts that many rows have reach them by broadcast, fewer than MOST_HOT
+    hot = F.broadcast(counts.join(F.broadcast(copies.drop("_copies")), "content", "left_semi"))
+    rest = keyed.join(F.broadcast(copies.drop("_copies")), "content", "left_anti").join(counts, "content")
+    return keyed.join(hot, "content").unionByName(rest)
 
 
 def token_counts(df: DataFrame, tokenizer: str = "byte_bpe_50k.json", limit: int = 1024, cache: str | None = None) -> DataFrame:
