@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fingerprints, language_id, line_dedup, minhash, packing, pii, quality, suffix_dedup, token_counts
+from . import byte_bpe, decontaminate, fingerprints, language_id, line_dedup, minhash, packing, periodic_runs, pii, quality, suffix_dedup, token_counts, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,18 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_boilerplate(_table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.collapsed_runs(_table(spark, sf_dir, "documents"))
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.round_trip(_table(spark, sf_dir, "documents"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
 LINE_DEDUP_SQL = f"""
 WITH pages AS (
   SELECT row_number() OVER () AS page, source, coalesce(text, '') AS text FROM documents
@@ -83,6 +95,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_token_counts, op2_decontamination, op3_suffix_dedup, op4_language_id, op5_packing, op6_personal_data,
         op7_near_duplicates, op8_quality, op9_fingerprints, op10_line_dedup,
+        op11_periodic_runs, op12_byte_bpe, op13_embedding_whitening,
     ]
     return {f.__name__: f for f in found}
 
