@@ -1,6 +1,8 @@
 """Whole runs: a vault on disk, waves, records, streams, sources."""
 
 import json
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +14,7 @@ from tidepool.operators import exclude as EX
 from tidepool.operators import index as I
 from tidepool.operators import journal as J
 from tidepool.operators import plan as P
+from tidepool.operators import siblings as SB
 from tidepool.plans import records as RP
 from tidepool.plans import runner, scan
 from tidepool.sources import lines, notes, records, settings, sinks
@@ -47,18 +50,57 @@ def test_headers(spark):
     assert str(got["end.md"].created) == "2024-01-02"
 
 
+def all_pairs(facts, keep):
+    words = {r.rel: set(re.findall("[a-z0-9]+", r.title.lower())) for r in facts}
+    near = lambda a, b: len(words[a.rel] & words[b.rel]) / max(1, len(words[a.rel] | words[b.rel]))
+    for a in facts:
+        pool = [b for b in facts if b.folder == a.folder and b.rel != a.rel and not b.title_credential]
+        yield a.rel, [b.title_redacted[: T.TITLE_CUT] for b in sorted(pool, key=lambda b: (-near(a, b), b.plan_ord))[:keep]]
+
+
 def test_siblings_against_all_pairs(spark):
-    planned = P.plan(X.vault_notes(spark))
-    indexed = I.index(planned, scan.TODAY)
+    indexed = I.index(P.plan(X.vault_notes(spark)), scan.TODAY)
     facts = [r for r in indexed.collect() if r.status == "scan"]
-    words = {r.rel: set(__import__("re").findall("[a-z0-9]+", r.title.lower())) for r in facts}
     for keep in (3, 80):
-        got = {r.rel: r.other_note_titles for r in I.siblings(indexed, keep).collect()}
-        for a in facts:
-            pool = [b for b in facts if b.folder == a.folder and b.rel != a.rel and not b.title_credential]
-            near = lambda b: len(words[a.rel] & words[b.rel]) / max(1, len(words[a.rel] | words[b.rel]))
-            want = [b.title_redacted[: T.TITLE_CUT] for b in sorted(pool, key=lambda b: (-near(b), b.plan_ord))[:keep]]
-            assert got.get(a.rel, []) == want
+        got = {r.rel: r.other_note_titles for r in SB.siblings(indexed, keep).collect()}
+        for rel, want in all_pairs(facts, keep):
+            assert got.get(rel, []) == want
+
+
+@pytest.mark.parametrize(("rare", "most_frequent"), [(2, 8), (5, 2), (0, 1), (1000, 8)])
+def test_siblings_where_words_are_frequent(spark, rare, most_frequent):
+    """A word that all titles share, others that many do, titles without words, equal titles."""
+    r = random.Random(rare)
+    titles = [" ".join(["Meeting", *(r.choice("ab") + str(r.randrange(4)) for _ in range(r.randrange(5)))]) for _ in range(90)]
+    titles += ["only this", "***", "???", *["Meeting notes"] * 9, "Meeting Meeting a0", "a0 b1", "b3"]
+    rows = [(f"d{i % 2}/{i:03}.md", "x", t) for i, t in enumerate(titles)]
+    indexed = I.index(P.plan(spark.createDataFrame(rows, "rel string, body string, header_title string")), scan.TODAY).persist()
+    facts = indexed.collect()
+    for keep in (4, 60):
+        got = {r.rel: r.other_note_titles for r in SB.siblings(indexed, keep, rare, most_frequent).collect()}
+        for rel, want in all_pairs(facts, keep):
+            assert got[rel] == want, rel
+
+
+def test_a_word_of_all_titles_makes_no_pairs(spark):
+    """Every title has one word in common and one of its own: no step has more rows than notes times what is kept."""
+    n, keep = 4000, 10
+    rows = spark.range(n).select(F.format_string("f/%05d.md", "id").alias("rel"), F.lit("x").alias("body"), F.format_string("Meeting m%d", "id").alias("header_title"))
+    indexed = I.index(P.plan(rows), scan.TODAY)
+    found = SB.siblings(indexed, keep, 40)
+    assert found.filter(F.size("other_note_titles") == keep).count() == n
+    plan = found._jdf.queryExecution().executedPlan()
+    found.collect()
+    seen, todo = [], [plan.finalPhysicalPlan() if hasattr(plan, "finalPhysicalPlan") else plan]
+    while todo:
+        node = todo.pop()
+        if "QueryStage" in node.nodeName():
+            todo.append(node.plan())
+        for child in (node.children().apply(i) for i in range(node.children().size())):
+            todo.append(child)
+        if node.nodeName().startswith(("SortMergeJoin", "BroadcastHashJoin", "ShuffledHashJoin")) and node.metrics().contains("numOutputRows"):
+            seen.append(node.metrics().apply("numOutputRows").value())
+    assert len(seen) > 5 and max(seen) <= n * 4 * (keep + 1)
 
 
 def test_nothing_raw_is_sent(spark):

@@ -59,10 +59,10 @@ def running_totals(rows: DataFrame, order: str, columns: dict[str, str], buckets
 
 
 def running_spend(rows: DataFrame, limit_usd: float, order: str = "done_ord", buckets: int = 64) -> DataFrame:
-    """rows with spent (dollars up to and with this row) and after_stop: the meter stops after the row that crosses the limit."""
+    """rows with spent (dollars up to and with this row) and after_stop: the meter stops after the row that takes it above the limit."""
     df = running_totals(rows, order, {"input_tokens": "_upto"}, buckets)
     spent, earlier = T.usd_for("_upto"), T.usd_for(F.col("_upto") - F.col("input_tokens"))
-    return df.withColumns({"spent": spent, "after_stop": earlier >= limit_usd}).drop("_upto")
+    return df.withColumns({"spent": spent, "after_stop": earlier > limit_usd}).drop("_upto")
 
 
 def skipped(planned: DataFrame) -> DataFrame:

@@ -33,32 +33,29 @@ PERSIST = {"junk": 0.1, "ephemeral": 0.6, "needs_review": 1.1, "log_entry": 0.9,
 def states(indexed: DataFrame, titles: DataFrame, names: list[str] | None = None, cap: int = T.EXCERPT_CAP, question_digest: str = "", model: str = "fixture") -> DataFrame:
     """indexed with state (all that may leave), own_hits, hits, truncated, payload_chars and key.
 
-    Everything is redacted before anything is cut, and in one pass; path segments, keys and aliases
-    are kept apart by what no pattern crosses. What other notes'
-    titles held is reported in hits and never moves this note.
+    Everything is redacted before anything is cut, every text on its own: path segments, keys and
+    aliases too. What other notes' titles held is reported in hits and never moves this note.
     """
-    sep = "\n\n\x1e\n\n"
     df = indexed.join(titles, "rel", "left").withColumn("other_note_titles", F.coalesce("other_note_titles", F.array().cast("array<string>")))
     keys = F.filter(F.coalesce("keys", F.array().cast("array<string>")), lambda k: k != OWN_KEY)
-    lists = {"_path": T.path_parts("rel"), "_keys": keys, "_aliases": F.coalesce("aliases", F.array().cast("array<string>"))}
-    df = df.withColumns({c: F.array_join(v, sep) for c, v in lists.items()} | {"_title": F.col("title"), "_body": F.col("body")})
-    df = R.redacted_together(df, ["_body", "_title", *lists], names, "_own")
-    parts = lambda c: F.filter(F.split(c, sep), lambda x: x != "")
+    fields = {"_body": F.col("body"), "_title": F.col("title"), "_path": T.path_parts("rel"), "_keys": keys, "_aliases": F.col("aliases")}
+    df = R.redacted_together(df, fields, names, "_own")
+    parts = lambda c: F.filter(c, lambda x: x != "")
     own = F.col("_own")
     lent = F.array_distinct(F.flatten(F.transform("other_note_titles", lambda t: F.transform(F.regexp_extract_all(t, F.lit(r"\[([A-Z_]+)\]"), F.lit(1)), lambda x: x))))
     from .index import graph_state
 
     state = F.struct(
-        parts(F.col("_aliases_redacted")).alias("aliases"),
-        T.excerpt(F.col("_body_redacted"), cap).alias("excerpt"),
-        F.array_sort(parts(F.col("_keys_redacted"))).alias("frontmatter_keys"),
+        parts(F.col("_aliases")).alias("aliases"),
+        T.excerpt(F.col("_body"), cap).alias("excerpt"),
+        F.array_sort(parts(F.col("_keys"))).alias("frontmatter_keys"),
         graph_state().alias("graph"),
         F.col("other_note_titles"),
-        F.array_join(parts(F.col("_path_redacted")), "/").alias("path"),
-        F.col("_title_redacted").alias("title"),
+        F.array_join(parts(F.col("_path")), "/").alias("path"),
+        F.col("_title").alias("title"),
     )
     drop = [c for c in df.columns if c.startswith("_")]
-    df = df.withColumns({"own_hits": own, "hits": F.array_sort(F.array_union(own, lent)), "truncated": T.truncated(F.col("_body_redacted"), cap)})
+    df = df.withColumns({"own_hits": own, "hits": F.array_sort(F.array_union(own, lent)), "truncated": T.truncated(F.col("_body"), cap)})
     df = df.select("*", F.explode(F.array(state)).alias("state")).drop(*drop)
     wire = canonical(F.col("state"))
     return df.withColumns({"payload_chars": F.char_length(wire), "key": cache_key(wire, question_digest, model)})

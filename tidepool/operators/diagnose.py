@@ -86,9 +86,9 @@ def _merged(rows: DataFrame, floor: float) -> DataFrame:
 
 
 def merge_gain(rows: DataFrame, floor: float = FLOOR) -> DataFrame:
-    """x, y, tied, cleared: how many notes would leave the pile if two buckets were one, if votes split as they did."""
+    """x, y, tied, cleared, first: how many notes would leave the pile if two buckets were one, if votes split as they did."""
     out = _merged(rows, floor).groupBy("mx", "my").agg(F.max("tied").alias("tied"), F.count_if("clears").alias("cleared"), F.min("first").alias("first"))
-    return out.orderBy(F.desc("cleared"), F.desc("tied"), "first").select(F.col("mx").alias("x"), F.col("my").alias("y"), "tied", "cleared")
+    return out.select(F.col("mx").alias("x"), F.col("my").alias("y"), "tied", "cleared", "first").orderBy(F.desc("cleared"), F.desc("tied"), "first")
 
 
 def review_pull(rows: DataFrame) -> DataFrame:
@@ -316,7 +316,7 @@ def actions(rows: DataFrame) -> DataFrame:
     a minimum per note, so no running set is needed. Dollars weigh a hundred times.
     """
     one = lambda name, at, impact, keep: F.struct(F.lit(name).alias("action"), F.lit(at).alias("at"), impact.cast("double").alias("impact"), keep.alias("keep"))
-    best = F.broadcast(merge_gain(rows).orderBy(F.desc("cleared"), F.desc("tied")).limit(1).select("x", "y", "cleared"))
+    best = F.broadcast(merge_gain(rows).orderBy(F.desc("cleared"), F.desc("tied"), "first").limit(1).select("x", "y", "cleared"))
     pile = _labelled(rows).drop("x", "y")
     clearing = _merged(rows, FLOOR).filter("clears").join(best, (F.col("mx") == best["x"]) & (F.col("my") == best["y"]), "left_semi")
     named = lambda label: F.array_contains("causes", label)

@@ -4,34 +4,37 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidepool.functions import redaction as R
 from tidepool.functions import text as T
 
 # Fixed values.
 MOC_LINKS, MOC_WORDS_PER_LINK, ORPHAN_DAYS, SPARSE_SHARE = 8, 20, 30, 0.05
-SIBLINGS = 80
+
+
+def was_read() -> Column:
+    """Whether a note was opened and could be decoded; others keep their path and have no facts."""
+    return (F.col("status") == "scan") & F.col("undecodable").isNull()
 
 
 def index(planned: DataFrame, today: str, names: list[str] | None = None) -> DataFrame:
     """Facts of every note: title, digest, counts, links, aliases, lock, age.
 
     planned: rel, plan_ord, folder, status, sensitive, body, and, where known, header fields
-    (header_title, aliases, keys, locked, created, stamped, header_error) and modified. Skipped notes
-    keep their path, so that links to them resolve, and have no facts.
+    (header_title, aliases, keys, locked, created, stamped, header_error) and modified. Skipped notes and
+    those that can't be decoded keep their path, so that links to them resolve, and have no facts.
     """
     defaults = {
         "header_title": "string", "aliases": "array<string>", "keys": "array<string>", "locked": "boolean", "created": "date",
         "stamped": "date", "modified": "timestamp", "header_error": "string", "undecodable": "string",
     }
     df = planned.withColumns({c: F.lit(None).cast(t) for c, t in defaults.items() if c not in planned.columns})
-    scanned = F.col("status") == "scan"
+    scanned = was_read()
     stem = F.regexp_replace(F.element_at(T.path_parts("rel"), -1), r"\.md$", "")
     heading = F.trim(F.regexp_extract("body", r"(?m)^# (.*)$", 1))
     given = F.coalesce(F.nullif(T.strip("header_title"), F.lit("")), F.nullif(heading, F.lit("")))
     df = df.withColumns({"_given": F.when(scanned, given), "_stem": F.when(scanned, stem)}).withColumn("_spaced", F.translate("_stem", "-_", "  "))
-    df = R.redacted_together(df, ["_given", "_stem", "_spaced"], names, "_hits")
+    df = R.redacted_together(df, {f"{c}_redacted": F.col(c) for c in ("_given", "_stem", "_spaced")}, names, "_hits")
     # a name that holds something to redact stays as it is, so that it is recognised again
     kept = F.col("_stem_redacted") != F.col("_stem")
     df = df.withColumns(
@@ -79,7 +82,7 @@ def resolved_links(indexed: DataFrame) -> DataFrame:
     name = lambda c: F.lower(F.element_at(T.path_parts(c), -1))
     plain = F.regexp_replace("rel", r"(?i)\.md$", "")
     notes = indexed.select(F.col("rel").alias("to"), F.col("plan_ord").alias("to_ord"), F.lower(plain).alias("to_path"), name(plain).alias("name"))
-    links = indexed.filter("status = 'scan'").select("rel", F.posexplode("links").alias("place", "target"))
+    links = indexed.filter(was_read()).select("rel", F.posexplode("links").alias("place", "target"))
     links = links.withColumn("want", F.lower(F.trim(F.col("target"), F.lit("/")))).withColumn("name", name(F.col("want")))
     bare = ~F.contains("want", F.lit("/"))
     # targets repeat: each is resolved once, and many notes of one name meet only its distinct targets
@@ -99,10 +102,10 @@ def link_facts(indexed: DataFrame, single_file: bool = False) -> DataFrame:
     outgoing = links.groupBy("rel").agg(F.count(F.lit(1)).cast("int").alias("_out"), F.count_if(F.col("resolved").isNull()).cast("int").alias("_un"))
     pairs = links.filter("resolved IS NOT NULL AND resolved != rel").select(F.col("resolved").alias("_to"))
     incoming = pairs.groupBy("_to").agg(F.count(F.lit(1)).cast("int").alias("_in"))
-    scanned = F.col("status") == "scan"
+    scanned = was_read()
     df = indexed.join(outgoing, "rel", "left").join(incoming, F.col("rel") == F.col("_to"), "left")
     df = df.withColumns({"out_links": F.when(scanned, F.coalesce("_out", F.lit(0))), "unresolved_links": F.when(scanned, F.coalesce("_un", F.lit(0)))})
-    df = df.withColumn("in_links", F.when(F.lit(not single_file), F.coalesce("_in", F.lit(0))))
+    df = df.withColumn("in_links", F.when(scanned & F.lit(not single_file), F.coalesce("_in", F.lit(0))))
     share = linking_share(df).select(F.col("share").alias("_share"))
     df = df.crossJoin(F.broadcast(share))  # one row
     moc = (F.col("out_links") >= MOC_LINKS) & (F.col("words") <= MOC_WORDS_PER_LINK * F.col("out_links"))
@@ -114,9 +117,9 @@ def link_facts(indexed: DataFrame, single_file: bool = False) -> DataFrame:
 
 
 def linking_share(facts: DataFrame) -> DataFrame:
-    """share: scanned notes that link to anything, resolved or not, among all scanned ones."""
+    """share: notes that link to anything, resolved or not, among all that were read."""
     links = (F.col("out_links") > 0).cast("double")
-    return facts.filter("status = 'scan'").agg(F.coalesce(F.avg(links), F.lit(0.0)).alias("share"))
+    return facts.filter(was_read()).agg(F.coalesce(F.avg(links), F.lit(0.0)).alias("share"))
 
 
 def graph_state() -> Column:
@@ -124,31 +127,3 @@ def graph_state() -> Column:
     return F.struct(
         T.banded_words("words").alias("words"), "headings", T.banded_age("age_days").alias("age_days"), "out_links", "in_links", "embeds", "unresolved_links", "is_moc", "is_orphan"
     )
-
-
-def siblings(indexed: DataFrame, keep: int = SIBLINGS) -> DataFrame:
-    """rel, other_note_titles: titles of the most alike notes in a note's folder, at most `keep`.
-
-    Alike is the share of title words in common; equal ones go by plan order. Sensitive notes and
-    titles with credentials are never listed. Notes meet others through a word in common; of notes
-    with the same words only the first `keep` and one can be listed. Where that gives fewer than
-    `keep`, the folder's first notes in plan order fill up, from one list a folder.
-    """
-    pool = indexed.filter("status = 'scan' AND NOT sensitive AND NOT title_credential")
-    base = pool.select("folder", "rel", "plan_ord", F.left("title_redacted", F.lit(T.TITLE_CUT)).alias("t"), F.array_sort(T.title_tokens("title")).alias("tokens"))
-    mine = indexed.filter("status = 'scan'").select("folder", "rel", F.array_sort(T.title_tokens("title")).alias("tokens"))
-    heads = base.withColumn("rn", F.row_number().over(Window.partitionBy("folder", "tokens").orderBy("plan_ord"))).filter(F.col("rn") <= keep + 1)
-    right = heads.select("folder", F.col("rel").alias("o"), F.col("plan_ord").alias("oo"), F.col("tokens").alias("ot"), "t", F.explode("tokens").alias("token"))
-    left = mine.select("folder", "rel", "tokens", F.explode("tokens").alias("token"))
-    # a pair meets once, at the first of its common words
-    met = left.join(right, ["folder", "token"]).filter((F.col("rel") != F.col("o")) & (F.col("token") == F.array_min(F.array_intersect("tokens", "ot"))))
-    near = met.select("rel", (-T.jaccard(F.col("tokens"), F.col("ot"))).alias("far"), "oo", "t")
-    near = near.withColumn("rn", F.row_number().over(Window.partitionBy("rel").orderBy("far", "oo"))).filter(F.col("rn") <= keep)
-    near = near.groupBy("rel").agg(F.sort_array(F.collect_list(F.struct("rn", "t"))).alias("near"))
-    first = base.withColumn("rn", F.row_number().over(Window.partitionBy("folder").orderBy("plan_ord"))).filter(F.col("rn") <= 2 * keep + 1)
-    first = first.groupBy("folder").agg(F.sort_array(F.collect_list(F.struct("rn", "rel", "tokens", "t"))).alias("first"))  # a bounded list a folder
-    every = mine.join(near, "rel", "left").join(first, "folder", "left")
-    strange = lambda x: (x["rel"] != F.col("rel")) & ~F.arrays_overlap(x["tokens"], F.col("tokens"))
-    titles = lambda c: F.coalesce(F.transform(c, lambda x: x["t"]), F.array().cast("array<string>"))
-    listed = F.slice(F.concat(titles(F.col("near")), titles(F.filter("first", strange))), 1, keep)
-    return every.select("rel", listed.alias("other_note_titles")).filter(F.size("other_note_titles") > 0)

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tidepool.functions import text as T
 
+from .index import was_read
+
 DEGREE_CLIP, HUBS = 20, 20
 
 
@@ -58,9 +60,9 @@ def totals(notes: DataFrame) -> DataFrame:
 
 
 def graph_totals(facts: DataFrame) -> DataFrame:
-    """nodes, edges (links that lead to a note), unresolved, orphans, mocs over scanned notes."""
+    """nodes, edges (links that lead to a note), unresolved, orphans, mocs over notes that were read."""
     total = lambda c: F.coalesce(F.sum(c), F.lit(0))
-    return facts.filter("status = 'scan'").agg(
+    return facts.filter(was_read()).agg(
         F.count(F.lit(1)).alias("nodes"), total(F.col("out_links") - F.col("unresolved_links")).alias("edges"), total(F.col("unresolved_links")).alias("unresolved"),
         F.count_if("is_orphan").alias("orphans"), F.count_if("is_moc").alias("mocs"),
     )
@@ -68,12 +70,12 @@ def graph_totals(facts: DataFrame) -> DataFrame:
 
 def degree_histogram(facts: DataFrame, column: str) -> DataFrame:
     """degree, notes; degrees above twenty count as twenty."""
-    return facts.filter(F.col(column).isNotNull() & (F.col("status") == "scan")).groupBy(F.least(column, F.lit(DEGREE_CLIP)).alias("degree")).agg(F.count(F.lit(1)).alias("notes"))
+    return facts.filter(F.col(column).isNotNull() & was_read()).groupBy(F.least(column, F.lit(DEGREE_CLIP)).alias("degree")).agg(F.count(F.lit(1)).alias("notes"))
 
 
 def hubs(facts: DataFrame, n: int = HUBS) -> DataFrame:
     """rel, in_links of the scanned notes most linked to; equal ones in plan order. Withheld paths are never listed."""
-    return facts.filter("status = 'scan' AND in_links > 0").orderBy(F.desc("in_links"), "plan_ord").limit(n).select("rel", "in_links")
+    return facts.filter(was_read() & (F.col("in_links") > 0)).orderBy(F.desc("in_links"), "plan_ord").limit(n).select("rel", "in_links")
 
 
 def duplicate_groups(rows: DataFrame) -> DataFrame:

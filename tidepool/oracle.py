@@ -263,7 +263,7 @@ SQL: dict[str, str] = {
     "j6_cache_probe": "SELECT doc_id, md5(text) IN (SELECT md5(text) FROM documents WHERE doc_id % 3 = 0) AS is_cached FROM documents",
     "j8_errors_to_retry": "SELECT user_id AS path FROM events GROUP BY user_id HAVING max(event_id) % 7 = 0",
     "w4_running_spend": """WITH e AS (SELECT event_id AS done_ord, floor(value)::BIGINT AS t FROM events), s AS (SELECT *, sum(t) OVER (ORDER BY done_ord) AS upto FROM e)
-      SELECT done_ord, round(upto / 1e6 * 0.042::DOUBLE, 9) AS spent, (upto - t) / 1e6 * 0.042::DOUBLE >= 0.005 AS after_stop FROM s""",
+      SELECT done_ord, round(upto / 1e6 * 0.042::DOUBLE, 9) AS spent, (upto - t) / 1e6 * 0.042::DOUBLE > 0.005 AS after_stop FROM s""",
     "w3_cache_over_a_chain": """WITH r AS (SELECT pos, line, 'p' || line AS path, 'k' || ((line * 7 + pos) % 9) AS key, 'b' || pos || (line % 3) AS bucket FROM range(3) a(pos), range(12) b(line) WHERE (line + pos) % 5 <> 4 AND line % 6 <> 5)
       SELECT key, arg_max(path, (-pos, line)) AS path, arg_max(bucket, (-pos, line)) AS bucket, arg_max(pos, (-pos, line))::INT AS chain_pos FROM r GROUP BY key""",
     "j10_diff": f"""WITH a AS (SELECT * FROM {BEFORE}), b AS (SELECT * FROM {AFTER}),

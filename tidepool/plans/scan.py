@@ -11,6 +11,7 @@ from tidepool.functions import text as T
 from tidepool.operators import decide as D
 from tidepool.operators import index as I
 from tidepool.operators import journal as J
+from tidepool.operators import siblings as SB
 
 from .shared import materialised
 
@@ -25,7 +26,7 @@ def prepare(planned: DataFrame, today: str = TODAY, names: list[str] | None = No
     indexed = materialised(I.index(planned, today, names), "index")
     facts = materialised(I.exact_duplicates(I.link_facts(indexed, single_file)), "facts")
     scanned = facts.filter("status = 'scan'")
-    out = D.states(scanned, I.siblings(facts), names, cap, question_digest, model)
+    out = D.states(scanned, SB.siblings(facts), names, cap, question_digest, model)
     out = out.withColumn("rule", D.local_rule() if local_triage else F.lit(None).cast("string"))
     if cached is not None:
         out = J.served(out, cached)

@@ -19,6 +19,7 @@ from tidepool.operators import index as I
 from tidepool.operators import journal as J
 from tidepool.operators import plan as P
 from tidepool.operators import rollup as U
+from tidepool.operators import siblings as SB
 from tidepool.operators import survey as V
 from tidepool.plans import records as RP
 from tidepool.plans import scan as S
@@ -277,7 +278,7 @@ def j3_exact_duplicate_pointer(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def j4_siblings(spark: SparkSession, sf: str) -> DataFrame:
     title = F.concat_ws(" ", F.lit("Note"), (F.col("doc_id") % 11).cast("string"), F.concat(F.lit("x"), (F.col("doc_id") % 7).cast("string")), F.concat(F.lit("y"), (F.col("doc_id") % 5).cast("string")))
-    found = I.siblings(I.index(vault(spark, sf).withColumn("header_title", title), S.TODAY))
+    found = SB.siblings(I.index(vault(spark, sf).withColumn("header_title", title), S.TODAY))
     return found.select("rel", F.array_join("other_note_titles", "|").alias("titles"))
 
 
