@@ -117,22 +117,82 @@ def test_cache_serves_by_key(spark):
     assert {r[0] for r in again.select("disposition").distinct().collect()} == {"cached", "local"}
 
 
+def notes_to_judge(spark, n=500):
+    return spark.range(n).select(F.format_string("n%05d.md", "id").alias("rel"), F.format_string("n%05d.md", "id").alias("plan_ord"), F.lit("text").alias("body"))
+
+
+def answered(df, tokens=1000, **more):
+    out = df.select(F.lit("vote").alias("kind"), F.lit("judged").alias("judge"), F.col("rel").alias("path"), "plan_ord", F.lit("m").alias("model"), F.lit(tokens).cast("long").alias("input_tokens"), F.lit(False).alias("cached"), F.lit(None).cast("string").alias("error"))
+    return out.withColumns(more)
+
+
 def test_waves_and_the_meter(spark, tmp_path):
-    notes_df = spark.range(500).select(F.concat(F.lit("n"), "id", F.lit(".md")).alias("rel"))
+    """A run stops at the very row that takes it above its limit, wherever its wave ends."""
+    notes_df, at = notes_to_judge(spark), lambda n: f"file://{tmp_path}/{n}"
+    end = runner.run(notes_df, answered, at("a"), "r1", wave_size=100)
+    assert end["rows"] == 500 and end["finished"] and end["tokens"] == 500_000
+    # 1000 tokens cost 0.000042: the 143rd is the first above 0.006
+    end = runner.run(notes_df, answered, at("b"), "r1", wave_size=100, max_usd=0.006)
+    assert end["reason"] == "meter" and end["rows"] == 143 and end["tokens"] == 143_000 and end["in_flight"] > 0
+    got = sinks.read_rows(spark, at("b"), "r1")
+    assert sorted(r.path for r in got.collect()) == [f"n{i:05d}.md" for i in range(143)]
+    assert sinks.read_rows(spark, at("b"), "r1", in_flight=True).count() == 143 + end["in_flight"]
+    # exactly at the limit is not above it
+    assert runner.run(notes_df, answered, at("b2"), "r1", wave_size=500, max_usd=T.USD_PER_MILLION * 0.1)["rows"] == 101
+    failing = lambda df: answered(df, kind=F.when(F.substring("path", 6, 1).isin("0", "1", "2"), "error").otherwise("vote"))
+    end = runner.run(notes_df, failing, at("c"), "r1", wave_size=100)
+    assert end["reason"] == "error-rate" and (end["rows"], end["errors"]) == (51, 16)
+    broke = lambda df: answered(df, kind=F.when(F.col("plan_ord") == "n00217.md", "error").otherwise("vote"), error=F.when(F.col("plan_ord") == "n00217.md", "HTTP 402"))
+    end = runner.run(notes_df, broke, at("d"), "r1", wave_size=100)
+    assert end["reason"] == "402" and end["rows"] == 218
+    drifted = lambda df: answered(df, model=F.when(F.col("plan_ord") >= "n00120.md", "new").otherwise("m"))
+    end = runner.run(notes_df, drifted, at("e"), "r1", wave_size=100, known_models={"m"})
+    assert end["reason"] == "model-drift" and end["rows"] == 121
+
+
+def test_what_is_served_is_neither_metered_nor_counted(spark, tmp_path):
+    notes_df = notes_to_judge(spark, 120)
+    served = lambda df: answered(df, 10_000_000, cached=F.lit(True))
+    end = runner.run(notes_df, served, f"file://{tmp_path}/a", "r1", wave_size=50, max_usd=0.001, known_models={"other"})
+    assert (end["reason"], end["rows"], end["tokens"]) == ("done", 120, 0)
+    local = lambda df: answered(df, 10_000_000, judge=F.lit("local"), model=F.lit("local"))
+    assert runner.run(notes_df, local, f"file://{tmp_path}/b", "r1", wave_size=50, max_usd=0.001, known_models={"m"})["tokens"] == 0
+    # 60 served rows don't water down the share of errors
+    half = lambda df: answered(df, cached=F.col("plan_ord") < "n00060.md", kind=F.when((F.col("plan_ord") >= "n00060.md") & (F.substring("path", 6, 1) == "0"), "error").otherwise("vote"))
+    assert runner.run(notes_df, half, f"file://{tmp_path}/c", "r1", wave_size=50)["finished"]
+
+
+def test_a_wave_counts_once(spark, tmp_path, monkeypatch):
+    """A driver that is lost between writing and committing a wave leaves nothing that is read; the run goes on from there."""
+    journal, notes_df = f"file://{tmp_path}/j", notes_to_judge(spark, 300)
+    asked = []
 
     def decide(df):
-        return df.select(F.lit("vote").alias("kind"), F.col("rel").alias("path"), F.lit("m").alias("model"), F.lit(1000).cast("long").alias("input_tokens"), F.lit(None).cast("string").alias("error"))
-
-    end = runner.run(notes_df, decide, f"file://{tmp_path}/a", "r1", wave_size=100)
-    assert end["rows"] == 500 and end["finished"]
-    end = runner.run(notes_df, decide, f"file://{tmp_path}/b", "r1", wave_size=100, max_usd=0.005)
-    assert end["reason"] == "meter" and 100 < end["rows"] < 500
-    assert sinks.read_rows(spark, f"file://{tmp_path}/b", "r1").count() == end["rows"]
-    failing = lambda df: decide(df).withColumn("kind", F.when(F.pmod(F.xxhash64("path"), F.lit(3)) == 0, "error").otherwise("vote"))
-    assert runner.run(notes_df, failing, f"file://{tmp_path}/c", "r1", wave_size=100)["reason"] == "error-rate"
-    broke = lambda df: decide(df).withColumn("error", F.lit("HTTP 402"))
-    assert runner.run(notes_df, broke, f"file://{tmp_path}/d", "r1", wave_size=100)["reason"] == "402"
-    assert runner.run(notes_df, decide, f"file://{tmp_path}/e", "r1", wave_size=100, known_models={"old"})["reason"] == "model-drift"
+        asked.append(df.count())
+        return answered(df)
+
+    whole, calls = sinks.commit_wave, []
+
+    def lost(*args):
+        calls.append(1)
+        if len(calls) == 2:
+            raise RuntimeError("lost")
+        return whole(*args)
+
+    monkeypatch.setattr(sinks, "commit_wave", lost)
+    with pytest.raises(RuntimeError):
+        runner.run(notes_df, decide, journal, "r1", wave_size=100)
+    first = sinks.read_rows(spark, journal, "r1").count()
+    assert first == asked[0]
+    end = runner.run(notes_df, decide, journal, "r1", wave_size=100)
+    rows = sinks.read_rows(spark, journal, "r1")
+    assert end["finished"] and end["rows"] == 300 == rows.count() == rows.select("path").distinct().count()
+    assert sum(asked) == 300 + asked[1]  # only the lost wave was judged again
+    before = len(asked)
+    assert runner.run(notes_df, decide, journal, "r1", wave_size=100)["rows"] == 300 and sum(asked[before:]) == 0
+    # a wave that is committed twice stands as it was first
+    held = sinks.commits(spark, journal, "r1").filter("wave = 0").first().asDict()
+    assert whole(spark, journal, held | {"attempt": "other"}) == held
 
 
 def test_stream_writes_each_note_once(spark, tmp_path):

@@ -55,10 +55,10 @@ def scan_vault(
         runs = spark.read.json(f"{journal}/runs")
         chain = J.chain(runs, resume) if "resumed_from" in runs.columns else [resume]
         at = spark.createDataFrame(list(enumerate(chain)), "chain_pos int, run_id string")
-        held = sinks.read_rows(spark, journal).join(F.broadcast(at), "run_id")
+        held = sinks.read_rows(spark, journal, in_flight=True).join(F.broadcast(at), "run_id")
         # rows have no line: within a run every path has one, so the path settles which vote of a key is served
         cached = J.cache(held.withColumn("line", F.col("path")))
-        known = {r[0] for r in cached.select("model").distinct().limit(100).collect() if r[0]}
+        known = {r[0] for r in cached.select("model").distinct().collect() if r[0]}  # a row a model
     digest = settings.fingerprint(questions) if questions else ""
     prepared = scan.prepare(planned, today, denylist, excerpt_chars, cached, local_triage, vault.endswith(".md"), digest, model)
     if judge and not over_budget:
@@ -70,7 +70,7 @@ def scan_vault(
         return decide(prepared).unionByName(scan.skipped(planned, prepared), allowMissingColumns=True), {"reason": "done"}
     run_id = uuid.uuid4().hex[:12]
     end = runner.run(prepared, decide, journal, run_id, workers * 1000, max_usd if judge and not over_budget else None, known)
-    sinks.append_rows(scan.skipped(planned, prepared).withColumn("wave", F.lit(-1)), journal, run_id)
+    sinks.append_rows(scan.skipped(planned, prepared), journal, run_id)
     header = {"taxonomy": digest, "state_version": D.STATE_VERSION, "model_requested": model, "excerpt_cap": T.effective_cap(excerpt_chars), "include_sensitive": include_sensitive}
     sinks.append_run(spark, journal, end | header | {"started": today, "resumed_from": resume or ""})
     return sinks.read_rows(spark, journal, run_id), end

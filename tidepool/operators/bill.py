@@ -42,18 +42,31 @@ def records_bill(prepared: DataFrame) -> DataFrame:
     return first.agg(F.count(F.lit(1)).alias("to_send"), F.coalesce(F.sum("f.payload_chars"), F.lit(0)).alias("chars"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("reused"))
 
 
+def range_starts(rows: DataFrame, order: str, buckets: int) -> list:
+    """Where all but the first of so many ranges of about equal size begin."""
+    if buckets < 2:
+        return []
+    if dict(rows.dtypes)[order] != "string":
+        return sorted(set(rows.approxQuantile(order, [i / buckets for i in range(1, buckets)], 0.001)))
+    first = rows.select(order).repartitionByRange(buckets, order).groupBy(F.spark_partition_id()).agg(F.min(order).alias("f"))
+    return sorted(r["f"] for r in first.collect() if r["f"] is not None)[1:]  # as many as buckets
+
+
 def running_totals(rows: DataFrame, order: str, columns: dict[str, str], buckets: int = 64) -> DataFrame:
     """rows with the sums of columns up to and with each row, under new names.
 
-    Sums run within ranges of the order, and the ranges' totals, as many as buckets, are added from a
-    broadcast table, so no task sees all rows.
+    Sums run within ranges of the order, a number or a text, and the ranges' totals, as many as buckets,
+    are added from a broadcast table, so no task sees all rows. Rows that share a place share a range.
     """
-    cuts = sorted(set(rows.approxQuantile(order, [i / buckets for i in range(1, buckets)], 0.001)))
-    bucket = F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c < F.col(order))) if cuts else F.lit(0)
+    starts = range_starts(rows, order, buckets)
+    kind = float if dict(rows.dtypes)[order] != "string" else str
+    bucket = F.size(F.filter(F.array(*[F.lit(kind(c)) for c in starts]), lambda c: c <= F.col(order))) if starts else F.lit(0)
     df = rows.withColumn("_b", bucket)
+    w = Window.partitionBy("_b").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    if not starts:
+        return df.withColumns({n: F.sum(c).over(w) for c, n in columns.items()}).drop("_b")
     totals = df.groupBy("_b").agg(*[F.sum(c).alias(f"_{n}") for c, n in columns.items()])
     earlier = totals.alias("x").join(totals.alias("y"), F.expr("y._b < x._b"), "left").groupBy("x._b").agg(*[F.coalesce(F.sum(f"y._{n}"), F.lit(0)).alias(f"_{n}") for n in columns.values()])
-    w = Window.partitionBy("_b").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     df = df.join(F.broadcast(earlier), "_b")
     return df.withColumns({n: F.col(f"_{n}") + F.sum(c).over(w) for c, n in columns.items()}).drop("_b", *[f"_{n}" for n in columns.values()])
 

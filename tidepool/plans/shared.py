@@ -10,19 +10,36 @@ from pyspark.sql import DataFrame
 _local: list[str] = []
 
 
-def materialised(df: DataFrame, name: str) -> DataFrame:
-    """Write df below spark.checkpoint.dir and read it again, so that what many steps use is made once.
+def folder(spark: SparkSession) -> str:
+    """The folder of the setting spark.checkpoint.dir, or the one set on the context."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        base = held.get() if held.isDefined() else None
+    if base:
+        return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if not _local:
+        _local.append("file://" + tempfile.mkdtemp(prefix="tidepool-plans-"))
+    return _local[0]
+
 
-    Only a session in one process may go without that setting; it gets a temporary folder.
+def materialised(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write df below the shared folder, in partitions of a column if asked for, and read it again.
+
+    Only a session in one process may go without a shared folder; it gets a temporary one.
     """
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        if not _local:
-            _local.append("file://" + tempfile.mkdtemp(prefix="tidepool-plans-"))
-        base = _local[0]
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop(df: DataFrame) -> None:
+    """Delete the files of a table that materialised() made, once nothing reads it any more."""
+    spark = df.sparkSession
+    paths = spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(df._jdf.queryExecution().analyzed().collectLeaves())
+    for leaf in paths:
+        for root in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(leaf.relation().location().rootPaths()):
+            root.getFileSystem(spark._jsc.hadoopConfiguration()).delete(root, True)

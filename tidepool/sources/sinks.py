@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,19 +12,77 @@ from pyspark.sql.window import Window
 
 from .lines import numbered
 
+#: Rows of a wave are cut in the order of this column.
+ORDER = "plan_ord"
 
-def append_rows(rows: DataFrame, journal: str, run_id: str) -> None:
-    """Rows of a run, appended to its partition; each wave is one commit."""
-    rows.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").parquet(f"{journal}/rows")
 
+#: What a commit says of a wave: which attempt counts, and up to which place of the order its rows do.
+COMMIT = "run_id string, wave int, attempt string, cut string, reason string, n_rows long, n_sent long, n_errors long, n_tokens long, n_in_flight long"
+
+
+def stage_wave(rows: DataFrame, journal: str, run_id: str, wave: int) -> str:
+    """Write the rows of a wave where nobody reads them yet; gives the name of the attempt.
+
+    An attempt that was never committed, because the driver or the executors were lost, stays unread.
+    """
+    attempt = uuid.uuid4().hex
+    rows.write.parquet(f"{journal}/rows/run_id={run_id}/wave={wave}/attempt={attempt}")
+    return attempt
+
+
+def read_wave(spark: SparkSession, journal: str, run_id: str, wave: int, attempt: str) -> DataFrame:
+    """The rows of one attempt; no other wave's files are looked at."""
+    return spark.read.parquet(f"{journal}/rows/run_id={run_id}/wave={wave}/attempt={attempt}")
+
+
+def commit_wave(spark: SparkSession, journal: str, commit: dict) -> dict:
+    """Make a staged wave count, once: the first commit of a wave stands, and it is given back."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{journal}/commits/run_id={commit['run_id']}/{commit['wave']:09d}.json")
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    whole = where.suffix(f".{uuid.uuid4().hex}.part")
+    out = files.create(whole, False)
+    out.write(bytearray((json.dumps(commit) + "\n").encode()))
+    out.close()
+    # a name is given once: a half-written commit never has it
+    if files.exists(where) or not files.rename(whole, where):
+        files.delete(whole, False)
+    return spark.read.schema(COMMIT).json(where.toString()).first().asDict()
 
-def append_run(spark: SparkSession, journal: str, header: dict) -> None:
-    spark.createDataFrame([header]).coalesce(1).write.mode("append").json(f"{journal}/runs")
 
+def commits(spark: SparkSession, journal: str, run_id: str | None = None) -> DataFrame:
+    """What was committed, a row for each wave; none if there is no journal yet."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{journal}/commits" + (f"/run_id={run_id}" if run_id else ""))
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return spark.createDataFrame([], COMMIT)
+    return spark.read.schema(COMMIT).option("pathGlobFilter", "*.json").option("recursiveFileLookup", "true").json(where.toString())
 
-def read_rows(spark: SparkSession, journal: str, run_id: str | None = None) -> DataFrame:
+
+def read_rows(spark: SparkSession, journal: str, run_id: str | None = None, in_flight: bool = False) -> DataFrame:
+    """Committed rows of a journal or of one run, with run_id and wave.
+
+    in_flight: also those that had been judged when their run stopped before them; they are no rows of
+    the run, and what was paid for them can be served to the next one.
+    """
+    done = commits(spark, journal, run_id).select("run_id", "wave", "attempt", "cut")
+    if done.isEmpty():
+        return done.select("run_id", "wave", F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("path"))
     rows = spark.read.option("mergeSchema", "true").parquet(f"{journal}/rows")
-    return rows if run_id is None else rows.filter(F.col("run_id") == run_id)
+    rows = rows.withColumns({"run_id": F.col("run_id").cast("string"), "attempt": F.col("attempt").cast("string")})
+    kept = rows.join(done, ["run_id", "wave", "attempt"])
+    if not in_flight and ORDER in rows.columns:
+        kept = kept.filter(F.col("cut").isNull() | (F.col(ORDER).cast("string") <= F.col("cut")))
+    return kept.drop("attempt", "cut")
+
+
+def append_rows(rows: DataFrame, journal: str, run_id: str, wave: int = -1) -> None:
+    """Rows that no stop can cut, staged and committed; a second time they change nothing."""
+    attempt = stage_wave(rows, journal, run_id, wave)
+    n = read_wave(rows.sparkSession, journal, run_id, wave, attempt).count()
+    commit_wave(rows.sparkSession, journal, {"run_id": run_id, "wave": wave, "attempt": attempt, "cut": None, "reason": None, "n_rows": n, "n_sent": 0, "n_errors": 0, "n_tokens": 0, "n_in_flight": 0})
+
+
+def append_run(spark: SparkSession, journal: str, header: dict) -> None:
+    spark.createDataFrame([header]).coalesce(1).write.mode("append").json(f"{journal}/runs")
 
 
 def read_lines(spark: SparkSession, path: str) -> tuple[dict, DataFrame, bool]:
