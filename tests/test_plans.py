@@ -244,16 +244,85 @@ def test_line_numbers_in_pieces(spark, tmp_path):
     assert [r.id for r in same.collect()] == ["a"]
 
 
+def voted(pick, tokens=10):
+    answer = {"choices": {"lane": {"pick": pick, "confidence": 0.9}}, "scores": {}, "nouls": {}, "model": "m", "input_tokens": tokens}
+    return F.from_json(F.lit(json.dumps(answer)), RP.VOTE)
+
+
 def test_records_of_a_judge(spark):
-    """A judge sees each state once and no held record; a failed twin fails with its first."""
+    """A judge sees each state once and no held record; where it fails, the next of equal states is asked."""
     seen = []
 
     def judge(df):
         seen.extend(r.id for r in df.collect())
-        return df.withColumn("vote", F.lit(None).cast(RP.VOTE))
+        return df.withColumn("vote", F.when(F.col("id").isin("b", "f", "h"), voted("keep")))
 
     rows = {r.id: r for r in RP.judged(X.record_votes(spark), {}, "lane", judge).collect()}
-    assert sorted(seen) == ["a", "b", "c", "e", "f"] and rows["g"].kind == rows["h"].kind == "error" and rows["d"].action == "quarantine"
+    assert sorted(seen) == ["a", "b", "c", "e", "f", "h"] and rows["d"].action == "quarantine"
+    assert {i for i, r in rows.items() if r.kind == "error"} == {"a", "c", "e"}
+    assert rows["g"].same_as == "b" and rows["g"].input_tokens == 0 and rows["h"].same_as is None and rows["h"].input_tokens == 10
+
+
+def group_of(spark, n, key="k"):
+    return spark.range(n).select(F.format_string("r%05d", "id").alias("id"), F.lit("fresh").alias("disposition"), F.array().cast("array<string>").alias("hits"), F.lit(key).alias("key"), F.lit(5).alias("payload_chars"))
+
+
+def test_leaders_hand_over(spark):
+    """Of a large group of equal records one after the other is asked until one is answered."""
+    tries = lambda good: lambda df: df.withColumn("vote", F.when(F.col("id") >= good, voted("x")))
+    rows = RP.judged(group_of(spark, 3000), {}, "lane", tries("r00004")).collect()
+    assert len(rows) == 3000 and sorted(r.id for r in rows if r.kind == "error") == [f"r{i:05d}" for i in range(4)]
+    assert {r.same_as for r in rows if r.id > "r00004"} == {"r00004"} and sum(r.input_tokens or 0 for r in rows) == 10
+    # none is answered: every one is tried
+    rows = RP.judged(group_of(spark, 6), {}, "lane", tries("z")).collect()
+    assert [r.kind for r in rows] == ["error"] * 6
+    # a judge that is down stops the run; what was not sent has no row
+    many = group_of(spark, 60).withColumn("key", F.concat("key", F.col("id"))).unionByName(group_of(spark, 60).withColumns({"key": F.concat("key", F.col("id")), "id": F.concat(F.lit("t"), "id")}))
+    assert len(RP.judged(many, {}, "lane", tries("z")).collect()) == 60
+    assert len(RP.judged(many, {}, "lane", tries("z"), error_stop=False).collect()) == 120
+
+
+def test_records_are_resumed(spark):
+    """What an earlier run answered is served by key, whoever asked, and never sent."""
+    seen = []
+
+    def judge(df):
+        seen.extend(r.id for r in df.collect())
+        return df.withColumn("vote", voted("new"))
+
+    both = group_of(spark, 4, "old").unionByName(group_of(spark, 3, "new").withColumn("id", F.concat(F.lit("n"), "id")))
+    held = spark.range(2).select(F.lit("old").alias("key"), voted("stored").alias("vote"))
+    rows = RP.judged(both, {}, "lane", judge, cached=held).collect()
+    assert seen == ["nr00000"] and sorted((r.pick, r.cached, r.input_tokens) for r in rows) == [("new", False, 0)] * 2 + [("new", False, 10)] + [("stored", True, 0)] * 4
+
+
+def in_plan_order(paths, existing=(), folder="q"):
+    """Each note in turn takes the first place that is free."""
+    taken, out = {e.lower() for e in existing}, {}
+    for p in sorted(paths):
+        stem, end = (p[:-3], p[-3:]) if p.lower().endswith(".md") else (p, "")
+        names = (f"{folder}/{stem}{end}" if k == 1 else f"{folder}/{stem}-{k}{end}" for k in range(1, 10_000))
+        out[p] = next(n for n in names if n.lower() not in taken)
+        taken.add(out[p].lower())
+    return out
+
+
+def moved(spark, paths, existing=()):
+    rows = spark.createDataFrame([(p, p, "quarantine", "r", ["t"]) for p in paths] + [("kept.md", "kept.md", "frontmatter", "r", [])], "path string, plan_ord string, action string, reason string, quarantine_triggers array<string>")
+    there = spark.createDataFrame([(e,) for e in existing], "path string")
+    return {r["from"]: r["to"] for r in sinks.quarantine_moves(rows, "q", there).collect()}
+
+
+def test_moves_that_clash(spark):
+    paths = ["a.md", "A.md", "A-2.md", "a-2.md", "a-2-2.md", "b/x.md", "b/X.md", "c-3.md", "c.md", "C.md", "C.MD", "d.md"]
+    assert moved(spark, paths) == in_plan_order(paths)
+    existing = ["q/a.md", "q/a-2.md", "q/A-3.md", "q/d.md", "q/d-4.md", "other.md", *(f"q/c-{i}.md" for i in range(2, 40))]
+    assert moved(spark, paths, existing) == in_plan_order(paths, existing)
+    r = random.Random(6)
+    many = list({"".join(r.choice(x) for x in ("aA", "bB")) + "".join(f"-{r.randrange(2, 5)}" for _ in range(r.randrange(3))) + ".md" for _ in range(120)})
+    got = moved(spark, many)
+    assert got == in_plan_order(many) and len({t.lower() for t in got.values()}) == len(many)
+    assert moved(spark, []) == {}
 
 
 def test_diff_in_words(spark):
@@ -320,6 +389,8 @@ def test_settings(tmp_path):
 
 
 def test_splice():
+    assert sinks.spliced("a: 1\r\n'tidepool' : x\r\n  y: z\r\nb: 2", "tidepool: n") == "a: 1\ntidepool: n\nb: 2"
+    assert sinks.spliced("tidepools: 1\ntidepool:\n  a: b\n   \n", "tidepool: n") == "tidepools: 1\ntidepool: n\n   \n"
     block = "tidepool:\n  bucket: junk"
     assert sinks.spliced(None, block) == block
     assert sinks.spliced("title: a", block) == "title: a\n" + block

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidepool.plans.shared import drop, materialised
+
 from .lines import numbered
 
 #: Rows of a wave are cut in the order of this column.
@@ -105,13 +107,43 @@ def latest_runs(runs: DataFrame) -> DataFrame:
     return runs.orderBy("started", "run_id")
 
 
-def quarantine_moves(rows: DataFrame, folder: str = "_tidepool/quarantine") -> DataFrame:
-    """from, to, reason, triggers: where held notes go. Paths that meet get -2, -3, ... in plan order."""
-    held = rows.filter("action = 'quarantine'").withColumn("to", F.concat(F.lit(folder + "/"), F.lower("path")))
-    n = F.row_number().over(Window.partitionBy("to").orderBy("plan_ord"))
-    plain = F.concat(F.lit(folder + "/"), F.col("path"))
-    numbered = F.when(n == 1, plain).otherwise(F.concat(F.regexp_replace(plain, r"(?i)\.md$", ""), F.lit("-"), n.cast("string"), F.lit(".md")))
-    return held.select(F.col("path").alias("from"), numbered.alias("to"), "reason", F.col("quarantine_triggers").alias("triggers"))
+def quarantine_moves(rows: DataFrame, folder: str = "_tidepool/quarantine", existing: DataFrame | None = None) -> DataFrame:
+    """from, to, reason, triggers: where held notes go; no two go to one place, nor to one that is taken.
+
+    rows: path, plan_ord, action, reason, quarantine_triggers. existing: path of what is there already.
+    A note keeps its path below the folder; if that is taken it gets -2, -3, ..., the first that is free
+    when the notes are moved in plan order. Places that differ in case only are one, since file systems
+    take them so. Every note claims a place, the first in plan order holds it and the others claim their
+    next one: a round of claims is a partial sum by place, so that no place is a hot key. Chains of
+    claims settle in as many rounds as they are long.
+    """
+    spark = rows.sparkSession
+    held = rows.filter("action = 'quarantine'").select("path", "plan_ord", "reason", "quarantine_triggers")
+    stem = F.lower(F.concat(F.lit(folder + "/"), F.regexp_replace("path", r"(?i)\.md$", "")))
+    held = held.withColumn("_stem", stem)
+    if existing is None:
+        existing = spark.createDataFrame([], "path string")
+    there = existing.select(F.regexp_replace(F.lower("path"), r"\.md$", "").alias("name")).distinct()
+    # which numbers of a stem are taken by what is there; 1 is the stem itself
+    number = F.regexp_extract("name", r"-([1-9][0-9]{0,8})$", 1)
+    taken = there.select(F.col("name").alias("_stem"), F.lit(1).alias("k")).unionByName(there.filter(number != "").select(F.regexp_replace("name", r"-[0-9]+$", "").alias("_stem"), number.cast("int").alias("k")))
+    taken = taken.join(held.select("_stem").distinct(), "_stem", "left_semi").groupBy("_stem").agg(F.array_sort(F.collect_set("k")).alias("_taken"))
+    nth = lambda after: F.reduce(F.coalesce("_taken", F.array().cast("array<int>")), after + 1, lambda at, k: F.when(k == at, at + 1).otherwise(at))
+    claims = held.join(taken, "_stem", "left").withColumn("_k", nth(F.lit(0)))
+    place = F.when(F.col("_k") == 1, F.col("_stem")).otherwise(F.concat_ws("-", "_stem", "_k"))
+    claims = materialised(claims, "moves")
+    while True:
+        first = claims.withColumn("_place", place).groupBy("_place").agg(F.min(F.struct("plan_ord", "path")).alias("_f"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+        lost = claims.withColumn("_place", place).join(first, "_place").filter(F.col("_f.path") != F.col("path")).select("path", F.lit(True).alias("_lost"))
+        if lost.isEmpty():
+            break
+        after = claims.join(lost, "path", "left").withColumn("_k", F.when(F.col("_lost"), nth(F.col("_k"))).otherwise(F.col("_k"))).drop("_lost")
+        before, claims = claims, materialised(after, "moves")
+        drop(before)
+    shown = F.concat(F.lit(folder + "/"), F.regexp_replace("path", r"(?i)\.md$", ""))
+    ending = F.regexp_extract("path", r"((?i)\.md)$", 1)
+    to = F.concat(shown, F.when(F.col("_k") > 1, F.concat(F.lit("-"), F.col("_k").cast("string"))).otherwise(F.lit("")), ending)
+    return claims.select(F.col("path").alias("from"), to.alias("to"), "reason", F.col("quarantine_triggers").alias("triggers"))
 
 
 #: The tool's key and the lines below it that are indented, or blank with an indented one to follow.
