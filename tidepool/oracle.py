@@ -1,36 +1,17 @@
 """The same rows as queries.py gives, in SQL for DuckDB, written from the operators' meaning.
 
-Literal rows come from fixtures.py as VALUES; everything else is computed here anew.
+What the tables lack is added by the rules in derived.py; everything else is computed here anew.
 """
 
 from __future__ import annotations
 
+from tidepool import derived as Y
 from tidepool import fixtures as X
 
 
-def _literal(v) -> str:
-    if v is None:
-        return "NULL"
-    if isinstance(v, bool):
-        return str(v).lower()
-    if isinstance(v, (int, float)):
-        return repr(v)
-    if isinstance(v, (list, tuple)):
-        return "[" + ", ".join(map(_literal, v)) + "]"
-    if isinstance(v, dict):
-        return "MAP {" + ", ".join(f"{_literal(k)}: {_literal(x)}" for k, x in v.items()) + "}"
-    text = v.replace("'", "''")
-    for c in sorted({c for c in text if c < " "}):
-        text = text.replace(c, f"' || chr({ord(c)}) || '")
-    return f"('{text}')" if "||" in text else f"'{text}'"
+PATHS, REPORT, RUNS, BEFORE, AFTER = Y.PATHS, Y.REPORT, Y.RUNS, Y.BEFORE, Y.AFTER
 
 
-def values(rows: list, columns: str) -> str:
-    return "(SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(_literal, r)) + ")" for r in rows) + f") AS t({columns}))"
-
-
-PATHS = values([(p,) for p in X.PATHS], "rel")
-
 def sensitive(rel: str, names: tuple[str, ...] = ("family", "private", "personal", "secrets", "inbox")) -> str:
     tests = " OR ".join(
         f"len(list_filter(string_split({rel}, '/')[:-2], lambda f: contains(' ' || array_to_string(regexp_extract_all(lower(f), '[a-z0-9]+'), ' ') || ' ', ' {n} '))) > 0" for n in names
@@ -85,11 +66,6 @@ def keyword_bucket(blob: str, excerpt: str) -> str:
 PERSIST = "CASE bucket WHEN 'junk' THEN 0.1::DOUBLE WHEN 'ephemeral' THEN 0.6 WHEN 'needs_review' THEN 1.1 WHEN 'log_entry' THEN 0.9 WHEN 'code_note' THEN 1.7 WHEN 'project_decision' THEN 1.9 WHEN 'durable_memory' THEN 2.0 ELSE 1.4 END"
 SECRET = "CASE bucket WHEN 'needs_review' THEN 0.97::DOUBLE WHEN 'ephemeral' THEN 0.02 WHEN 'junk' THEN 0.01 WHEN 'log_entry' THEN 0.03 WHEN 'project_decision' THEN 0.03 WHEN 'code_note' THEN 0.02 WHEN 'reference' THEN 0.02 ELSE 0.04 END"
 
-REPORT = values(
-    [(*r[:16], *(r[16] or (None, None, None)), *r[17:], r[16] is not None) for r in X.report_data()],
-    "kind, judge, path, plan_ord, bucket, suggested_bucket, confidence, p, bucket_margin, action, reason, redacted, redacted_own, quarantine_triggers, truncated, age_source, words, age_days, out_links,"
-    " payload_chars, input_tokens, skipped, error, excerpt_chars, cached, question_chars, taxonomy, dup, has_graph",
-)
 #: Written from the rules of the report: the pile is judged rows with a confidence below 0.55.
 JUDGED = f"""report AS (SELECT * FROM {REPORT}), judged AS (
   SELECT *, coalesce(confidence, 0) < 0.55 AS in_pile, CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '.' END AS dir,
@@ -109,7 +85,7 @@ JUDGED = f"""report AS (SELECT * FROM {REPORT}), judged AS (
 ), gains AS (
   SELECT x, y, any_value(n) AS tied, count(*) FILTER (clears) AS cleared, any_value(first) AS first FROM merged GROUP BY x, y
 ), hot AS (
-  SELECT dir, count(*) AS notes, count(*) FILTER (in_pile) AS pile, avg(in_pile::INT) AS share, sum(input_tokens)::BIGINT AS tokens FROM judged GROUP BY dir
+  SELECT dir, min(plan_ord) AS first, count(*) AS notes, count(*) FILTER (in_pile) AS pile, avg(in_pile::INT) AS share, sum(input_tokens)::BIGINT AS tokens FROM judged GROUP BY dir
   HAVING count(*) >= 20 AND avg(in_pile::INT) >= 1.5 * (SELECT avg(in_pile::INT) FROM judged)
 ), skew AS (
   SELECT 'truncated' AS cause, count(*) FILTER (truncated) AS notes, count(*) FILTER (truncated AND in_pile) AS pile, count(*) AS n, count(*) FILTER (in_pile) AS np FROM judged
@@ -131,15 +107,6 @@ JUDGED = f"""report AS (SELECT * FROM {REPORT}), judged AS (
 USD = "({}) / 1e6 * 0.042::DOUBLE"
 LOW, HIGH = "ceil(({}) / 3.8::DOUBLE)", "ceil(({}) / 2.8::DOUBLE)"
 
-RUNS = values([(*r, "family,private") for r in X.RUNS], "run_id, started, resumed_from, finished, taxonomy, state_version, model_requested, excerpt_cap, denylist, include_sensitive, sensitive_parts")
-_before, _after = X.snapshot_rows()
-_COLS = "path, kind, judge, bucket, confidence, action, dup, suggested, truncated, findings, skipped"
-BEFORE, AFTER = values(_before, _COLS), values(_after, _COLS)
-VOTES = [
-    (1, "reference", 0.9, 1.4, 0.1, 0.9, []), (2, "reference", 0.5, 1.4, 0.1, 0.9, []), (3, "needs_review", 0.9, 1.0, 0.1, 0.9, ["EMAIL"]), (4, "junk", 0.9, 0.1, 0.1, 0.9, []),
-    (5, "junk", 0.9, 0.6, 0.1, 0.9, []), (6, "reference", 0.9, 1.4, 0.7, 0.9, []), (7, "reference", 0.9, 1.4, 0.1, 0.2, []), (8, "reference", 0.5, 1.4, 0.9, 0.1, ["JWT", "KEY"]),
-    (9, "reference", 0.55, 1.4, 0.699, 0.201, ["CARD", "PHONE"]),
-]
 ELIGIBLE = (
     NOTES
     + """, eligible AS (
@@ -155,13 +122,13 @@ ELIGIBLE = (
 )"""
 )
 
-#: The literal vault: plan, links as written and where they lead, by the rules of the link graph.
+#: The linked vault: plan, links as written and where they lead, by the rules of the link graph.
 GRAPH = f"""v AS (
-  SELECT rel, body, replace(rel, '/', chr(1)) AS ord, CASE WHEN rel LIKE '.hidden/%' OR rel LIKE 'family/%' THEN 'skip' ELSE 'scan' END AS status,
+  SELECT rel, body, replace(rel, '/', chr(1)) AS ord, CASE WHEN rel LIKE '.hidden/%' OR rel LIKE 'family/%' THEN 'skip' WHEN bad THEN 'bad' ELSE 'scan' END AS status,
     CASE WHEN contains(rel, '/') THEN regexp_replace(rel, '[^/]*$', '') ELSE './' END AS folder,
     list_concat(regexp_extract_all(body, '!?\\[\\[([^\\]|#]+)(?:#[^\\]|]*)?(?:\\|[^\\]]*)?\\]\\]', 1), regexp_extract_all(body, '!?\\[[^\\]]*\\]\\(([^)\\s]+?\\.md)(?:#[^)]*)?\\)', 1)) AS written,
     list_concat(regexp_extract_all(body, '(!?)\\[\\[[^\\]|#]+(?:#[^\\]|]*)?(?:\\|[^\\]]*)?\\]\\]', 1), regexp_extract_all(body, '(!?)\\[[^\\]]*\\]\\([^)\\s]+?\\.md(?:#[^)]*)?\\)', 1)) AS bangs
-  FROM {values(X.VAULT, 'rel, body')}
+  FROM {Y.LINKED}
 ), t AS (
   SELECT *, list_filter([regexp_replace(replace(trim(w), chr(92), '/'), '(?i)\\.md$', '') FOR w IN written IF lower(trim(w)) LIKE '%.md' OR NOT contains(string_split(trim(w), '/')[-1], '.')], lambda x: x <> '') AS targets,
     len(list_filter(bangs, lambda b: b = '!')) AS embeds FROM v
@@ -193,8 +160,7 @@ SQL: dict[str, str] = {
     "s2_unix_body": "SELECT doc_id, md5(text) AS body_md5 FROM documents",
     "s5_records": "SELECT conv_id || ':' || turn AS id, role, length(text) AS chars FROM conversations",
     "s13_runs_in_order": f"SELECT run_id, started FROM {RUNS} ORDER BY started",
-    "s17_stamp_changes": "SELECT id, coalesce(abs(o - n) > 0.05, o IS DISTINCT FROM n) AS changed FROM "
-    + values([(1, 0.5, 0.54), (2, 0.5, 0.56), (3, None, 0.1), (4, 0.1, None), (5, None, None), (6, 1.0, 1.0)], "id, o, n"),
+    "s17_stamp_changes": f"SELECT id, coalesce(abs(o - n) > 0.05, o IS DISTINCT FROM n) AS changed FROM {Y.STAMPS}",
     "f1_plan_status": f"WITH {NOTES} SELECT rel, status, rule, sensitive FROM planned",
     "f2_plan_below_a_root": f"""SELECT rel, 'skip' AS status, CASE WHEN rel LIKE '.%' OR rel LIKE '%/.%' THEN 'hidden' WHEN rel LIKE '_tidepool/%' THEN 'tidepool' ELSE 'sensitive' END AS rule FROM {PATHS}""",
     "f5_near_misses": f"""WITH p AS (SELECT rel, replace(rel, '/', chr(1)) AS ord, unnest(string_split(rel, '/')[:-2]) AS segment FROM {PATHS}
@@ -211,7 +177,7 @@ SQL: dict[str, str] = {
         {WORDS}::INT AS words, len(regexp_extract_all(text, '(?m)^#{{1,6}}\\s+\\S'))::INT AS headings FROM documents""",
     "p6_body_facts_literal": f"""SELECT id, {DIGEST} AS digest,
         len(list_filter(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)), lambda l: trim(l) <> '' AND NOT starts_with(ltrim(l), '#'))) = 0 AS empty,
-        len(regexp_extract_all(text, '(?m)^#{{1,6}}\\s+\\S'))::INT AS headings FROM {values(X.BODIES, 'id, text')}""",
+        len(regexp_extract_all(text, '(?m)^#{{1,6}}\\s+\\S'))::INT AS headings FROM {Y.BODIES}""",
     "p11_bands": f"""WITH d AS (SELECT doc_id, {WORDS} AS w, doc_id % 1500 AS days FROM documents)
       SELECT doc_id, CASE WHEN w < 100 THEN w ELSE (w // (10 ** (length(w::VARCHAR) - 2))::BIGINT) * (10 ** (length(w::VARCHAR) - 2))::BIGINT END::BIGINT AS words,
         CASE WHEN days >= 1000 THEN 1000 WHEN days >= 365 THEN 365 WHEN days >= 90 THEN 90 WHEN days >= 30 THEN 30 WHEN days >= 7 THEN 7 WHEN days >= 1 THEN 1 ELSE 0 END::INT AS age,
@@ -224,7 +190,7 @@ SQL: dict[str, str] = {
         '$' || CASE WHEN tokens * 1000 / 1e6 * 0.042::DOUBLE >= 0.10 THEN format('{:.2f}', tokens * 1000 / 1e6 * 0.042::DOUBLE) ELSE format('{:.4f}', tokens * 1000 / 1e6 * 0.042::DOUBLE) END AS shown FROM d""",
     "p30_persist_labels": """WITH d AS (SELECT doc_id, (doc_id % 41) / 20.0::DOUBLE AS v, ['drop', 'park', 'promote'] AS w FROM documents), e AS (SELECT *, floor(v)::INT AS lo, least(floor(v)::INT + 1, 2) AS hi, v - floor(v) AS f FROM d)
       SELECT doc_id, CASE WHEN f < 0.15::DOUBLE THEN w[lo + 1] WHEN f > 0.85::DOUBLE THEN w[hi + 1] ELSE w[lo + 1] || '–' || w[hi + 1] || ', leaning ' || CASE WHEN f < 0.5 THEN w[lo + 1] ELSE w[hi + 1] END END AS label FROM e""",
-    "p34_field_names": "SELECT name, regexp_full_match(name, '[A-Za-z_][A-Za-z0-9_]{0,63}') AS fits FROM " + values([(n,) for n in ("ok", "_x1", "1x", "a-b", "a b", "", "x" * 64, "x" * 65, "é")], "name"),
+    "p34_field_names": f"SELECT name, regexp_full_match(name, '[A-Za-z_][A-Za-z0-9_]{{0,63}}') AS fits FROM {Y.FIELDS}",
     "r9_emails": "SELECT doc_id, md5(regexp_replace(text, '\\b[A-Za-z0-9._%+\\-]+@[A-Za-z0-9.\\-]+\\.[A-Za-z]{2,}\\b', '[EMAIL]', 'g')) AS redacted_md5 FROM documents",
     "r15_luhn": """WITH d AS (SELECT doc_id, unnest(regexp_extract_all(text, '\\b\\d{13,19}\\b')) AS digits FROM documents)
       SELECT doc_id, digits, list_sum([CASE WHEN i % 2 = 1 THEN x ELSE CASE WHEN 2 * x > 9 THEN 2 * x - 9 ELSE 2 * x END END FOR x, i IN list_transform(string_split(reverse(digits), ''), lambda c: c::INT)]) % 10 = 0 AS ok FROM d""",
@@ -238,10 +204,10 @@ SQL: dict[str, str] = {
         coalesce(sum(doc_id % 4) FILTER (scan), 0)::BIGINT AS out_links, coalesce(sum(doc_id % 2) FILTER (scan), 0)::BIGINT AS unresolved_links FROM f GROUP BY f""",
     "u2_keyword_votes": f"""WITH d AS (SELECT doc_id, {keyword_bucket("'note ' || lower(text)", "text")} AS bucket FROM documents)
       SELECT doc_id, bucket, {PERSIST} AS persist, {SECRET} AS contains_secret, CASE WHEN bucket = 'project_decision' THEN 0.7 ELSE 0.3 END::DOUBLE AS is_actionable FROM d""",
-    "u2_keyword_votes_literal": f"""WITH d AS (SELECT *, {keyword_bucket("lower(title) || ' ' || lower(excerpt)", "excerpt")} AS bucket FROM {values(X.EXCERPTS, 'id, title, excerpt')})
+    "u2_keyword_votes_literal": f"""WITH d AS (SELECT *, {keyword_bucket("lower(title) || ' ' || lower(excerpt)", "excerpt")} AS bucket FROM {Y.EXCERPTS})
       SELECT id, bucket, {PERSIST} AS persist, {SECRET} AS contains_secret, CASE WHEN contains(lower(title || ' ' || excerpt), 'duplicate') THEN 0.12 ELSE 0.05 END::DOUBLE AS looks_like_duplicate,
         CASE WHEN bucket = 'project_decision' THEN 0.88 ELSE 0.2 END::DOUBLE AS records_a_decision, CASE WHEN bucket = 'needs_review' THEN 0.1 ELSE 0.8 END::DOUBLE AS safe_to_leave_in_git FROM d""",
-    "d3_policy": f"""WITH v AS (SELECT *, list_filter(hits, lambda h: h IN ('KEY', 'WEBHOOK', 'JWT', 'PEM', 'AWS_SECRET', 'BEARER', 'URL_CREDENTIAL')) AS local FROM {values(VOTES, 'id, bucket, conf, persist, secret, git, hits')}),
+    "d3_policy": f"""WITH v AS (SELECT *, list_filter(hits, lambda h: h IN ('KEY', 'WEBHOOK', 'JWT', 'PEM', 'AWS_SECRET', 'BEARER', 'URL_CREDENTIAL')) AS local FROM {Y.VOTES}),
       w AS (SELECT *, CASE WHEN len(local) > 0 THEN 1 WHEN secret >= 0.7 THEN 2 WHEN git <= 0.2 THEN 3 WHEN bucket = 'needs_review' OR conf < 0.55 THEN 4 WHEN bucket = 'junk' AND persist < 0.5 THEN 5 ELSE 6 END AS way FROM v)
       SELECT id, CASE WHEN way < 4 THEN 'quarantine' ELSE 'frontmatter' END AS action,
         CASE way WHEN 1 THEN 'local redaction hit: ' || array_to_string(local, ', ') WHEN 2 THEN 'contains_secret above threshold' WHEN 3 THEN 'safe_to_leave_in_git at or below 0.2'
@@ -264,8 +230,7 @@ SQL: dict[str, str] = {
     "j8_errors_to_retry": "SELECT user_id AS path FROM events GROUP BY user_id HAVING max(event_id) % 7 = 0",
     "w4_running_spend": """WITH e AS (SELECT event_id AS done_ord, floor(value)::BIGINT AS t FROM events), s AS (SELECT *, sum(t) OVER (ORDER BY done_ord) AS upto FROM e)
       SELECT done_ord, round(upto / 1e6 * 0.042::DOUBLE, 9) AS spent, (upto - t) / 1e6 * 0.042::DOUBLE > 0.005 AS after_stop FROM s""",
-    "w3_cache_over_a_chain": """WITH r AS (SELECT pos, line, 'p' || line AS path, 'k' || ((line * 7 + pos) % 9) AS key, 'b' || pos || (line % 3) AS bucket FROM range(3) a(pos), range(12) b(line) WHERE (line + pos) % 5 <> 4 AND line % 6 <> 5)
-      SELECT key, arg_max(path, (-pos, line)) AS path, arg_max(bucket, (-pos, line)) AS bucket, arg_max(pos, (-pos, line))::INT AS chain_pos FROM r GROUP BY key""",
+    "w3_cache_over_a_chain": f"""SELECT key, arg_max(path, (-pos, line)) AS path, arg_max(bucket, (-pos, line)) AS bucket, arg_max(pos, (-pos, line))::INT AS chain_pos FROM {Y.CHAIN} GROUP BY key""",
     "j10_diff": f"""WITH a AS (SELECT * FROM {BEFORE}), b AS (SELECT * FROM {AFTER}),
       j AS (SELECT coalesce(b.path, a.path) AS path, a.path IS NULL AS new, b.path IS NULL AS gone, a.path IS NOT NULL AND b.path IS NOT NULL AS twice, coalesce(a.kind = 'vote' AND b.kind = 'vote', false) AS votes,
         a.bucket AS ab, b.bucket AS bb, coalesce(a.kind = 'vote' AND a.suggested IS NOT NULL, false) AS ar, coalesce(b.kind = 'vote' AND b.suggested IS NOT NULL, false) AS br,
@@ -293,25 +258,27 @@ SQL: dict[str, str] = {
       SELECT category, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN a AND NOT b THEN 'gone' END, CASE WHEN b AND NOT a THEN 'new' END, CASE WHEN a AND b AND quality <> 1 THEN 'bucket_changed' END,
         CASE WHEN b AND toxic = 1 THEN 'quarantined' END, CASE WHEN a AND b AND quality = 1 AND toxic <> 1 THEN 'unchanged' END], lambda c: c IS NOT NULL)) AS category FROM j) GROUP BY category""",
     "j13_resume_chain": f"""WITH RECURSIVE r AS (SELECT * FROM {RUNS}), c AS (SELECT run_id, 0 AS "at", run_id AS ancestor, resumed_from AS next, [run_id] AS seen FROM r
-        UNION ALL SELECT c.run_id, c."at" + 1, r.run_id, r.resumed_from, list_append(c.seen, r.run_id) FROM c JOIN r ON r.run_id = c.next WHERE NOT list_contains(c.seen, r.run_id))
+        UNION ALL SELECT c.run_id, c."at" + 1, r.run_id, r.resumed_from, list_append(c.seen, r.run_id) FROM c JOIN r ON r.run_id = c.next WHERE NOT list_contains(c.seen, r.run_id) AND c."at" < 99)
       SELECT run_id, "at", ancestor FROM c""",
-    "x4_run_to_resume": f"WITH r AS (SELECT * FROM {RUNS}) SELECT run_id FROM r WHERE NOT finished AND run_id NOT IN (SELECT resumed_from FROM r WHERE resumed_from IS NOT NULL) ORDER BY started DESC LIMIT 1",
-    "g13_header_changes": f"""WITH r AS (SELECT * FROM {RUNS}), p AS (SELECT a.*, b.taxonomy AS t2, b.model_requested AS m2, b.state_version AS s2, b.excerpt_cap AS e2, b.denylist AS d2 FROM r a, r b WHERE a.run_id = 'r1' AND b.run_id = 'r3')
+    "x4_run_to_resume": f"WITH r AS (SELECT * FROM {RUNS}) SELECT run_id FROM r WHERE NOT finished AND run_id NOT IN (SELECT resumed_from FROM r WHERE resumed_from IS NOT NULL) ORDER BY started DESC, run_id DESC LIMIT 1",
+    "g13_header_changes": f"""WITH r AS (SELECT * FROM {RUNS}), p AS (SELECT a.*, b.taxonomy AS t2, b.model_requested AS m2, b.state_version AS s2, b.excerpt_cap AS e2, b.denylist AS d2 FROM r a, r b WHERE a.run_id = 'r1' AND b.run_id = 'r4')
       SELECT * FROM (SELECT 'taxonomy' AS field, taxonomy AS before, t2 AS after FROM p UNION ALL SELECT 'model_requested', model_requested, m2 FROM p UNION ALL SELECT 'state_version', state_version::VARCHAR, s2::VARCHAR FROM p
         UNION ALL SELECT 'excerpt_cap', excerpt_cap::VARCHAR, e2::VARCHAR FROM p UNION ALL SELECT 'denylist', denylist, d2 FROM p) WHERE before IS DISTINCT FROM after""",
     "g14_findings_counters": f"""WITH f AS (SELECT unnest(findings) AS finding, 0 AS side FROM {BEFORE} UNION ALL SELECT unnest(findings), 1 FROM {AFTER})
       SELECT finding, count(*) FILTER (side = 0) AS before, count(*) FILTER (side = 1) AS after FROM f GROUP BY finding""",
     "a33_row_kinds": f"SELECT kind, count(*) AS n FROM {REPORT} GROUP BY kind",
-    "f11_out_of_credits": f"""SELECT id::INT AS id, regexp_matches(message, '(?i)\\b(?:http|status|error)\\b([^\\n]{{0,23}}[^0-9\\n])402($|[^0-9])') OR regexp_matches(message, '(?i)(^|[^0-9])402([^0-9\\n][^\\n]{{0,23}})\\b(?:payment|credits)')
-        OR (contains(lower(message), 'no available') AND contains(lower(message), 'credits')) AS out FROM {values(list(enumerate(X.MESSAGES)), 'id, message')}""",
+    "f11_out_of_credits": f"""SELECT id, regexp_matches(message, '(?i)\\b(?:http|status|error)\\b([^\\n]{{0,23}}[^0-9\\n])402($|[^0-9])') OR regexp_matches(message, '(?i)(^|[^0-9])402([^0-9\\n][^\\n]{{0,23}})\\b(?:payment|credits)')
+        OR (contains(lower(message), 'no available') AND contains(lower(message), 'credits')) AS out FROM {Y.MESSAGES}""",
     "o7_stratified_sample": f"WITH {ELIGIBLE} SELECT rel, stratum FROM sampled",
     "a31_strata": f"WITH {ELIGIBLE} SELECT s.stratum, s.n AS population, coalesce(t.n, 0) AS sampled FROM (SELECT stratum, count(*) AS n FROM strata GROUP BY 1) s LEFT JOIN (SELECT stratum, count(*) AS n FROM sampled GROUP BY 1) t ON s.stratum = t.stratum",
     "o8_spot_check": f"WITH {DUPLICATES} SELECT rel AS path FROM dup WHERE status = 'scan' AND exact_duplicate_of IS NULL ORDER BY sha256('3|' || rel) LIMIT 20",
     "p31_margins": f"""WITH r AS (SELECT path, list_sort([struct_pack(v := -e.value, i := i, k := e.key) FOR e, i IN map_entries(p)]) AS top FROM {REPORT} WHERE p IS NOT NULL)
       SELECT path, round((-top[1].v + coalesce(top[2].v, 0))::DOUBLE, 3) AS margin, top[1].k AS first, CASE WHEN len(top) > 1 THEN top[2].k || ' at ' || format('{{:.2f}}', (-top[2].v)::DOUBLE) ELSE 'no contender' END AS runner_up FROM r""",
-    "s18_quarantine_moves": f"""WITH h AS (SELECT path, plan_ord, reason FROM {REPORT} WHERE action = 'quarantine'), u AS (SELECT * FROM h UNION ALL SELECT upper(path), plan_ord || '~', reason FROM h),
-      n AS (SELECT *, row_number() OVER (PARTITION BY lower(path) ORDER BY plan_ord) AS i FROM u)
-      SELECT path AS from, '_tidepool/quarantine/' || CASE WHEN i = 1 THEN path ELSE regexp_replace(path, '(?i)\\.md$', '') || '-' || i || '.md' END AS to, reason FROM n""",
+    "s18_quarantine_moves": f"""WITH RECURSIVE d AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY stem || '.md') AS i FROM {Y.CLASHING}),
+      r AS (SELECT k, 0::BIGINT AS i, coalesce(taken, []) AS taken, NULL::VARCHAR AS stem, NULL::VARCHAR AS t, NULL::VARCHAR AS reason FROM (SELECT DISTINCT k FROM d) LEFT JOIN (SELECT k, list(path) AS taken FROM {Y.THERE} GROUP BY k) USING (k)
+        UNION ALL SELECT k, i, list_append(taken, lower(t)), stem, t, reason FROM (SELECT d.k, d.i, r.taken, d.stem, d.reason,
+          list_filter(['_tidepool/quarantine/' || d.stem || CASE WHEN n = 1 THEN '' ELSE '-' || n END || '.md' FOR n IN range(1, 20)], lambda x: NOT list_contains(r.taken, lower(x)))[1] AS t FROM r JOIN d ON d.k = r.k AND d.i = r.i + 1))
+      SELECT stem || '.md' AS from, t AS to, reason FROM r WHERE stem IS NOT NULL""",
     "a12_diagnosis_counts": f"""WITH {JUDGED} SELECT count(*) AS n_rows, count(*) FILTER (kind = 'vote') AS n_votes, (SELECT count(*) FROM judged) AS n_judged, count(*) FILTER (kind = 'vote' AND judge = 'local') AS n_local,
         count(*) FILTER (kind = 'skip') AS n_withheld, count(*) FILTER (kind = 'error') AS n_errors, (SELECT count(*) FROM pile) AS n_pile, count(*) FILTER (kind = 'vote' AND action = 'quarantine') AS n_quarantined,
         count(*) FILTER (kind = 'vote' AND len(redacted) > 0) AS n_redacted, count(*) FILTER (kind = 'vote' AND dup IS NOT NULL) AS n_duplicates,
@@ -323,7 +290,7 @@ SQL: dict[str, str] = {
     "a15_merge_gain": f"WITH {JUDGED} SELECT x, y, tied, cleared FROM gains",
     "a16_review_pull": f"""WITH {JUDGED}, e AS (SELECT count(*) FILTER (bucket = 'needs_review') AS explicit, count(*) FILTER (bucket <> 'needs_review' AND top[2].k = 'needs_review') AS runner_up, count(*) AS n FROM pile)
       SELECT explicit, runner_up, explicit + runner_up AS pull, round((explicit + runner_up) / n * 100, 6) AS pull_share FROM e""",
-    "a17_hot_folders": f"WITH {JUDGED} SELECT row_number() OVER (ORDER BY share DESC, pile DESC)::INT AS place, dir, notes, pile, round(share, 6) AS share, tokens, round({USD.format('tokens')}, 9) AS usd FROM hot",
+    "a17_hot_folders": f"WITH {JUDGED} SELECT row_number() OVER (ORDER BY share DESC, pile DESC, first)::INT AS place, dir, notes, pile, round(share, 6) AS share, tokens, round({USD.format('tokens')}, 9) AS usd FROM hot",
     "a18_hot_folder_pairs": f"""WITH {JUDGED}, h AS (SELECT dir, count(*) FILTER (pulled) AS pulled FROM pile WHERE dir IN (SELECT dir FROM hot) GROUP BY dir),
       c AS (SELECT dir, x, y, count(*) AS n, min(place) AS o FROM pile WHERE x IS NOT NULL GROUP BY dir, x, y QUALIFY row_number() OVER (PARTITION BY dir ORDER BY count(*) DESC, min(place)) = 1)
       SELECT h.dir, CASE WHEN c.n >= pulled THEN 'tie' WHEN pulled > 0 THEN 'needs_review' END AS competes, CASE WHEN c.n >= pulled THEN x END AS x, CASE WHEN c.n >= pulled THEN y END AS y,
@@ -375,17 +342,17 @@ SQL: dict[str, str] = {
     "a7_folder_buckets": f"WITH {MAPPED} SELECT f AS folder, CASE WHEN doc_id % 3 = 0 THEN 'junk' ELSE 'reference' END AS bucket, count(*) AS n FROM f WHERE voted GROUP BY ALL",
     "a7_folder_ages": f"""WITH {MAPPED}, a AS (SELECT f, (doc_id % 400)::INT AS d FROM f WHERE scan)
       SELECT f AS folder, CASE WHEN d >= 365 THEN 365 WHEN d >= 90 THEN 90 WHEN d >= 30 THEN 30 WHEN d >= 7 THEN 7 WHEN d >= 1 THEN 1 ELSE 0 END::INT AS age, count(*) AS n FROM a GROUP BY ALL""",
-    "d4_record_policy": f"""WITH a AS (SELECT * FROM {values(X.RECORD_VOTES, 'id, hits, pick, sure, secret')}),
-      r AS (SELECT id, NULL AS same_as, hits, pick, sure, secret FROM a UNION ALL SELECT 'g', 'b', [], pick, sure, secret FROM a WHERE id = 'b' UNION ALL SELECT 'h', 'e', [], pick, sure, secret FROM a WHERE id = 'e'),
-      w AS (SELECT *, CASE WHEN list_contains(hits, 'KEY') THEN 'held' WHEN pick IS NULL THEN 'failed' WHEN secret >= 0.7 THEN 'secret' WHEN sure < 0.55 THEN 'unsure' ELSE 'plain' END AS way FROM r)
-      SELECT id, CASE WHEN way = 'failed' THEN 'error' ELSE 'vote' END AS kind, CASE WHEN way = 'held' THEN 'local' ELSE 'judged' END AS judge, CASE WHEN way <> 'held' THEN pick END AS pick, CASE WHEN way <> 'held' THEN sure END::DOUBLE AS confidence,
+    "d4_record_policy": f"""WITH a AS (SELECT * FROM {Y.RECORD_VOTES}), l AS (SELECT key, min(id) FILTER (NOT fails) AS lead FROM a WHERE NOT held GROUP BY key),
+      r AS (SELECT id, CASE WHEN id > lead AND NOT held THEN lead END AS same_as, held, held OR id < coalesce(lead, 'z') AS own, CASE WHEN NOT held AND (lead IS NULL OR id < lead) THEN NULL ELSE pick END AS pick, sure, secret FROM a LEFT JOIN l USING (key)),
+      w AS (SELECT *, CASE WHEN held THEN 'held' WHEN pick IS NULL THEN 'failed' WHEN secret >= 0.7 THEN 'secret' WHEN sure < 0.55 THEN 'unsure' ELSE 'plain' END AS way FROM r)
+      SELECT id, CASE WHEN way = 'failed' THEN 'error' ELSE 'vote' END AS kind, CASE WHEN way = 'held' THEN 'local' ELSE 'judged' END AS judge, CASE WHEN way NOT IN ('held', 'failed') THEN pick END AS pick, CASE WHEN way NOT IN ('held', 'failed') THEN sure END::DOUBLE AS confidence,
         CASE way WHEN 'held' THEN 'quarantine' WHEN 'secret' THEN 'quarantine' WHEN 'failed' THEN 'error' ELSE 'label' END AS action,
         CASE way WHEN 'held' THEN 'local redaction hit: KEY' WHEN 'failed' THEN 'no answer' WHEN 'secret' THEN 'contains_secret above threshold' WHEN 'unsure' THEN 'low confidence: routed to a person' ELSE 'normal vote' END AS reason,
         way = 'unsure' AS review, CASE WHEN way = 'unsure' THEN pick END AS suggested, CASE way WHEN 'held' THEN 'local:KEY' WHEN 'secret' THEN 'contains_secret' ELSE '' END AS triggers,
         CASE WHEN way = 'held' OR same_as IS NOT NULL THEN 0 WHEN way = 'failed' THEN NULL ELSE 100 END::BIGINT AS input_tokens, same_as FROM w""",
-    "p10_links": f"WITH {GRAPH} SELECT rel, array_to_string(targets, '|') AS targets, embeds::INT AS embeds FROM t",
+    "p10_links": f"WITH {GRAPH} SELECT rel, CASE WHEN body IS NOT NULL THEN array_to_string(targets, '|') END AS targets, CASE WHEN body IS NOT NULL THEN embeds END::INT AS embeds FROM t",
     "j1_resolved_links": f"WITH {GRAPH} SELECT rel, target, place::INT AS place, resolved FROM resolved",
-    "j2_link_degrees": f"WITH {GRAPH} SELECT rel, CASE WHEN status = 'scan' THEN o END::INT AS out_links, i::INT AS in_links, CASE WHEN status = 'scan' THEN u END::INT AS unresolved_links, is_moc, is_orphan FROM graph",
+    "j2_link_degrees": f"WITH {GRAPH} SELECT rel, CASE WHEN status = 'scan' THEN o END::INT AS out_links, CASE WHEN status = 'scan' THEN i END::INT AS in_links, CASE WHEN status = 'scan' THEN u END::INT AS unresolved_links, is_moc, is_orphan FROM graph",
     "a10_linking_share": f"WITH {GRAPH} SELECT round(avg((o > 0)::INT), 9) AS share FROM graph WHERE status = 'scan'",
     "a8_degree_histogram": f"WITH {GRAPH} SELECT least(i, 20)::INT AS degree, count(*) AS notes FROM graph WHERE status = 'scan' GROUP BY 1",
     "a8_out_degrees": f"WITH {GRAPH} SELECT least(o, 20)::INT AS degree, count(*) AS notes FROM graph WHERE status = 'scan' GROUP BY 1",
@@ -394,7 +361,7 @@ SQL: dict[str, str] = {
     "d1_local_triage": f"""WITH {GRAPH}, d AS (SELECT rel, ord, body, {DIGEST.replace('text', 'body')} AS digest FROM v WHERE status = 'scan'), g AS (SELECT digest, arg_min(rel, ord) AS first FROM d GROUP BY digest),
       r AS (SELECT rel, CASE WHEN regexp_matches(body, 'gh[pousr]_[A-Za-z0-9]{{20,}}') THEN 'secret' WHEN len(list_filter(string_split(body, chr(10)), lambda l: trim(l) <> '' AND NOT starts_with(ltrim(l), '#'))) = 0 THEN 'empty'
         WHEN first <> rel THEN 'duplicate' END AS rule FROM d JOIN g USING (digest))
-      SELECT rel, rule, CASE WHEN rule IS NULL THEN 'fresh' ELSE 'local' END AS disposition FROM r""",
+      SELECT rel, rule, CASE WHEN rule IS NULL THEN 'fresh' ELSE 'local' END AS disposition FROM r UNION ALL SELECT rel, NULL, 'undecodable' FROM v WHERE status = 'bad'""",
     "j4_siblings": f"""WITH {NOTES}, n AS (SELECT rel, folder, replace(rel, '/', chr(1)) AS ord, 'Note ' || doc_id % 11 || ' x' || doc_id % 7 || ' y' || doc_id % 5 AS title, ['note', (doc_id % 11)::VARCHAR, 'x' || doc_id % 7, 'y' || doc_id % 5] AS w FROM planned WHERE status = 'scan'),
       p AS (SELECT a.rel, b.title, row_number() OVER (PARTITION BY a.rel ORDER BY len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) DESC, b.ord) AS rn FROM n a JOIN n b ON a.folder = b.folder AND a.rel <> b.rel)
       SELECT rel, string_agg(title, '|' ORDER BY rn) AS titles FROM p WHERE rn <= 80 GROUP BY rel""",
@@ -408,9 +375,8 @@ SQL: dict[str, str] = {
       SELECT CASE WHEN local THEN 'local' ELSE 'judged' END AS judge, NOT local AS cached, CASE WHEN local THEN 'junk' ELSE b END AS bucket, 'frontmatter' AS action, count(*) AS notes, count(*) AS paths FROM v GROUP BY ALL""",
     "w5_error_stop": """WITH e AS (SELECT event_id, (event_id > 300 AND event_id % 3 <> 0)::INT AS bad FROM events), r AS (SELECT event_id, count(*) OVER w AS n, sum(bad) OVER w AS e FROM e WINDOW w AS (ORDER BY event_id))
       SELECT min(event_id) AS "at" FROM r WHERE n >= 50 AND e > 0.2 * n""",
-    "p13_dates_and_age": """WITH d AS (SELECT * FROM (VALUES (1, DATE '2025-05-06', NULL::DATE, DATE '2025-12-01'), (2, DATE '2025-07-08', NULL, DATE '2025-12-01'), (3, DATE '2025-01-02', DATE '2024-01-01', DATE '2025-12-01'),
-        (4, NULL, DATE '2025-02-03', DATE '2025-12-01'), (5, NULL, NULL, DATE '2025-12-31'), (6, NULL, NULL, DATE '2026-02-01')) AS t(id, made, stamped, modified))
-      SELECT id, made, CASE WHEN made IS NOT NULL THEN 'frontmatter' WHEN stamped IS NOT NULL THEN 'stamp' ELSE 'mtime' END AS source, greatest(0, DATE '2026-01-01' - coalesce(made, stamped, modified))::INT AS days FROM d""",
+    "p13_dates_and_age": f"""SELECT id, made, CASE WHEN made IS NOT NULL THEN 'frontmatter' WHEN stamped IS NOT NULL THEN 'stamp' ELSE 'mtime' END AS source,
+        greatest(0, DATE '2026-01-01' - coalesce(made, stamped, modified))::INT AS days FROM {Y.DATES}""",
     "f12_withheld": f"""WITH f AS (SELECT DISTINCT CASE WHEN contains(rel, '/') THEN regexp_replace(rel, '/[^/]*$', '') ELSE '.' END AS folder FROM {PATHS}) SELECT folder, {sensitive("(folder || '/x')")} AS withheld FROM f""",
     "j12_exclusion": f"""WITH f AS (SELECT DISTINCT CASE WHEN contains(rel, '/') THEN regexp_replace(rel, '/[^/]*$', '') ELSE '.' END AS folder FROM {PATHS}), w AS (SELECT folder, {sensitive("(folder || '/x')")} AS held FROM f),
       t AS (SELECT folder, string_split(folder, '/')[-1] AS name FROM f WHERE folder IN ('a b', 'a-b', 'a', 'notes', 'notes/deep notes', 'work/familyroom'))

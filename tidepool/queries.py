@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidepool import derived as Y
 from tidepool import fixtures as X
+from tidepool.derived import table
 from tidepool.functions import redaction as R
 from tidepool.functions import text as T
 from tidepool.operators import bill as B
@@ -36,10 +38,6 @@ def query(f: Query) -> Query:
     return f
 
 
-def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
-
-
 def vault(spark: SparkSession, sf: str) -> DataFrame:
     """documents as planned notes; src1 and src2 stand for a private and a hidden folder."""
     notes = N.from_documents(table(spark, sf, "documents"))
@@ -95,19 +93,18 @@ def s5_records(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def s13_runs_in_order(spark: SparkSession, sf: str) -> DataFrame:
-    return K.latest_runs(X.runs(spark)).select("run_id", "started")
+    return K.latest_runs(Y.runs(spark, sf)).select("run_id", "started")
 
 
 @query
 def s17_stamp_changes(spark: SparkSession, sf: str) -> DataFrame:
-    return X.stamps(spark).select("id", T.changed("old", "new").alias("changed"))
+    return Y.stamps(spark, sf).select("id", T.changed("old", "new").alias("changed"))
 
 
 @query
 def s18_quarantine_moves(spark: SparkSession, sf: str) -> DataFrame:
-    held = X.report_rows(spark).filter("action = 'quarantine'")
-    twice = held.unionByName(held.withColumn("path", F.upper("path")).withColumn("plan_ord", F.concat("plan_ord", F.lit("~"))))
-    return K.quarantine_moves(twice).select("from", "to", "reason")
+    rows, there = Y.clashing_rows(spark, sf)
+    return K.quarantine_moves(rows, existing=there).select("from", "to", "reason")
 
 
 @query
@@ -117,17 +114,17 @@ def f1_plan_status(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def f2_plan_below_a_root(spark: SparkSession, sf: str) -> DataFrame:
-    return P.plan(X.paths(spark), root="Private/work").select("rel", "status", "rule")
+    return P.plan(Y.paths(spark, sf), root="Private/work").select("rel", "status", "rule")
 
 
 @query
 def f5_near_misses(spark: SparkSession, sf: str) -> DataFrame:
-    return P.near_misses(P.plan(X.paths(spark)))
+    return P.near_misses(P.plan(Y.paths(spark, sf)))
 
 
 @query
 def o1_component_order(spark: SparkSession, sf: str) -> DataFrame:
-    p = P.with_order(X.paths(spark))
+    p = P.with_order(Y.paths(spark, sf))
     return p.select("rel", F.row_number().over(Window.orderBy("plan_ord")).alias("place"))
 
 
@@ -136,7 +133,7 @@ def o1_component_order(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def p2_folders(spark: SparkSession, sf: str) -> DataFrame:
-    p = X.paths(spark)
+    p = Y.paths(spark, sf)
     return p.select("rel", T.folder("rel").alias("folder"), T.report_folder("rel").alias("report_folder"), T.top_folder("rel").alias("top"), T.survey_folder("rel").alias("survey"), F.array_join(T.folder_chain("rel"), "|").alias("chain"))
 
 
@@ -148,13 +145,13 @@ def p6_body_facts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def p6_body_facts_literal(spark: SparkSession, sf: str) -> DataFrame:
-    d = X.bodies(spark)
+    d = Y.bodies(spark, sf)
     return d.select("id", T.body_digest("body").alias("digest"), T.body_is_empty("body").alias("empty"), T.heading_count("body").alias("headings"))
 
 
 @query
 def p10_links(spark: SparkSession, sf: str) -> DataFrame:
-    got = X.vault_notes(spark).select("rel", T.parsed_links("body").alias("l"))
+    got = Y.linked_vault(spark, sf).select("rel", T.parsed_links("body").alias("l"))
     return got.select("rel", F.array_join("l.targets", "|").alias("targets"), "l.embeds")
 
 
@@ -167,7 +164,7 @@ def p11_bands(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def p13_dates_and_age(spark: SparkSession, sf: str) -> DataFrame:
-    d = X.dates(spark).withColumn("made", T.creation_date("created", "date")).withColumn("stamped", T.creation_date("stamp"))
+    d = Y.dates(spark, sf).withColumn("made", T.creation_date("created", "date")).withColumn("stamped", T.creation_date("stamp"))
     return d.select("id", "made", T.age_source("made", "stamped").alias("source"), T.age_days("made", "stamped", "modified", "2026-01-01").alias("days"))
 
 
@@ -179,7 +176,7 @@ def p18_title_tokens(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def p20_sensitive_folders(spark: SparkSession, sf: str) -> DataFrame:
-    return X.paths(spark).select("rel", T.path_is_sensitive("rel").alias("sensitive"), T.path_is_sensitive("rel", ("deep notes", "equity")).alias("own_list"))
+    return Y.paths(spark, sf).select("rel", T.path_is_sensitive("rel").alias("sensitive"), T.path_is_sensitive("rel", ("deep notes", "equity")).alias("own_list"))
 
 
 @query
@@ -202,19 +199,19 @@ def p30_persist_labels(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def p31_margins(spark: SparkSession, sf: str) -> DataFrame:
-    r = X.report_rows(spark).filter("bucket_probabilities IS NOT NULL")
+    r = Y.report_rows(spark, sf).filter("bucket_probabilities IS NOT NULL")
     top = T.ordered_probabilities("bucket_probabilities")
     return r.select("path", T.margin("bucket_probabilities").alias("margin"), F.get(top, F.lit(0))["key"].alias("first"), T.runner_up("bucket_probabilities").alias("runner_up"))
 
 
 @query
 def p34_field_names(spark: SparkSession, sf: str) -> DataFrame:
-    return X.field_names(spark).select("name", F.regexp_like("name", F.lit(RS.NAME)).alias("fits"))
+    return Y.field_names(spark, sf).select("name", F.regexp_like("name", F.lit(RS.NAME)).alias("fits"))
 
 
 @query
 def p36_states(spark: SparkSession, sf: str) -> DataFrame:
-    p = S.prepare(P.plan(X.vault_notes(spark)))
+    p = S.prepare(P.plan(Y.linked_vault(spark, sf)))
     return p.select("rel", "state.title", "state.path", F.md5("state.excerpt").alias("excerpt_md5"), F.array_join("own_hits", "|").alias("own_hits"), F.array_join("state.other_note_titles", "|").alias("others"), "payload_chars")
 
 
@@ -261,12 +258,12 @@ def r19_listed_names(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def j1_resolved_links(spark: SparkSession, sf: str) -> DataFrame:
-    return I.resolved_links(I.index(P.plan(X.vault_notes(spark)), S.TODAY)).select("rel", "target", "place", "resolved")
+    return I.resolved_links(I.index(P.plan(Y.linked_vault(spark, sf)), S.TODAY)).select("rel", "target", "place", "resolved")
 
 
 @query
 def j2_link_degrees(spark: SparkSession, sf: str) -> DataFrame:
-    return I.link_facts(I.index(P.plan(X.vault_notes(spark)), S.TODAY)).select("rel", "out_links", "in_links", "unresolved_links", "is_moc", "is_orphan")
+    return I.link_facts(I.index(P.plan(Y.linked_vault(spark, sf)), S.TODAY)).select("rel", "out_links", "in_links", "unresolved_links", "is_moc", "is_orphan")
 
 
 @query
@@ -284,7 +281,7 @@ def j4_siblings(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def a10_linking_share(spark: SparkSession, sf: str) -> DataFrame:
-    return I.linking_share(I.link_facts(I.index(P.plan(X.vault_notes(spark)), S.TODAY))).select(F.round("share", 9).alias("share"))
+    return I.linking_share(I.link_facts(I.index(P.plan(Y.linked_vault(spark, sf)), S.TODAY))).select(F.round("share", 9).alias("share"))
 
 
 def _mapped(spark: SparkSession, sf: str) -> DataFrame:
@@ -326,22 +323,22 @@ def a7_folder_ages(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def a8_degree_histogram(spark: SparkSession, sf: str) -> DataFrame:
-    return U.degree_histogram(I.link_facts(I.index(P.plan(X.vault_notes(spark)), S.TODAY)), "in_links")
+    return U.degree_histogram(I.link_facts(I.index(P.plan(Y.linked_vault(spark, sf)), S.TODAY)), "in_links")
 
 
 @query
 def a8_out_degrees(spark: SparkSession, sf: str) -> DataFrame:
-    return U.degree_histogram(I.link_facts(I.index(P.plan(X.vault_notes(spark)), S.TODAY)), "out_links")
+    return U.degree_histogram(I.link_facts(I.index(P.plan(Y.linked_vault(spark, sf)), S.TODAY)), "out_links")
 
 
 @query
 def a8_graph_totals(spark: SparkSession, sf: str) -> DataFrame:
-    return U.graph_totals(I.link_facts(I.index(P.plan(X.vault_notes(spark)), S.TODAY)))
+    return U.graph_totals(I.link_facts(I.index(P.plan(Y.linked_vault(spark, sf)), S.TODAY)))
 
 
 @query
 def o3_hubs(spark: SparkSession, sf: str) -> DataFrame:
-    return U.hubs(I.link_facts(I.index(P.plan(X.vault_notes(spark)), S.TODAY)), 2)
+    return U.hubs(I.link_facts(I.index(P.plan(Y.linked_vault(spark, sf)), S.TODAY)), 2)
 
 
 @query
@@ -354,7 +351,7 @@ def a9_duplicate_groups(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def d1_local_triage(spark: SparkSession, sf: str) -> DataFrame:
-    return S.prepare(P.plan(X.vault_notes(spark))).select("rel", "rule", "disposition")
+    return S.prepare(P.plan(Y.linked_vault(spark, sf))).select("rel", "rule", "disposition")
 
 
 @query
@@ -365,13 +362,13 @@ def u2_keyword_votes(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def u2_keyword_votes_literal(spark: SparkSession, sf: str) -> DataFrame:
-    d = X.excerpts(spark).select("id", D.keyword_vote(F.col("title"), F.col("excerpt")).alias("v"))
+    d = Y.excerpts(spark, sf).select("id", D.keyword_vote(F.col("title"), F.col("excerpt")).alias("v"))
     return d.select("id", "v.bucket", "v.persist", "v.contains_secret", "v.looks_like_duplicate", "v.records_a_decision", "v.safe_to_leave_in_git")
 
 
 @query
 def d3_policy(spark: SparkSession, sf: str) -> DataFrame:
-    v = X.votes(spark)
+    v = Y.votes(spark, sf)
     a = D.action(F.struct("bucket", "bucket_confidence", "persist", "contains_secret", "safe_to_leave_in_git"), F.col("hits"), 0.2)
     return v.select("id", a.alias("a")).select("id", "a.action", "a.reason", "a.review", F.array_join("a.triggers", "|").alias("triggers"))
 
@@ -448,13 +445,14 @@ def a4_records_bill(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def d4_record_policy(spark: SparkSession, sf: str) -> DataFrame:
-    """Every way a record can go: kept, unsure, a secret by vote, held, unanswered, and twins of two of them."""
+    """Every way a record can go: kept, unsure, a secret by vote, held, unanswered, and equals that are asked next or served."""
     answer = F.struct(
         F.create_map(F.lit("lane"), F.struct(F.col("pick"), F.col("sure").alias("confidence"))).alias("choices"), F.create_map().cast("map<string,struct<value:double,confidence:double>>").alias("scores"),
         F.create_map(F.lit("contains_secret"), F.col("secret")).alias("nouls"), F.lit("m").alias("model"), F.lit(100).cast("bigint").alias("input_tokens"),
     )
-    out = RP.judged(X.record_votes(spark), {}, "lane", lambda df: df.withColumn("vote", F.when(F.col("pick").isNotNull(), answer)))
-    return out.select("id", "kind", "judge", "pick", "confidence", "action", "reason", "review", "suggested", F.array_join("quarantine_triggers", "|").alias("triggers"), "input_tokens", "same_as")
+    judge = lambda df: df.withColumn("vote", F.when(F.col("pick").isNotNull(), answer))
+    out = RP.judged(Y.record_votes(spark, sf), {}, "lane", judge, error_stop=False)
+    return out.select("id", "kind", "judge", F.col("pick").alias("pick"), "confidence", "action", "reason", "review", "suggested", F.array_join("quarantine_triggers", "|").alias("triggers"), "input_tokens", "same_as")
 
 
 @query
@@ -479,7 +477,7 @@ def w2_latest_row_per_key(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def w3_cache_over_a_chain(spark: SparkSession, sf: str) -> DataFrame:
-    return J.cache(X.chain_rows(spark)).select("key", "path", "bucket", "chain_pos")
+    return J.cache(Y.chain_rows(spark, sf)).select("key", "path", "bucket", "chain_pos")
 
 
 @query
@@ -497,7 +495,7 @@ def j8_errors_to_retry(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def j10_diff(spark: SparkSession, sf: str) -> DataFrame:
-    a, b = X.snapshots(spark)
+    a, b = Y.snapshots(spark, sf)
     return J.diff(a, b).select("category", "path", F.coalesce("detail", F.lit("")).alias("detail"))
 
 
@@ -517,22 +515,22 @@ def j10_diff_of_documents(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def j13_resume_chain(spark: SparkSession, sf: str) -> DataFrame:
-    return J.chain_positions(X.runs(spark))
+    return J.chain_positions(Y.runs(spark, sf))
 
 
 @query
 def x4_run_to_resume(spark: SparkSession, sf: str) -> DataFrame:
-    return J.to_resume(X.runs(spark)).select("run_id")
+    return J.to_resume(Y.runs(spark, sf)).select("run_id")
 
 
 @query
 def g13_header_changes(spark: SparkSession, sf: str) -> DataFrame:
-    return J.header_changes(X.runs(spark), "r1", "r3")
+    return J.header_changes(Y.runs(spark, sf), "r1", "r4")
 
 
 @query
 def g14_findings_counters(spark: SparkSession, sf: str) -> DataFrame:
-    return J.findings_counters(*X.snapshots(spark))
+    return J.findings_counters(*Y.snapshots(spark, sf))
 
 
 @query
@@ -543,7 +541,7 @@ def w4_running_spend(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def a33_row_kinds(spark: SparkSession, sf: str) -> DataFrame:
-    return J.kinds(X.report_rows(spark))
+    return J.kinds(Y.report_rows(spark, sf))
 
 
 @query
@@ -554,19 +552,19 @@ def w5_error_stop(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def j12_exclusion(spark: SparkSession, sf: str) -> DataFrame:
-    folders = X.paths(spark).select(T.report_folder("rel").alias("folder"))
+    folders = Y.paths(spark, sf).select(T.report_folder("rel").alias("folder"))
     targets = folders.filter(F.col("folder").isin("a b", "a-b", "a", "notes", "notes/deep notes", "work/familyroom"))
     return EX.collateral(folders, targets).select("folder", "name", F.array_join("others", "|").alias("others"))
 
 
 @query
 def f12_withheld(spark: SparkSession, sf: str) -> DataFrame:
-    return EX.withheld(X.paths(spark).select(T.report_folder("rel").alias("folder")).distinct())
+    return EX.withheld(Y.paths(spark, sf).select(T.report_folder("rel").alias("folder")).distinct())
 
 
 @query
 def f11_out_of_credits(spark: SparkSession, sf: str) -> DataFrame:
-    return X.messages(spark).select("id", J.out_of_credits(F.col("message")).alias("out"))
+    return Y.messages(spark, sf).select("id", J.out_of_credits(F.col("message")).alias("out"))
 
 
 # --- survey -----------------------------------------------------------------------------------------------
@@ -596,7 +594,7 @@ def o8_spot_check(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _report(f: Callable[[DataFrame], DataFrame]) -> Query:
-    return lambda spark, sf: f(X.report_rows(spark))
+    return lambda spark, sf: f(Y.report_rows(spark, sf))
 
 
 def _rounded(df: DataFrame, places: int = 6) -> DataFrame:
@@ -613,7 +611,7 @@ ALL |= {
     "a13_medians": _report(lambda r: G.medians(r).select(*[F.round(c, 6).alias(c) for c in ("pile_margin", "rest_margin", "confidence_gap")])),
     "a14_tie_pairs": _report(lambda r: G.tie_pairs(r).select("x", "y", "n")),
     "a14_tie_summary": _report(lambda r: _rounded(G.tie_summary(r))),
-    "a15_merge_gain": _report(G.merge_gain),
+    "a15_merge_gain": _report(lambda r: G.merge_gain(r).drop("first")),
     "a16_review_pull": _report(lambda r: _rounded(G.review_pull(r))),
     "a17_hot_folders": _report(lambda r: _placed(_rounded(G.hot_folders(r)), "place")),
     "a18_hot_folder_pairs": _report(G.hot_folder_pairs),
