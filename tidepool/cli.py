@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tidepool.api import OverBudget, judge_records, scan_vault
 from tidepool.functions import text as T
 from tidepool.operators import bill as B
+from tidepool.operators import index as I
 from tidepool.operators import journal as J
 from tidepool.operators import plan as P
 from tidepool.operators import rollup as U
@@ -102,9 +103,8 @@ def main(args: list[str] | None = None) -> int:
         rows = rows.persist()
         _show(rows, a.json, a.out, "path")
         if a.map:
-            kept = rows.select(F.col("path").alias("rel"), "judge", "bucket", "suggested_bucket", "action", "findings", "skipped", "age_source", "graph")
-            facts = {c: f"graph.{c}" for c in ("words", "is_orphan", "is_moc", "in_links", "out_links", "unresolved_links")}
-            sinks.write_json(U.folder_rollup(planned.select("rel", "status").join(kept, "rel", "left").withColumns({k: F.col(v) for k, v in facts.items()})), a.map)
+            facts = I.link_facts(I.index(planned, scan.TODAY, names), a.path.endswith(".md"))
+            sinks.write_json(U.folder_map(U.noted(facts, rows)), a.map)
         if a.review_pile:
             sinks.pile_markdown(rows).coalesce(1).write.mode("overwrite").text(a.review_pile)
         rows.groupBy("kind", "judge", "bucket", "action").count().orderBy("kind", "judge", "bucket").show(100, truncate=False)

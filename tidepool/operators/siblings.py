@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidepool.functions import text as T
+from tidepool.plans.shared import materialised
 
 SIBLINGS = 80
 #: A word is rare if no more sets of a folder have it; pairs through rare words are at most this many a word and set.
@@ -60,14 +61,17 @@ def nearest_sets(mine: DataFrame, pool: DataFrame, keep: int, rare: int = RARE,
     asked, held = _sets(mine), pool.filter(F.size("tokens") > 0)
     counts = held.select("folder", F.explode("tokens").alias("token")).groupBy("folder", "token").agg(F.count(F.lit(1)).alias("n"))
     frequent = counts.filter(F.col("n") > rare).select("folder", "token", F.lit(True).alias("often"))
-    asked = _split(asked, frequent)
-    held = _split(_sets(pool), frequent).join(held.select("folder", "tokens", "first_ord"), ["folder", "tokens"])
+    # read by several of the joins below, so they are written once: a row a set
+    asked = materialised(_split(asked, frequent), "sets")
+    held = materialised(_split(_sets(pool), frequent).join(held.select("folder", "tokens", "first_ord"), ["folder", "tokens"]), "sets")
     # a rare word in common: a pair meets at the first of them
     left = asked.filter(F.size("rare") > 0).select("folder", "tokens", "m", "rare", F.explode("rare").alias("token"))
     right = held.filter(F.size("rare") > 0).select("folder", F.col("tokens").alias("other"), F.col("m").alias("l"), F.col("rare").alias("their"), "first_ord", F.explode("rare").alias("token"))
     met = left.join(right, ["folder", "token"]).filter(F.col("token") == F.array_min(F.array_intersect("rare", "their")))
     by_rare = met.select("folder", "tokens", "other", "first_ord", _alike(F.size(F.array_intersect("tokens", "other")), "m", "l").alias("alike"))
     by_rare = _first(by_rare, ["folder", "tokens"], [F.desc("alike"), "first_ord"], keep)
+    if held.filter(F.size("freq") > 0).isEmpty():
+        return by_rare.select("folder", "tokens", "other", "alike")
     # only frequent words in common: classes, each as near as its smallest set, of equals the first in plan order
     sets = held.filter(F.size("freq") > 0).select("folder", F.col("freq").alias("theirs"), F.col("tokens").alias("other"), F.col("m").alias("l"), "first_ord")
     classes = sets.groupBy("folder", "theirs").agg(F.min(F.struct("l", "first_ord")).alias("best"))

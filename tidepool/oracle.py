@@ -149,9 +149,30 @@ GRAPH = f"""v AS (
 MAPPED = NOTES + f""", m AS (
   SELECT *, {WORDS.replace('text', 'body')} AS words, status = 'scan' AND doc_id % 4 <> 0 AS voted FROM planned WHERE body IS NOT NULL
 ), f AS (
-  SELECT *, CASE WHEN voted THEN CASE WHEN doc_id % 4 = 1 THEN 'local' ELSE 'judged' END END AS judge, status = 'scan' AS scan, unnest(list_concat(['./'], [array_to_string(string_split(rel, '/')[:i], '/') || '/' FOR i IN range(1, len(string_split(rel, '/')))])) AS f FROM m
+  SELECT *, CASE WHEN voted THEN CASE WHEN doc_id % 4 = 1 THEN 'local' ELSE 'judged' END END AS judge, status = 'scan' AS scan, status = 'scan' AND doc_id % 12 <> 0 AS read, CASE WHEN doc_id % 13 <> 0 THEN (doc_id % 400)::INT END AS days, unnest(list_concat(['./'], [array_to_string(string_split(rel, '/')[:i], '/') || '/' FOR i IN range(1, len(string_split(rel, '/')))])) AS f FROM m
 )"""
 
+#: Every counter of a folder, the maps as text.
+MAPS = MAPPED + """, tags AS (
+  SELECT f, 'buckets' AS t, CASE WHEN doc_id % 3 = 0 THEN 'junk' ELSE 'reference' END AS value FROM f WHERE voted UNION ALL SELECT f, 'judges', judge FROM f WHERE voted UNION ALL SELECT f, 'skipped', rule FROM f WHERE NOT scan
+  UNION ALL SELECT f, 'findings', unnest(['a', 'b']) FROM f WHERE doc_id % 10 = 0
+  UNION ALL SELECT f, 'age_bands', coalesce((CASE WHEN days IS NULL THEN NULL WHEN days >= 365 THEN 365 WHEN days >= 90 THEN 90 WHEN days >= 30 THEN 30 WHEN days >= 7 THEN 7 WHEN days >= 1 THEN 1 ELSE 0 END)::VARCHAR, 'unknown') FROM f WHERE read
+), lists AS (
+  SELECT f, t, string_agg(value || ':' || n, ',' ORDER BY value) AS list FROM (SELECT f, t, value, count(*) AS n FROM tags GROUP BY ALL) GROUP BY f, t
+), numbers AS (
+  SELECT f AS folder, count(*) AS notes, count(*) FILTER (voted) AS judged, count(*) FILTER (judge = 'local') AS local, count(*) FILTER (voted AND doc_id % 8 = 2) AS cached, count(*) FILTER (voted AND doc_id % 5 = 0) AS review,
+  count(*) FILTER (voted AND doc_id % 6 = 0) AS quarantined, count(*) FILTER (scan AND doc_id % 8 = 0) AS locked, count(*) FILTER (NOT scan) AS withheld, count(*) FILTER (scan AND doc_id % 16 = 4) AS errors,
+  count(*) FILTER (voted AND doc_id % 3 = 0) AS age_from_mtime, count(*) FILTER (voted AND doc_id % 3 = 1) AS dated, count(*) FILTER (voted AND doc_id % 3 = 2) AS stamp_dated,
+  count(*) FILTER (read AND doc_id % 7 = 0) AS orphans, count(*) FILTER (read AND doc_id % 9 = 0) AS mocs, coalesce(sum(words) FILTER (read), 0)::BIGINT AS words, coalesce(sum(doc_id % 3) FILTER (read), 0)::BIGINT AS in_links,
+  coalesce(sum(doc_id % 4) FILTER (read), 0)::BIGINT AS out_links, coalesce(sum(doc_id % 2) FILTER (read), 0)::BIGINT AS unresolved_links FROM f GROUP BY f
+), whole AS (
+  SELECT n.*, coalesce(b.list, '') AS buckets, coalesce(j.list, '') AS judges, coalesce(s.list, '') AS skipped, coalesce(g.list, '') AS findings, coalesce(a.list, '') AS age_bands FROM numbers n
+    LEFT JOIN lists b ON b.f = folder AND b.t = 'buckets' LEFT JOIN lists j ON j.f = folder AND j.t = 'judges' LEFT JOIN lists s ON s.f = folder AND s.t = 'skipped'
+    LEFT JOIN lists g ON g.f = folder AND g.t = 'findings' LEFT JOIN lists a ON a.f = folder AND a.t = 'age_bands'
+)"""
+#: Rows of a run with what each cost so far; only what was sent counts.
+SENT = """SELECT *, sum(CASE WHEN sent THEN t ELSE 0 END) OVER (ORDER BY o) / 1e6 * 0.042::DOUBLE AS spent"""
+
 SQL: dict[str, str] = {
     "m0_triage_summary": f"""WITH {DUPLICATES}, v AS (
         SELECT exact_duplicate_of IS NOT NULL AS local, {keyword_bucket("lower(body)", "body")} AS b FROM dup WHERE status = 'scan')
@@ -195,13 +216,25 @@ SQL: dict[str, str] = {
     "r15_luhn": """WITH d AS (SELECT doc_id, unnest(regexp_extract_all(text, '\\b\\d{13,19}\\b')) AS digits FROM documents)
       SELECT doc_id, digits, list_sum([CASE WHEN i % 2 = 1 THEN x ELSE CASE WHEN 2 * x > 9 THEN 2 * x - 9 ELSE 2 * x END END FOR x, i IN list_transform(string_split(reverse(digits), ''), lambda c: c::INT)]) % 10 = 0 AS ok FROM d""",
     "r16_ssn": "SELECT doc_id, 'ssn [SSN] end' AS redacted, 'SSN' AS hits FROM documents",
+    "c4_exact_stop": f"""WITH e AS (SELECT event_id AS o, floor(value)::BIGINT * 100 AS t, event_id % 11 = 0 OR (event_id % 7 <> 0 AND event_id % 5 <> 0) AS sent FROM events), r AS ({SENT} FROM e)
+      SELECT o AS done_ord, sent, round(spent, 9) AS spent FROM r WHERE o <= coalesce((SELECT min(o) FROM r WHERE sent AND t > 0 AND spent > 0.5), o)""",
+    "t3_model_drift": """WITH d AS (SELECT min(event_id) AS cut FROM events WHERE event_id > 1500 AND event_id % 11 <> 0 AND event_id % 7 <> 0 AND event_id % 5 <> 0)
+      SELECT max(event_id) AS last, count(*) AS rows FROM events WHERE event_id <= coalesce((SELECT cut FROM d), event_id)""",
+    "t4_run_in_waves": f"""WITH e AS (SELECT doc_id, doc_id AS o, n_chars::BIGINT AS t, doc_id % 11 = 0 OR (doc_id % 7 <> 0 AND doc_id % 5 <> 0) AS sent FROM documents), r AS ({SENT} FROM e)
+      SELECT doc_id::VARCHAR AS path, CASE WHEN doc_id % 11 = 0 THEN 'error' ELSE 'vote' END AS kind, CASE WHEN doc_id % 7 = 0 THEN 'local' ELSE 'judged' END AS judge, t AS input_tokens
+      FROM r WHERE o <= coalesce((SELECT min(o) FROM r WHERE sent AND t > 0 AND spent > 0.01), o)""",
+    "r19_denylist": """WITH names AS (SELECT DISTINCT n FROM (SELECT c_name AS n FROM customer WHERE c_custkey < 200 UNION ALL SELECT array_to_string(string_split(text, ' ')[1:2], ' ') FROM benchmark) WHERE length(trim(n)) >= 3),
+      p AS (SELECT list('(^|[^A-Za-z0-9])' || array_to_string(list_transform(regexp_split_to_array(trim(n), '\\s+'), lambda w: regexp_escape(w)), '[\\s_\\-./–—]+') || '($|[^A-Za-z0-9])' ORDER BY length(trim(n)) DESC) AS ps FROM names),
+      d AS (SELECT doc_id, coalesce(text, '') || ' seen by CUSTOMER#' || lpad((doc_id % 200)::VARCHAR, 9, '0') || ', not xCustomer#000000001.' AS said FROM documents),
+      h AS (SELECT doc_id, said, list_reduce(list_prepend(said, ps), lambda t, x: regexp_replace(regexp_replace(t, x, '\\1[NAME]\\2', 'gi'), x, '\\1[NAME]\\2', 'gi')) AS hidden FROM d, p)
+      SELECT doc_id, md5(hidden) AS redacted_md5, hidden <> said AS named FROM h""",
     "r19_listed_names": "SELECT doc_id, regexp_matches(text, '(?i)(^|[^A-Za-z0-9])(the[\\s_\\-./–—]+and|ing)($|[^A-Za-z0-9])') AS named FROM documents",
     "j3_exact_duplicate_pointer": f"WITH {DUPLICATES} SELECT rel, exact_duplicate_of FROM dup",
     "a9_duplicate_groups": f"WITH {DUPLICATES} SELECT exact_duplicate_of AS canonical, array_to_string(list_sort(list(rel)), '|') AS copies FROM dup WHERE exact_duplicate_of IS NOT NULL GROUP BY 1",
     "a7_folder_rollup": f"""WITH {MAPPED} SELECT f AS folder, count(*) AS notes, count(*) FILTER (voted) AS judged, count(*) FILTER (judge = 'local') AS local, count(*) FILTER (voted AND doc_id % 5 = 0) AS review, count(*) FILTER (voted AND doc_id % 6 = 0) AS quarantined,
-        count(*) FILTER (scan AND doc_id % 8 = 0) AS locked, count(*) FILTER (NOT scan) AS skipped, count(*) FILTER (scan AND doc_id % 7 = 0) AS orphans, count(*) FILTER (scan AND doc_id % 9 = 0) AS mocs,
-        count(*) FILTER (voted AND doc_id % 3 = 0) AS age_from_mtime, 2 * count(*) FILTER (doc_id % 10 = 0) AS findings, coalesce(sum(words) FILTER (scan), 0)::BIGINT AS words, coalesce(sum(doc_id % 3) FILTER (scan), 0)::BIGINT AS in_links,
-        coalesce(sum(doc_id % 4) FILTER (scan), 0)::BIGINT AS out_links, coalesce(sum(doc_id % 2) FILTER (scan), 0)::BIGINT AS unresolved_links FROM f GROUP BY f""",
+        count(*) FILTER (scan AND doc_id % 8 = 0) AS locked, count(*) FILTER (NOT scan) AS skipped, count(*) FILTER (read AND doc_id % 7 = 0) AS orphans, count(*) FILTER (read AND doc_id % 9 = 0) AS mocs,
+        count(*) FILTER (voted AND doc_id % 3 = 0) AS age_from_mtime, 2 * count(*) FILTER (doc_id % 10 = 0) AS findings, coalesce(sum(words) FILTER (read), 0)::BIGINT AS words, coalesce(sum(doc_id % 3) FILTER (read), 0)::BIGINT AS in_links,
+        coalesce(sum(doc_id % 4) FILTER (read), 0)::BIGINT AS out_links, coalesce(sum(doc_id % 2) FILTER (read), 0)::BIGINT AS unresolved_links FROM f GROUP BY f""",
     "u2_keyword_votes": f"""WITH d AS (SELECT doc_id, {keyword_bucket("'note ' || lower(text)", "text")} AS bucket FROM documents)
       SELECT doc_id, bucket, {PERSIST} AS persist, {SECRET} AS contains_secret, CASE WHEN bucket = 'project_decision' THEN 0.7 ELSE 0.3 END::DOUBLE AS is_actionable FROM d""",
     "u2_keyword_votes_literal": f"""WITH d AS (SELECT *, {keyword_bucket("lower(title) || ' ' || lower(excerpt)", "excerpt")} AS bucket FROM {Y.EXCERPTS})
@@ -336,12 +369,10 @@ SQL: dict[str, str] = {
       s AS (SELECT r.rank, count(*) AS notes, count(*) FILTER (f.first < r.rank) AS shared FROM covers JOIN r USING (action) JOIN f USING (path) GROUP BY r.rank)
       SELECT r.rank::INT AS rank, action, round(impact, 9) AS impact, coalesce(notes, 0) AS notes, coalesce(shared, 0) AS shared, coalesce(notes > 0 AND shared >= 0.5 * notes, false) AS overlaps FROM r LEFT JOIN s ON s.rank = r.rank""",
     "a34_mtime_finding": f"SELECT count(*) FILTER (age_source = 'mtime') AS from_mtime, count(age_source) AS notes FROM {REPORT} WHERE kind = 'vote'",
-    "a6_totals": f"""WITH {MAPPED} SELECT count(*) AS notes, count(*) FILTER (voted) AS judged, count(*) FILTER (judge = 'local') AS local, count(*) FILTER (voted AND doc_id % 8 = 2) AS cached, count(*) FILTER (voted AND doc_id % 5 = 0) AS review,
-        count(*) FILTER (voted AND doc_id % 6 = 0) AS quarantined, count(*) FILTER (scan AND doc_id % 8 = 0) AS locked, count(*) FILTER (NOT scan) AS skipped, count(*) FILTER (voted AND doc_id % 3 = 0) AS age_from_mtime,
-        count(*) FILTER (voted AND doc_id % 3 = 1) AS dated, count(*) FILTER (voted AND doc_id % 3 = 2) AS stamp_dated FROM f WHERE f = './'""",
+    "a6_totals": f"WITH {MAPS} SELECT * EXCLUDE (folder) FROM whole WHERE folder = './'",
+    "a7_folder_map": f"WITH {MAPS} SELECT * FROM whole",
     "a7_folder_buckets": f"WITH {MAPPED} SELECT f AS folder, CASE WHEN doc_id % 3 = 0 THEN 'junk' ELSE 'reference' END AS bucket, count(*) AS n FROM f WHERE voted GROUP BY ALL",
-    "a7_folder_ages": f"""WITH {MAPPED}, a AS (SELECT f, (doc_id % 400)::INT AS d FROM f WHERE scan)
-      SELECT f AS folder, CASE WHEN d >= 365 THEN 365 WHEN d >= 90 THEN 90 WHEN d >= 30 THEN 30 WHEN d >= 7 THEN 7 WHEN d >= 1 THEN 1 ELSE 0 END::INT AS age, count(*) AS n FROM a GROUP BY ALL""",
+    "a7_folder_ages": f"WITH {MAPPED} SELECT f AS folder, (CASE WHEN days IS NULL THEN NULL WHEN days >= 365 THEN 365 WHEN days >= 90 THEN 90 WHEN days >= 30 THEN 30 WHEN days >= 7 THEN 7 WHEN days >= 1 THEN 1 ELSE 0 END)::INT AS age, count(*) AS n FROM f WHERE read GROUP BY ALL",
     "d4_record_policy": f"""WITH a AS (SELECT * FROM {Y.RECORD_VOTES}), l AS (SELECT key, min(id) FILTER (NOT fails) AS lead FROM a WHERE NOT held GROUP BY key),
       r AS (SELECT id, CASE WHEN id > lead AND NOT held THEN lead END AS same_as, held, held OR id < coalesce(lead, 'z') AS own, CASE WHEN NOT held AND (lead IS NULL OR id < lead) THEN NULL ELSE pick END AS pick, sure, secret FROM a LEFT JOIN l USING (key)),
       w AS (SELECT *, CASE WHEN held THEN 'held' WHEN pick IS NULL THEN 'failed' WHEN secret >= 0.7 THEN 'secret' WHEN sure < 0.55 THEN 'unsure' ELSE 'plain' END AS way FROM r)

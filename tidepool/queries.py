@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -24,7 +25,9 @@ from tidepool.operators import rollup as U
 from tidepool.operators import siblings as SB
 from tidepool.operators import survey as V
 from tidepool.plans import records as RP
+from tidepool.plans import runner as W
 from tidepool.plans import scan as S
+from tidepool.plans import shared
 from tidepool.sources import notes as N
 from tidepool.sources import records as RS
 from tidepool.sources import sinks as K
@@ -253,6 +256,15 @@ def r19_listed_names(spark: SparkSession, sf: str) -> DataFrame:
     return R.redacted(d, "text", ["the and", "ing"]).select("doc_id", F.array_contains("hits", "NAME").alias("named"))
 
 
+@query
+def r19_denylist(spark: SparkSession, sf: str) -> DataFrame:
+    """Every customer, and the first two words of every benchmark item, as listed names in the documents."""
+    names = [r[0] for r in table(spark, sf, "customer").select("c_name").unionByName(table(spark, sf, "benchmark").select(F.array_join(F.slice(F.split("text", " "), 1, 2), " ").alias("c_name"))).distinct().collect()]  # a list that a person keeps
+    said = F.concat(F.coalesce("text", F.lit("")), F.lit(" seen by CUSTOMER#"), F.lpad((F.col("doc_id") % 200).cast("string"), 9, "0"), F.lit(", not xCustomer#000000001."))
+    d = table(spark, sf, "documents").select("doc_id", F.array(said).alias("said"))
+    return d.withColumn("found", R.hidden_names(names)("said")).select("doc_id", F.md5(F.get("found.texts", F.lit(0))).alias("redacted_md5"), F.array_contains("found.hits", "NAME").alias("named"))
+
+
 # --- index and graph ------------------------------------------------------------------------------------
 
 
@@ -288,37 +300,57 @@ def _mapped(spark: SparkSession, sf: str) -> DataFrame:
     """The vault with facts and rows that follow from doc_id, so that every counter has something to count."""
     by = lambda n, value: F.when(F.col("doc_id") % n == 0, value)
     d = vault(spark, sf).filter("body IS NOT NULL")
-    voted = (F.col("status") == "scan") & (F.col("doc_id") % 4 != 0)
-    return d.withColumns(
+    scan, n = F.col("status") == "scan", F.col("doc_id")
+    voted = scan & (n % 4 != 0)
+    facts = d.withColumns(
         {
-            "words": T.word_count("body"), "in_links": F.col("doc_id") % 3, "out_links": F.col("doc_id") % 4, "unresolved_links": F.col("doc_id") % 2, "is_orphan": F.col("doc_id") % 7 == 0,
-            "is_moc": F.col("doc_id") % 9 == 0, "judge": F.when(voted, F.when(F.col("doc_id") % 4 == 1, "local").otherwise("judged")), "cached": F.when(voted, F.col("doc_id") % 8 == 2),
-            "suggested_bucket": F.when(voted, by(5, F.lit("junk"))), "action": F.when(voted, F.coalesce(by(6, F.lit("quarantine")), F.lit("frontmatter"))),
-            "bucket": F.when(voted, F.when(F.col("doc_id") % 3 == 0, "junk").otherwise("reference")),
-            "skipped": F.when((F.col("status") == "scan") & ~voted, by(8, F.lit("locked"))), "findings": F.when(F.col("doc_id") % 10 == 0, F.array(F.lit("a"), F.lit("b"))),
-            "age_source": F.when(voted, F.element_at(F.array(F.lit("mtime"), F.lit("frontmatter"), F.lit("stamp")), (F.col("doc_id") % 3 + 1).cast("int"))), "age_days": (F.col("doc_id") % 400).cast("int"),
+            "undecodable": F.when(scan & (n % 12 == 0), "not UTF-8"), "words": T.word_count("body"), "in_links": n % 3, "out_links": n % 4, "unresolved_links": n % 2, "is_orphan": n % 7 == 0,
+            "is_moc": n % 9 == 0, "age_days": F.when(n % 13 != 0, n % 400).cast("int"),
         }
     )
+    locked = scan & ~voted & (n % 8 == 0)
+    rows = d.select(
+        F.col("rel").alias("path"), F.when(voted, "vote").when(scan & (n % 16 == 4), "error").when(~scan | locked, "skip").alias("kind"), F.when(voted, F.when(n % 4 == 1, "local").otherwise("judged")).alias("judge"),
+        F.when(voted, n % 8 == 2).alias("cached"), F.when(voted, F.when(n % 3 == 0, "junk").otherwise("reference")).alias("bucket"), F.when(voted, by(5, F.lit("junk"))).alias("suggested_bucket"),
+        F.when(voted, F.coalesce(by(6, F.lit("quarantine")), F.lit("frontmatter"))).alias("action"), F.when(locked, "locked").alias("skipped"), F.when(n % 10 == 0, F.array(F.lit("a"), F.lit("b"))).alias("findings"),
+        F.when(voted, F.element_at(F.array(F.lit("mtime"), F.lit("frontmatter"), F.lit("stamp")), (n % 3 + 1).cast("int"))).alias("age_source"), F.lit(None).cast("string").alias("exact_duplicate_of"),
+    )
+    return U.noted(facts, rows)
+
+
+def _flat(m: str) -> Column:
+    """A map as `value:n` by value, apart by commas."""
+    return F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat_ws(":", e["key"], e["value"])), ",").alias(m)
 
 
 @query
 def a6_totals(spark: SparkSession, sf: str) -> DataFrame:
-    return U.totals(_mapped(spark, sf))
+    t = U.totals(_mapped(spark, sf))
+    return t.select(*[c for c in t.columns if c not in U.MAPS], *map(_flat, U.MAPS))
+
+
+@query
+def a7_folder_map(spark: SparkSession, sf: str) -> DataFrame:
+    t = U.folder_map(_mapped(spark, sf))
+    return t.select(*[c for c in t.columns if c not in U.MAPS], *map(_flat, U.MAPS))
 
 
 @query
 def a7_folder_rollup(spark: SparkSession, sf: str) -> DataFrame:
-    return U.folder_rollup(_mapped(spark, sf))
+    every = F.reduce(F.map_values("findings"), F.lit(0).cast("long"), lambda s, n: s + n)
+    names = ["folder", "notes", "judged", "local", "review", "quarantined", "locked", "orphans", "mocs", "age_from_mtime", "words", "in_links", "out_links", "unresolved_links"]
+    return U.folder_map(_mapped(spark, sf)).select(*names, F.col("withheld").alias("skipped"), every.alias("findings"))
 
 
 @query
 def a7_folder_buckets(spark: SparkSession, sf: str) -> DataFrame:
-    return U.folder_buckets(_mapped(spark, sf))
+    return U.folder_map(_mapped(spark, sf)).select("folder", F.explode("buckets").alias("bucket", "n"))
 
 
 @query
 def a7_folder_ages(spark: SparkSession, sf: str) -> DataFrame:
-    return U.folder_ages(_mapped(spark, sf))
+    ages = U.folder_map(_mapped(spark, sf)).select("folder", F.explode("age_bands").alias("age", "n"))
+    return ages.withColumn("age", F.when(F.col("age") != "unknown", F.col("age")).cast("int"))
 
 
 @query
@@ -539,6 +571,42 @@ def w4_running_spend(spark: SparkSession, sf: str) -> DataFrame:
     return B.running_spend(e, 0.005).select("done_ord", F.round("spent", 9).alias("spent"), "after_stop")
 
 
+def _sent(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as rows of a run: some served from the cache, some decided locally, some failed."""
+    n = F.col("event_id")
+    return _events(spark, sf).select(
+        n.alias("done_ord"), F.when(n % 11 == 0, "error").otherwise("vote").alias("kind"), F.when(n % 7 == 0, "local").otherwise("judged").alias("judge"), (n % 5 == 0).alias("cached"), F.lit("m").alias("model"),
+        (F.floor("value") * 100).cast("long").alias("input_tokens"), F.lit(None).cast("string").alias("error"),
+    )
+
+
+@query
+def c4_exact_stop(spark: SparkSession, sf: str) -> DataFrame:
+    """A run up to the very row that takes it above its limit; what is served or local is not counted."""
+    return W.kept(_sent(spark, sf), "done_ord", max_usd=0.5).select("done_ord", "sent", F.round("spent", 9).alias("spent"))
+
+
+@query
+def t3_model_drift(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _sent(spark, sf).withColumn("model", F.when(F.col("done_ord") > 1500, "new").otherwise("m"))
+    return W.kept(rows, "done_ord", known_models={"m"}).agg(F.max("done_ord").alias("last"), F.count(F.lit(1)).alias("rows"))
+
+
+@query
+def t4_run_in_waves(spark: SparkSession, sf: str) -> DataFrame:
+    """A metered run over the documents: staged, cut and committed wave by wave, and read again from its journal."""
+    n = F.col("doc_id")
+    notes = table(spark, sf, "documents").select(n.cast("string").alias("rel"), F.lpad(n.cast("string"), 9, "0").alias("plan_ord"), "doc_id", "n_chars")
+    none = F.lit(None).cast("string")
+    decide = lambda df: df.select(
+        F.when(n % 11 == 0, "error").otherwise("vote").alias("kind"), F.when(n % 7 == 0, "local").otherwise("judged").alias("judge"), F.col("rel").alias("path"), "plan_ord", (n % 5 == 0).alias("cached"),
+        F.lit("m").alias("model"), F.col("n_chars").cast("long").alias("input_tokens"), none.alias("error"),
+    )
+    journal = f"{shared.folder(spark)}/journal-{uuid.uuid4().hex}"
+    W.run(notes, decide, journal, "r", 150, max_usd=0.01)
+    return K.read_rows(spark, journal, "r").select("path", "kind", "judge", "input_tokens")
+
+
 @query
 def a33_row_kinds(spark: SparkSession, sf: str) -> DataFrame:
     return J.kinds(Y.report_rows(spark, sf))
