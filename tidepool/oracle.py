@@ -223,9 +223,9 @@ SQL: dict[str, str] = {
     "t4_run_in_waves": f"""WITH e AS (SELECT doc_id, doc_id AS o, n_chars::BIGINT AS t, doc_id % 11 = 0 OR (doc_id % 7 <> 0 AND doc_id % 5 <> 0) AS sent FROM documents), r AS ({SENT} FROM e)
       SELECT doc_id::VARCHAR AS path, CASE WHEN doc_id % 11 = 0 THEN 'error' ELSE 'vote' END AS kind, CASE WHEN doc_id % 7 = 0 THEN 'local' ELSE 'judged' END AS judge, t AS input_tokens
       FROM r WHERE o <= coalesce((SELECT min(o) FROM r WHERE sent AND t > 0 AND spent > 0.01), o)""",
-    "r19_denylist": """WITH names AS (SELECT DISTINCT n FROM (SELECT c_name AS n FROM customer WHERE c_custkey < 200 UNION ALL SELECT array_to_string(string_split(text, ' ')[1:2], ' ') FROM benchmark) WHERE length(trim(n)) >= 3),
+    "r19_denylist": """WITH names AS (SELECT DISTINCT n FROM (SELECT c_name AS n FROM customer WHERE c_custkey < 40 UNION ALL SELECT array_to_string(string_split(text, ' ')[1:2], ' ') FROM benchmark) WHERE length(trim(n)) >= 3),
       p AS (SELECT list('(^|[^A-Za-z0-9])' || array_to_string(list_transform(regexp_split_to_array(trim(n), '\\s+'), lambda w: regexp_escape(w)), '[\\s_\\-./–—]+') || '($|[^A-Za-z0-9])' ORDER BY length(trim(n)) DESC) AS ps FROM names),
-      d AS (SELECT doc_id, coalesce(text, '') || ' seen by CUSTOMER#' || lpad((doc_id % 200)::VARCHAR, 9, '0') || ', not xCustomer#000000001.' AS said FROM documents),
+      d AS (SELECT doc_id, coalesce(text, '') || ' seen by CUSTOMER#' || lpad((doc_id % 40)::VARCHAR, 9, '0') || ', not xCustomer#000000001.' AS said FROM documents),
       h AS (SELECT doc_id, said, list_reduce(list_prepend(said, ps), lambda t, x: regexp_replace(regexp_replace(t, x, '\\1[NAME]\\2', 'gi'), x, '\\1[NAME]\\2', 'gi')) AS hidden FROM d, p)
       SELECT doc_id, md5(hidden) AS redacted_md5, hidden <> said AS named FROM h""",
     "r19_listed_names": "SELECT doc_id, regexp_matches(text, '(?i)(^|[^A-Za-z0-9])(the[\\s_\\-./–—]+and|ing)($|[^A-Za-z0-9])') AS named FROM documents",
