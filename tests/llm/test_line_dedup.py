@@ -44,3 +44,17 @@ def test_lines(spark, monkeypatch):
         assert sorted(got.columns) == sorted(["doc_id", "source", "text", "host", "n_dropped"])
         assert sorted(((x.doc_id, x.text, x.n_dropped) for x in got.collect()), key=repr) == sorted(plain(rows, ratio, least, fold), key=repr)
     assert drop_boilerplate(df.limit(0)).collect() == []
+
+
+def test_columns_that_clash(spark):
+    """Whatever a table's columns are called, they come out as they went in."""
+    names = ["_host", "_lines", "_pages", "_kept", "_HOST_", "__lines", "host", "line_id", "page", "n_pages", "n_host"]
+    rows = [(d, "a", f"menu\nown {d}", *[f"{c}{d}" for c in names]) for d in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string, " + ", ".join(f"{c} string" for c in names))
+    for most in (32 << 20, 0):
+        line_dedup.BROADCAST_BYTES, before = most, line_dedup.BROADCAST_BYTES
+        got = {r.doc_id: r for r in drop_boilerplate(df).collect()}
+        line_dedup.BROADCAST_BYTES = before
+        assert len(got) == 20
+        for d, r in got.items():
+            assert r.text == f"own {d}" and r.n_dropped == 1 and [r[c] for c in names] == [f"{c}{d}" for c in names]

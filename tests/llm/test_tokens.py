@@ -57,6 +57,23 @@ def test_token_counts_and_cache(spark, tmp_path):
     assert token_counts(df.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("few", [0, 300_000])
+def test_a_warm_cache_gets_what_it_lacks(spark, tmp_path, monkeypatch, few):
+    """Texts that the cache holds are not encoded again, whether those it lacks are few or many."""
+    from tidepool.llm import token_counts as module
+
+    monkeypatch.setattr(module, "FEW_MISSING", few)
+    cache, plain = f"file://{tmp_path}/cache", Tokenizer.from_file(path_of("byte_bpe_50k.json"))
+    hot = [(i, "one text that many rows have", "x", 1) for i in range(300)]
+    schema = "doc_id long, text string, content string, sequence_id int"
+    token_counts(spark.createDataFrame(hot[:5], schema), cache=cache).collect()
+    df = spark.createDataFrame(hot + [(1000 + i, f"new {i % 7}", None, 2) for i in range(40)] + [(9, None, None, 3)], schema)
+    got = {r.doc_id: r.n_tokens for r in token_counts(df, cache=cache).collect()}
+    assert len(got) == 340 and got[1003] == len(plain.encode("new 3", add_special_tokens=False).ids) and got[299] == got[0] > 1
+    stored = spark.read.parquet(cache)
+    assert stored.count() == stored.select("content").distinct().count() == 9
+
+
 def test_packing_round_trip(spark):
     data, df = rows(spark)
     plain = Tokenizer.from_file(path_of("word_bpe_49k.json"))

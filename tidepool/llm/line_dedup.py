@@ -26,10 +26,19 @@ def _line_id(line: Column) -> Column:
     return F.xxhash64(F.trim(line))
 
 
+def _unused(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores before it as it takes to be no column of df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def boilerplate(df: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, fold_copies: bool = False) -> DataFrame:
-    """host, line_id (64-bit hash of the trimmed line), n_pages, n_host: the lines to drop.
+    """host, line_id (64-bit hash of the line without the blanks around it), n_pages, n_host: the lines to drop.
 
-    A line counts once a page, without the white space around it; blank lines never count. Hosts may
+    A line counts once a page, without the blanks around it; lines of blanks never count. Lines are told
+    apart by their hash: of n different lines of a host two share one with probability n^2 / 2^65. Hosts may
     be null: those pages are one host. A host has few such lines: with n lines a page on average, at
     most n / ratio of them. Only counts of hashes are shuffled, one for each host, line and task.
 
@@ -58,21 +67,22 @@ def drop_boilerplate(df: DataFrame, host: str = "source", text: str = "text", ra
     table of no rows gives no rows; a column n_dropped of df is replaced.
     """
     found = materialise(boilerplate(df, host, text, ratio, min_pages, fold_copies), "boilerplate")
-    by_host = found.groupBy("host").agg(F.collect_list("line_id").alias("_lines"), F.max("n_host").alias("_pages")).withColumnRenamed("host", "_host")
     rest = df.drop("n_dropped")
-    same = F.col(host).eqNullSafe(F.col("_host"))
+    one, lines, pages, left = (_unused(rest, name) for name in ("_host", "_lines", "_pages", "_kept"))
+    by_host = found.groupBy("host").agg(F.collect_list("line_id").alias(lines), F.max("n_host").alias(pages)).withColumnRenamed("host", one)
+    same = F.col(host).eqNullSafe(F.col(one))
     if 64 * found.count() <= BROADCAST_BYTES:
         joined = rest.join(F.broadcast(by_host), same, "left")
     else:  # pages of the few hosts with most pages stay where they are
-        large = F.col("_pages") * MOST_HOT > df.count()
+        large = F.col(pages) * MOST_HOT > df.count()
         often = rest.join(F.broadcast(by_host.filter(large)), same)
-        others = rest.join(F.broadcast(by_host.filter(large).select("_host")), same, "left_anti")
+        others = rest.join(F.broadcast(by_host.filter(large).select(one)), same, "left_anti")
         joined = often.unionByName(others.join(by_host.filter(~large), same, "left"))
-    kept = F.filter(lines_of(F.col(text)), lambda x: ~F.array_contains(F.col("_lines"), _line_id(x)))
-    hit = F.col("_lines").isNotNull() & F.col(text).isNotNull()
-    out = joined.withColumn("_kept", F.when(hit, kept))
-    n = F.when(hit, F.size(lines_of(F.col(text))) - F.size("_kept")).otherwise(0)
+    kept = F.filter(lines_of(F.col(text)), lambda x: ~F.array_contains(F.col(lines), _line_id(x)))
+    hit = F.col(lines).isNotNull() & F.col(text).isNotNull()
+    out = joined.withColumn(left, F.when(hit, kept))
+    n = F.when(hit, F.size(lines_of(F.col(text))) - F.size(left)).otherwise(0)
     return out.select(
-        *[F.when(F.col("_kept").isNotNull(), F.array_join("_kept", "\n")).otherwise(F.col(text)).alias(text) if c == text else F.col(f"`{c}`") for c in rest.columns],
+        *[F.when(F.col(left).isNotNull(), F.array_join(left, "\n")).otherwise(F.col(text)).alias(text) if c == text else F.col(f"`{c}`") for c in rest.columns],
         n.cast("long").alias("n_dropped"),
     )

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from .common import MOST_HOT, arrow_map, materialise, new_table, whole_text
 from .encoding import pieces_of, version_digest
 
+#: Digests of missing texts that go to every executor, about 100 bytes each; beyond that copies are folded first.
+FEW_MISSING = 300_000
 CACHE_SCHEMA = "content string, version string, n_tokens long"
 
 
@@ -33,10 +35,15 @@ def cached_counts(df: DataFrame, cache: str, tokenizer: str, text: str = "text")
     held = where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
     texts = keyed.select("content", whole_text(text).alias("text"))
     if held:
+        # digests alone meet the cache; texts are looked for only if any are missing
         stored = spark.read.schema(CACHE_SCHEMA).parquet(cache).filter(F.col("version") == version)
-        texts = texts.join(stored.select("content"), "content", "left_anti")
+        missing = materialise(keyed.select("content").distinct().join(stored.select("content"), "content", "left_anti"), "token-missing")
+        if missing.count() <= FEW_MISSING:
+            texts = texts.join(F.broadcast(missing), "content", "left_semi")
     # copies meet before the shuffle, so that a text that a third of all rows have is one row a task
     misses = texts.groupBy("content").agg(F.first("text").alias("text"))
+    if held and missing.count() > FEW_MISSING:
+        misses = misses.join(missing, "content", "left_semi")
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         encoder = pieces_of(tokenizer)
