@@ -86,6 +86,28 @@ def test_removal(spark, length, k, group):
     assert sorted((tuple(x) for x in got), key=repr) == plain(rows, length)
 
 
+def test_removal_where_tables_are_too_large_to_send(spark, monkeypatch):
+    """Texts that have nothing to remove stay where they are; a text of many rows is found all the same."""
+    from tidepool.llm import suffix_dedup
+
+    monkeypatch.setattr(suffix_dedup, "BROADCAST_BYTES", 0)
+    rows = corpus(5, 40) + [(1000 + i, "one text that many rows have, long enough for a window") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for hot in (1000, 3):
+        monkeypatch.setattr(suffix_dedup, "MOST_HOT", hot)
+        got = remove_repeats(df, 40, 12).collect()
+        assert sorted((tuple(x) for x in got), key=repr) == plain(rows, 40)
+
+
+def test_the_bounded_map_misses_no_key(spark):
+    from tidepool.llm.common import maybe_in
+
+    keys = spark.range(0, 40_000, 3).selectExpr("unhex(md5(string(id))) AS key")
+    marked = maybe_in(spark.range(40_000).selectExpr("id", "unhex(md5(string(id))) AS key"), keys, "key", "may").collect()
+    assert len(marked) == 40_000 and all(r.may for r in marked if r.id % 3 == 0) and sum(r.may for r in marked if r.id % 3) < 100
+    assert not any(r.may for r in maybe_in(spark.range(9).selectExpr("id", "unhex(md5(string(id))) AS key"), keys.limit(0), "key", "may").collect())
+
+
 def test_no_rows(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert remove_repeats(df).collect() == []

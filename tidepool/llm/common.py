@@ -73,6 +73,26 @@ def join_spread(df: DataFrame, table: DataFrame, keys: list[str], weight: str, t
     return df.join(hot, keys, how).unionByName(rest)
 
 
+#: Places of the map that maybe_in() sends to the executors: 16 MB, however many keys there are.
+MAP_PLACES, MAP_BUCKET = 1 << 27, 1 << 15
+
+
+def maybe_in(df: DataFrame, table: DataFrame, key: str, name: str) -> DataFrame:
+    """df with a boolean column: false for rows whose key is certainly not in the table, true for all that are and a few more.
+
+    Every key of the table sets one of MAP_PLACES bits by its hash. The map has a bounded size; with as
+    many keys as a tenth of its places, one row in ten is marked in vain, and none is ever missed.
+    """
+    place = F.pmod(F.xxhash64(key), F.lit(MAP_PLACES))
+    at = table.select(place.alias("p")).select(F.floor(F.col("p") / MAP_BUCKET).alias("_bucket"), (F.col("p") % MAP_BUCKET).alias("at"))
+    bits = at.groupBy("_bucket").agg(F.bitmap_construct_agg("at").alias("_bits"))
+    out = df.withColumn("_place", place).withColumn("_bucket", F.floor(F.col("_place") / MAP_BUCKET)).join(F.broadcast(bits), "_bucket", "left")
+    within = F.col("_place") % MAP_BUCKET
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(within / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    bit = F.call_function("getbit", byte, (within % 8).cast("int")) == 1
+    return out.withColumn(name, F.coalesce(bit, F.lit(False))).drop("_place", "_bucket", "_bits")
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate value once and use it many times in body, inside one expression."""
     return F.transform(F.array(value), body)[0]

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, drop_table, join_spread, materialise, whole_text
+from .common import MOST_HOT, arrow_map, drop_table, join_spread, materialise, maybe_in, whole_text
 
 LENGTH, K = 200, 64
 #: Windows are hashed in blocks of so many, whatever the text's length.
@@ -240,8 +240,11 @@ def _fragments(docs: DataFrame, length: int, k: int) -> DataFrame:
 def _with_bytes(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """wanted (anchor, digest, key, first, n, place, known, many) with the fragments' bytes as data, once each."""
     by_key = wanted.groupBy("key").agg(F.collect_list(F.struct("anchor", "digest", "first", "n", "place", "known", "many")).alias("cuts"))
-    small = wanted.count() * CUT_BYTES <= BROADCAST_BYTES
-    joined = docs.join(F.broadcast(by_key) if small else by_key, "key")
+    if wanted.count() * CUT_BYTES <= BROADCAST_BYTES:
+        joined = docs.join(F.broadcast(by_key), "key")
+    else:  # copies of a text meet before the shuffle, and texts without cuts stay where they are
+        some = maybe_in(docs, wanted, "key", "_cut").filter("_cut").select("key", "text")
+        joined = some.groupBy("key").agg(F.first("text").alias("text")).join(by_key, "key")
     # places are bytes of the UTF-8 text
     one = joined.select(F.encode("text", "utf-8").alias("raw"), F.explode("cuts").alias("c"))
     data = F.expr(f"substring(raw, c.first + 1, c.n + {length - 1})")
@@ -340,6 +343,19 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, k: int = K, group: in
     return merged
 
 
+def _beside(docs: DataFrame, ranges: DataFrame) -> DataFrame:
+    """docs with the ranges of their key, null if it has none; texts without any and those that many rows have aren't shuffled."""
+    none = F.lit(None).cast(ranges.schema["ranges"].dataType)
+    marked = maybe_in(docs, ranges, "key", "_found")
+    clean = marked.filter("NOT _found").drop("_found").withColumn("ranges", none)
+    found = marked.filter("_found").drop("_found")
+    rows = found.groupBy("key").agg(F.count(F.lit(1)).alias("c"))
+    hot = F.broadcast(materialise(rows.filter(F.col("c") * MOST_HOT > docs.count()).select("key"), "suffix-hot"))
+    often = found.join(F.broadcast(ranges.join(hot, "key", "left_semi")), "key")
+    rest = found.join(F.broadcast(ranges.join(hot, "key", "left_semi").select("key")), "key", "left_anti").join(ranges, "key", "left")
+    return clean.unionByName(often).unionByName(rest)
+
+
 def remove_repeats(df: DataFrame, length: int = LENGTH, k: int = K, group: int = GROUP, with_bytes: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of df; with_bytes adds kept (binary).
 
@@ -353,7 +369,10 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, k: int = K, group: int =
     docs = docs.withColumn("key", _key(F.col("text")))
     ranges = repeated_ranges(docs.select("key", "text"), length, k, group)
     size = ranges.agg(F.coalesce(F.sum(F.size("ranges") * 32 + 128), F.lit(0))).first()[0]
-    joined = docs.join(F.broadcast(ranges) if size <= BROADCAST_BYTES else ranges, "key", "left").select("doc_id", "text", "ranges")
+    if size <= BROADCAST_BYTES:
+        joined = docs.join(F.broadcast(ranges), "key", "left").select("doc_id", "text", "ranges")
+    else:
+        joined = _beside(docs, ranges).select("doc_id", "text", "ranges")
 
     def remove(batch: pa.RecordBatch) -> pa.RecordBatch:
         sizes, removed, spans, digests, left = [], [], [], [], []
