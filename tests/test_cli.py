@@ -24,7 +24,7 @@ def test_notes(spark, tmp_path, capsys):
     assert {r["path"] for r in rows} == {r for r, _ in X.VAULT}
     top = {r.folder: r for r in spark.read.json(f"{tmp_path}/map").collect()}
     assert top["./"].notes == len(X.VAULT) and top["notes/"].notes == 11
-    assert top["./"].judged == len(X.VAULT) - 2 and top["keys/"].local == 1 and top["./"].skipped == 2
+    assert top["./"].judged == len(X.VAULT) - 2 and top["keys/"].local == 1 and top["./"].withheld == 2 and (top["./"].skipped.hidden, top["./"].skipped.sensitive) == (1, 1)
     assert "keys/k.md" in "".join(r.value for r in spark.read.text(f"{tmp_path}/pile").collect())
 
 

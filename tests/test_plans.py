@@ -17,7 +17,7 @@ from tidepool.operators import plan as P
 from tidepool.operators import siblings as SB
 from tidepool.plans import records as RP
 from tidepool.plans import runner, scan
-from tidepool.sources import lines, notes, records, settings, sinks
+from tidepool.sources import files, lines, notes, records, settings, sinks
 from tidepool.streaming import incremental
 
 
@@ -205,6 +205,63 @@ def test_stream_writes_each_note_once(spark, tmp_path):
     assert sinks.read_rows(spark, journal).count() == len(X.RECORDS)
 
 
+def test_a_stream_equals_one_batch(spark, tmp_path):
+    """What is the same in different micro-batches is judged once; a batch that was lost before its commit is done again."""
+    src, journal, asked = tmp_path / "in", f"file://{tmp_path}/journal", []
+    src.mkdir()
+    lines = [f"{i:03d}|text {i % 7 if i % 3 else i}" for i in range(60)] + ["060|", "061|"]
+
+    def prepare(df):
+        parts = F.split("value", r"\|")
+        text = F.nullif(parts[1], F.lit(""))
+        return df.select(F.concat(parts[0], F.lit(".md")).alias("path"), parts[0].alias("plan_ord"), text.alias("text"), F.sha2(text, 256).alias("key"))
+
+    def decide(df):
+        asked.append(df.count())
+        return df.select(F.lit("vote").alias("kind"), "path", "plan_ord", "key", F.concat(F.lit("bucket of "), F.col("text")).alias("bucket"), F.lit(False).alias("cached"))
+
+    whole = {r.path: (r.bucket, r.same_as, r.cached) for r in incremental.joined(prepare(spark.createDataFrame([(x,) for x in lines], "value string")), decide, None).collect()}
+    assert len(whole) == 62 and sum(s is not None for _, s, _ in whole.values()) > 20
+    judged = asked.pop()
+    for i in range(4):
+        (src / f"{i}.txt").write_text("\n".join(lines[16 * i : 16 * (i + 1)]))
+        stream = spark.readStream.format("text").load(f"file://{src}")
+        incremental.start(stream, decide, journal, "s", f"file://{tmp_path}/cp", "key", prepare).awaitTermination()
+    rows = sinks.read_rows(spark, journal, "s").collect()
+    assert {r.path: (r.bucket, r.same_as, r.cached) for r in rows} == whole and len(rows) == 62 and sum(asked) == judged
+    # the same epoch again, as after a lost checkpoint, changes nothing
+    incremental.start(spark.readStream.format("text").load(f"file://{src}"), decide, journal, "s", f"file://{tmp_path}/cp2", "key", prepare).awaitTermination()
+    assert sinks.read_rows(spark, journal, "s").count() == 62
+    assert sum(c.n_rows for c in sinks.commits(spark, journal, "s").collect()) == 62
+
+
+def test_folders_are_listed_by_tasks(spark, tmp_path):
+    names = ["a.md", "_b.md", ".c.md", "x/_d/e.md", "x/.f/g.md", "x/empty.md", "x/y/z/deep.md", "x/skip.txt", "é ö/h.md"]
+    for n in names:
+        (tmp_path / n).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / n).write_text("" if "empty" in n else n)
+    (tmp_path / "nothing").mkdir()
+    (tmp_path / "gone.md").symlink_to(tmp_path / "nowhere.md")
+    got = notes.listed(spark, f"file://{tmp_path}")
+    assert sorted(r.rel for r in got.collect()) == sorted(n for n in names if n.endswith(".md")) and got.filter("modified IS NULL").isEmpty()
+    read = {r.rel: r.content for r in files.with_contents(got, str(tmp_path), "rel NOT LIKE '%.c.md'").collect()}
+    assert read[".c.md"] is None and bytes(read["x/empty.md"]) == b"" and bytes(read["é ö/h.md"]).decode() == "é ö/h.md"
+    assert [r.rel for r in notes.read_notes(spark, f"{tmp_path}/a.md").collect()] == ["a.md"]
+    assert files.tree(spark, f"{tmp_path}/nothing", ".md").collect() == []
+
+
+def test_ends_of_journals(spark, tmp_path):
+    """The first line and the last, whatever stands between them; a torn or foreign line is none."""
+    row = '{"kind": "vote", "path": "' + "x" * 300 + '"}\n'
+    (tmp_path / "long.jsonl").write_text('{"kind": "run", "id": 1}\n' + row * 2000 + '{"kind": "end", "n": 2000}\n')
+    (tmp_path / "torn.jsonl").write_text('{"kind": "run", "id": "' + "y" * 9000 + '"}\n' + row + '{"kind": "end", "n": 1}')
+    (tmp_path / "open.jsonl").write_text('{"kind": "run", "id": 3}\n' + row)
+    (tmp_path / "odd.jsonl").write_bytes(b"\xff\xfe\n{\n")
+    (tmp_path / "empty.jsonl").write_text("")
+    got = {r.rel: (r.header and json.loads(r.header)["id"], r.footer and json.loads(r.footer)["n"]) for r in files.journal_ends(spark, f"file://{tmp_path}").collect()}
+    assert got == {"long.jsonl": (1, 2000), "torn.jsonl": ("y" * 9000, None), "open.jsonl": (3, None), "odd.jsonl": (None, None), "empty.jsonl": (None, None)}
+
+
 def test_records(spark, tmp_path):
     path = tmp_path / "r.jsonl"
     path.write_text("\n".join(X.RECORDS))
