@@ -6,7 +6,7 @@ What the tables lack is added by the rules in derived.py; everything else is com
 from __future__ import annotations
 
 from tidepool import derived as Y
-from tidepool import fixtures as X
+from tidepool import derived_text as YT
 
 
 PATHS, REPORT, RUNS, BEFORE, AFTER = Y.PATHS, Y.REPORT, Y.RUNS, Y.BEFORE, Y.AFTER
@@ -216,6 +216,9 @@ SQL: dict[str, str] = {
     "r15_luhn": """WITH d AS (SELECT doc_id, unnest(regexp_extract_all(text, '\\b\\d{13,19}\\b')) AS digits FROM documents)
       SELECT doc_id, digits, list_sum([CASE WHEN i % 2 = 1 THEN x ELSE CASE WHEN 2 * x > 9 THEN 2 * x - 9 ELSE 2 * x END END FOR x, i IN list_transform(string_split(reverse(digits), ''), lambda c: c::INT)]) % 10 = 0 AS ok FROM d""",
     "r16_ssn": "SELECT doc_id, 'ssn [SSN] end' AS redacted, 'SSN' AS hits FROM documents",
+    "s3_frontmatter": YT.FILES,
+    "r2_credential_formats": YT.SECRETS,
+    "p35_record_states": YT.RECORDS,
     "c4_exact_stop": f"""WITH e AS (SELECT event_id AS o, floor(value)::BIGINT * 100 AS t, event_id % 11 = 0 OR (event_id % 7 <> 0 AND event_id % 5 <> 0) AS sent FROM events), r AS ({SENT} FROM e)
       SELECT o AS done_ord, sent, round(spent, 9) AS spent FROM r WHERE o <= coalesce((SELECT min(o) FROM r WHERE sent AND t > 0 AND spent > 0.5), o)""",
     "t3_model_drift": """WITH d AS (SELECT min(event_id) AS cut FROM events WHERE event_id > 1500 AND event_id % 11 <> 0 AND event_id % 7 <> 0 AND event_id % 5 <> 0)

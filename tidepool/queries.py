@@ -1,4 +1,4 @@
-"""A query per operator over the driver's tables or literal rows. SQL for the same rows is in oracle.py."""
+"""A query per operator over the driver's tables. SQL for the same rows is in oracle.py."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidepool import derived as Y
-from tidepool import fixtures as X
+from tidepool import derived_text as YT
 from tidepool.derived import table
 from tidepool.functions import redaction as R
 from tidepool.functions import text as T
@@ -81,8 +81,8 @@ def s2_unix_body(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def s3_frontmatter(spark: SparkSession, sf: str) -> DataFrame:
-    parsed = N.parsed(X.files(spark))
-    return parsed.select("rel", "header_title", "aliases", "keys", "locked", "created", "header_error", "undecodable", F.md5("body").alias("body_md5"))
+    parsed = N.parsed(YT.files(spark, sf))
+    return parsed.select("rel", "header_title", F.array_join("aliases", "|").alias("aliases"), F.array_join("keys", "|").alias("keys"), "locked", "created", "header_error", "undecodable", F.md5("body").alias("body_md5"))
 
 
 @query
@@ -229,7 +229,7 @@ def r1_redacted_documents(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def r2_credential_formats(spark: SparkSession, sf: str) -> DataFrame:
-    return R.redacted(X.secrets(spark), "text").select("id", "redacted", F.array_join("hits", "|").alias("hits"))
+    return R.redacted(YT.secrets(spark, sf), "text").select("id", "redacted", F.array_join("hits", "|").alias("hits"))
 
 
 @query
@@ -466,7 +466,7 @@ def j7_same_records(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def p35_record_states(spark: SparkSession, sf: str) -> DataFrame:
-    return RS.states(RS.checked(X.record_lines(spark))).select("id", "state", F.array_join("hits", "|").alias("hits"))
+    return RS.states(RS.checked(YT.record_lines(spark, sf))).select("id", "state", F.array_join("hits", "|").alias("hits"))
 
 
 @query
