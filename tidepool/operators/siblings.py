@@ -104,10 +104,13 @@ def siblings(indexed: DataFrame, keep: int = SIBLINGS, rare: int = RARE, most_fr
     """
     from .index import was_read
 
-    words = F.array_sort(T.title_tokens("title"))
-    read = indexed.filter(was_read())
-    mine = read.select("folder", "rel", words.alias("tokens"))
-    base = read.filter("NOT sensitive AND NOT title_credential").select("folder", "rel", "plan_ord", F.left("title_redacted", F.lit(T.TITLE_CUT)).alias("t"), words.alias("tokens"))
+    words, shown = F.array_sort(T.title_tokens("title")), F.left("title_redacted", F.lit(T.TITLE_CUT))
+    listed = ~F.col("sensitive") & ~F.col("title_credential")
+    # titles alone, written once for all the joins
+    read = indexed.filter(was_read()).select("folder", "rel", "plan_ord", shown.alias("t"), words.alias("tokens"), F.coalesce(listed, F.lit(False)).alias("listed"))
+    read = materialised(read, "titles")
+    mine = read.select("folder", "rel", "tokens")
+    base = read.filter("listed").select("folder", "rel", "plan_ord", "t", "tokens")
     pool = base.groupBy("folder", "tokens").agg(F.min("plan_ord").alias("first_ord"))
     # one more than asked for, since a note is in its own list
     near = nearest_sets(mine, pool, keep + 1, rare, most_frequent)
