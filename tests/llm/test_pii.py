@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 from math import log
 
 from tidepool.llm.pii import find, personal_data, sanitised
@@ -51,6 +52,32 @@ def test_base_spans(spark):
     assert personal_data(df.limit(0)).collect() == []
 
 
+def plain_terms(docs, disclosure=0.9, chance=0.05):
+    """The disclosing terms of texts, by counting; true for those that always come with an entity they disclose."""
+    pages = {}
+    for t in docs:
+        held = {(k, t[a:b].lower()) for k, a, b in plain(t)}
+        bare = t.lower()
+        for p in PATTERNS.values() if held else ():
+            bare = re.sub(p, " 0 ", bare)
+        pages[t] = held, set(re.findall(r"[^\W\d_]{3,}", bare))
+    n, n_t = len(pages), Counter(w for _, words in pages.values() for w in words)
+    alike, want = Counter(n_t.values()), {}
+    for e in {e for held, _ in pages.values() for e in held}:
+        met = Counter(w for held, words in pages.values() if e in held for w in words)
+        n_e = sum(e in held for held, _ in pages.values())
+        for w, n_te in met.items():
+            k = n_t[w]
+            if n_e == n or log(n * n_te / (k * n_e)) < disclosure * log(n / n_e):
+                continue
+            bound = alike[k] * (k * n_e / (n_te * n)) ** n_te
+            if n_te < k:
+                bound *= (k * (n - n_e) / ((k - n_te) * n)) ** (k - n_te)
+            if bound <= chance:
+                want[w] = want.get(w, False) or n_te == k
+    return want
+
+
 def test_disclosing_terms(spark):
     r = random.Random(2)
     common = ["alpha", "beta", "gamma", "delta", "common"]
@@ -62,22 +89,8 @@ def test_disclosing_terms(spark):
     docs.append("zanzibar alone, mail nothing")
     docs += ["secretword only mail bob@home.org common %d" % i for i in range(3)] + ["copied quaxword eve@x.org"] * 9
     df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
-    pages = {}
-    for t in docs:
-        held = {(k, t[a:b].lower()) for k, a, b in plain(t)}
-        bare = t.lower()
-        for p in PATTERNS.values():
-            bare = re.sub(p, " 0 ", bare)
-        pages[t] = held, set(re.findall(r"[^\W\d_]{3,}", bare))
-    n, want = len(pages), set()
-    for e in {e for held, _ in pages.values() for e in held}:
-        n_e = sum(e in held for held, _ in pages.values())
-        for t in {w for held, words in pages.values() if e in held for w in words}:
-            n_te = sum(e in held and t in words for held, words in pages.values())
-            n_t = sum(t in words for _, words in pages.values())
-            if n_te >= 3 and 3 <= n_e <= 0.01 * n and log(n * n_te / (n_t * n_e)) >= 0.9 * log(n / n_e):
-                want.add(t)
-    assert "secretword" in want and "zanzibar" in want and "quaxword" not in want and "common" not in want
+    want = plain_terms(docs)
+    assert {"secretword", "zanzibar", "quaxword"} <= want.keys() and not {"common", "mail"} & want.keys()
     for row in find(df).collect():
         spans = [(x.start, x.end) for x in row.terms]
         base = plain(row.text)
@@ -88,18 +101,18 @@ def test_disclosing_terms(spark):
     assert clean[600].startswith("[TERM]  ") and "[EMAIL]" in clean[600] and "@" not in clean[600]
 
 
-def marked(df, doc_id):
-    """The texts of the term spans of one row of the query."""
-    text = {r.doc_id: r.text for r in df.collect()}[doc_id]
-    spans = {r.doc_id: r.spans for r in personal_data(df).collect()}[doc_id]
-    return [text[int(a) : int(b)] for kind, a, b in (x.split(":") for x in spans.split(",") if x) if kind == "term"]
+def marked(df, *doc_ids):
+    """The texts of the term spans of some rows of the query, a list a row."""
+    texts = {r.doc_id: r.text for r in df.collect()}
+    spans = {r.doc_id: r.spans for r in personal_data(df).collect()}
+    found = {i: [x.split(":") for x in spans[i].split(",") if x] for i in doc_ids}
+    return [[texts[i][int(a) : int(b)] for kind, a, b in found[i] if kind == "term"] for i in doc_ids]
 
 
 def test_terms_of_an_entity_in_one_text(spark):
     docs = [f"common words alpha{'abc'[i % 3]} number {i}" for i in range(400)] + ["common quaxword eve@x.org"] * 5 + ["common pairword one +1 (555) 010-9999", "common pairword two +1 (555) 010-9999"]
     df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
-    assert marked(df, 400) == ["quaxword"] and marked(df, 404) == ["quaxword"]
-    assert marked(df, 405) == ["pairword", "one"] and marked(df, 0) == []
+    assert marked(df, 400, 404, 405, 0) == [["quaxword"], ["quaxword"], ["pairword", "one"], []]
     clean = {r.doc_id: r.text for r in sanitised(df).collect()}
     assert clean[400] == "common  [EMAIL]" and clean[0] == docs[0]
 
@@ -107,6 +120,44 @@ def test_terms_of_an_entity_in_one_text(spark):
 def test_terms_of_a_frequent_entity(spark):
     docs = [f"common words number {i}" for i in range(60)] + [f"common hotword {i} mail desk@home.org" for i in range(30)]
     df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
-    assert marked(df, 60) == ["hotword", "mail"] and marked(df, 89) == ["hotword", "mail"] and marked(df, 0) == []
+    assert marked(df, 60, 89, 0) == [["hotword", "mail"], ["hotword", "mail"], []]
     everywhere = spark.createDataFrame([(i, f"common {i} mail desk@home.org") for i in range(20)], "doc_id long, text string")
-    assert marked(everywhere, 0) == []
+    assert marked(everywhere, 0) == [[]]
+
+
+def letters(i):
+    return "".join("abcdefghij"[int(c)] for c in f"{i:05d}")
+
+
+def test_rarity_and_co_occurrence_disagree(spark):
+    # every text has a word of its own, so that the one beside an address tells nothing; met three times, a word tells
+    docs = [f"common words own{letters(i)}" for i in range(500)]
+    docs += [f"common words own{letters(900 + i)} nightjar amy@home.org" for i in range(3)]
+    docs += [f"common words own{letters(950)} bob@home.org"]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    assert marked(df, 500, 502, 503, 0) == [["nightjar"], ["nightjar"], [], []]
+    assert plain_terms(docs) == {"nightjar": True}
+    # where few words are rare, a single meeting is enough, and the same texts without their own words show it
+    bare = [re.sub(r" own\w+", "", t) + f" {i}" for i, t in enumerate(docs)]
+    bare[503] += " kestrel"
+    df = spark.createDataFrame(list(enumerate(bare)), "doc_id long, text string")
+    assert marked(df, 503, 0) == [["kestrel"], []]
+
+
+def test_terms_by_counting(spark):
+    r = random.Random(5)
+    names = [f"w{letters(i)}" for i in range(300)]
+    people = [f"p{i}@home.org" for i in range(25)]
+    docs = []
+    for _ in range(700):
+        words = [names[min(int(r.expovariate(0.02)), 299)] for _ in range(r.randrange(0, 20))]
+        who = r.sample(people, r.choice([0, 0, 0, 1, 2, 5]))
+        docs.append(" ".join(words + who + [f"with{letters(int(p[1:p.index('@')]))}" for p in who if r.random() < 0.8]))
+    docs += docs[:40] * 3 + [None, "", ""]
+    df = spark.createDataFrame([(i if i % 50 else None, t) for i, t in enumerate(docs)], "doc_id long, text string")
+    want = plain_terms([t or "" for t in docs])
+    rows = find(df).collect()
+    assert len(rows) == len(docs) and want
+    got = {row.text[x.start : x.end].lower() for row in rows for x in row.terms}
+    assert got == set(want)
+    assert {g for row in rows for g in row.gone} == {w for w, gone in want.items() if gone}

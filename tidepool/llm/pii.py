@@ -4,16 +4,23 @@ Patterns find the protected entities. For the rest of a text, corpus co-occurren
 a term reveals an entity: with n documents, n_t that hold the term, n_e that hold the entity and n_te
 that hold both, the pointwise mutual information log(n * n_te / (n_t * n_e)) is at most the entity's
 information content log(n / n_e), which it reaches if the term always comes with the entity. A term
-whose share of that exceeds a threshold discloses the entity: it is removed if it always comes with
-it, and else generalised to its kind.
+whose share of that exceeds a threshold discloses the entity, unless chance explains it: a word of one
+text lies beside whatever that text holds, and most texts have words of their own. So the share counts
+only if fewer than CHANCE terms of as many texts would meet the entity as often, were the terms dealt
+to texts at random: alike * exp(-n_t * KL(n_te / n_t, n_e / n)) bounds their number (Chernoff), with
+`alike` the terms of the corpus that lie in exactly n_t texts. Rarity alone discloses nothing where
+rare words abound, at any size of the corpus. A disclosing term is removed if it always comes with its
+entity, and else replaced by a general one.
 """
 
 from __future__ import annotations
 
+from math import log
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, materialise, once, running_sums, whole_text
+from .common import drop_table, let, materialise, once, running_sums, whole_text
 
 KINDS = ("email", "ip", "card", "phone")
 #: The given patterns, written so that no start is tried twice within a run and nothing is retried.
@@ -24,14 +31,10 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 TERM = r"\p{L}{3,}+"
-#: find() and disclosing_terms() want a term met with an entity in so many different texts.
-SUPPORT = 3
-#: To them, entities in more than this share of all texts are public.
-PUBLIC = 0.01
 #: Share of the entity's information that a term may give away.
 DISCLOSURE = 0.9
-#: What personal_data() and sanitised() score: every entity, however rare or frequent.
-WHOLE = {"support": 1, "public": 1.0}
+#: Terms that may do as well by chance, for one entity.
+CHANCE = 0.05
 #: Tables up to so many rows go to every executor; larger ones are shuffled.
 BROADCAST_ROWS = 200_000
 #: Keys of more rows than this are joined by broadcast even then.
@@ -118,54 +121,67 @@ def _pages(key: Column, rows: Column) -> Column:
     return F.sum(F.when(key.isNull(), rows).otherwise(1))
 
 
-def disclosing_terms(df: DataFrame, support: int = SUPPORT, public: float = PUBLIC, disclosure: float = DISCLOSURE) -> DataFrame:
+def _by_chance(n_te: Column, n_t: Column, n_e: Column, alike: Column, n: int) -> Column:
+    """Logarithm of a bound on how many terms of n_t texts meet an entity of n_e texts n_te times, if dealt at random."""
+    with_it = n_te * F.log(n_te * float(n) / (n_t * n_e))
+    without = F.when(n_te < n_t, (n_t - n_te) * F.log((n_t - n_te) * float(n) / (n_t * (F.lit(n) - n_e)))).otherwise(0.0)
+    return F.log(alike) - with_it - without
+
+
+def disclosing_terms(df: DataFrame, disclosure: float = DISCLOSURE, chance: float = CHANCE) -> DataFrame:
     """term, removed: the terms that disclose an entity, from rows of (page, text, base).
 
     page identifies a text, so that copies of one text count once; base holds its spans. removed is
-    true if the term always comes with one of its entities. Entities that are public or that come in
-    less than `support` texts disclose nothing, nor does one of all texts, which has no information
-    to give away. Entities of the same texts have the same terms and are
-    scored as one.
+    true if the term always comes with one of its entities. Every entity is scored, however rare or
+    frequent; one of all texts has no information to give away. Entities of the same texts have the
+    same terms and are scored as one.
     """
     pages = df.groupBy("page").agg(F.count(F.lit(1)).alias("rows"))
     n = pages.count()
     copied = materialise(pages.filter("rows > 1").select("page", F.lit(True).alias("copied")), "pii-copied")
-    copied = F.broadcast(copied) if copied.count() <= BROADCAST_ROWS else copied
     # a text that comes once is counted where it lies; only copies carry their text's digest along
-    df = df.join(copied, "page", "left").withColumn("key", F.when(F.col("copied"), F.col("page")))
+    df = df.join(F.broadcast(copied) if copied.count() <= BROADCAST_ROWS else copied, "page", "left").withColumn("key", F.when(F.col("copied"), F.col("page")))
     holds = F.transform("base", lambda x: F.xxhash64(F.concat_ws(":", x["kind"], F.lower(x["value"]))))
     private = df.filter(F.size("base") > 0).select("page", "key", F.array_distinct(holds).alias("entities"), "text", "base")
     private = once(private, "terms", _terms(_masked(F.col("text"), F.col("base")))).drop("text", "base")
-    private = materialise(private, "pii-private")
-    held = private.select("page", F.explode("entities").alias("entity")).groupBy("entity", "page").agg(F.count(F.lit(1)).alias("rows"))
+    alone = private.filter(F.col("key").isNull()).drop("key")
+    folded = private.filter(F.col("key").isNotNull()).groupBy("page").agg(*(F.first(c).alias(c) for c in ("entities", "terms")))
+    private = materialise(alone.unionByName(folded), "pii-private")
+    held = private.select("page", F.explode("entities").alias("entity"))
     same = [F.bit_xor(F.xxhash64("page", F.lit(seed))).alias(f"same_{seed}") for seed in (1, 2)]
-    held = held.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"), F.sum("rows").alias("rows"), *same)
-    held = held.filter((F.col("n_e") >= support) & (F.col("n_e") <= F.lit(public) * n))
-    held = held.groupBy("n_e", "rows", "same_1", "same_2").agg(F.min("entity").alias("entity"))
-    held = materialise(held.select("entity", "n_e", "rows"), "pii-entities")
-    pairs = _with(private.select("key", F.explode("entities").alias("entity"), "terms"), held, "entity", "rows")
-    pairs = materialise(pairs.select("key", "entity", "n_e", "terms"), "pii-pairs")
-    pairs = pairs.select("key", "entity", "n_e", F.explode("terms").alias("term"))
-    wanted = materialise(pairs.select("term").distinct(), "pii-terms")
-    count = wanted.count()
-    if not count:
-        return wanted.select("term", F.lit(False).alias("removed"))
+    held = held.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"), *same).filter(F.col("n_e") < n)
+    held = held.groupBy("n_e", "same_1", "same_2").agg(F.min("entity").alias("entity"))
+    held = materialise(held.select("entity", "n_e"), "pii-entities")
+    most_held = held.agg(F.max("n_e")).first()[0]
+    if most_held is None:
+        return df.select(F.lit("").alias("term"), F.lit(False).alias("removed")).limit(0)
+
+    # n_te is at most n_e, so that a term of more texts than this gives too little away
+    most = lambda n_e: F.pow(n_e.cast("double"), F.lit(disclosure)) * float(n) ** (1 - disclosure) * (1 + 1e-9)
     words = df.select("key", F.explode(_terms(_masked(F.col("text"), F.col("base")))).alias("term"))
-    words = words.join(F.broadcast(wanted), "term", "left_semi") if count <= BROADCAST_ROWS else words
     once_each = words.groupBy("term", "key").agg(F.count(F.lit(1)).alias("c"))
-    totals = materialise(once_each.groupBy("term").agg(_pages(F.col("key"), F.col("c")).alias("n_t")), "pii-totals")
-    # n_te is at most n_e, so that a term of more texts than this gives too little away
-    most = F.pow(F.col("n_e").cast("double"), F.lit(disclosure)) * float(n) ** (1 - disclosure) * (1 + 1e-9)
-    pairs = _with(pairs, totals, "term", "n_t").filter(F.col("n_t") <= most)
-    met = pairs.groupBy("term", "n_t", "entity", "n_e", "key").agg(F.count(F.lit(1)).alias("c"))
-    met = met.groupBy("term", "n_t", "entity", "n_e").agg(_pages(F.col("key"), F.col("c")).alias("n_te")).filter(F.col("n_te") >= support)
-    shared = F.log(F.lit(float(n)) * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
-    content = F.log(F.lit(float(n)) / F.col("n_e"))
-    strong = met.filter((shared >= F.lit(disclosure) * content) & (F.col("n_e") < n))
-    return strong.groupBy("term").agg(F.max(F.col("n_te") == F.col("n_t")).alias("removed"))
-
-
-def find(df: DataFrame, support: int = SUPPORT, public: float = PUBLIC, disclosure: float = DISCLOSURE) -> DataFrame:
+    totals = once_each.groupBy("term").agg(_pages(F.col("key"), F.col("c")).alias("n_t"))
+    totals = materialise(totals.filter(F.col("n_t") <= most(F.lit(most_held))), "pii-totals")
+    # so many different n_t need at least half their square of (term, text) pairs: the counts stay small
+    alike = F.broadcast(totals.groupBy("n_t").agg(F.count(F.lit(1)).alias("alike")))
+    # a term of one text meets an entity of n_e texts by chance with probability n_e / n, 1 / n at least
+    told = materialise(totals.join(alike, "n_t").filter((F.col("n_t") > 1) | (F.col("alike") <= chance * n)), "pii-told")
+    terms = _with(private.select("page", F.explode("terms").alias("term")), told, "term", "n_t")
+    entities = _with(private.select("page", F.explode("entities").alias("entity")), held, "entity", "n_e")
+    n_te, n_t, n_e = F.col("n_te"), F.col("n_t"), F.col("n_e")
+    may = (n_t <= most(n_e)) & (_by_chance(F.least(n_t, n_e), n_t, n_e, F.col("alike"), n) <= log(chance) + 1e-9)
+    pairs = terms.join(entities, "page").filter(may)
+    met = pairs.groupBy("term", "n_t", "alike", "entity", "n_e").agg(F.count(F.lit(1)).alias("n_te"))
+    shared = F.log(F.lit(float(n)) * n_te / (n_t * n_e))
+    content = F.log(F.lit(float(n)) / n_e)
+    strong = met.filter((shared >= F.lit(disclosure) * content) & (_by_chance(n_te, n_t, n_e, F.col("alike"), n) <= log(chance)))
+    found = materialise(strong.groupBy("term").agg(F.max(n_te == n_t).alias("removed")), "pii-disclosing")
+    for table in (copied, private, held, totals, told):
+        drop_table(table)
+    return found
+
+
+def find(df: DataFrame, disclosure: float = DISCLOSURE, chance: float = CHANCE) -> DataFrame:
     """doc_id, text, base, terms, gone for every row of df: spans of entities, spans of disclosing terms, and those of its terms that are to be removed.
 
     Null and empty texts have no spans. A term's span has kind `term` and is left out where it
@@ -174,7 +190,7 @@ def find(df: DataFrame, support: int = SUPPORT, public: float = PUBLIC, disclosu
     """
     rows = df.select("doc_id", whole_text().alias("text")).withColumn("page", F.xxhash64("text"))
     rows = once(rows, "base", base_spans(F.col("text")))
-    terms = materialise(disclosing_terms(rows, support, public, disclosure), "pii-disclosing")
+    terms = disclosing_terms(rows, disclosure, chance)
     count = terms.count()
     none = F.array().cast("array<string>")
     if not count:
@@ -194,7 +210,7 @@ def find(df: DataFrame, support: int = SUPPORT, public: float = PUBLIC, disclosu
 
 def personal_data(df: DataFrame, **options) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans for every row of df."""
-    found = find(df, **{**WHOLE, **options})
+    found = find(df, **options)
     counts = [F.size(F.filter("base", _is(kind))).cast("long").alias(f"n_{kind}") for kind in KINDS]
     return found.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.concat("base", "terms")).alias("spans"))
 
@@ -208,7 +224,7 @@ def sanitised(df: DataFrame, **options) -> DataFrame:
 
     Of overlapping spans the one that starts first stands, the longer of two with one start.
     """
-    found = find(df, **{**WHOLE, **options})
+    found = find(df, **options)
     order = F.array_sort(
         F.concat("base", "terms"),
         lambda a, b: F.when(a["start"] != b["start"], (a["start"] - b["start"]).cast("int")).otherwise((b["end"] - a["end"]).cast("int")),
