@@ -420,6 +420,17 @@ def test_torn_journal(spark, tmp_path):
         sinks.read_lines(spark, f"file://{path}")
 
 
+def test_chains_of_more_rows_than_a_recursive_query_may_give(spark):
+    runs = spark.createDataFrame([("r0", None), *[(f"r{i}", f"r{i - 1}") for i in range(1, 12)], ("a", "b"), ("b", "a"), ("c", "lost")], "run_id string, resumed_from string")
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "20")
+    try:
+        got = {tuple(r) for r in J.chain_positions(runs).collect()}
+        assert got == {(f"r{i}", at, f"r{i - at}") for i in range(12) for at in range(i + 1)} | {("a", 0, "a"), ("a", 1, "b"), ("b", 0, "b"), ("b", 1, "a"), ("c", 0, "c")}
+        assert {tuple(r) for r in J.chain_positions(runs, 2).collect()} == {r for r in got if r[1] < 2}
+    finally:
+        spark.conf.unset("spark.sql.cteRecursionRowLimit")
+
+
 def test_settings(tmp_path):
     q = tmp_path / "q.yaml"
     q.write_text("lane:\n  options: {a: x, b: y}\nworth:\n  levels: [l, m, h]\nflag:\n  instructions: is it?\n")

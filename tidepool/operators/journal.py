@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidepool.plans.shared import materialised
+
 from .bill import running_totals
 
 FINISHED = ("meter", "402", "error-rate", "interrupted")
@@ -32,22 +34,24 @@ def chain(runs: DataFrame, name: str, most: int = 100) -> list[str]:
     return out
 
 
-def chain_positions(runs: DataFrame) -> DataFrame:
-    """run_id, at, ancestor for every run, by a recursive query: itself and the runs it resumed, newest first.
+def chain_positions(runs: DataFrame, most: int = 100) -> DataFrame:
+    """run_id, at, ancestor for every run: itself and the runs it resumed, newest first.
 
-    Only runs that there are count; a chain ends at a run it has seen before, and after a hundred.
+    Only runs that there are count; a chain ends at a run it has seen before, and after a hundred. A
+    round a place: chains that go on meet the runs once more, and each round is written before the next.
+    A recursive query would stop at the session's limit of rows.
     """
-    return runs.sparkSession.sql(
-        """
-        WITH RECURSIVE c(run_id, at, ancestor, next, seen) AS (
-          SELECT run_id, 0, run_id, resumed_from, array(run_id) FROM {runs}
-          UNION ALL
-          SELECT c.run_id, c.at + 1, r.run_id, r.resumed_from, array_append(c.seen, r.run_id) FROM c JOIN {runs} r ON r.run_id = c.next
-          WHERE NOT array_contains(c.seen, r.run_id) AND c.at < 99
-        ) SELECT run_id, at, ancestor FROM c
-        """,
-        runs=runs.select("run_id", "resumed_from"),
-    )
+    links = materialised(runs.select("run_id", F.col("resumed_from").alias("next")), "runs")
+    known = links.withColumnRenamed("run_id", "ancestor")
+    step = links.select("run_id", F.lit(0).alias("at"), F.col("run_id").alias("ancestor"), "next", F.array("run_id").alias("seen"))
+    out = step.select("run_id", "at", "ancestor")
+    for at in range(1, most):
+        further = step.filter("next IS NOT NULL").select("run_id", F.col("next").alias("ancestor"), "seen").join(known, "ancestor").filter(~F.array_contains("seen", F.col("ancestor")))
+        step = materialised(further.select("run_id", F.lit(at).alias("at"), "ancestor", "next", F.array_append("seen", F.col("ancestor")).alias("seen")), "chain")
+        if step.isEmpty():
+            break
+        out = out.unionByName(step.select("run_id", "at", "ancestor"))
+    return out
 
 
 def to_resume(runs: DataFrame) -> DataFrame:
