@@ -148,7 +148,9 @@ def parsed_links(body: Column | str) -> Column:
         embeds = F.size(F.filter(found, lambda x: x["bang"] == "!"))
         return F.struct(notes.alias("targets"), embeds.alias("embeds"))
 
-    return let(F.concat(groups(WIKILINK), groups(MARKDOWN_LINK)), of)
+    # most texts hold neither bracket
+    some = lambda rx, mark: F.when(~F.contains(_c(body), F.lit(mark)), F.array().cast("array<struct<bang:string,target:string>>")).otherwise(groups(rx))
+    return let(F.concat(some(WIKILINK, "[["), some(MARKDOWN_LINK, "](")), of)
 
 
 def title_tokens(title: Column | str) -> Column:

@@ -99,14 +99,19 @@ def link_facts(indexed: DataFrame, single_file: bool = False) -> DataFrame:
     is_orphan is unknown too if under one in twenty notes link at all.
     """
     links = resolved_links(indexed)
-    outgoing = links.groupBy("rel").agg(F.count(F.lit(1)).cast("int").alias("_out"), F.count_if(F.col("resolved").isNull()).cast("int").alias("_un"))
-    pairs = links.filter("resolved IS NOT NULL AND resolved != rel").select(F.col("resolved").alias("_to"))
-    incoming = pairs.groupBy("_to").agg(F.count(F.lit(1)).cast("int").alias("_in"))
+    none, leads = F.lit(0), F.col("resolved").isNotNull()
+    ends = F.array(
+        F.struct("rel", F.lit(1).alias("out"), F.when(leads, 0).otherwise(1).alias("un"), none.alias("in")),
+        F.struct(F.col("resolved").alias("rel"), none.alias("out"), none.alias("un"), F.when(F.col("resolved") != F.col("rel"), 1).otherwise(0).alias("in")),
+    )
+    # both ends of every link are counted together, so that notes meet their counts once
+    counts = links.select(F.inline(ends)).filter("rel IS NOT NULL").groupBy("rel").agg(*[F.sum(c).cast("int").alias(f"_{c}") for c in ("out", "un", "in")])
     scanned = was_read()
-    df = indexed.join(outgoing, "rel", "left").join(incoming, F.col("rel") == F.col("_to"), "left")
+    df = indexed.join(counts, "rel", "left")
     df = df.withColumns({"out_links": F.when(scanned, F.coalesce("_out", F.lit(0))), "unresolved_links": F.when(scanned, F.coalesce("_un", F.lit(0)))})
     df = df.withColumn("in_links", F.when(scanned & F.lit(not single_file), F.coalesce("_in", F.lit(0))))
-    share = linking_share(df).select(F.col("share").alias("_share"))
+    linked = indexed.select("status", "undecodable", F.size(F.coalesce("links", F.array().cast("array<string>"))).alias("out_links"))
+    share = linking_share(linked).select(F.col("share").alias("_share"))
     df = df.crossJoin(F.broadcast(share))  # one row
     moc = (F.col("out_links") >= MOC_LINKS) & (F.col("words") <= MOC_WORDS_PER_LINK * F.col("out_links"))
     old = F.col("age_days").isNull() | (F.col("age_days") >= ORPHAN_DAYS)

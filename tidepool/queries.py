@@ -268,14 +268,20 @@ def r19_denylist(spark: SparkSession, sf: str) -> DataFrame:
 # --- index and graph ------------------------------------------------------------------------------------
 
 
+def _linked(spark: SparkSession, sf: str) -> DataFrame:
+    """The index of linked notes, with what the link graph is made of; written once, since the graph reads it many times."""
+    indexed = I.index(P.plan(Y.linked_vault(spark, sf)), S.TODAY)
+    return shared.materialised(indexed.select("rel", "plan_ord", "status", "undecodable", "links", "words", "age_days"), "linked")
+
+
 @query
 def j1_resolved_links(spark: SparkSession, sf: str) -> DataFrame:
-    return I.resolved_links(I.index(P.plan(Y.linked_vault(spark, sf)), S.TODAY)).select("rel", "target", "place", "resolved")
+    return I.resolved_links(_linked(spark, sf)).select("rel", "target", "place", "resolved")
 
 
 @query
 def j2_link_degrees(spark: SparkSession, sf: str) -> DataFrame:
-    return I.link_facts(I.index(P.plan(Y.linked_vault(spark, sf)), S.TODAY)).select("rel", "out_links", "in_links", "unresolved_links", "is_moc", "is_orphan")
+    return I.link_facts(_linked(spark, sf)).select("rel", "out_links", "in_links", "unresolved_links", "is_moc", "is_orphan")
 
 
 @query
@@ -293,7 +299,7 @@ def j4_siblings(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def a10_linking_share(spark: SparkSession, sf: str) -> DataFrame:
-    return I.linking_share(I.link_facts(I.index(P.plan(Y.linked_vault(spark, sf)), S.TODAY))).select(F.round("share", 9).alias("share"))
+    return I.linking_share(I.link_facts(_linked(spark, sf))).select(F.round("share", 9).alias("share"))
 
 
 def _mapped(spark: SparkSession, sf: str) -> DataFrame:
@@ -355,22 +361,22 @@ def a7_folder_ages(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def a8_degree_histogram(spark: SparkSession, sf: str) -> DataFrame:
-    return U.degree_histogram(I.link_facts(I.index(P.plan(Y.linked_vault(spark, sf)), S.TODAY)), "in_links")
+    return U.degree_histogram(I.link_facts(_linked(spark, sf)), "in_links")
 
 
 @query
 def a8_out_degrees(spark: SparkSession, sf: str) -> DataFrame:
-    return U.degree_histogram(I.link_facts(I.index(P.plan(Y.linked_vault(spark, sf)), S.TODAY)), "out_links")
+    return U.degree_histogram(I.link_facts(_linked(spark, sf)), "out_links")
 
 
 @query
 def a8_graph_totals(spark: SparkSession, sf: str) -> DataFrame:
-    return U.graph_totals(I.link_facts(I.index(P.plan(Y.linked_vault(spark, sf)), S.TODAY)))
+    return U.graph_totals(I.link_facts(_linked(spark, sf)))
 
 
 @query
 def o3_hubs(spark: SparkSession, sf: str) -> DataFrame:
-    return U.hubs(I.link_facts(I.index(P.plan(Y.linked_vault(spark, sf)), S.TODAY)), 2)
+    return U.hubs(I.link_facts(_linked(spark, sf)), 2)
 
 
 @query
