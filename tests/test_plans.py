@@ -17,6 +17,7 @@ from tidepool.operators import plan as P
 from tidepool.operators import siblings as SB
 from tidepool.plans import records as RP
 from tidepool.plans import runner, scan
+from tidepool.queries import ALL
 from tidepool.sources import files, lines, notes, records, settings, sinks
 from tidepool.streaming import incremental
 
@@ -431,6 +432,19 @@ def test_chains_of_more_rows_than_a_recursive_query_may_give(spark):
         spark.conf.unset("spark.sql.cteRecursionRowLimit")
 
 
+def test_bodies_stay_out_of_joins_of_facts(spark, monkeypatch):
+    written = {}
+    keep = scan.materialised
+    monkeypatch.setattr(scan, "materialised", lambda df, name: written.setdefault(name, keep(df, name)))
+    scan.prepare(P.plan(X.vault_notes(spark)))
+    assert "body" in written["index"].columns and "body" not in written["facts"].columns and "body" not in written["prepared"].columns
+
+
+def test_link_graph_reads_its_notes_once(spark):
+    for name in ("a8_graph_totals", "j2_link_degrees", "j1_resolved_links", "a10_linking_share"):
+        assert not [f for f in ALL[name](spark, "/root/testdata/sf0.001").inputFiles() if "documents" in f]
+
+
 def test_settings(tmp_path):
     q = tmp_path / "q.yaml"
     q.write_text("lane:\n  options: {a: x, b: y}\nworth:\n  levels: [l, m, h]\nflag:\n  instructions: is it?\n")

@@ -96,30 +96,37 @@ def local_vote(rule: Column) -> Column:
 
 
 def keyword_vote(title: Column, excerpt: Column) -> Column:
-    """The offline judge: fixed scores by the first keyword rule that fits. It stays within generated code."""
-    blob = F.concat(F.lower(title), F.lit(" "), F.lower(excerpt))
-    has = lambda words: reduce(lambda a, b: a | b, [F.contains(blob, F.lit(w)) for w in words])
-    bucket = secret = F
-    for name, p, words in KEYWORDS:
-        fits = has(words)
-        if name == "junk":
-            fits = fits | (T.strip(excerpt) == "")
-        if name == "log_entry":
-            fits = fits & has(("scan", "report", "digest"))
-        bucket, secret = bucket.when(fits, name), secret.when(fits, p)
-    bucket, secret = bucket.otherwise("durable_memory"), secret.otherwise(0.04)
-    decision = bucket == "project_decision"
-    persist = F.lit(None)
-    for name, value in PERSIST.items():
-        persist = F.when(bucket == name, value).otherwise(persist)
-    nouls = {
-        "contains_secret": secret,
-        "looks_like_duplicate": F.when(F.contains(blob, F.lit("duplicate")), 0.12).otherwise(0.05),
-        "records_a_decision": F.when(decision, 0.88).otherwise(0.2),
-        "is_actionable": F.when(decision, 0.7).otherwise(0.3),
-        "safe_to_leave_in_git": F.when(secret > 0.5, 0.1).otherwise(0.8),
-    }
-    return _vote(bucket, 0.8, 0.86, persist, 0.75, nouls, "fixture")
+    """The offline judge: fixed scores by the first keyword rule that fits; each text is lowered and searched once."""
+
+    def found(blob: Column) -> Column:
+        has = lambda words: reduce(lambda a, b: a | b, [F.contains(blob, F.lit(w)) for w in words])
+        bucket = F
+        for name, _, words in KEYWORDS:
+            fits = has(words)
+            if name == "junk":
+                fits = fits | (T.strip(excerpt) == "")
+            if name == "log_entry":
+                fits = fits & has(("scan", "report", "digest"))
+            bucket = bucket.when(fits, name)
+        return F.struct(bucket.otherwise("durable_memory").alias("bucket"), F.contains(blob, F.lit("duplicate")).alias("duplicate"))
+
+    def vote(x: Column) -> Column:
+        bucket, secret, persist = x["bucket"], F.lit(0.04), F.lit(None)
+        for name, p, _ in KEYWORDS:
+            secret = F.when(bucket == name, p).otherwise(secret)
+        for name, value in PERSIST.items():
+            persist = F.when(bucket == name, value).otherwise(persist)
+        decision = bucket == "project_decision"
+        nouls = {
+            "contains_secret": secret,
+            "looks_like_duplicate": F.when(x["duplicate"], 0.12).otherwise(0.05),
+            "records_a_decision": F.when(decision, 0.88).otherwise(0.2),
+            "is_actionable": F.when(decision, 0.7).otherwise(0.3),
+            "safe_to_leave_in_git": F.when(secret > 0.5, 0.1).otherwise(0.8),
+        }
+        return _vote(bucket, 0.8, 0.86, persist, 0.75, nouls, "fixture")
+
+    return T.let(T.let(F.concat(F.lower(title), F.lit(" "), F.lower(excerpt)), found), vote)
 
 
 def action(vote: Column, own_hits: Column, git_unsafe: float | None = None) -> Column:
