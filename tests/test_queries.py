@@ -46,3 +46,13 @@ def test_query(spark, duck, name):
     want = Counter(tuple(plain(r[i]) for i in order) for r in cur.fetchall())
     got = Counter(tuple(plain(r[k]) for k in sorted(df.columns)) for r in rows)
     assert got == want
+
+
+def test_listed_names_within_addresses(spark, duck, tmp_path):
+    """A name that is part of an address, of a key or of nothing, and a null text: as the SQL says."""
+    texts = ["mail ing.45@mail0.example.com now", "key sk-ing-aaaaaaaaaaaaaaaa", "being", "The\n- and", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {tuple(r) for r in ALL["r19_listed_names"](spark, str(tmp_path)).select("doc_id", "named").collect()}
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == set(c.execute(SQL["r19_listed_names"]).fetchall()) and (0, True) in got and (4, None) in got

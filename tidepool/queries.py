@@ -252,8 +252,9 @@ def r16_ssn(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def r19_listed_names(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").select("doc_id", "text")
-    return R.redacted(d, "text", ["the and", "ing"]).select("doc_id", F.array_contains("hits", "NAME").alias("named"))
+    """Whether a text as it stands holds a listed name, also where other labels would hide the name with what is around it."""
+    d = table(spark, sf, "documents").select("doc_id", F.array("text").alias("said")).withColumn("found", R.hidden_names(["the and", "ing"])("said"))
+    return d.select("doc_id", F.when(F.get("said", F.lit(0)).isNotNull(), F.array_contains("found.hits", "NAME")).alias("named"))
 
 
 @query
