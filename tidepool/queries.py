@@ -260,10 +260,10 @@ def r19_listed_names(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def r19_denylist(spark: SparkSession, sf: str) -> DataFrame:
     """Every customer, and the first two words of every benchmark item, as listed names in the documents."""
-    names = [r[0] for r in table(spark, sf, "customer").select("c_name").unionByName(table(spark, sf, "benchmark").select(F.array_join(F.slice(F.split("text", " "), 1, 2), " ").alias("c_name"))).distinct().collect()]  # a list that a person keeps
+    names = table(spark, sf, "customer").select("c_name").unionByName(table(spark, sf, "benchmark").select(F.array_join(F.slice(F.split("text", " "), 1, 2), " ").alias("c_name")))
     said = F.concat(F.coalesce("text", F.lit("")), F.lit(" seen by CUSTOMER#"), F.lpad((F.col("doc_id") % 40).cast("string"), 9, "0"), F.lit(", not xCustomer#000000001."))
-    d = table(spark, sf, "documents").select("doc_id", F.array(said).alias("said"))
-    return d.withColumn("found", R.hidden_names(names)("said")).select("doc_id", F.md5(F.get("found.texts", F.lit(0))).alias("redacted_md5"), F.array_contains("found.hits", "NAME").alias("named"))
+    d = R.names_hidden(table(spark, sf, "documents").select("doc_id", said.alias("said")), "doc_id", "said", names)
+    return d.select("doc_id", F.md5(F.get("found.texts", F.lit(0))).alias("redacted_md5"), F.array_contains("found.hits", "NAME").alias("named"))
 
 
 # --- index and graph ------------------------------------------------------------------------------------
