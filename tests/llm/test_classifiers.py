@@ -1,6 +1,7 @@
 """Language and quality: a plain version, held-out accuracy, odd rows."""
 
 import random
+import sys
 from collections import Counter
 from zlib import crc32
 
@@ -110,3 +111,26 @@ def test_quality(spark):
 
 def test_shapes():
     assert [shape_of(t) for t in ("Word", "WORD!!", "word***", "|", "a1b22", "Über,")] == ["Aa", "A!", "a*", "|", "a0a0", "Aa,"]
+
+
+def test_words_and_grams_of_odd_texts():
+    """Letters that are none by themselves, marks, digits and blanks; n-grams by length, then place."""
+    assert grams_of("ab") == ["a", "b", " a", "ab", "b ", " ab", "ab "] and grams_of("é", 2) == ["é", " é", "é "]
+    assert words_of("Ab ab, x1y _z ١٢ ² ⅠⅠ \U0001f600") == {"ab": 2, "x": 1, "y": 1, "z": 1}
+    assert words_of("") == {}
+
+
+def test_words_are_filtered_once_each(monkeypatch):
+    looked = []
+
+    class Word(str):
+        def isalpha(self):
+            looked.append(self)
+            return str.isalpha(self)
+
+    class Pattern:
+        def findall(self, text):
+            return [Word(w) for w in text.split()]
+
+    monkeypatch.setattr(sys.modules[words_of.__module__], "_WORD", Pattern())
+    assert words_of("so so so müch") == {"so": 3, "müch": 1} and len(looked) == 2

@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +31,20 @@ _WORD = re.compile(r"[^\W\d_]+")
 def grams_of(word: str, longest: int = LONGEST_GRAM) -> list[str]:
     """n-grams of a word with a blank before and after; the blank alone is none."""
     padded = f" {word} "
-    return [g for n in range(1, longest + 1) for i in range(len(padded) - n + 1) if (g := padded[i : i + n]) != " "]
+    out, last = [c for c in padded if c != " "], list(padded)
+    for n in range(2, longest + 1):
+        last = list(map(add, last, padded[n - 1 :]))
+        out += last
+    return out
 
 
 def words_of(text: str) -> Counter:
-    return Counter(w for w in _WORD.findall(text.lower()) if w.isalpha() or any(map(str.isalpha, w)))
+    found = Counter(_WORD.findall(text.lower()))
+    if text.isascii():  # nothing but letters was found
+        return found
+    for w in [w for w in found if not w.isalpha() and not any(map(str.isalpha, w))]:
+        del found[w]
+    return found
 
 
 def _order(gram: str) -> int:
@@ -118,9 +128,12 @@ class Ranker:
             self.reset()
         known = len(self.orders)
         lists = []
+        held, place = self.words.get, self.ids.get
         for word in counts:
-            if (ids := self.words.get(word)) is None:
-                ids = np.array([self._id(g) for g in grams_of(word, self.longest)], np.int64)
+            if (ids := held(word)) is None:
+                grams = grams_of(word, self.longest)
+                row = list(map(place, grams))
+                ids = np.array([self._id(g) for g in grams] if None in row else row, np.int64)
                 if len(word) <= 64:
                     self.words[word] = ids
             lists.append(ids)
@@ -129,7 +142,7 @@ class Ranker:
         elif len(self.orders) > known:
             self.order[known : len(self.orders)] = self.orders[known:]
         flat = np.concatenate(lists)
-        weights = np.repeat(np.fromiter(counts.values(), np.int64, len(counts)), [len(x) for x in lists])
+        weights = np.repeat(np.fromiter(counts.values(), np.int64, len(counts)), list(map(len, lists)))
         n = np.bincount(flat, weights, minlength=1).astype(np.int64)
         present = np.flatnonzero(n)
         counts_of = n[present]
