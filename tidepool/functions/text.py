@@ -5,6 +5,8 @@ Patterns carry (?U), so that blanks, digits and letters mean the same as in Unic
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,6 +22,8 @@ CHARS_PER_TOKEN = (2.8, 3.8)
 
 # Line breaks, headings and links.
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
+#: The start of a line up to the first character that is neither blank nor a heading's. Of the breaks these three are no white space.
+OTHER_LINE = rf"(?U)(?:\A|{LINE_BREAK})[\s&&[^{LINE_BREAK[LINE_BREAK.index('[') + 1 : -1]}]]*+[^\s#\x1c-\x1e]"
 HEADING = r"(?Um)^#{1,6}\s+\S"
 WIKILINK = r"(?U)(!?)\[\[([^\]|#]+)(?:#[^\]|]*)?(?:\|[^\]]*)?\]\]"
 MARKDOWN_LINK = r"(?U)(!?)\[[^\]]*\]\(([^)\s]+?\.md)(?:#[^)]*)?\)"
@@ -35,7 +39,7 @@ def let(value: Column, body) -> Column:
 
 
 def unix_lines(text: Column | str) -> Column:
-    return F.regexp_replace(_c(text), "\r\n", "\n")
+    return F.replace(_c(text), F.lit("\r\n"), F.lit("\n"))
 
 
 #: The code points that count as white space.
@@ -89,23 +93,22 @@ def words_of_name(segment: Column | str) -> Column:
 
 def segment_matches(segment: Column | str, name: str | Column) -> Column:
     """Whether a folder's name holds a sensitive name as a run of whole words."""
-    padded = lambda c: F.concat(F.lit(" "), F.array_join(words_of_name(c), " "), F.lit(" "))
-    want = padded(F.lit(name) if isinstance(name, str) else name)
-    return (want != "  ") & F.contains(padded(segment), want)
+    want = _padded(F.lit(name) if isinstance(name, str) else name)
+    return (want != "  ") & F.contains(_padded(segment), want)
+
+
+def _padded(segment: Column | str) -> Column:
+    return F.concat(F.lit(" "), F.array_join(words_of_name(segment), " "), F.lit(" "))
 
 
 def path_is_sensitive(rel: Column | str, names: tuple[str, ...] = SENSITIVE_NAMES) -> Column:
     """Whether any folder of the path is sensitive; the file's own name does not count."""
     folders = F.slice(path_parts(rel), F.lit(1), F.greatest(F.size(path_parts(rel)) - 1, F.lit(0)))
-    found = F.lit(False)
-    for name in names:
-        if name.strip():
-            found = found | F.exists(folders, _matcher(name))
-    return found
-
-
-def _matcher(name: str):
-    return lambda segment: segment_matches(segment, name)
+    wanted = [_padded(F.lit(name)) for name in names if name.strip()]
+    if not wanted:
+        return F.lit(False)
+    # a folder's words are found once for all names
+    return F.exists(F.transform(folders, _padded), lambda s: reduce(Column.__or__, [(w != "  ") & F.contains(s, w) for w in wanted]))
 
 
 # --- bodies --------------------------------------------------------------------------------
@@ -113,14 +116,13 @@ def _matcher(name: str):
 
 def body_digest(body: Column | str) -> Column:
     """Digest that ignores line ends, white space outside, and a first heading of level one."""
-    bare = strip(unix_lines(body))
-    return F.left(F.sha2(strip(F.regexp_replace(bare, r"^# [^\n]*(?:\n|$)", "")), 256), F.lit(16))
+    headless = lambda b: F.when(F.startswith(b, F.lit("# ")), strip(F.regexp_replace(b, r"^# [^\n]*(?:\n|$)", ""))).otherwise(b)
+    return F.left(F.sha2(let(strip(unix_lines(body)), headless), 256), F.lit(16))
 
 
 def body_is_empty(body: Column | str) -> Column:
-    """Blank lines and headings only."""
-    lines = F.transform(F.split(_c(body), LINE_BREAK, -1), lambda x: F.regexp_replace(x, r"(?U)^\s+", ""))
-    return ~F.exists(lines, lambda x: (x != "") & ~F.startswith(x, F.lit("#")))
+    """Blank lines and headings only; the search ends at the first other line."""
+    return ~F.regexp_like(_c(body), F.lit(OTHER_LINE))
 
 
 def word_count(body: Column | str) -> Column:
@@ -128,7 +130,7 @@ def word_count(body: Column | str) -> Column:
 
 
 def heading_count(body: Column | str) -> Column:
-    return F.size(F.regexp_extract_all(_c(body), F.lit(HEADING), F.lit(0)))
+    return F.when(~F.contains(_c(body), F.lit("#")), F.lit(0)).otherwise(F.size(F.regexp_extract_all(_c(body), F.lit(HEADING), F.lit(0))))
 
 
 def parsed_links(body: Column | str) -> Column:

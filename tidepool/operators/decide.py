@@ -42,7 +42,7 @@ def states(indexed: DataFrame, titles: DataFrame, names: list[str] | None = None
     df = R.redacted_together(df, fields, names, "_own")
     parts = lambda c: F.filter(c, lambda x: x != "")
     own = F.col("_own")
-    lent = F.array_distinct(F.flatten(F.transform("other_note_titles", lambda t: F.transform(F.regexp_extract_all(t, F.lit(r"\[([A-Z_]+)\]"), F.lit(1)), lambda x: x))))
+    lent = F.array_distinct(F.flatten(F.transform(F.filter("other_note_titles", lambda t: F.contains(t, F.lit("["))), lambda t: F.transform(F.regexp_extract_all(t, F.lit(r"\[([A-Z_]+)\]"), F.lit(1)), lambda x: x))))
     from .index import graph_state
 
     state = F.struct(
@@ -97,36 +97,49 @@ def local_vote(rule: Column) -> Column:
 
 def keyword_vote(title: Column, excerpt: Column) -> Column:
     """The offline judge: fixed scores by the first keyword rule that fits; each text is lowered and searched once."""
+    return T.let(T.let(_searched(title, excerpt), lambda blob: _found(blob, excerpt)), _keyword_scores)
 
-    def found(blob: Column) -> Column:
-        has = lambda words: reduce(lambda a, b: a | b, [F.contains(blob, F.lit(w)) for w in words])
-        bucket = F
-        for name, _, words in KEYWORDS:
-            fits = has(words)
-            if name == "junk":
-                fits = fits | (T.strip(excerpt) == "")
-            if name == "log_entry":
-                fits = fits & has(("scan", "report", "digest"))
-            bucket = bucket.when(fits, name)
-        return F.struct(bucket.otherwise("durable_memory").alias("bucket"), F.contains(blob, F.lit("duplicate")).alias("duplicate"))
-
-    def vote(x: Column) -> Column:
-        bucket, secret, persist = x["bucket"], F.lit(0.04), F.lit(None)
-        for name, p, _ in KEYWORDS:
-            secret = F.when(bucket == name, p).otherwise(secret)
-        for name, value in PERSIST.items():
-            persist = F.when(bucket == name, value).otherwise(persist)
-        decision = bucket == "project_decision"
-        nouls = {
-            "contains_secret": secret,
-            "looks_like_duplicate": F.when(x["duplicate"], 0.12).otherwise(0.05),
-            "records_a_decision": F.when(decision, 0.88).otherwise(0.2),
-            "is_actionable": F.when(decision, 0.7).otherwise(0.3),
-            "safe_to_leave_in_git": F.when(secret > 0.5, 0.1).otherwise(0.8),
-        }
-        return _vote(bucket, 0.8, 0.86, persist, 0.75, nouls, "fixture")
-
-    return T.let(T.let(F.concat(F.lower(title), F.lit(" "), F.lower(excerpt)), found), vote)
+
+def keyword_voted(df: DataFrame, title: Column, excerpt: Column) -> DataFrame:
+    """df with `vote`, the same; each step is a column of its own, which compiled code searches faster than a lambda's text."""
+    df = df.select("*", F.explode(F.array(_searched(title, excerpt))).alias("_blob"))
+    df = df.select("*", F.explode(F.array(_found(F.col("_blob"), excerpt))).alias("_found"))
+    return df.select("*", F.explode(F.array(_keyword_scores(F.col("_found")))).alias("vote")).drop("_blob", "_found")
+
+
+def _searched(title: Column, excerpt: Column) -> Column:
+    return F.concat(F.lower(title), F.lit(" "), F.lower(excerpt))
+
+
+def _found(blob: Column, excerpt: Column) -> Column:
+    """struct<bucket, duplicate> of a text in lower case."""
+    has = lambda words: reduce(lambda a, b: a | b, [F.contains(blob, F.lit(w)) for w in words])
+    bucket = F
+    for name, _, words in KEYWORDS:
+        fits = has(words)
+        if name == "junk":
+            fits = fits | (F.ltrim(excerpt, F.lit(T.WHITE)) == "")
+        if name == "log_entry":
+            fits = fits & has(("scan", "report", "digest"))
+        bucket = bucket.when(fits, name)
+    return F.struct(bucket.otherwise("durable_memory").alias("bucket"), F.contains(blob, F.lit("duplicate")).alias("duplicate"))
+
+
+def _keyword_scores(x: Column) -> Column:
+    bucket, secret, persist = x["bucket"], F.lit(0.04), F.lit(None)
+    for name, p, _ in KEYWORDS:
+        secret = F.when(bucket == name, p).otherwise(secret)
+    for name, value in PERSIST.items():
+        persist = F.when(bucket == name, value).otherwise(persist)
+    decision = bucket == "project_decision"
+    nouls = {
+        "contains_secret": secret,
+        "looks_like_duplicate": F.when(x["duplicate"], 0.12).otherwise(0.05),
+        "records_a_decision": F.when(decision, 0.88).otherwise(0.2),
+        "is_actionable": F.when(decision, 0.7).otherwise(0.3),
+        "safe_to_leave_in_git": F.when(secret > 0.5, 0.1).otherwise(0.8),
+    }
+    return _vote(bucket, 0.8, 0.86, persist, 0.75, nouls, "fixture")
 
 
 def action(vote: Column, own_hits: Column, git_unsafe: float | None = None) -> Column:

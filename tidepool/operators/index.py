@@ -31,7 +31,7 @@ def index(planned: DataFrame, today: str, names: list[str] | None = None) -> Dat
     df = planned.withColumns({c: F.lit(None).cast(t) for c, t in defaults.items() if c not in planned.columns})
     scanned = was_read()
     stem = F.regexp_replace(F.element_at(T.path_parts("rel"), -1), r"\.md$", "")
-    heading = F.trim(F.regexp_extract("body", r"(?m)^# (.*)$", 1))
+    heading = F.when(F.contains("body", F.lit("# ")), F.trim(F.regexp_extract("body", r"(?m)^# (.*)$", 1)))
     given = F.coalesce(F.nullif(T.strip("header_title"), F.lit("")), F.nullif(heading, F.lit("")))
     df = df.withColumns({"_given": F.when(scanned, given), "_stem": F.when(scanned, stem)}).withColumn("_spaced", F.translate("_stem", "-_", "  "))
     df = R.redacted_together(df, {f"{c}_redacted": F.col(c) for c in ("_given", "_stem", "_spaced")}, names, "_hits")

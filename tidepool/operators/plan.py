@@ -33,14 +33,17 @@ def status(rel: Column, names: tuple[str, ...] = T.SENSITIVE_NAMES, include_sens
     full = F.concat(F.lit(root.rstrip("/") + "/" if root else ""), rel)
     parts = T.path_parts(full)
     folders = F.slice(parts, F.lit(1), F.size(parts) - 1)
-    sensitive = T.path_is_sensitive(full, names)
-    out = lambda s, r: F.struct(F.lit(s).alias("status"), F.lit(r).alias("rule"), sensitive.alias("sensitive"))
-    return (
-        F.when(F.exists(parts, lambda p: F.startswith(p, F.lit("."))), out("skip", "hidden"))
-        .when(F.array_contains(folders, WORKING_FOLDER), out("skip", "tidepool"))
-        .when(sensitive & F.lit(not include_sensitive), out("skip", "sensitive"))
-        .otherwise(out("scan", None))
-    )
+
+    def of(sensitive: Column) -> Column:
+        out = lambda s, r: F.struct(F.lit(s).alias("status"), F.lit(r).alias("rule"), sensitive.alias("sensitive"))
+        return (
+            F.when(F.exists(parts, lambda p: F.startswith(p, F.lit("."))), out("skip", "hidden"))
+            .when(F.array_contains(folders, WORKING_FOLDER), out("skip", "tidepool"))
+            .when(sensitive & F.lit(not include_sensitive), out("skip", "sensitive"))
+            .otherwise(out("scan", None))
+        )
+
+    return T.let(T.path_is_sensitive(full, names), of)
 
 
 def plan(df: DataFrame, names: tuple[str, ...] = T.SENSITIVE_NAMES, include_sensitive: bool = False, root: str = "") -> DataFrame:

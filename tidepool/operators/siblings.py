@@ -116,12 +116,17 @@ def siblings(indexed: DataFrame, keep: int = SIBLINGS, rare: int = RARE, most_fr
     near = nearest_sets(mine, pool, keep + 1, rare, most_frequent)
     heads = _first(base.filter(F.size("tokens") > 0), ["folder", "tokens"], ["plan_ord"], keep + 1).withColumnRenamed("tokens", "other")
     near = near.join(heads, ["folder", "other"]).withColumn("rn", F.row_number().over(Window.partitionBy("folder", "tokens").orderBy(F.desc("alike"), "plan_ord"))).filter(F.col("rn") <= keep + 1)
-    near = near.groupBy("folder", "tokens").agg(F.sort_array(F.collect_list(F.struct("rn", "rel", "t"))).alias("near"))
+    near = near.groupBy("folder", "tokens").agg(F.sort_array(F.collect_list(F.struct("rn", "rel", "t"))).alias("near"), F.collect_list("rel").alias("near_rels"))
     first = _first(base, ["folder"], ["plan_ord"], 2 * keep + 1)
-    first = first.groupBy("folder").agg(F.sort_array(F.collect_list(F.struct("plan_ord", "rel", "tokens", "t"))).alias("first"))  # a bounded list a folder
+    first = first.groupBy("folder").agg(F.sort_array(F.collect_list(F.struct("plan_ord", "rel", "t"))).alias("first"))  # a bounded list a folder
     every = mine.join(near, ["folder", "tokens"], "left").join(first, "folder", "left")
+    none = F.array().cast("array<string>")
     own = F.filter("near", lambda x: x["rel"] != F.col("rel"))
-    strange = F.filter("first", lambda x: (x["rel"] != F.col("rel")) & ~F.arrays_overlap(x["tokens"], F.col("tokens")))
-    titles = lambda c: F.coalesce(F.transform(c, lambda x: x["t"]), F.array().cast("array<string>"))
-    out = F.slice(F.concat(F.slice(titles(own), 1, keep), titles(strange)), 1, keep)
-    return every.select("rel", out.alias("other_note_titles")).filter(F.size("other_note_titles") > 0)
+    # a list that is not full holds all that share a word: so many more of the folder's first notes are enough, and names tell the others
+    known = F.coalesce(F.size("near_rels"), F.lit(0))
+    strange = F.filter(F.slice("first", F.lit(1), F.greatest(known, F.lit(0)) + keep + 1), lambda x: (x["rel"] != F.col("rel")) & ~F.coalesce(F.array_contains("near_rels", x["rel"]), F.lit(False)))
+    titles = lambda c: F.coalesce(F.transform(c, lambda x: x["t"]), none)
+    full = F.coalesce(F.size(own) >= keep, F.lit(False))
+    out = F.when(full, F.slice(titles(own), 1, keep)).otherwise(F.slice(F.concat(titles(own), titles(strange)), 1, keep))
+    # a column that the filter can't repeat: a list is put together once
+    return every.select("rel", F.explode(F.array(out)).alias("other_note_titles")).filter(F.size("other_note_titles") > 0)
