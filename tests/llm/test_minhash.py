@@ -88,3 +88,22 @@ def test_small_places(spark, monkeypatch):
     monkeypatch.setattr(minhash, "PAIRS_IN_PLACE", 2)
     monkeypatch.setattr(minhash, "HUB_ROUNDS", 1)
     check(spark, corpus(8), 4, 80)
+
+
+def test_broadcasts_none(spark, monkeypatch):
+    """Texts that are told by bit maps instead of broadcast ids are the same."""
+    df = spark.createDataFrame(corpus(9), "doc_id long, text string").repartition(4)
+    want = sorted(without_duplicates(df).collect())
+    monkeypatch.setattr(minhash, "BROADCAST_ROWS", -1)
+    check(spark, corpus(9), 4, 80)
+    assert sorted(without_duplicates(df).collect()) == want
+
+
+def test_shuffles_little(spark):
+    """A text without a partner sends its digest and the hashes of its bands, neither bands nor sketch nor text."""
+    written = lambda: spark._jsc.sc().statusStore().executorList(True).head().totalShuffleWrite()
+    n, before = 3000, written()
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(40))) for i in range(n)]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4)
+    assert got.filter("kept").count() == n
+    assert written() - before < 700 * n

@@ -8,7 +8,8 @@ Equal sets are one class from the start. In a bucket, classes are held against o
 classes that are already connected never meet again; only what is still apart after the hub rounds is
 compared in pairs. So a bucket of n near copies costs about n comparisons, whatever n is. Before any
 text moves, a parity sketch bounds the difference of two sets from below, so that pairs that can't be
-similar enough are dropped where they meet and none that is gets lost.
+similar enough are dropped and none that is gets lost. Sketches meet distinct pairs, not every bucket
+that a pair shares. What has no partner is told by bit maps of bounded size and is not shuffled.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, drop_table, materialise, memo, whole_text
+from .common import arrow_map, drop_table, join_spread, materialise, maybe_in, memo, whole_text
 
 BANDS, ROWS = 40, 6
 SEED = 20_240_607
@@ -130,12 +131,16 @@ def _verified(pairs: DataFrame, nodes: DataFrame, df: DataFrame, size: int, perc
 
     A hub's text goes to as many places as its pairs need, so that no hub fills a task.
     """
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("node", "rep")
-    wanted = materialise(wanted, "near-wanted")
-    few = wanted.count() <= BROADCAST_ROWS
-    texts = df.withColumnRenamed("key", "rep").join(F.broadcast(wanted) if few else wanted, "rep").select("node", "text")
+    ends = F.array(*[F.struct(F.col(c).alias("node"), F.lit(c == "a").alias("as_a"), F.lit(c == "b").alias("as_b")) for c in ("a", "b")])
+    ends = pairs.select(F.inline(ends)).groupBy("node").agg(F.max("as_a").alias("as_a"), F.max("as_b").alias("as_b"))
+    wanted = materialise(ends.join(nodes, "node").select("node", "rep", "as_a", "as_b"), "near-wanted")
+    held = df.withColumnRenamed("key", "rep")
+    if wanted.count() <= BROADCAST_ROWS:
+        texts = held.join(F.broadcast(wanted), "rep")
+    else:  # texts of other sets stay where they are
+        texts = maybe_in(held, wanted, "rep", "asked").filter("asked").drop("asked").join(wanted, "rep")
     # a key may stand for several texts: the others fail the comparison of digests below
-    one = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
+    one = texts.filter("as_a").select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     shares = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / PAIRS_IN_PLACE).cast("int").alias("shares")).filter("shares > 1")
     shares = materialise(shares, "near-shares")
     made += [wanted, shares]
@@ -143,7 +148,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, df: DataFrame, size: int, perc
     shares = F.broadcast(shares) if shares.count() <= BROADCAST_ROWS else shares
     share = F.pmod(F.xxhash64("a"), F.coalesce("shares", F.lit(1)))
     dealt = pairs.select("a", "b").join(shares, "b", "left").select("a", "b", share.alias("share"))
-    two = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")).join(shares, "b", "left")
+    two = texts.filter("as_b").select(F.col("node").alias("b"), F.col("text").alias("text_b")).join(shares, "b", "left")
     two = two.select("b", "text_b", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("shares", F.lit(1)).cast("long") - 1)).alias("share"))
     both = dealt.join(one, "a").join(two, ["b", "share"]).select("a", "b", "text_a", "text_b")
     last: dict[bytes, np.ndarray | None] = {}
@@ -214,11 +219,20 @@ def _similar(n: Column, sketch: Column, n_b: Column, sketch_b: Column, percent:
     return (F.least(n, n_b) * 100 >= F.greatest(n, n_b) * percent) & (apart * (100 + percent) <= (n + n_b) * (100 - percent))
 
 
-def _with_hub(left: DataFrame, turn: int, percent: int) -> DataFrame:
-    """a, b, hub: the classes of every bucket with one of them, another one each turn."""
-    hub = left.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), "node", "n", "comp", "sketch")).alias("hub"))
-    fits = _similar(F.col("n"), F.col("sketch"), F.col("hub.n"), F.col("hub.sketch"), percent)
-    return left.join(hub, "bucket").filter((F.col("comp") != F.col("hub.comp")) & fits).select(F.col("node").alias("a"), F.col("hub.node").alias("b"))
+def _with_hub(left: DataFrame, turn: int) -> DataFrame:
+    """a, b (the hub): the classes of every bucket with one of them, another one each turn."""
+    hub = left.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), "node", "comp")).alias("hub"))
+    return left.join(hub, "bucket").filter(F.col("comp") != F.col("hub.comp")).select(F.col("node").alias("a"), F.col("hub.node").alias("b"))
+
+
+def _fitting(pairs: DataFrame, sketches: DataFrame, percent: int, made: list[DataFrame]) -> DataFrame:
+    """Those of pairs (a, b) that may be similar. sketches: node, n, sketch; hubs of many pairs go to every executor."""
+    met = materialise(pairs, "near-met")
+    hubs = met.groupBy("b").agg(F.count(F.lit(1)).alias("weight"))
+    hubs = materialise(hubs.join(sketches.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b")), "b"), "near-hubs")
+    made += [met, hubs]
+    both = join_spread(met, hubs, ["b"], "weight", met.count()).join(sketches.withColumnRenamed("node", "a"), "a")
+    return both.filter(_similar(F.col("n"), F.col("sketch"), F.col("n_b"), F.col("sketch_b"), percent)).select("a", "b")
 
 
 def _still_apart(left: DataFrame, percent: int) -> DataFrame:
@@ -246,32 +260,43 @@ def _components(df: DataFrame, size: int, percent: int, bands: int, rows: int) -
 
     signed = materialise(signatures(df, size, bands, rows), "near-signed")
     usable = signed.filter("node IS NOT NULL AND key IS NOT NULL")
+    # a set that one row has is a class as it stands; only the others' bands are shuffled
+    repeated = table(usable.groupBy("node").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1").select("node"), "near-repeated")
+    marked = maybe_in(usable, repeated, "node", "again")
     first = [F.first(c).alias(c) for c in ("bands", "sketch")]
-    classes = table(usable.groupBy("node").agg(F.min("key").alias("rep"), F.first("n_shingles").alias("n"), F.count(F.lit(1)).alias("copies"), *first), "near-classes")
-    places = classes.select("node", "n", F.explode("bands").alias("bucket"))
-    shared = places.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("bucket")
-    members = table(places.join(shared, "bucket").join(classes.select("node", "sketch"), "node"), "near-members")
+    again = marked.filter("again").groupBy("node").agg(F.min("key").alias("rep"), F.first("n_shingles").alias("n"), F.count(F.lit(1)).alias("copies"), *first)
+    single = marked.filter(~F.col("again")).select("node", F.col("key").alias("rep"), F.col("n_shingles").alias("n"), F.lit(1).cast("long").alias("copies"), "bands", "sketch")
+    classes = table(single.unionByName(again), "near-classes")
+    places = classes.select("node", F.explode("bands").alias("bucket"))
+    shared = table(places.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("bucket"), "near-shared")
+    members = table(maybe_in(places, shared, "bucket", "meets").filter("meets").drop("meets").join(shared, "bucket"), "near-members")
+    # a few more than those of the members
+    sketches = table(maybe_in(classes.select("node", "n", "sketch"), members, "node", "meets").filter("meets").drop("meets"), "near-sketches")
     nodes = classes.select("node", "rep")
 
     labels: DataFrame | None = None
     tested: DataFrame | None = None
     left = members.withColumn("comp", F.col("node"))
     for turn in range(HUB_ROUNDS + 1):
-        pairs = _with_hub(left, turn, percent) if turn < HUB_ROUNDS else _still_apart(left, percent)
+        last = turn == HUB_ROUNDS
+        pairs = _still_apart(left.join(sketches, "node"), percent) if last else _with_hub(left, turn)
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("b").alias("hub")).dropDuplicates(["a", "b"])
         pairs = pairs.select(F.when(F.col("hub") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("a"), F.col("hub").alias("b"))
         if tested is not None:
             either = tested.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
             pairs = pairs.join(either, ["a", "b"], "left_anti")
-        pairs = table(pairs, "near-pairs")
+        pairs = table(pairs if last else _fitting(pairs, sketches, percent, made), "near-pairs")
         if pairs.isEmpty():
-            if turn < HUB_ROUNDS:
+            if not last:
                 continue
             break
         edges = table(_verified(pairs, nodes, df, size, percent, made), "near-links")
         tested = pairs if tested is None else tested.unionByName(pairs)
         labels = contract(labels, edges)
-        now = members.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        if last:
+            break
+        # a bucket in one component stays so
+        now = left.drop("comp").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         apart = now.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x != y").select("bucket")
         left = table(now.join(apart, "bucket"), "near-left")
         if left.isEmpty():
@@ -329,5 +354,10 @@ def without_duplicates(df: DataFrame, size: int = 5, percent: int = 80, bands: i
     keyed = materialise(df.withColumn("_key", number), "near-keyed")  # a row keeps its number from here on
     found = _components(keyed.select(F.col("_key").alias("key"), whole_text().alias("text")), size, percent, bands, rows)
     gone = materialise(found.filter("component != key").select(F.col("key.row").alias("_row")), "near-gone")
-    few = gone.count() <= BROADCAST_ROWS
-    return keyed.withColumn("_row", F.col("_key.row")).join(F.broadcast(gone) if few else gone, "_row", "left_anti").select(df.columns)
+    numbered = keyed.withColumn("_row", F.col("_key.row"))
+    if gone.count() <= BROADCAST_ROWS:
+        return numbered.join(F.broadcast(gone), "_row", "left_anti").select(df.columns)
+    # rows that certainly stay are not shuffled
+    marked = maybe_in(numbered, gone, "_row", "_asked")
+    kept = marked.filter(~F.col("_asked")).unionByName(marked.filter("_asked").join(gone, "_row", "left_anti"))
+    return kept.select(df.columns)
