@@ -91,3 +91,56 @@ def test_plain_patterns_behind_the_look_at_a_whole_list(spark):
     for r in R.redacted_together(df.withColumn("was", F.col("l")), {"l": F.col("l")}).collect():
         want = [R.redact_text(t) for t in r.was]
         assert r.l == [t for t, _ in want] and r.hits == sorted({h for _, hits in want for h in hits})
+
+
+def test_bodies_are_looked_through_in_one_pass(spark):
+    """No plan searches every body for one word or pattern after the other; what may hold something is told by one automaton."""
+    notes = spark.createDataFrame([("d/1.md", "sk-" + "a" * 20), ("d/2.md", "plain words")], "rel string, body string")
+    redacted = R.redacted_together(notes, {"body": F.col("body")})._jdf.queryExecution().optimizedPlan().toString()
+    assert "_look_udf" in redacted and "explode(array(CASE WHEN __look" in redacted
+    voted = D.keyword_voted(notes, F.col("rel"), F.col("body"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "_some_keyword" in voted and "explode(array(CASE WHEN _any" in voted
+    indexed = I.index(P.plan(notes), scan.TODAY)
+    assert "_plain_words" in indexed._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_words_in_bytes_against_the_pattern(spark):
+    blanks = [*T.WHITE, "\x1c", "\x1f", "\u180e", "\u200b", "\x00", "\x08", "\x0e"]
+    r = random.Random(3)
+    texts = [None, "", *_texts(300), *("".join(r.choice([*blanks, "a", "ü", "日本", "\U0001f600"]) for _ in range(r.randrange(12))) for _ in range(1500))]
+    texts += ["a b\tc", " a", "a ", "a"] * 3
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.words_counted(F.col("t")).alias("new"), T.word_count("t").alias("old"), T._plain_words("t").alias("plain")).collect()
+    assert [r.t for r in rows if r.new != r.old] == []
+    assert sum(r.plain is not None for r in rows) > 300 and all(r.plain in (None, r.old) for r in rows)
+
+
+def test_no_text_with_something_is_passed_by(spark):
+    """A look at a whole list finds all that the patterns in their own words find."""
+    r = random.Random(8)
+    marks = [w for words in R.HELD.values() for some in words.values() for w in some] + [w for words in R.HELD_IN_ANY_CASE.values() for w in words]
+    texts = [v for w in marks for v in (w, f"x{w}y", f"\n{w.upper()}", w.swapcase())] + [*R.LIKE_ASCII, "ſecret", "baſic"]
+    plain = R._looked_through(R.pa.array([[t] for t in texts])).field("plain").to_pylist()
+    low = lambda t: any(w in t.lower() for words in R.HELD_IN_ANY_CASE.values() for w in words) or any(c in t for c in R.LIKE_ASCII)
+    own = lambda t: any(w in t for words in R.HELD.values() for some in words.values() for w in some)
+    assert plain == [low(t) or own(t) for t in texts]
+    numbers = ["".join(r.choice(["1", "55", "4111", "+", "(", "-", " ", "é", "٣", "a", "\n"]) for _ in range(r.randrange(24))) for _ in range(3000)]
+    d = spark.createDataFrame([(t,) for t in numbers], "t string").select("t", F.regexp_like("t", F.lit(R.MAY_BE_NUMBER)).alias("may")).collect()
+    seen = R._looked_through(R.pa.array([[x.t] for x in d])).field("number").to_pylist()
+    assert all(s for x, s in zip(d, seen, strict=True) if x.may) and any(x.may for x in d) and not all(seen)
+    lists = R.pa.array([["a", None, "https://u:hunter2@h.example"], [], None, ["b"], ["call 555-123-4567"]])
+    assert R._looked_through(lists.slice(0)).to_pylist() == [
+        {"urls": ["a", None, "https://[URL_CREDENTIAL]@h.example"], "plain": True, "number": False}, {"urls": None, "plain": False, "number": False},
+        {"urls": None, "plain": False, "number": False}, {"urls": None, "plain": False, "number": False}, {"urls": None, "plain": False, "number": True},
+    ]
+    assert R._looked_through(lists.slice(3)).field("number").to_pylist() == [False, True]
+
+
+def test_digests_and_excerpts_at_their_edges(spark):
+    """Texts that end in blanks or have other line ends, and those as long in bytes as an excerpt in characters."""
+    ends = ["", " ", "\n", "\r\n", "　", "\x1c", "é", "# h", "# h\n", "\r"]
+    df = spark.createDataFrame([(a + b + c,) for a in ends for b in ("", "x", "# t\nx", "a\r\nb") for c in ends], "t string")
+    bare = T.strip(F.regexp_replace("t", "\r\n", "\n"))
+    headless = F.when(F.startswith(bare, F.lit("# ")), T.strip(F.regexp_replace(bare, r"^# [^\n]*(?:\n|$)", ""))).otherwise(bare)
+    assert df.filter(T.body_digest("t") != F.left(F.sha2(headless, 256), F.lit(16))).count() == 0
+    long = spark.createDataFrame([(c * n,) for c in "aé日\U0001f600" for n in (399, 400, 401, 100, 101, 200, 201)], "t string").select("t", T.excerpt("t", 400).alias("e"), T.truncated("t", 400).alias("cut"))
+    assert all(r.e == r.t[:400] and r.cut == (len(r.t) > 400) for r in long.collect())

@@ -7,8 +7,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 # Fixed values.
 SENSITIVE_NAMES = ("family", "private", "personal", "secrets", "inbox")
@@ -46,6 +50,10 @@ def unix_lines(text: Column | str) -> Column:
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
+#: Those beyond ASCII, for an automaton (RE2).
+OTHER_BLANK = f"[{WHITE[WHITE.index(chr(0x85)):]}]"
+
+
 def strip(text: Column | str) -> Column:
     """Without white space on either side."""
     return F.trim(_c(text), F.lit(WHITE))
@@ -117,18 +125,44 @@ def path_is_sensitive(rel: Column | str, names: tuple[str, ...] = SENSITIVE_NAME
 def body_digest(body: Column | str) -> Column:
     """Digest that ignores line ends, white space outside, and a first heading of level one."""
     headless = lambda b: F.when(F.startswith(b, F.lit("# ")), strip(F.regexp_replace(b, r"^# [^\n]*(?:\n|$)", ""))).otherwise(b)
-    return F.left(F.sha2(let(strip(unix_lines(body)), headless), 256), F.lit(16))
+    # to trim on the right goes through all of a text, and so does replacing: only where there is something
+    lines = F.when(F.contains(_c(body), F.lit("\r\n")), unix_lines(body)).otherwise(_c(body))
+    blank_end = lambda b: reduce(Column.__or__, [F.endswith(b, F.lit(w)) for w in WHITE])
+    bare = let(lines, lambda b: F.when(blank_end(b), strip(b)).otherwise(F.ltrim(b, F.lit(WHITE))))
+    return F.left(F.sha2(let(bare, headless), 256), F.lit(16))
 
 
 def body_is_empty(body: Column | str) -> Column:
-    """Blank lines and headings only; the search ends at the first other line."""
-    return ~F.regexp_like(_c(body), F.lit(OTHER_LINE))
+    """Blank lines and headings only; the search ends at the first other line, mostly within the first characters."""
+    return ~(F.regexp_like(F.left(_c(body), F.lit(200)), F.lit(OTHER_LINE)) | F.regexp_like(_c(body), F.lit(OTHER_LINE)))
 
 
 def word_count(body: Column | str) -> Column:
     return F.size(F.regexp_extract_all(_c(body), F.lit(r"(?U)\S+"), F.lit(0)))
 
 
+@F.arrow_udf(IntegerType())
+def _plain_words(bodies: pa.Array) -> pa.Array:
+    """Words of each text, counted in its bytes where they begin; null if a text may have blanks beyond ASCII."""
+    known = pc.fill_null(pc.invert(pc.match_substring_regex(bodies, OTHER_BLANK)), False).to_pylist()
+    if not known:
+        return pa.array([], pa.int32())
+    _, offsets, data = bodies.buffers()
+    start = np.frombuffer(offsets, np.int64 if pa.types.is_large_string(bodies.type) else np.int32)[bodies.offset : bodies.offset + len(bodies) + 1]
+    b = np.frombuffer(data, np.uint8)[start[0] : start[-1]] if data else np.zeros(0, np.uint8)
+    word = (b != 32) & ((b < 9) | (b > 13))
+    first = word.copy()
+    first[1:] &= ~word[:-1]
+    ends = (start - start[0]).tolist()
+    # a text's first character begins a word whatever ends the text before
+    return pa.array([np.count_nonzero(first[x:y]) + bool(x < y and word[x] and not first[x]) if k else None for k, x, y in zip(known, ends, ends[1:], strict=False)], pa.int32())
+
+
+def words_counted(body: Column) -> Column:
+    """word_count() in Arrow batches; by the pattern only where a text has other blanks. Not within a lambda."""
+    return F.coalesce(_plain_words(body), word_count(body))
+
+
 def heading_count(body: Column | str) -> Column:
     return F.when(~F.contains(_c(body), F.lit("#")), F.lit(0)).otherwise(F.size(F.regexp_extract_all(_c(body), F.lit(HEADING), F.lit(0))))
 
@@ -183,11 +217,12 @@ def parse_excerpt_chars(value: str) -> int:
 
 
 def excerpt(redacted: Column | str, cap: int = EXCERPT_CAP) -> Column:
-    return F.substring(_c(redacted), 1, effective_cap(cap))
+    # no text has more characters than bytes
+    return F.when(F.octet_length(_c(redacted)) <= effective_cap(cap), _c(redacted)).otherwise(F.substring(_c(redacted), 1, effective_cap(cap)))
 
 
 def truncated(redacted: Column | str, cap: int = EXCERPT_CAP) -> Column:
-    return F.char_length(_c(redacted)) > effective_cap(cap)
+    return (F.octet_length(_c(redacted)) > effective_cap(cap)) & (F.char_length(_c(redacted)) > effective_cap(cap))
 
 
 # --- numbers and dates -----------------------------------------------------------------------

@@ -46,12 +46,12 @@ def index(planned: DataFrame, today: str, names: list[str] | None = None) -> Dat
     shown = F.regexp_extract_all("title_redacted", F.lit(r"\[([A-Z_]+)\]"), F.lit(1))
     df = df.withColumn("_title_hits", F.array_intersect("_hits", shown))
     links = F.when(scanned, T.parsed_links("body"))
-    df = df.select("*", F.explode(F.array(links)).alias("_links"))
+    df = df.select("*", F.explode(F.array(links)).alias("_links")).withColumn("_words", T.words_counted(F.when(scanned, F.col("body"))))
     fact = lambda c: F.when(scanned, c)
     df = df.withColumns(
         {
             "digest": fact(T.body_digest("body")),
-            "words": fact(T.word_count("body")),
+            "words": fact(F.col("_words")),
             "headings": fact(T.heading_count("body")),
             "empty": fact(T.body_is_empty("body")),
             "links": F.col("_links.targets"),

@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame
 
+#: Columns that are written without looking each text up among those before it, where a table has them.
+LONG_TEXTS = ("body", "state.excerpt")
 _local: list[str] = []
 
 
@@ -32,7 +34,8 @@ def materialised(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
-    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    out = df.write.options(**{f"parquet.enable.dictionary#{c}": "false" for c in LONG_TEXTS})
+    (out.partitionBy(by) if by else out).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
