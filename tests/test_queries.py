@@ -56,3 +56,20 @@ def test_listed_names_within_addresses(spark, duck, tmp_path):
     c = duckdb.connect()
     c.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
     assert got == set(c.execute(SQL["r19_listed_names"]).fetchall()) and (0, True) in got and (4, None) in got
+
+
+def test_what_is_decided_without_a_vote(spark, tmp_path):
+    """A credential comes first, then headings only, then copies; a word that merely holds a keyword is judged."""
+    key = "AKIA" + "A1B2C3D4E5F6G7H8"
+    texts = ["plain words", f"the {key} here", f"the {key} here", "# only\n## headings", "plain words", "a lesakia word"]
+    spark.createDataFrame([(i, t, "src0") for i, t in enumerate(texts)], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = lambda name, *columns: Counter(tuple(r) for r in ALL[name](spark, str(tmp_path)).select(*columns).collect())
+    judged, secret, junk = ("judged", "durable_memory", "frontmatter"), ("local", "needs_review", "quarantine"), ("local", "junk", "frontmatter")
+    voted = ("judged", "needs_review", "quarantine")
+    want = [
+        ("src0/0.md", *judged, "normal vote", None), ("src0/1.md", *secret, "local redaction hit: KEY", None), ("src0/2.md", *secret, "local redaction hit: KEY", "src0/1.md"),
+        ("src0/3.md", *junk, "empty body or headings only: decided locally", None), ("src0/4.md", *junk, "exact duplicate of src0/0.md: decided locally", "src0/0.md"),
+        ("src0/5.md", *voted, "contains_secret above threshold", None),
+    ]
+    assert rows("d7_decisions", "path", "judge", "bucket", "action", "reason", "exact_duplicate_of") == Counter(want)
+    assert rows("a2_bill", "n_fresh", "n_local", "over_budget") == Counter([(2, 4, False)])
